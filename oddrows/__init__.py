@@ -1 +1,8 @@
 """Anomaly analytics over very large event and process-log tables, as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddrows.operators.features import feature_group
 from oddrows.operators.order import unpivot
@@ -78,18 +79,18 @@ def _each(fn, *columns):
     return pd.Series([fn(*v) if not any(x is None or x != x for x in v) else None for v in zip(*columns)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t."""
     return _each(lambda a, n: beta_inc(n / 2, 0.5, n / (n + a * a)) if n > 0 else None, t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(lambda v, a, b: beta_inc(b / 2, a / 2, b / (b + a * v)), f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _each(lambda v, k: gamma_upper(k / 2, v / 2) if k > 0 else 1.0, x, dof)
 
