@@ -6,7 +6,7 @@ import importlib
 
 from oddrows.checks.base import QUERIES, SQL
 
-MODULES = ("tables", "features", "profile", "joins", "sampling", "metrics", "neighbors")
+MODULES = ("tables", "features", "profile", "joins", "sampling", "metrics", "neighbors", "models", "studies")
 
 
 def _load():
