@@ -231,7 +231,7 @@ def forest_leaf_rows(spark, sf_dir):
 
 @query("baseline_model")
 def baseline_model(spark, sf_dir):
-    return tr.baseline_report(raw(spark, sf_dir), RAW, "evil", "id", trees=20, depth=6)
+    return tr.baseline_report(raw(spark, sf_dir), [*RAW, "sus"], "evil", "id", trees=20, depth=6)
 
 
 # --- detectors -----------------------------------------------------------------------------------

@@ -84,14 +84,14 @@ def scatter_sample_jitter(spark, sf_dir):
 
 
 # a settings grid made of log groups: process x arguments x parent, with ratios standing in for scores
-GRID = "SELECT processName AS algorithm, CAST(argsNum AS INT) AS pca_dim, CAST(parentProcessId AS INT) AS n_clusters, CAST(id % 2 AS INT) AS trial, round(avg(amount), 6) AS silhouette, round(sum(amount), 4) AS inertia FROM logs GROUP BY 1, 2, 3, 4"
+GRID = "SELECT processName AS algorithm, CAST(argsNum AS INT) AS pca_dim, CAST(parentProcessId AS INT) AS n_clusters, CAST(id % 2 AS INT) AS trial, avg(amount) AS silhouette, round(sum(amount), 4) AS inertia FROM logs GROUP BY 1, 2, 3, 4"
 
 
 def grid(spark, sf_dir):
     df = logs(spark, sf_dir)
     return df.groupBy(
         F.col("processName").alias("algorithm"), F.col("argsNum").cast("int").alias("pca_dim"), F.col("parentProcessId").cast("int").alias("n_clusters"), (F.col("id") % 2).cast("int").alias("trial")
-    ).agg(F.round(F.avg("amount"), 6).alias("silhouette"), F.round(F.sum("amount"), 4).alias("inertia"))
+    ).agg(F.avg("amount").alias("silhouette"), F.round(F.sum("amount"), 4).alias("inertia"))
 
 
 @query("grid_matrix", on_logs("SELECT pca_dim, " + ", ".join(f'round(avg(silhouette) FILTER (WHERE n_clusters = {i}), 6) AS "{i}"' for i in range(10)) + " FROM g GROUP BY pca_dim", g=GRID))
@@ -119,7 +119,7 @@ def project_2d(spark, sf_dir):
 @query(
     "best_params",
     on_logs(
-        "SELECT algorithm, n_clusters, pca_dim, round(s, 6) AS silhouette, round(0.1 + 0.1 * (n_clusters - 2), 6) + 0.0 AS eps FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY s DESC, pca_dim, n_clusters) AS r FROM (SELECT algorithm, pca_dim, n_clusters, avg(silhouette) AS s FROM g GROUP BY 1, 2, 3)) WHERE r = 1",
+        "SELECT algorithm, n_clusters, pca_dim, round(s, 6) AS silhouette, round(CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (n_clusters - 2), 6) + 0.0 AS eps FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY s DESC, pca_dim, n_clusters) AS r FROM (SELECT algorithm, pca_dim, n_clusters, avg(silhouette) AS s FROM g GROUP BY 1, 2, 3)) WHERE r = 1",
         g=GRID,
     ),
 )

@@ -56,11 +56,15 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
 def _tree_samples(df: DataFrame, id_col: str, trees: int, sub: int, seed: int) -> DataFrame:
     """``(tree, rows)`` of ``sub`` rows each. Large tables deal one sample of trees * sub rows out to the
     trees; on small ones each tree draws its own rows."""
-    if df.count() >= trees * sub:
+    n = df.count()
+    if n >= trees * sub:
         pool = sample_n(df, id_col, trees * sub, seed)
         return pool.withColumn("tree", F.pmod(seeded_number(seed + 1, id_col), F.lit(trees)).cast("int"))
     every = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w = Window.partitionBy("tree").orderBy(seeded_key(seed, "tree", id_col), id_col)  # fewer than trees * sub rows each
+    # about 2 * sub candidates per tree by a cheap hash, the first ``sub`` of them by seeded order
+    odds = int(min(1.0, 2.0 * sub / max(1, n)) * (1 << 20))
+    every = every.filter(F.pmod(F.xxhash64(F.lit(seed), "tree", id_col), F.lit(1 << 20)) < odds)
+    w = Window.partitionBy("tree").orderBy(seeded_key(seed, "tree", id_col), id_col)
     return every.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sub).drop("_n")
 
 
