@@ -21,9 +21,16 @@ def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> Data
 
 
 def training_points(df: DataFrame, xs: Sequence[str], id_col: str) -> DataFrame:
-    """Distinct weighted points, spread evenly and written once: what an iterative fit reads every round."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return cut_lineage(distinct_points(df, xs, id_col).repartition(parts, "pid"))
+    """Distinct weighted points, written once: what an iterative fit reads every round.
+
+    A few points need few tasks; many points get at least the session's shuffle partitions.
+    """
+    points = cut_lineage(distinct_points(df, xs, id_col))
+    n = points.count()
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, min(-(-n // 20_000), max(shuffle, -(-n // 1_000_000))))
+    have = points.rdd.getNumPartitions()
+    return points.coalesce(parts) if parts < have else points.repartition(parts, "pid") if parts > have else points
 
 
 def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
@@ -34,7 +41,8 @@ def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: in
         for b in batches:
             if len(b):
                 acc += fn(b)
-        yield pd.DataFrame({"k": np.arange(size, dtype="int32"), "v": acc})
+        at = np.nonzero(acc)[0]
+        yield pd.DataFrame({"k": at.astype("int32"), "v": acc[at]})
 
     out = np.zeros(size)
     for r in points.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():

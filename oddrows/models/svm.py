@@ -31,7 +31,7 @@ def _lift(x: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
 
 
 def svm_fit(
-    df: DataFrame, cols: Sequence[str], id_col: str, nu: float = 0.01, gamma: float | None = None, features: int = 128, iters: int = 30, seed: int = 42,
+    df: DataFrame, cols: Sequence[str], id_col: str, nu: float = 0.01, gamma: float | None = None, features: int = 128, iters: int = 20, seed: int = 42,
     tol: float = 1e-3,
 ) -> Boundary:
     """Nearest point to the origin in the reduced convex hull of the lifted rows (the one-class dual), by

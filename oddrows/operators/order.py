@@ -202,43 +202,44 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_typ
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolation quantiles: rows ``(*by, feature, prob, value)``. ``by`` are class-like columns."""
+    """Linear-interpolation quantiles: rows ``(*by, feature, prob, value)``. ``by`` are class-like columns.
+
+    Groups that fit one task use Spark's exact percentile, all columns in one aggregate; larger ones go
+    through :func:`order_statistics`. The result (groups x columns x probs) passes through the driver.
+    """
     spark = df.sparkSession
-    by = list(by)
-    long = unpivot(df, cols, by).filter(~F.isnan("value"))
+    by, cols = list(by), list(cols)
+    probs = [float(p) for p in probs]
+    clean = df.select(*by, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
+    fields = [T.StructField(k, df.schema[k].dataType) for k in by]
+    schema = T.StructType(
+        [*fields, T.StructField("feature", T.StringType()), T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
+    )
+    sizes = clean.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    out = []
+    if sizes <= setting(spark, TASK_ROWS_KEY, TASK_ROWS):
+        rows = clean.groupBy(*by).agg(*[F.percentile(c, probs).alias(f"_q{i}") for i, c in enumerate(cols)]).collect()
+        for r in rows:
+            for i, c in enumerate(cols):
+                if r[f"_q{i}"] is not None:
+                    out += [(*[r[b] for b in by], c, p, v) for p, v in zip(probs, r[f"_q{i}"])]
+        return spark.createDataFrame(out, schema)
     group_rows: dict = {}
 
     def ranks(sizes):
         group_rows.update(sizes)
-        out = {}
-        for g, n in sizes.items():
-            spots = [p * (n - 1) for p in probs]
-            out[g] = [math.floor(s) + 1 for s in spots] + [math.ceil(s) + 1 for s in spots]
-        return out
+        spots = {g: [p * (n - 1) for p in probs] for g, n in sizes.items()}
+        return {g: [math.floor(s) + 1 for s in ss] + [math.ceil(s) + 1 for s in ss] for g, ss in spots.items()}
 
     keys = [*by, "feature"]
-    stats = order_statistics(long, "value", ranks, keys)
-    plan = []
+    stats = order_statistics(unpivot(clean, cols, by), "value", ranks, keys).collect()
+    at = {(*[r[k] for k in keys], r["rank"]): r["value"] for r in stats}
     for g, n in group_rows.items():
         for p in probs:
             s = p * (n - 1)
-            plan.append((*g, float(p), math.floor(s) + 1, math.ceil(s) + 1, s - math.floor(s)))
-    fields = [T.StructField(k, long.schema[k].dataType) for k in keys]
-    schema = T.StructType(
-        [
-            *fields,
-            T.StructField("prob", T.DoubleType()),
-            T.StructField("r_lo", T.LongType()),
-            T.StructField("r_hi", T.LongType()),
-            T.StructField("frac", T.DoubleType()),
-        ]
-    )
-    asked = spark.createDataFrame(plan, schema)
-    # both sides hold (groups x probs) rows
-    low = stats.select(*keys, F.col("rank").alias("r_lo"), F.col("value").alias("v_lo"))
-    high = stats.select(*keys, F.col("rank").alias("r_hi"), F.col("value").alias("v_hi"))
-    joined = asked.join(low, [*keys, "r_lo"]).join(high, [*keys, "r_hi"])
-    return joined.select(*keys, "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
+            lo, hi = at[(*g, math.floor(s) + 1)], at[(*g, math.ceil(s) + 1)]
+            out.append((*g, p, lo + (hi - lo) * (s - math.floor(s))))
+    return spark.createDataFrame(out, schema)
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
