@@ -44,8 +44,8 @@ def seeded_key(seed: int, *ids: str) -> Column:
 
 
 def seeded_number(seed: int, *ids: str) -> Column:
-    """First 60 bits of :func:`seeded_key` as a number (same order)."""
-    return F.conv(F.substring(seeded_key(seed, *ids), 1, 15), 16, 10).cast("long")
+    """First 52 bits of :func:`seeded_key` as a number (same order, exact as a double)."""
+    return F.conv(F.substring(seeded_key(seed, *ids), 1, 13), 16, 10).cast("long")
 
 
 def squared_error(xs: Sequence[Column], hats: Sequence[Column], mean: bool = False) -> Column:

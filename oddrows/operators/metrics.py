@@ -83,7 +83,7 @@ def _areas(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFram
     d_recall = ratio(F.col("pos"), F.col("_P"))
     f1 = 2 * tp / (F.col("_P") + tp + fp)
     return c.groupBy(*by).agg(
-        F.sum(ratio(F.col("neg"), F.col("_N")) * ratio(tp + tp0, 2 * F.col("_P"))).alias("roc_auc"),
+        ratio(F.sum(F.col("neg").cast("double") * (tp + tp0)), F.max(2.0 * F.col("_P") * F.col("_N"))).alias("roc_auc"),
         F.sum(d_recall * prec).alias("average_precision"),
         F.sum(d_recall * (prec + prec0) / 2).alias("pr_auc"),
         F.max_by(F.struct("score", f1.alias("f1"), prec.alias("precision"), ratio(tp, F.col("_P")).alias("recall")), F.struct(f1, "score")).alias("best"),

@@ -106,7 +106,7 @@ def order_statistics(
     brackets = None
     while inside_rows > limit:
         brackets = _brackets(data, by, sizes, targets, brackets)
-        inside_rows = int(inside_rows * 8 / SKETCH_ACCURACY) * max(len(t) for t in targets.values())
+        inside_rows = int(inside_rows * 12 / SKETCH_ACCURACY) * max(len(t) for t in targets.values())
     if brackets is None:
         counted = data.groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_zone", F.lit(1))
     else:
@@ -127,9 +127,16 @@ def _null_safe(by, group):
     return cond
 
 
+def _widened(lo, hi):
+    """The sketch works on doubles, so large whole numbers come back rounded."""
+    if isinstance(lo, int):
+        return lo - (abs(lo) >> 50), hi + (abs(hi) >> 50)
+    return lo, hi
+
+
 def _brackets(data, by, sizes, targets, previous):
     """Bracket every target rank by two sketch quantiles; ``previous`` brackets restrict the sketch."""
-    slack = 2 / SKETCH_ACCURACY
+    slack = 4 / SKETCH_ACCURACY
     if previous is None:
         probs = {
             g: [min(1.0, max(0.0, (t - 1) / max(1, sizes[g] - 1) + s)) for t in ts for s in (-slack, slack)]
@@ -144,7 +151,7 @@ def _brackets(data, by, sizes, targets, previous):
             g = tuple(r[b] for b in by)
             at = dict(zip(every, r["q"]))
             out[g] = [
-                (r["lo"] if ps[0] <= slack else at[ps[0]], r["hi"] if ps[1] >= 1 - slack else at[ps[1]])
+                _widened(r["lo"] if ps[0] <= slack else at[ps[0]], r["hi"] if ps[1] >= 1 - slack else at[ps[1]])
                 for ps in (probs[g][i : i + 2] for i in range(0, len(probs.get(g, [])), 2))
             ]
         return out
@@ -166,7 +173,8 @@ def _brackets(data, by, sizes, targets, previous):
     out = {}
     for j, (g, i, lo, hi) in enumerate(keys):
         q, p = got[f"q{j}"], (targets[g][i] - 1 - counts[f"b{j}"]) / max(1, counts[f"n{j}"] - 1)
-        out.setdefault(g, []).append((lo if p <= 2 * slack else q[0], hi if p >= 1 - 2 * slack else q[1]))
+        inner = _widened(lo if p <= 2 * slack else q[0], hi if p >= 1 - 2 * slack else q[1])
+        out.setdefault(g, []).append((max(lo, inner[0]), min(hi, inner[1])))
     return out
 
 

@@ -79,8 +79,8 @@ def scatter_sample(
     out = sample_n(df.select(id_col, *keep, *xs), id_col, n, seed)
     if jitter:
         for i, x in enumerate(xs):
-            u1 = (seeded_number(seed + 2 * i + 1, id_col) + 1) / F.lit(2.0**60)
-            u2 = seeded_number(seed + 2 * i + 2, id_col) / F.lit(2.0**60)
+            u1 = (seeded_number(seed + 2 * i + 1, id_col) + 1) / F.lit(2.0**52)
+            u2 = seeded_number(seed + 2 * i + 2, id_col) / F.lit(2.0**52)
             out = out.withColumn(x, F.col(x) + F.lit(jitter) * F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2))
     return out
 

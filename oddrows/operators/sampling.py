@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from oddrows.functions.columns import seeded_key, seeded_number
 from oddrows.operators.order import order_statistics
 
-_H = "_hash60"
+_H = "_hash"
 
 
 def take_quotas(df: DataFrame, id_col: str, by: Sequence[str], quotas: Callable[[dict], dict], seed: int, skip: bool = False) -> DataFrame:
@@ -40,6 +40,8 @@ def take_quotas(df: DataFrame, id_col: str, by: Sequence[str], quotas: Callable[
     table, tied = [], False
     for g, q in asked.items():
         row = found.get(g)
+        if row is None and q > 0:
+            raise RuntimeError(f"no cut found for group {g}")
         if row is not None:
             left = q - row["below"]  # rows to take among those equal to the cut (hash collisions)
             tied |= left < row["equal"]
@@ -125,7 +127,7 @@ def disjoint_split(df: DataFrame, id_col: str, sizes: Mapping[str, int], seed: i
 
     found = {r["rank"]: r for r in order_statistics(hashed, _H, ranks).collect()}
     last = max(found, default=0)
-    # 60-bit hashes: a tie exactly at a boundary is settled by the full key
+    # a tie of hashes exactly at a boundary is settled by the full key
     part = F.lit(None).cast("string")
     place = seeded_key(seed, id_col)
     for name, end in reversed(list(ends.items())):
