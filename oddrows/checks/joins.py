@@ -65,7 +65,7 @@ def center_distances(spark, sf_dir):
 
 @query("min_center_separation", CENTER_SQL + "SELECT round(avg(m), 6) AS separation FROM (SELECT min(distance) AS m FROM d WHERE a <> b GROUP BY a)")
 def min_center_separation(spark, sf_dir):
-    return rounded(jn.min_center_separation(jn.center_distances(label_centers(spark, sf_dir), "label", AXES)))
+    return rounded(jn.min_center_separation(label_centers(spark, sf_dir), "label", AXES))
 
 
 @query("exclude_rows", on_logs("SELECT id, evil FROM logs WHERE id NOT IN (SELECT id FROM s WHERE score > 1)", s=SCORED_SQL))

@@ -9,7 +9,7 @@ from oddrows.operators import features as ft
 from oddrows.operators import profile as pf
 from oddrows.operators import sequences as sq
 from oddrows.operators import topk
-from oddrows.operators.joins import center_distances
+from oddrows.operators.joins import nearest_centers as closest_centers
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -364,4 +364,4 @@ def label_centers(spark, sf_dir):
 
 @query("nearest_centers", CENTER_SQL + "SELECT a, b, round(distance, 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS r FROM d WHERE a <> b) WHERE r <= 3")
 def nearest_centers(spark, sf_dir):
-    return rounded(topk.nearest_centers(center_distances(label_centers(spark, sf_dir), "label", AXES), 3))
+    return rounded(closest_centers(label_centers(spark, sf_dir), "label", AXES, 3))

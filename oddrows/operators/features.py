@@ -23,7 +23,7 @@ from oddrows.functions.columns import (
     class3 as class3_expr,
     clean_number,
 )
-from oddrows.operators.order import exact_quantiles, quantile_values, row_index, unpivot
+from oddrows.operators.order import column_stats, exact_quantiles, quantile_values, row_index, unpivot
 from oddrows.session import TASK_ROWS, TASK_ROWS_KEY, at_most, setting, small_join
 
 _COMPARE = {
@@ -116,7 +116,7 @@ def assemble_columns(parts: Sequence[DataFrame], id_col: str) -> DataFrame:
 
 
 def weight_features(
-    df: DataFrame, importance: Mapping[str, float], scale: float = 5.0, keep_rest: bool = True
+    df: DataFrame, importance: Mapping[str, float], scale: float = 5.0
 ) -> DataFrame:
     """Multiply features above the median importance by ``importance * scale + 1``."""
     ranked = sorted(importance.values())
@@ -124,7 +124,7 @@ def weight_features(
     median = ranked[mid] if len(ranked) % 2 else (ranked[mid - 1] + ranked[mid]) / 2
     chosen = {c: w * scale + 1 for c, w in importance.items() if w > median}
     cols = [(F.col(c) * F.lit(chosen[c])).alias(c) if c in chosen else F.col(c) for c in df.columns]
-    return df.select(*cols) if keep_rest else df.select(*[c for c in cols])
+    return df.select(*cols)
 
 
 def log1p_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -163,7 +163,7 @@ def standardize_if_needed(df: DataFrame, cols: Sequence[str], tol: float = 0.01)
 
 def scaling_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean and population deviation per column, as rows."""
-    return unpivot(df, cols).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return column_stats(df, cols, {"mean": F.avg, "std": F.stddev_pop})
 
 
 def inf_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -179,7 +179,7 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def filled_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Median used and number of cells it fills, per column that has gaps."""
     cleaned = df.withColumns({c: clean_number(F.col(c)) for c in cols})
-    gaps = unpivot(cleaned, cols).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("filled"))
+    gaps = column_stats(cleaned, cols, {"filled": lambda c: F.count_if(c.isNull())})
     medians = exact_quantiles(cleaned, cols, [0.5]).select("feature", F.col("value").alias("median"))
     return gaps.filter("filled > 0").join(medians, "feature", "left").select("feature", "median", "filled")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddrows.session import small_join
+from oddrows.operators.neighbors import blockwise, knn_join, point
+from oddrows.session import at_most, small_join
+
+MAX_LISTED = 2_000  # centres that may travel as one array
 
 MEASURES = ("importance_dt", "importance_rf", "permutation_dt", "permutation_rf")
 
@@ -44,24 +49,42 @@ def broadcast_verdict(df: DataFrame, verdicts: DataFrame, cluster: str = "cluste
 
 
 def center_distances(centers: DataFrame, cluster: str, xs: Sequence[str]) -> DataFrame:
-    """Euclidean distance of every pair of centres ``(a, b, distance)``.
+    """Euclidean distance of every pair of centres ``(a, b, distance)``; the pair list is the result.
 
-    One row per cluster on both sides: the centre list travels as one array per row instead of a cross join.
+    A checked short list of centres travels as one array per row; more centres meet block by block.
     """
-    point = F.struct(F.col(cluster).alias("b"), F.array(*[F.col(x).cast("double") for x in xs]).alias("y"))
+    if not at_most(centers, MAX_LISTED):
+        points = centers.select(F.col(cluster).cast("long").alias("pid"), F.lit(1).alias("w"), point(xs).alias("x"))
+
+        def pairs_of(q, r, d2):
+            a, b = np.repeat(q["qid"].to_numpy(), len(r)), np.tile(r["pid"].to_numpy(), len(q))
+            return pd.DataFrame({"a": a, "b": b, "distance": np.sqrt(d2).ravel()})
+
+        return blockwise(points.withColumnRenamed("pid", "qid"), points, pairs_of, "a long, b long, distance double")
+    entry = F.struct(F.col(cluster).alias("b"), F.array(*[F.col(x).cast("double") for x in xs]).alias("y"))
     everyone = Window.partitionBy(F.lit(1))
     listed = centers.select(
-        F.col(cluster).alias("a"), F.array(*[F.col(x).cast("double") for x in xs]).alias("x"), F.collect_list(point).over(everyone).alias("others")
+        F.col(cluster).alias("a"), F.array(*[F.col(x).cast("double") for x in xs]).alias("x"), F.collect_list(entry).over(everyone).alias("others")
     )
     pairs = listed.select("a", "x", F.inline("others"))
     sq = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     return pairs.select("a", "b", F.sqrt(sq).alias("distance"))
 
 
-def min_center_separation(distances: DataFrame) -> DataFrame:
+def nearest_centers(centers: DataFrame, cluster: str, xs: Sequence[str], k: int = 5) -> DataFrame:
+    """k closest other centres per centre: ``(a, b, distance, rank)``. Many centres go through the
+    nearest-neighbour join, so the pair list is never formed."""
+    if not at_most(centers, MAX_LISTED):
+        near = knn_join(centers, xs, cluster, k)
+        return near.select(F.col(cluster).alias("a"), F.col("neighbor").alias("b"), "distance", "rank")
+    w = Window.partitionBy("a").orderBy("distance", "b")
+    near = center_distances(centers, cluster, xs).filter("a <> b")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def min_center_separation(centers: DataFrame, cluster: str, xs: Sequence[str]) -> DataFrame:
     """Mean over centres of the distance to the nearest other centre."""
-    nearest = distances.filter("a <> b").groupBy("a").agg(F.min("distance").alias("d"))
-    return nearest.agg(F.avg("d").alias("separation"))
+    return nearest_centers(centers, cluster, xs, 1).agg(F.avg("distance").alias("separation"))
 
 
 def exclude_rows(df: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:

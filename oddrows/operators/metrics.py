@@ -252,12 +252,12 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Natural-log mutual information of two label columns; counts are combined before any shuffle."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    total = Window.partitionBy(F.lit(1))  # label pairs only
-    na, nb, n = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("b")), F.sum("n").over(total)
-    terms = cells.select((F.col("n") / n * F.ln(F.col("n") * n / (na * nb))).alias("t"))
-    return terms.agg(F.greatest(F.coalesce(F.sum("t"), F.lit(0.0)), F.lit(0.0)).alias("mi"))
+    """Natural-log mutual information of two label columns; all counts and margins from one cube."""
+    counts = df.select(F.col(a).alias("a"), F.col(b).alias("b")).cube("a", "b").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    # sum over pairs of n ln n, less the same over both margins, plus that of the total, all divided by the total
+    sign = F.when(F.col("g").isin(0, 3), 1.0).otherwise(-1.0)
+    terms = counts.agg(F.sum(sign * F.col("n") * F.ln("n")).alias("s"), F.max(F.when(F.col("g") == 3, F.col("n"))).alias("n"))
+    return terms.select(F.greatest(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), F.lit(0.0)).alias("mi"))
 
 
 # --- sweeps --------------------------------------------------------------------------------------

@@ -209,6 +209,13 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_typ
     return cast.unpivot(list(keep), list(cols), "feature", "value")
 
 
+def column_stats(df: DataFrame, cols: Sequence[str], stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``(feature, *stats)``: one wide aggregate over the table, laid out as rows afterwards."""
+    aggs = [fn(F.col(f"`{c}`")).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, fn in stats.items()]
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in stats]) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles: rows ``(*by, feature, prob, value)``. ``by`` are class-like columns.
 

@@ -18,7 +18,7 @@ from oddrows.operators.features import (
     hour_of_day,
     numeric_columns,
 )
-from oddrows.operators.order import exact_quantiles, quantile_values, unpivot
+from oddrows.operators.order import column_stats, exact_quantiles, quantile_values, unpivot
 
 # --- tables and columns --------------------------------------------------------------------------
 
@@ -43,8 +43,7 @@ def column_bytes(df: DataFrame) -> DataFrame:
         else:
             w = width.get(f.dataType.simpleString(), 8)
             sizes.append(F.when(F.col(f.name).isNotNull(), F.lit(w).cast("long")).alias(f.name))
-    long = df.select(*sizes).unpivot([], list(df.columns), "feature", "b")
-    return long.groupBy("feature").agg(F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"))
+    return column_stats(df.select(*sizes), df.columns, {"bytes": lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))})
 
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -64,21 +63,14 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         kind = df.schema[c].dataType
         gap = F.col(c).isNull() | F.isnan(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c).isNull()
         parts.append(gap.cast("long").alias(c))
-    long = df.select(*parts).unpivot([], cols, "feature", "gap")
-    out = long.groupBy("feature").agg(F.sum("gap").alias("missing"), (F.avg("gap") * 100).alias("percent"))
+    out = column_stats(df.select(*parts), cols, {"missing": F.sum, "percent": lambda c: F.avg(c) * 100})
     return out.filter("missing > 0").orderBy(F.desc("missing"), "feature")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes, quartiles, range and coefficient of variation per column."""
     cleaned = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
-    moments = unpivot(cleaned, cols).groupBy("feature").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    moments = column_stats(cleaned, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     q = exact_quantiles(cleaned, cols, [0.25, 0.5, 0.75]).groupBy("feature").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
     q = q.toDF("feature", "q1", "median", "q3")
     out = moments.join(F.broadcast(q), "feature", "left")
@@ -87,7 +79,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def skew_profile(df: DataFrame, cols: Sequence[str], cut: float = 1.0) -> DataFrame:
     cleaned = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
-    out = unpivot(cleaned, cols).groupBy("feature").agg(F.skewness("value").alias("skewness"))
+    out = column_stats(cleaned, cols, {"skewness": F.skewness})
     return out.filter(F.abs("skewness") > cut).orderBy(F.desc(F.abs("skewness")), "feature")
 
 
@@ -291,17 +283,12 @@ def axis_ranges(df: DataFrame, xs: Sequence[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows outside the quartile fences per column, and their share."""
-    q = exact_quantiles(df, cols, [0.25, 0.75]).groupBy("feature").pivot("prob", [0.25, 0.75]).agg(F.first("value"))
-    fences = q.toDF("feature", "q1", "q3").select(
-        "feature",
-        (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"),
-        (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"),
-    )
-    long = unpivot(df, cols).join(F.broadcast(fences), "feature")  # one fence row per column
-    out = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return long.groupBy("feature").agg(
-        F.count_if(out).alias("outliers"), (F.count_if(out) * 100.0 / F.count("*")).alias("percent")
-    )
+    marks = []
+    for c, (q1, q3) in quantile_values(df, cols, [0.25, 0.75]).items():
+        v = F.col(c).cast("double")
+        out = F.lit(False) if q1 is None else (v < F.lit(q1 - k * (q3 - q1))) | (v > F.lit(q3 + k * (q3 - q1)))
+        marks.append(F.coalesce(out, F.lit(False)).alias(c))
+    return column_stats(df.select(*marks), cols, {"outliers": F.count_if, "percent": lambda c: F.count_if(c) * 100.0 / F.count(F.lit(1))})
 
 
 def feature_group_effects(stats: DataFrame, top: int = 3, alpha: float = 0.05) -> DataFrame:

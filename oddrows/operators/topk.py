@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddrows.operators.order import order_statistics, unpivot
+from oddrows.operators.order import column_stats, order_statistics
 
 
 def top_anomalies(df: DataFrame, score: str, id_col: str, k: int = 20) -> DataFrame:
@@ -62,7 +62,7 @@ def top_features(importance: DataFrame, k: int, value: str = "importance", name:
 
 
 def top_variance_dims(df: DataFrame, cols: Sequence[str], k: int = 2) -> DataFrame:
-    spread = unpivot(df, cols).groupBy("feature").agg(F.var_samp("value").alias("variance"))
+    spread = column_stats(df, cols, {"variance": F.var_samp})
     return spread.orderBy(F.desc("variance"), "feature").limit(k)
 
 
@@ -70,11 +70,3 @@ def closest_to_center(df: DataFrame, cluster: str, dist: str, id_col: str, keep:
     """The row nearest its centre per cluster (smallest key on ties), by a partial aggregate, no sort."""
     row = F.struct(dist, id_col, *keep)
     return df.groupBy(cluster).agg(F.min(row).alias("_r")).select(cluster, "_r.*")
-
-
-def nearest_centers(distances: DataFrame, k: int = 5) -> DataFrame:
-    """k closest other centres per centre from ``(a, b, distance)`` rows (a few per cluster)."""
-    w = Window.partitionBy("a").orderBy("distance", "b")
-    return distances.filter("a <> b").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-

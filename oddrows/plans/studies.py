@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddrows.functions.columns import COMMON_PROCESSES, DEFAULT_MOUNT_NAMESPACE, FIRST_REAL_USER, SYSTEM_IDS
+from oddrows.functions.columns import COMMON_PROCESSES, DEFAULT_MOUNT_NAMESPACE, FIRST_REAL_USER, SYSTEM_IDS, distance_to
 from oddrows.models import clustering as cl
 from oddrows.models import linear as ln
 from oddrows.models import nets, svm
@@ -23,7 +23,6 @@ from oddrows.operators import neighbors as nb
 from oddrows.operators import stats as st
 from oddrows.operators.profile import cluster_composition, mean_std_over_runs
 from oddrows.operators.sampling import disjoint_split, sample_n
-from oddrows.operators.topk import nearest_centers
 from oddrows.session import cut_lineage
 
 # --- prepared features ---------------------------------------------------------------------------
@@ -377,9 +376,13 @@ def investigate_cluster(df: DataFrame, xs: Sequence[str], cluster_id: int, clust
     )
     shift = st.cluster_feature_shift(df.withColumn("_in", (F.col(cluster) == cluster_id).cast("int")), "_in", xs).limit(top)
     means = df.filter(F.col(cluster) != -1).groupBy(cluster).agg(*[F.avg(x).alias(x) for x in xs])
-    near = nearest_centers(jn.center_distances(means, cluster, xs), k).filter(F.col("a") == cluster_id)
+    own = means.filter(F.col(cluster) == cluster_id).first()
     out = size.select(F.lit("size").alias("section"), "name", "value")
     out = out.unionByName(shift.select(F.lit("shift").alias("section"), F.col("feature").alias("name"), F.col("importance").alias("value")))
+    if own is None:  # noise has no centre
+        return out
+    near = means.filter(F.col(cluster) != cluster_id).select(F.col(cluster).alias("b"), distance_to(xs, [own[x] for x in xs]).alias("distance"))
+    near = near.orderBy("distance", "b").limit(k)
     return out.unionByName(near.select(F.lit("center distance").alias("section"), F.col("b").cast("string").alias("name"), F.col("distance").alias("value")))
 
 

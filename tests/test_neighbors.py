@@ -112,3 +112,17 @@ def test_nearest_assign_ties_and_nulls(spark):
     q = spark.createDataFrame([(10, 1.0), (11, 1.9), (12, None)], "id long, a double")
     got = {r["id"]: (r["c"], r["distance"]) for r in nb.nearest_neighbor_assign(q, ref, ["a"], "id", "c").collect()}
     assert got[10] == ("x", 1.0) and got[11][0] == "y" and got[12] == (None, None)
+
+
+def test_centers_listed_or_tiled(spark, monkeypatch):
+    from oddrows.operators import joins as jn
+
+    x = np.random.default_rng(8).normal(size=(30, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(c=np.arange(30)))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for listed in (2000, 5):
+        monkeypatch.setattr(jn, "MAX_LISTED", listed)
+        got = jn.center_distances(df, "c", ["a", "b"]).toPandas()
+        assert len(got) == 900 and np.allclose(got.distance, d[got.a, got.b])
+        far = d + np.diag(np.full(30, np.inf))
+        assert np.isclose(jn.min_center_separation(df, "c", ["a", "b"]).first()[0], far.min(1).mean())
