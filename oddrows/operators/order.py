@@ -257,6 +257,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return spark.createDataFrame(out, schema)
 
 
+def quantile_table(df: DataFrame, cols: Sequence[str], named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """:func:`exact_quantiles` with one column per named quantile: ``(*by, feature, *names)``."""
+    by = list(by)
+    rows: dict = {}
+    for r in exact_quantiles(df, cols, list(named.values()), by).collect():
+        rows.setdefault((*[r[b] for b in by], r["feature"]), {})[r["prob"]] = r["value"]
+    fields = [T.StructField(k, df.schema[k].dataType) for k in by]
+    schema = T.StructType([*fields, T.StructField("feature", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in named]])
+    return df.sparkSession.createDataFrame([(*k, *[v.get(float(p)) for p in named.values()]) for k, v in rows.items()], schema)
+
+
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """Driver-side form of :func:`exact_quantiles` (columns x probs numbers)."""
     got = {(r["feature"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, probs).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddrows.functions.columns import seeded_number
 from oddrows.operators.infoloss import cell
-from oddrows.operators.order import exact_quantiles, quantile_values
+from oddrows.operators.order import quantile_table, quantile_values
 from oddrows.operators.sampling import sample_n
 
 
@@ -59,8 +59,7 @@ def box_violin_summary(df: DataFrame, group: str, value: str, log1p: bool = Fals
     """Quartiles, whiskers (furthest value within 1.5 IQR), mean and rows per group."""
     v = F.log1p(F.col(value)) if log1p else F.col(value).cast("double")
     rows = df.select(F.col(group).alias("class"), v.alias("value"))
-    q = exact_quantiles(rows.withColumnRenamed("value", "v"), ["v"], [0.25, 0.5, 0.75], ["class"])
-    q = q.groupBy("class").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("class", "q1", "median", "q3")
+    q = quantile_table(rows, ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["class"]).drop("feature")
     iqr = F.col("q3") - F.col("q1")
     joined = rows.join(F.broadcast(q), "class")  # one row per class
     v = F.col("value")

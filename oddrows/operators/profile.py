@@ -18,7 +18,7 @@ from oddrows.operators.features import (
     hour_of_day,
     numeric_columns,
 )
-from oddrows.operators.order import column_stats, exact_quantiles, quantile_values, unpivot
+from oddrows.operators.order import column_stats, exact_quantiles, quantile_table, quantile_values, unpivot
 
 # --- tables and columns --------------------------------------------------------------------------
 
@@ -71,8 +71,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes, quartiles, range and coefficient of variation per column."""
     cleaned = df.select(*[clean_number(F.col(c)).alias(c) for c in cols])
     moments = column_stats(cleaned, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-    q = exact_quantiles(cleaned, cols, [0.25, 0.5, 0.75]).groupBy("feature").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    q = q.toDF("feature", "q1", "median", "q3")
+    q = quantile_table(cleaned, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = moments.join(F.broadcast(q), "feature", "left")
     return out.withColumns({"range": F.col("max") - F.col("min"), "cv": F.col("std") / F.col("mean")})
 
