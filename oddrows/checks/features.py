@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oddrows.checks.base import BASE_COLS, BASE_SQL, RAW_BASE_SQL, SCORED_SQL, logs, on_logs, query, rounded, scored, standardized_sql, table
 from oddrows.functions import columns as fx
 from oddrows.operators import features as ft
+from oddrows.operators.order import column_stats, unpivot
 
 NUM = ["amount", "returnValue", "argsNum"]
 # Gaps on purpose: one value in seven is missing, one in eleven infinite.
@@ -61,7 +62,11 @@ def class3(spark, sf_dir):
     return ft.class3(logs(spark, sf_dir)).select("id", "class")
 
 
-@query("column_kinds")
+_KINDS = {"processName": "categorical", "hostName": "categorical", "eventName": "categorical", "args": "categorical"}
+_LOG = "id timestamp processId parentProcessId userId mountNamespace processName hostName eventId eventName argsNum returnValue args amount sus evil".split()
+
+
+@query("column_kinds", on_logs(" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS non_null, '{_KINDS.get(c, 'numeric')}' AS kind FROM logs" for c in _LOG)))
 def column_kinds(spark, sf_dir):
     df = logs(spark, sf_dir)
     long = df.select(*[F.col(c).isNotNull().cast("long").alias(c) for c in df.columns]).unpivot([], df.columns, "feature", "v")
@@ -69,6 +74,18 @@ def column_kinds(spark, sf_dir):
     return long.groupBy("feature").agg(F.sum("v").alias("non_null")).withColumn("kind", kind)
 
 
+@query("numeric_columns", on_logs(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean FROM logs" for c in ("processId", "parentProcessId", "userId", "eventId", "argsNum", "returnValue", "amount", "sus", "evil"))))
+def numeric_columns(spark, sf_dir):
+    df = logs(spark, sf_dir).drop("id", "timestamp", "mountNamespace")
+    return rounded(column_stats(df, ft.numeric_columns(df), {"mean": F.avg}), 4)
+
+
+@query("categorical_columns", on_logs(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n FROM logs" for c in _KINDS)))
+def categorical_columns(spark, sf_dir):
+    df = logs(spark, sf_dir)
+    return unpivot(df, ft.categorical_columns(df), as_type="string").groupBy("feature").agg(F.count_distinct("value").alias("n"))
+
+
 @query("select_features", on_logs("SELECT id, processId, processName FROM logs"))
 def select_features(spark, sf_dir):
     return ft.select_features(logs(spark, sf_dir), prefix="process", keep=["id"])
@@ -168,12 +185,17 @@ def label_encode(spark, sf_dir):
     return ft.label_encode(logs(spark, sf_dir).select("id", "processName", "hostName"), ["processName", "hostName"])
 
 
-@query("one_hot")
+# 0/1 text per known value in sorted order
+HOT = "SELECT id, p.hot AS process_hot, e.hot AS event_hot FROM logs JOIN (SELECT v, (SELECT string_agg(CASE WHEN o.v = k.v THEN '1' ELSE '0' END, ',' ORDER BY o.v) FROM ps o) AS hot FROM ps k) p ON processName = p.v JOIN (SELECT v, (SELECT string_agg(CASE WHEN o.v = k.v THEN '1' ELSE '0' END, ',' ORDER BY o.v) FROM es o) AS hot FROM es k) e ON eventName = e.v"
+
+
+@query("one_hot", on_logs(HOT, ps="SELECT DISTINCT processName AS v FROM logs", es="SELECT DISTINCT eventName AS v FROM logs"))
 def one_hot(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     df = ft.one_hot(logs(spark, sf_dir).select("id", "processName", "eventName"), ["processName", "eventName"])
-    return df.select("id", vector_to_array("processName_hot").alias("process_hot"), vector_to_array("eventName_hot").alias("event_hot"))
+    bits = lambda c: F.array_join(F.transform(vector_to_array(c), lambda v: v.cast("int").cast("string")), ",")
+    return df.select("id", bits("processName_hot").alias("process_hot"), bits("eventName_hot").alias("event_hot"))
 
 
 IMPORTANCE = {"amount": 0.5, "returnValue": 0.2, "argsNum": 0.3}
@@ -283,6 +305,12 @@ def squared_error(spark, sf_dir):
     return rounded(df)
 
 
+@query("mse_row", on_logs("SELECT id, round((power(amount - 50, 2) + power(returnValue - 1, 2) + power(argsNum - 2, 2)) / 3, 6) AS mse FROM logs"))
+def mse_row(spark, sf_dir):
+    x, h = [F.col(c).cast("double") for c in NUM], [F.lit(50.0), F.lit(1.0), F.lit(2.0)]
+    return rounded(logs(spark, sf_dir).select("id", fx.squared_error(x, h, mean=True).alias("mse")))
+
+
 @query(
     "kl_gauss",
     on_logs("SELECT id, round(-0.5 * ((1 + lv - m * m - exp(lv)) + (1 - lv - m * m / 4 - exp(-lv))), 6) + 0.0 AS kl FROM (SELECT id, amount / 100 AS m, returnValue / 50.0 AS lv FROM logs)"),

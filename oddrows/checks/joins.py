@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddrows.checks.base import SCORED_SQL, logs, on_logs, query, rounded, scored, table
+from oddrows.checks.base import SCORED_SQL, logs, on_logs, query, rounded, scored
 from oddrows.checks.profile import AXES, CENTER_SQL, label_centers, union_of
 from oddrows.operators import joins as jn
 

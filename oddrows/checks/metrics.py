@@ -248,6 +248,21 @@ def best_settings(spark, sf_dir):
     return rounded(mt.best_settings(t, "setting", ["m1", "m2"]))
 
 
+EMBED = "SELECT label, round(avg(quality), 6) AS silhouette, round(avg(toxic), 6) AS same_class, round(count(*) / 100, 6) AS separation FROM (SELECT doc_id % 9 AS label, quality, toxic FROM labels) GROUP BY label"
+EMBED_METRICS = ["silhouette", "same_class", "separation"]
+EMBED_BEST = " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, label, {m} AS value FROM t ORDER BY {m} DESC, label DESC LIMIT 1)" for m in EMBED_METRICS)
+EMBED_SUM = " + ".join(f"({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())" for m in EMBED_METRICS)
+
+
+@query("embedding_best", f"WITH t AS ({EMBED}), n AS (SELECT label, {EMBED_SUM} AS v FROM t) {EMBED_BEST} UNION ALL SELECT * FROM (SELECT 'normalized sum', label, round(v, 6) FROM n ORDER BY v DESC, label DESC LIMIT 1)")
+def embedding_best(spark, sf_dir):
+    """Settings (here: shards of the label table) compared by three embedding-quality figures."""
+    t = table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 9).alias("label")).agg(
+        F.round(F.avg("quality"), 6).alias("silhouette"), F.round(F.avg("toxic"), 6).alias("same_class"), F.round(F.count("*") / 100, 6).alias("separation")
+    )
+    return rounded(mt.best_settings(t, "label", EMBED_METRICS))
+
+
 DETECTORS = {"distance": "score", "returned": "abs(returnValue)", "event": "eventId"}
 LONG = " UNION ALL ".join(f"SELECT '{k}' AS detector, CAST({e} AS DOUBLE) AS score, evil FROM j" for k, e in DETECTORS.items())
 DCURVE = """SELECT detector, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg, sum(pos) OVER a AS P, sum(neg) OVER a AS N FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddrows.checks.base import BASE_COLS, logs, on_logs, query, rounded, table
+from oddrows.checks.base import BASE_COLS, logs, on_logs, query, rounded
 from oddrows.checks.neighbors import XS, vectors
 from oddrows.models import clustering as cl
 from oddrows.models import common
@@ -280,6 +280,19 @@ def vae_generate(spark, sf_dir):
     return both.groupBy("kind").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in COLS], *[F.stddev_pop(c).alias(f"{c}_std") for c in COLS])
 
 
+@query("save_model")
+def save_tree_model(spark, sf_dir):
+    """A fitted forest written by Spark's own writer and read back predicts the same classes."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    df, t = fitted(spark, sf_dir, "forest", trees=10, depth=5)
+    path = scratch_path(spark, "forest")
+    t.model.write().save(path)
+    again = tr.Trees(t.cols, t.label, RandomForestClassificationModel.load(path), t.kind)
+    both = tr.predict(tr.predict(df, t, "score_a", "pred_a"), again, "score_b", "pred_b")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("pred_a") != F.col("pred_b")).alias("changed"))
+
+
 @query("save_load_model")
 def save_load_model(spark, sf_dir):
     """Parameters written and read back score the same rows."""

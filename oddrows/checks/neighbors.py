@@ -58,7 +58,11 @@ def silhouette(spark, sf_dir):
     return rounded(nb.silhouette(vectors(spark, sf_dir), XS, "vec_id", "label"))
 
 
-@query("silhouette_fast")
+@query(
+    "silhouette_fast",
+    PAIRS
+    + ", s AS (SELECT vec_id, label, nlabel, sum(distance * distance) AS s, count(*) AS n FROM d GROUP BY ALL), ab AS (SELECT vec_id, max(CASE WHEN label = nlabel THEN s / n END) AS a, min(CASE WHEN label <> nlabel THEN s / n END) AS b FROM s GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, 'not separated' AS verdict FROM ab",
+)
 def silhouette_fast(spark, sf_dir):
     return rounded(nb.silhouette(vectors(spark, sf_dir), XS, "vec_id", "label", exact=False))
 

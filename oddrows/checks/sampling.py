@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddrows.checks.base import logs, on_logs, query, rounded, table
+from oddrows.checks.base import logs, on_logs, query, rounded
 from oddrows.operators import sampling as sp
 from oddrows.operators.profile import mean_std_over_runs
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddrows.checks.base import BASE_COLS, SCORED_SQL, logs, on_logs, query, rounded, scored, table
+from oddrows.checks.base import SCORED_SQL, logs, on_logs, query, rounded, scored
 from oddrows.checks.models import COLS, RAW, base, raw
 from oddrows.checks.profile import CLASS, union_of
 from oddrows.checks.sampling import ranked
@@ -12,6 +12,7 @@ from oddrows.operators import features as ft
 from oddrows.operators import plotdata as pt
 from oddrows.operators import profile as pf
 from oddrows.operators import sampling as sp
+from oddrows.models.linear import mca
 from oddrows.models.trees import mdi_importance, tree_model
 from oddrows.plans import reduction as rd
 from oddrows.plans import studies as sd
@@ -78,9 +79,19 @@ def scatter_sample(spark, sf_dir):
     return pt.scatter_sample(df, ["amount", "returnValue"], "id", ["class"], 2000)
 
 
-@query("scatter_sample_jitter")
+def _unit(seed):
+    return f"CAST(CAST('0x' || substr(md5('{seed}:' || id), 1, 13) AS BIGINT) AS DOUBLE)"
+
+
+JITTER = ", ".join(
+    f"round({c} + 0.1 * sqrt(-2 * ln(({_unit(43 + 2 * i)} + 1) / power(2, 52))) * cos(2 * pi() * ({_unit(44 + 2 * i)} / power(2, 52))), 6) AS {c}"
+    for i, c in enumerate(["amount", "returnValue"])
+)
+
+
+@query("scatter_sample_jitter", on_logs(f"SELECT id, {CLASS} AS class, {JITTER} FROM ranked WHERE r <= 2000", ranked=ranked(42)))
 def scatter_sample_jitter(spark, sf_dir):
-    return pt.scatter_sample(ft.class3(base(spark, sf_dir)), ["eventId", "argsNum"], "id", ["class"], 2000, jitter=0.1)
+    return rounded(pt.scatter_sample(ft.class3(logs(spark, sf_dir)), ["amount", "returnValue"], "id", ["class"], 2000, jitter=0.1))
 
 
 # a settings grid made of log groups: process x arguments x parent, with ratios standing in for scores
@@ -205,6 +216,13 @@ def _detect(kind, **kw):
     return run
 
 
+@query("detect")
+def detect(spark, sf_dir):
+    """Two detectors side by side."""
+    df = cut_lineage(base(spark, sf_dir))
+    return sd.detect(df, "pca", COLS, "id")[1].unionByName(sd.detect(df, "isolation", COLS, "id")[1])
+
+
 query("detect_pca")(_detect("pca"))
 query("detect_isolation")(_detect("isolation"))
 query("detect_svm")(_detect("svm", iters=15))
@@ -218,6 +236,13 @@ def split_sizes(df):
     return {"cluster": int(n * 0.4), "label": int(n * 0.4), "test": n - 2 * int(n * 0.4)}
 
 
+@query("cluster_then_classify")
+def cluster_then_classify(spark, sf_dir):
+    """Density clusters on the correspondence axes of the event id."""
+    df = cut_lineage(mca(logs(spark, sf_dir).select("id", "eventId", "evil"), ["eventId"], 4, "eventId_MCA_"))
+    return sd.cluster_then_classify(df, [f"eventId_MCA_{i}" for i in range(4)], "id", split_sizes(df), "dbscan", eps=0.5, min_samples=20, vary="all", repeats=2)
+
+
 @query("cluster_then_classify_dbscan")
 def cluster_then_classify_dbscan(spark, sf_dir):
     df = cut_lineage(base(spark, sf_dir))
@@ -235,6 +260,11 @@ def internal_grid(spark, sf_dir):
     return sd.internal_grid(base(spark, sf_dir), COLS, "id", "evil", [3], [2, 5], ["kmeans", "hierarchical", "dbscan", "gmm", "fcm"])
 
 
+@query("external_eval")
+def external_eval(spark, sf_dir):
+    return sd.external_eval(base(spark, sf_dir), COLS, "id", "evil", "hierarchical", 4, 3)
+
+
 @query("external_eval_kmeans")
 def external_eval_kmeans(spark, sf_dir):
     return sd.external_eval(base(spark, sf_dir), COLS, "id", "evil", "kmeans", 8, 3)
@@ -289,6 +319,22 @@ def pca_variance_diff(spark, sf_dir):
     return spark.createDataFrame([(gap,)], "pca_variance_diff double")
 
 
+@query("model_auc_diff")
+def model_auc_diff(spark, sf_dir):
+    df = cut_lineage(base(spark, sf_dir))
+    ref = rd.forest_reference(df, COLS, "evil", "id", trees=20, depth=6)
+    gaps = rd.model_auc_diff(sp.stratified_sample(df, "id", "evil", 1500), ref, COLS, "evil", trees=20, depth=6)
+    return spark.createDataFrame(list(gaps.items()), "metric string, value double")
+
+
+@query("anomaly_auc_diff")
+def anomaly_auc_diff(spark, sf_dir):
+    df = cut_lineage(base(spark, sf_dir))
+    ref = rd.isolation_reference(df, df, COLS, "evil", "id")
+    gaps = rd.anomaly_auc_diff(sp.stratified_sample(df, "id", "evil", 1500), ref, COLS, "evil", "id")
+    return spark.createDataFrame(list(gaps.items()), "metric string, value double")
+
+
 @query("information_loss")
 def information_loss(spark, sf_dir):
     df = cut_lineage(base(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddrows.checks.base import LOGS_SQL, logs, on_logs, query, rounded, table
+from oddrows.checks.base import logs, on_logs, query, table
 from oddrows.operators.profile import mean_std_over_runs
 from oddrows.session import scratch_path
 from oddrows.sources import logs as src
@@ -71,13 +71,13 @@ def append_rows(spark, sf_dir):
     return both.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("with_priority"))
 
 
-@query("write_table")
+@query("write_table", "SELECT * FROM orders")
 def write_table(spark, sf_dir):
     path = src.write_table(table(spark, sf_dir, "orders"), scratch_path(spark, "orders"))
     return spark.read.parquet(path)
 
 
-@query("write_by_split")
+@query("write_by_split", on_logs("SELECT 'test' AS split, count(*) AS n FROM logs WHERE id % 10 >= 8"))
 def write_by_split(spark, sf_dir):
     df = logs(spark, sf_dir)
     tagged = src.tag_splits({"train": df.filter("id % 10 < 8"), "test": df.filter("id % 10 >= 8")})
@@ -85,7 +85,16 @@ def write_by_split(spark, sf_dir):
     return spark.read.parquet(path).filter("split = 'test'").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("write_report")
+HOSTS = "SELECT avg(evil) AS ratio, avg(amount) AS amount FROM logs GROUP BY hostName"
+
+
+@query(
+    "write_report",
+    on_logs(
+        "SELECT printf('%15s: mean=%.4f, std=%.4f', 'ratio', avg(ratio), stddev_pop(ratio)) AS value FROM h UNION ALL SELECT printf('%15s: mean=%.4f, std=%.4f', 'amount', avg(amount), stddev_pop(amount)) FROM h",
+        h=HOSTS,
+    ),
+)
 def write_report(spark, sf_dir):
     runs = logs(spark, sf_dir).groupBy("hostName").agg(F.avg("evil").alias("ratio"), F.avg("amount").alias("amount"))
     wide = mean_std_over_runs(runs, [], ["ratio", "amount"])

@@ -79,15 +79,25 @@ def _forest_areas(train: DataFrame, test: DataFrame, cols, y, trees, depth, seed
     return row["roc_auc"], row["pr_auc"]
 
 
-def reference_scores(full: DataFrame, cols: Sequence[str], y: str, id_col: str, trees: int = 100, depth: int = 10, seed: int = 42) -> dict:
-    """The full-table side, fitted once and reused for every reduced set: held-out rows and their areas."""
+def forest_reference(full: DataFrame, cols: Sequence[str], y: str, id_col: str, trees: int = 100, depth: int = 10, seed: int = 42) -> dict:
+    """Held-out rows and the areas of a forest fitted on the rest of the full table."""
     parts = cut_lineage(train_test(full.select(id_col, y, *cols), id_col, 0.2, y, seed))
     test = parts.filter("part = 'test'").drop("part")
     auc, pr = _forest_areas(parts.filter("part = 'train'"), test, cols, y, trees, depth, seed)
-    iso = isolation_forest(test, cols, id_col, fit_on=full, seed=seed)
-    anomaly = mt.roc_auc(iso, "score", y).first()[0]
+    return {"test": test, "auc": auc, "pr": pr}
+
+
+def isolation_reference(full: DataFrame, test: DataFrame, cols: Sequence[str], y: str, id_col: str, seed: int = 42) -> dict:
+    """Area of an isolation forest fitted on the full table, and the contamination clamped to [0.001, 0.2]."""
+    scored = isolation_forest(test, cols, id_col, fit_on=full, seed=seed)
     share = full.agg(F.avg(y)).first()[0] or 0.0
-    return {"test": test, "auc": auc, "pr": pr, "anomaly": anomaly, "contamination": min(0.2, max(0.001, share))}
+    return {"test": test, "anomaly": mt.roc_auc(scored, "score", y).first()[0], "contamination": min(0.2, max(0.001, share))}
+
+
+def reference_scores(full: DataFrame, cols: Sequence[str], y: str, id_col: str, trees: int = 100, depth: int = 10, seed: int = 42) -> dict:
+    """The full-table side, fitted once and reused for every reduced set: held-out rows and their areas."""
+    forest = forest_reference(full, cols, y, id_col, trees, depth, seed)
+    return {**forest, **isolation_reference(full, forest["test"], cols, y, id_col, seed)}
 
 
 def model_auc_diff(reduced: DataFrame, ref: dict, cols: Sequence[str], y: str, trees: int = 100, depth: int = 10, seed: int = 42) -> dict:
