@@ -80,7 +80,10 @@ def isolation_fit(df: DataFrame, cols: Sequence[str], id_col: str, trees: int =
         return pd.DataFrame([(tree, *r) for r in rows], columns=["tree", "node", "feature", "cut", "l", "r", "depth"])
 
     schema = "tree int, node int, feature int, cut double, l int, r int, depth double"
-    nodes = drawn.groupBy("tree").applyInPandas(grow, schema).orderBy("tree", "node").toPandas()
+    # small rows, heavy work: keep one task per slot instead of letting the shuffle coalesce
+    spread = min(trees, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    nodes = drawn.repartition(spread, "tree").groupBy("tree").applyInPandas(grow, schema).toPandas()
+    nodes = nodes.sort_values(["tree", "node"])
     return Forest(cols, nodes.to_numpy(dtype=float), min(sub, int(max(2, sub))))
 
 

@@ -26,7 +26,7 @@ from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, TASK_ROWS, TASK_
 
 TILE_ROWS = 4096
 CHUNK_CELLS = 4_000_000  # distance matrix entries held at once
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
 
 
 def point(xs: Sequence[str]) -> Column:
@@ -100,23 +100,26 @@ def _tiled(query, ref, reduce_block, schema, radius, nearest):
     pivots = coordinates(sample_n(ref, "pid", wanted).select("x").toPandas())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ref.schema)
 
-    def assign(batches):
+    def pieces(batches):
+        step = max(1, CHUNK_CELLS // len(pivots))
         for b in batches:
-            if len(b):
-                d = np.sqrt(sq_distances(coordinates(b), pivots))
-                yield b.assign(_cell=d.argmin(axis=1).astype("int32"), _far=d.min(axis=1))
+            for i in range(0, len(b), step):
+                yield b.iloc[i : i + step]
+
+    def assign(batches):
+        for b in pieces(batches):
+            d = np.sqrt(sq_distances(coordinates(b), pivots))
+            yield b.assign(_cell=d.argmin(axis=1).astype("int32"), _far=d.min(axis=1))
 
     celled = cut_lineage(ref.mapInPandas(assign, f"{fields}, _cell int, _far double"))
-    stats = celled.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("r"), F.sum("w").alias("w")).toPandas()
+    stats = celled.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("r")).toPandas()
     cells = stats["_cell"].to_numpy()
-    reach, rows, weight = stats["r"].to_numpy(), stats["n"].to_numpy(), stats["w"].to_numpy()
+    reach, rows = stats["r"].to_numpy(), stats["n"].to_numpy()
     centers = pivots[cells]
     qfields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema)
 
     def route(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in pieces(batches):
             d = np.sqrt(sq_distances(coordinates(b), centers))
             if radius is not None:
                 keep = d - reach[None, :] <= radius * (1 + 1e-9) + 1e-12
@@ -138,7 +141,7 @@ def _tiled(query, ref, reduce_block, schema, radius, nearest):
         (int(c), max(1, math.ceil(k / TILE_ROWS)), max(1, math.ceil(visits.get(c, 0) / TILE_ROWS)))
         for c, k in zip(cells, rows)
     ]
-    blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _rb int, _qb int"))  # one row per cell, <= 256
+    blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _rb int, _qb int"))  # one row per cell, <= MAX_PIVOTS
     q = (
         routed.join(blocks, "_cell")
         .withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_qb")))

@@ -23,7 +23,7 @@ def range_bounds(df: DataFrame, col: str, parts: int | None = None) -> list[floa
     """Split points that cut ``col`` into about equally filled ranges (exactness does not depend on them)."""
     if parts is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) * 4
-    parts = max(8, min(parts, 2_000))
+    parts = max(8, min(parts, SKETCH_ACCURACY - 2_000))
     probs = [i / parts for i in range(1, parts)]
     picked = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, SKETCH_ACCURACY)).first()[0] or []
     return sorted({float(b) for b in picked if b is not None and not math.isnan(b)})
@@ -50,7 +50,7 @@ def running_totals(
     """Add ``cum_<c>`` for each column of ``sums``: total over rows up to and including this one.
 
     ``df`` holds one row per (``by``, ``order``) value. Ranges of the order column get their totals
-    first; the totals of earlier ranges (a few hundred rows) are broadcast back as offsets and the
+    first; the totals of earlier ranges (a few thousand rows) are broadcast back as offsets and the
     rest of the sum runs inside each range, so no task sees more than its own range.
     """
     by = list(by)
@@ -68,7 +68,7 @@ def running_totals(
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # offsets: at most (number of by-groups) x (number of ranges <= 2000) rows
+    # offsets: at most (number of by-groups) x (number of ranges <= 8000) rows
     joined = ranged.join(F.broadcast(offsets), [*by, "_range"])
     out = joined.select(
         *df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]
@@ -232,7 +232,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     )
     sizes = clean.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     out = []
-    if sizes <= setting(spark, TASK_ROWS_KEY, TASK_ROWS):
+    if sizes * len(cols) <= setting(spark, TASK_ROWS_KEY, TASK_ROWS):
         rows = clean.groupBy(*by).agg(*[F.percentile(c, probs).alias(f"_q{i}") for i, c in enumerate(cols)]).collect()
         for r in rows:
             for i, c in enumerate(cols):
