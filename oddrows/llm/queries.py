@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oddrows.llm import bpe, chat, counts, decontaminate, quality, toxicity
+from oddrows.llm import bpe, chat, counts, decontaminate, jaccard, quality, toxicity
 from oddrows.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -44,7 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_jaccard_join": jaccard.SQL}
