@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oddrows.llm import bpe, chat, counts, decontaminate, jaccard, quality, toxicity
+from oddrows.llm import bpe, chat, counts, decontaminate, jaccard, quality, suffix, toxicity
 from oddrows.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
