@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from heapq import heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from oddrows.llm.common import with_arrow
 # Pieces that are held at a time, of one document or of many.
 PIECES = 600_000
 # Words that a task remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 # Letters and digits of the Latin blocks; a text of these and of common signs can be split by the faster standard engine.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 LATIN_DIGITS = "0-9²³¹¼-¾"
@@ -80,8 +82,8 @@ def reaches_below(ranks: dict[bytes, int]) -> set[int]:
     return found
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes], early: set[int]) -> list[list[int]]:
-    """Token ids of each word: merges in rank order over all words at once.
+def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes], early: set[int]) -> list[bytes]:
+    """Token ids of each word, as 32-bit integers: merges in rank order over all words at once.
 
     ``early`` is ``reaches_below(ranks)``: a pair that merges to such a rank is merged once per word, leftmost first, before
     the lowest rank is looked for again. The result is that of merging the lowest-ranked leftmost pair of each word in turn.
@@ -151,8 +153,8 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
         if r.any() or s.any():
             enter(np.concatenate([rank * wide + sym[n[r]], sym[b[s]] * wide + rank]), np.concatenate([p[r], b[s]]))
     stands = sym[:size] >= 0
-    ids = sym[:size][stands].tolist()
-    cuts = np.concatenate([[0], np.cumsum(stands)])[np.concatenate([[0], ends])].tolist()
+    ids = sym[:size][stands].astype(np.int32).tobytes()
+    cuts = (4 * np.concatenate([[0], np.cumsum(stands)])[np.concatenate([[0], ends])]).tolist()
     return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -169,7 +171,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         tokens = {r: b for b, r in ranks.items()}
         early = reaches_below(ranks)
         find = splitter(pattern)
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, bytes] = {}
 
         def learn(words: set[str]) -> None:
             new = list(words.difference(known))
@@ -178,12 +180,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 new = list(words)
             raw = [w.encode() for w in new]
             whole = [ranks.get(b) for b in raw]
-            known.update((w, (i,)) for w, i in zip(new, whole) if i is not None)
+            known.update((w, i.to_bytes(4, sys.byteorder)) for w, i in zip(new, whole) if i is not None)
             rest = [k for k, i in enumerate(whole) if i is None]
-            known.update((new[k], tuple(t)) for k, t in zip(rest, replay([raw[k] for k in rest], ranks, tokens, early)))
+            known.update(zip([new[k] for k in rest], replay([raw[k] for k in rest], ranks, tokens, early)))
 
         def ids_of(pieces) -> np.ndarray:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), dtype=np.int32)
+            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
         def rows(texts):
             # documents are learnt in blocks, so that many words share one replay
@@ -222,10 +224,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():
-        tokens = {r: b for b, r in vocabulary.value.items()}
-        return lambda lists: [[b"".join(map(tokens.__getitem__, x or ())) for x in lists]]
+        token = {r: b for b, r in vocabulary.value.items()}.__getitem__
 
-    return with_arrow(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make)
+        def rows(lists):
+            flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).tolist()
+            return [[b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:])]]
+
+        return rows
+
+    return with_arrow(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make, raw=True)
 
 
 def token_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -37,11 +37,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_arrow(df: DataFrame, inputs: list[str], outputs: T.StructType, make: Callable[[], Callable], rows: int = SLICE_ROWS) -> DataFrame:
+def with_arrow(df: DataFrame, inputs: list[str], outputs: T.StructType, make: Callable[[], Callable], rows: int = SLICE_ROWS, raw: bool = False) -> DataFrame:
     """Add columns computed from ``inputs`` row by row, a slice of rows at a time, inside Arrow batches.
 
     ``make()`` runs once per task and returns a function from lists of input values to lists (or Arrow arrays) of output
-    values. A column of the input that has the name of an output is replaced.
+    values; with ``raw`` it is given Arrow arrays. A column of the input that has the name of an output is replaced.
     """
     new = [f.name for f in outputs]
     keep = [c for c in df.columns if c not in new]
@@ -55,7 +55,8 @@ def with_arrow(df: DataFrame, inputs: list[str], outputs: T.StructType, make: Ca
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                values = fn(*[part.column(len(keep) + i).to_pylist() for i in range(len(needed))])
+                given = part.columns[len(keep) :]
+                values = fn(*(given if raw else [c.to_pylist() for c in given]))
                 made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *new])
 
