@@ -1,4 +1,7 @@
-"""From raw documents to token ids, stage by stage; each stage works on all that the one before kept."""
+"""From raw documents to token ids, stage by stage; each stage works on all that the one before kept.
+
+A stage takes the session, the documents and the folder of the tables. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +10,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oddrows.llm import bpe
+from oddrows.llm import bpe, decontaminate, jaccard, suffix, toxicity
+from oddrows.llm.common import table
 from oddrows.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score 0.3 or more."""
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs, model, score="__score").where("__score < 0.3").drop("__score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of a word 5-gram Jaccard similarity of 0.8 or more tie together."""
+    return jaccard.one_per_group(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes or more that stand earlier in the corpus are cut out of the texts."""
+    return suffix.without_later_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that is left, and their digests."""
+    """Number of tokens, digest of the ids and of the bytes decoded from them, per document that is left."""
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("jaccard", drop_near_copies),
+    ("suffix", cut_repeats),
+    ("decontamination", drop_leaks),
     ("tokens", tokens),
 ]
 
@@ -26,7 +55,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
