@@ -32,6 +32,7 @@ BLOCKS = SPACED | frozenset(
 )
 CLOSES_P = (BLOCKS - {"body", "html", "li", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "textarea", "optgroup", "legend"}) | {"li"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
 # Start tag: what it ends if open, and the elements that shield what lies outside of them.
 LISTS, CELLS = frozenset("ul ol menu dir td th table".split()), frozenset(("table",))
 ENDS = {
@@ -41,9 +42,9 @@ ENDS = {
     "tr": ({"tr", "caption", "colgroup"}, CELLS),
     "td": ({"td", "th", "caption"}, frozenset(("tr", "table"))),
     "th": ({"td", "th", "caption"}, frozenset(("tr", "table"))),
-    "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, CELLS),
-    "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, CELLS),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, CELLS),
+    "thead": (SECTIONS | {"tr", "caption", "colgroup"}, CELLS),
+    "tbody": (SECTIONS | {"tr", "caption", "colgroup"}, CELLS),
+    "tfoot": (SECTIONS | {"tr", "caption", "colgroup"}, CELLS),
     "option": ({"option"}, frozenset(("select", "datalist"))),
     "optgroup": ({"option", "optgroup"}, frozenset(("select",))),
     "a": ({"a"}, frozenset(("td", "th", "table"))),
@@ -79,14 +80,15 @@ def build(html: str) -> Node:
     root = Node("html")
     stack = [root]
 
-    def close(tags, shield) -> None:
+    def close(tags, shield) -> bool:
         for k in range(len(stack) - 1, 0, -1):
             tag = stack[k].tag
             if tag in tags:
                 del stack[k:]
-                return
+                return True
             if tag in shield:
-                return
+                return False
+        return False
 
     def add_text(text: str) -> None:
         if text:
@@ -122,8 +124,11 @@ def build(html: str) -> Node:
                 stack[-1].children.append(Node("p"))
             elif tag in HEADINGS:
                 close(HEADINGS, P_SHIELD)
+            elif tag not in BLOCKS:
+                # an inline element does not end across the edge of a block
+                close({tag}, BLOCKS)
             elif tag not in ("body", "html"):
-                shield = frozenset(("td", "th", "table", "caption")) - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else CELLS - {tag}
+                shield = CELLS - {tag} if tag in ("table", "tr", "thead", "tbody", "tfoot") else frozenset(("td", "th", "table", "caption")) - {tag}
                 close({tag}, shield)
             continue
         if tag in ("html", "body"):
@@ -140,7 +145,8 @@ def build(html: str) -> Node:
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
         if tag in ENDS:
-            close(*ENDS[tag])
+            while close(*ENDS[tag]) and tag in SECTIONS:
+                pass
         if tag == "table" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
             close({"table"}, frozenset())
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
