@@ -66,27 +66,25 @@ def parts_of(word: str) -> list[tuple[int, int, str]]:
 
 
 class Templates:
-    """Words to templates, remembering up to ``MEMORY`` words."""
+    """Words to templates, remembering the hashes of up to ``MEMORY`` words; the lowest bit of a hash marks a literal part."""
 
     def __init__(self):
-        self.known: dict[str, list[tuple[int, int, str]]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[tuple[int, int, str]]:
+    def hashes(self, words: list[str]) -> np.ndarray:
         known = self.known
-        words = text.split()
         if len(known) > MEMORY:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = parts_of(word)
-        return list(chain.from_iterable(map(known.__getitem__, words)))
-
-    def windows(self, text: str | None, widths: list[int]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
-        """For each width that fits: width, the parts, hashes by place, and whether a window has more words than placeholders."""
-        parts = self.parts(text or "")
-        hashes = np.fromiter((p[0] for p in parts), np.uint64, len(parts))
-        literal = np.concatenate([[0], np.cumsum(np.fromiter((p[1] < 0 for p in parts), np.int64, len(parts)))])
+            known[word] = b"".join(((h & ~1) | (kind < 0)).to_bytes(8, "little") for h, kind, _ in parts_of(word))
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype("<u8"))
+
+    def windows(self, words: list[str], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width that fits: width, hashes by place, and whether a window has more words than placeholders."""
+        hashes = self.hashes(words)
+        literal = np.concatenate([[0], np.cumsum(hashes & np.uint64(1), dtype=np.int64)])
         for width in widths:
-            n = len(parts) - width + 1
+            n = len(hashes) - width + 1
             if n < 1:
                 continue
             total = np.zeros(n, np.uint64)
@@ -94,7 +92,11 @@ class Templates:
             for k in range(width):
                 total += hashes[k : k + n] * np.uint64(factor)
                 factor = factor * 0x9E3779B97F4A7C15 % 2**64
-            yield width, parts, mix64(total + np.uint64(width)), 2 * (literal[width:] - literal[:n]) > width
+            yield width, mix64(total + np.uint64(width)), 2 * (literal[width:] - literal[:n]) > width
+
+
+def all_parts(words: list[str]) -> list[tuple[int, int, str]]:
+    return list(chain.from_iterable(map(parts_of, words)))
 
 
 def slots(parts: list, at: int, width: int) -> list[str]:
@@ -110,8 +112,10 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(*[c.to_pylist() for c in batch.columns]):
-                size = min(width, len(templates.parts(text or "")))
-                for w, parts, hashes, ok in templates.windows(text, [size] if size >= LEAST else []):
+                words = (text or "").split()
+                parts = all_parts(words)
+                size = min(width, len(parts))
+                for w, hashes, ok in templates.windows(words, [size] if size >= LEAST else []):
                     at = ok.nonzero()[0].tolist()
                     rows += [(hashes[k].astype(np.int64).item(), item, w, k, slots(parts, k, w), len(at)) for k in at]
             names = ["hash", "item_id", "width", "at", "slots", "of_windows"]
@@ -139,13 +143,14 @@ def matching_windows(docs: DataFrame, wanted: np.ndarray, widths: list[int]) ->
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 rows = []
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]):
-                    key = None
-                    for w, parts, hashes, ok in templates.windows(text, widths):
+                    key, words = None, (text or "").split()
+                    for w, hashes, ok in templates.windows(words, widths):
                         at = np.flatnonzero(first[hashes >> np.uint64(64 - bits)] & ok)
                         if len(at):
                             at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
                         if len(at):
-                            key = key or hashlib.md5(text.encode()).hexdigest()
+                            if key is None:
+                                key, parts = hashlib.md5(text.encode()).hexdigest(), all_parts(words)
                             rows += [(hashes[k].astype(np.int64).item(), key, doc, k, slots(parts, k, w)) for k in at.tolist()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["hash", "key", "doc_id", "doc_at", "doc_slots"])
