@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.functions.columns import seeded_key, seeded_number
+from oddrows.functions.columns import seeded_key
 from oddrows.operators.neighbors import point
-from oddrows.operators.sampling import sample_n
 
 EULER = 0.5772156649015329
 
@@ -53,24 +52,25 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return rows
 
 
-def _tree_samples(df: DataFrame, id_col: str, trees: int, sub: int, seed: int) -> DataFrame:
-    """``(tree, rows)`` of ``sub`` rows each. Large tables deal one sample of trees * sub rows out to the
-    trees; on small ones each tree draws its own rows."""
-    n = df.count()
-    if n >= trees * sub:
-        pool = sample_n(df, id_col, trees * sub, seed)
-        return pool.withColumn("tree", F.pmod(seeded_number(seed + 1, id_col), F.lit(trees)).cast("int"))
-    every = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    # about 2 * sub candidates per tree by a cheap hash, the first ``sub`` of them by seeded order
-    odds = int(min(1.0, 2.0 * sub / max(1, n)) * (1 << 20))
-    every = every.filter(F.pmod(F.xxhash64(F.lit(seed), "tree", id_col), F.lit(1 << 20)) < odds)
+def _tree_samples(df: DataFrame, id_col: str, n: int, trees: int, sub: int, seed: int) -> DataFrame:
+    """``(tree, rows)`` of ``min(sub, n)`` rows each: every tree draws its own, in one way on tables of any size.
+
+    A row is a candidate of the trees whose hash of it is low enough, about ``2 * sub`` a tree; the first ``sub`` of those by
+    the seeded order stay.
+    """
+    odds = int(min(1.0, (2.0 * sub + 64) / max(1, n)) * (1 << 40))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, id_col), F.lit(1 << 40)) < odds)
+    every = df.withColumn("tree", F.explode(mine))
     w = Window.partitionBy("tree").orderBy(seeded_key(seed, "tree", id_col), id_col)
     return every.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sub).drop("_n")
 
 
 def isolation_fit(df: DataFrame, cols: Sequence[str], id_col: str, trees: int = 100, sub: int = 256, seed: int = 42) -> Forest:
     cols = list(cols)
-    drawn = _tree_samples(df.select(id_col, point(cols).alias("x")), id_col, trees, sub, seed)
+    rows = df.select(id_col, point(cols).alias("x"))
+    n = rows.count()
+    sub = min(sub, n)  # what a tree really holds sets its depth limit and the normal path length
+    drawn = _tree_samples(rows, id_col, n, trees, sub, seed)
     limit = math.ceil(math.log2(max(2, sub)))
 
     def grow(p: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +84,7 @@ def isolation_fit(df: DataFrame, cols: Sequence[str], id_col: str, trees: int =
     spread = min(trees, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     nodes = drawn.repartition(spread, "tree").groupBy("tree").applyInPandas(grow, schema).toPandas()
     nodes = nodes.sort_values(["tree", "node"])
-    return Forest(cols, nodes.to_numpy(dtype=float), min(sub, int(max(2, sub))))
+    return Forest(cols, nodes.to_numpy(dtype=float), max(2, sub))
 
 
 def isolation_score(df: DataFrame, forest: Forest, out: str = "score") -> DataFrame:

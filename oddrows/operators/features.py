@@ -238,16 +238,41 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None)
 # --- arguments -----------------------------------------------------------------------------------
 
 
+# One item of an argument list; braces inside of quotes are text.
+ARG_ITEM = r"""\{(?:[^{}'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")*\}"""
+
+
+def _loose_field(item: Column, name: str) -> Column:
+    """A field of an item that is no JSON: quoted text, a bracketed list, or whatever stands before the next comma."""
+    key = f"""['"]{name}['"]\\s*:\\s*"""
+    forms = (r"'((?:[^'\\]|\\.)*)'", r'"((?:[^"\\]|\\.)*)"', r"(\[[^\]]*\]|\([^)]*\))", r"""([^\s,}'"\[(][^,}]*)""")
+    found = [F.regexp_extract(item, key + form, 1) for form in forms]
+    there = [F.regexp_like(item, F.lit(key + form)) for form in forms]
+    out = F.lit(None).cast("string")
+    for has, text in reversed(list(zip(there, found))):
+        out = F.when(has, F.trim(text)).otherwise(out)
+    return out
+
+
 def parse_args(df: DataFrame, col: str = "args", out: str = "parsed") -> DataFrame:
-    """Text list of ``{name, type, value}`` dicts to an array of structs; anything unreadable is empty."""
-    parsed = F.from_json(F.col(col), ARGS_TYPE, {"allowSingleQuotes": "true"})
-    nothing = F.from_json(F.lit("[]"), ARGS_TYPE)
-    whole = F.filter(parsed, lambda a: a.isNotNull())
-    return df.withColumn(out, F.coalesce(whole, nothing))
+    """Text list of ``{name, type, value}`` dicts to an array of structs, item by item.
+
+    An item that is no JSON (a value like ``None``, ``True`` or ``0x1f``) is read field by field and keeps such values as text;
+    it does not touch its neighbours. Text without items gives an empty array.
+    """
+
+    def read(item: Column) -> Column:
+        parsed = F.from_json(item, "struct<name: string, type: string, value: string>", {"allowSingleQuotes": "true"})
+        return F.struct(*[F.coalesce(parsed[f], _loose_field(item, f)).alias(f) for f in ("name", "type", "value")])
+
+    items = F.regexp_extract_all(F.col(col), F.lit(ARG_ITEM), F.lit(0))
+    return df.withColumn(out, F.coalesce(F.transform(items, read), F.array().cast(ARGS_TYPE)))
 
 
-def flatten_args(df: DataFrame, max_args: int = 5, parsed: str = "parsed") -> DataFrame:
-    """Positional ``args_type_i / args_value_i / args_name_i`` columns."""
+def flatten_args(df: DataFrame, max_args: int | None = None, parsed: str = "parsed") -> DataFrame:
+    """Positional ``args_type_i / args_value_i / args_name_i`` columns, as many as the longest list has, or ``max_args``."""
+    if max_args is None:
+        max_args = df.agg(F.max(F.size(parsed))).first()[0] or 0
     cols = {}
     for i in range(max_args):
         item = F.get(F.col(parsed), F.lit(i))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddrows.operators.neighbors import blockwise, knn_join, point
+from oddrows.operators.order import key_numbers
 from oddrows.session import at_most, small_join
 
 MAX_LISTED = 2_000  # centres that may travel as one array
@@ -54,13 +55,16 @@ def center_distances(centers: DataFrame, cluster: str, xs: Sequence[str]) -> Dat
     A checked short list of centres travels as one array per row; more centres meet block by block.
     """
     if not at_most(centers, MAX_LISTED):
-        points = centers.select(F.col(cluster).cast("long").alias("pid"), F.lit(1).alias("w"), point(xs).alias("x"))
+        numbers = key_numbers(centers, cluster)
+        points = centers.join(numbers, cluster).select(F.col("_key").alias("pid"), F.lit(1).alias("w"), point(xs).alias("x"))
 
         def pairs_of(q, r, d2):
             a, b = np.repeat(q["qid"].to_numpy(), len(r)), np.tile(r["pid"].to_numpy(), len(q))
-            return pd.DataFrame({"a": a, "b": b, "distance": np.sqrt(d2).ravel()})
+            return pd.DataFrame({"_a": a, "_b": b, "distance": np.sqrt(d2).ravel()})
 
-        return blockwise(points.withColumnRenamed("pid", "qid"), points, pairs_of, "a long, b long, distance double")
+        pairs = blockwise(points.withColumnRenamed("pid", "qid"), points, pairs_of, "_a long, _b long, distance double")
+        name = lambda out: numbers.select(F.col("_key").alias(f"_{out}"), F.col(cluster).alias(out))
+        return pairs.join(name("a"), "_a").join(name("b"), "_b").select("a", "b", "distance")
     entry = F.struct(F.col(cluster).alias("b"), F.array(*[F.col(x).cast("double") for x in xs]).alias("y"))
     everyone = Window.partitionBy(F.lit(1))
     listed = centers.select(

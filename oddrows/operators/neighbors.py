@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.functions.columns import any_is_null
+from oddrows.operators.order import is_whole, key_numbers
 from oddrows.operators.sampling import sample_n
 from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, TASK_ROWS, TASK_ROWS_KEY, at_most, cut_lineage, setting, small_join
 
@@ -34,9 +34,17 @@ def point(xs: Sequence[str]) -> Column:
     return F.array(*[F.col(x).cast("double") + 0.0 for x in xs])
 
 
+def complete(xs: Sequence[str]) -> Column:
+    """All coordinates are numbers, neither null nor NaN."""
+    ok = F.lit(True)
+    for x in xs:
+        ok = ok & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    return ok
+
+
 def distinct_points(df: DataFrame, xs: Sequence[str], id_col: str, extra: Sequence[str] = ()) -> DataFrame:
     """One row per distinct point ``x`` (and ``extra`` values): smallest key ``pid`` and number of rows ``w``."""
-    pts = df.filter(~any_is_null(xs)).select(id_col, *extra, point(xs).alias("x"))
+    pts = df.filter(complete(xs)).select(id_col, *extra, point(xs).alias("x"))
     return pts.groupBy("x", *extra).agg(F.min(id_col).cast("long").alias("pid"), F.count("*").alias("w"))
 
 
@@ -196,6 +204,10 @@ def nearest_neighbor_assign(
 ) -> DataFrame:
     """Give each query row the label of its nearest reference row (smallest key on ties) and the distance."""
     out = out or label
+    if not is_whole(ref, id_col) or not is_whole(query, id_col):
+        # keys of any other type are numbered in their order
+        numbered = [d.join(key_numbers(d, id_col), id_col) for d in (query, ref)]
+        return nearest_neighbor_assign(*numbered, xs, "_key", label, out).drop("_key")
     points = cut_lineage(distinct_points(ref, xs, id_col))
     q = distinct_points(query, xs, id_col).select(F.col("pid").alias("qid"), "x")
     near = _nearest_points(q, points, 1)
@@ -211,7 +223,7 @@ def knn_lists(df: DataFrame, xs: Sequence[str], id_col: str, k: int, label: str
 
     A point only needs its k + 1 smallest keys, so heavily repeated points stay small.
     """
-    rows = df.filter(~any_is_null(xs)).select(
+    rows = df.filter(complete(xs)).select(
         F.col(id_col).cast("long").alias("_id"), point(xs).alias("x"), *([F.col(label).alias("_label")] if label else [])
     )
     points = cut_lineage(distinct_points(df, xs, id_col))
@@ -238,6 +250,12 @@ def _smallest_ids(rows: DataFrame, m: int) -> DataFrame:
 
 def knn_join(df: DataFrame, xs: Sequence[str], id_col: str, k: int = 10) -> DataFrame:
     """k nearest other rows per row: ``(id, neighbor, rank, distance)``."""
+    if not is_whole(df, id_col):
+        numbers = key_numbers(df, id_col)
+        found = knn_join(df.join(numbers, id_col).select("_key", *xs), xs, "_key", k)
+        back = numbers.select(F.col("_key").alias("neighbor"), F.col(id_col).alias("_name"))
+        named = found.join(back, "neighbor").join(numbers, "_key")
+        return named.select(id_col, F.col("_name").alias("neighbor"), "rank", "distance")
     lists = knn_lists(df, xs, id_col, k)
     rows = attach_points(df.select(id_col, *xs), lists, xs)
     others = F.slice(F.filter("near", lambda e: e["id"] != F.col(id_col)), 1, k)

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from oddrows.session import TASK_ROWS, TASK_ROWS_KEY, cut_lineage, setting
 
 SKETCH_ACCURACY = 10_000
+# Ranks that are bracketed together; their brackets hold less than half of the rows.
+RANKS_AT_ONCE = 200
 
 
 def range_bounds(df: DataFrame, col: str, parts: int | None = None) -> list[float]:
@@ -101,8 +103,17 @@ def order_statistics(
     key_fields = [T.StructField(b, df.schema[b].dataType) for b in by]
     target_schema = T.StructType([*key_fields, T.StructField("rank", T.LongType())])
     wanted = spark.createDataFrame([(*g, int(t)) for g, ts in targets.items() for t in ts], target_schema)
-    limit = setting(spark, TASK_ROWS_KEY, TASK_ROWS)
+    limit = max(setting(spark, TASK_ROWS_KEY, TASK_ROWS), 2)
     inside_rows = max(sizes.values(), default=0)
+    most = max((len(t) for t in targets.values()), default=0)
+    if inside_rows > limit and most > RANKS_AT_ONCE:
+        # brackets of too many ranks would cover the whole range: a part of the ranks at a time
+        found = None
+        for k in range(0, most, RANKS_AT_ONCE):
+            some = {g: t[k : k + RANKS_AT_ONCE] for g, t in targets.items() if t[k : k + RANKS_AT_ONCE]}
+            part = order_statistics(df, "_v", lambda _, some=some: some, by)
+            found = part if found is None else found.unionByName(part)
+        return found
     brackets = None
     while inside_rows > limit:
         brackets = _brackets(data, by, sizes, targets, brackets)
@@ -115,9 +126,9 @@ def order_statistics(
     placed = counted.withColumn("_upto", F.sum("_n").over(w)).withColumn("_below", F.col("_upto") - F.col("_n"))
     hit = (F.col("_below") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
     joined = placed.join(F.broadcast(wanted), by).filter(hit)
-    return joined.select(
-        *by, "rank", F.col("_v").alias("value"), F.col("_below").alias("below"), F.col("_n").alias("equal")
-    )
+    # a rank in a gap between brackets has no value: the sketch was further off than it promises
+    value = F.coalesce(F.col("_v"), F.raise_error(F.lit("a rank lies outside of its bracket")).cast(value_type))
+    return joined.select(*by, "rank", value.alias("value"), F.col("_below").alias("below"), F.col("_n").alias("equal"))
 
 
 def _null_safe(by, group):
@@ -219,8 +230,9 @@ def column_stats(df: DataFrame, cols: Sequence[str], stats: dict[str, Callable[[
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles: rows ``(*by, feature, prob, value)``. ``by`` are class-like columns.
 
-    Groups that fit one task use Spark's exact percentile, all columns in one aggregate; larger ones go
-    through :func:`order_statistics`. The result (groups x columns x probs) passes through the driver.
+    Groups that fit one task use Spark's exact percentile, all columns in one aggregate if they fit together, else a
+    task per column; larger ones go through :func:`order_statistics`. The result (groups x columns x probs) passes
+    through the driver.
     """
     spark = df.sparkSession
     by, cols = list(by), list(cols)
@@ -232,7 +244,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     )
     sizes = clean.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     out = []
-    if sizes * len(cols) <= setting(spark, TASK_ROWS_KEY, TASK_ROWS):
+    limit = setting(spark, TASK_ROWS_KEY, TASK_ROWS)
+    if sizes * len(cols) > limit >= sizes:
+        for r in unpivot(clean, cols, by).groupBy(*by, "feature").agg(F.percentile("value", probs).alias("_q")).collect():
+            if r["_q"] is not None:
+                out += [(*[r[b] for b in by], r["feature"], p, v) for p, v in zip(probs, r["_q"])]
+        return spark.createDataFrame(out, schema)
+    if sizes * len(cols) <= limit:
         rows = clean.groupBy(*by).agg(*[F.percentile(c, probs).alias(f"_q{i}") for i, c in enumerate(cols)]).collect()
         for r in rows:
             for i, c in enumerate(cols):
@@ -289,3 +307,12 @@ def row_index(df: DataFrame, *order: Column | str, out: str = "row_index") -> Da
     tagged = fixed.withColumn("_p", part)
     spot = F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return tagged.join(F.broadcast(offsets), "_p").withColumn(out, spot).drop("_p", "_m", "_o")
+
+
+def is_whole(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, T.IntegralType)
+
+
+def key_numbers(df: DataFrame, key: str) -> DataFrame:
+    """``(key, _key)``: the distinct non-null keys of any type, numbered in their order."""
+    return row_index(df.select(key).where(F.col(key).isNotNull()).distinct(), key, out="_key")

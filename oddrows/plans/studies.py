@@ -40,12 +40,12 @@ def log_flags(df: DataFrame) -> DataFrame:
 
 
 def cluster_features(
-    df: DataFrame, id_col: str, max_args: int = 5, weight_split: str | None = "test", svd: int = 15, trees: int = 100, depth: int = 10
+    df: DataFrame, id_col: str, max_args: int | None = None, weight_split: str | None = "test", svd: int = 15, trees: int = 100, depth: int = 10
 ) -> tuple[DataFrame, dict[str, float]]:
     """The prepared clustering table: category axes, one-hot SVD, scaled numbers and flags, argument flags,
     split and labels; features above the median forest importance (fitted on ``weight_split``) are weighted up."""
     d = ft.flatten_args(ft.parse_args(log_flags(df)), max_args)
-    values = [f"args_value_{i}" for i in range(max_args)]
+    values = [c for c in d.columns if c.startswith("args_value_")]
     d = ft.flag_pattern(d, values)  # on the raw text, before it becomes a number
     d = ft.args_to_numeric(d, values)
     d = ln.mca(d, ["eventId"], 5, "eventId_MCA_")

@@ -49,6 +49,15 @@ def test_first_edge_is_outside(spark):
     assert [r["bin"] for r in ft.cut_edges(df, "v", [0.0, 1.0, 2.0]).orderBy("v").collect()] == [None, 1, 2, None]
 
 
+def test_odd_args_keep_their_neighbours(spark):
+    text = "[{'name': 'a', 'type': 't', 'value': None}, {'name': 'b', 'type': 'u', 'value': True}, {'name': 'c', 'type': 'v', 'value': 0x1f}, {'name': 'd', 'type': 'w', 'value': [1, 2]}, {'name': 'e', 'type': 'x', 'value': '/a, {b}'}, {'value': 7}]"
+    df = ft.flatten_args(ft.parse_args(spark.createDataFrame([(1, text), (2, None), (3, "broken {")], "id long, args string")))
+    got = {r["id"]: r for r in df.collect()}
+    assert [got[1][f"args_value_{i}"] for i in range(6)] == ["None", "True", "0x1f", "[1,2]", "/a, {b}", "7"]
+    assert [got[1][f"args_name_{i}"] for i in range(6)] == ["a", "b", "c", "d", "e", None]
+    assert got[2]["parsed"] == got[3]["parsed"] == []
+
+
 def test_args(spark):
     rows = [
         (1, None),

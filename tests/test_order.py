@@ -50,6 +50,18 @@ def test_quantiles_narrowed(frame, skewed, small_tasks):
     check_quantiles(frame, skewed)
 
 
+def test_many_ranks_narrowed(frame, skewed, small_tasks):
+    probs = np.linspace(0, 1, 1001).tolist()
+    got = od.exact_quantiles(frame, ["v"], probs).toPandas().sort_values("prob").value.to_numpy()
+    assert np.allclose(got, np.quantile(skewed.v, probs), rtol=1e-12)
+
+
+def test_quantiles_by_column(spark, frame, skewed):
+    spark.conf.set("spark.oddrows.taskRows", str(N + 1))  # one column fits a task, two do not
+    check_quantiles(frame, skewed)
+    spark.conf.unset("spark.oddrows.taskRows")
+
+
 def test_running_totals(frame):
     counts = frame.groupBy("v").agg(F.count("*").alias("n"))
     out = od.running_totals(counts, "v", ["n"], descending=True).toPandas().sort_values("v", ascending=False)
