@@ -135,10 +135,14 @@ def standardize_if_needed(spark, sf_dir):
     return rounded(ft.scaling_report(df, NUM)).withColumn("changed", F.lit(int(changed)))
 
 
-@query("inf_to_null", on_logs("SELECT id, CASE WHEN isinf(amount) THEN NULL ELSE amount END AS amount FROM gaps WHERE NOT coalesce(isnan(amount), false)", gaps=GAPS_SQL))
+@query(
+    "inf_to_null",
+    on_logs("SELECT id, CASE WHEN isinf(amount) OR isnan(amount) THEN NULL ELSE amount END AS amount, CAST(coalesce(isnan(amount), false) AS INT) AS is_nan FROM gaps", gaps=GAPS_SQL),
+)
 def inf_to_null(spark, sf_dir):
+    # a NaN stays as it is; it is shown by a flag, as engines print it differently
     df = ft.inf_to_null(gaps(spark, sf_dir), ["amount"])
-    return df.filter("NOT coalesce(isnan(amount), false)").select("id", "amount")
+    return df.select("id", F.nanvl("amount", F.lit(None)).alias("amount"), F.coalesce(F.isnan("amount"), F.lit(False)).cast("int").alias("is_nan"))
 
 
 CLEAN_SQL = "SELECT id, CASE WHEN isinf(amount) OR isnan(amount) THEN NULL ELSE amount END AS amount, processName FROM gaps"
@@ -171,10 +175,17 @@ def impute_mode(spark, sf_dir):
     return ft.impute_mode(gaps(spark, sf_dir), ["processName"]).select("id", "processName")
 
 
-@query("nan_to_zero", on_logs("SELECT id, CASE WHEN amount IS NULL OR isnan(amount) THEN 0.0 ELSE amount END AS amount FROM gaps WHERE NOT coalesce(isinf(amount), false)", gaps=GAPS_SQL))
+@query(
+    "nan_to_zero",
+    on_logs(
+        "SELECT id, CASE WHEN amount IS NULL OR isnan(amount) THEN 0.0 WHEN isinf(amount) THEN NULL ELSE amount END AS amount, CAST(coalesce(isinf(amount), false) AS INT) AS is_inf FROM gaps",
+        gaps=GAPS_SQL,
+    ),
+)
 def nan_to_zero(spark, sf_dir):
-    df = gaps(spark, sf_dir).filter("NOT coalesce(amount = double('inf'), false)")
-    return ft.nan_to_zero(df, ["amount"]).select("id", "amount")
+    df = ft.nan_to_zero(gaps(spark, sf_dir), ["amount"])
+    endless = F.abs("amount") == float("inf")
+    return df.select("id", F.when(~endless, F.col("amount")).alias("amount"), endless.cast("int").alias("is_inf"))
 
 
 @query(
@@ -247,6 +258,27 @@ def explode_args(spark, sf_dir):
     return ft.explode_args(ft.parse_args(logs(spark, sf_dir)), "id")
 
 
+# The same log with a third argument whose value is no JSON, and one more behind it.
+ODD_VALUES = ("None", "True", "0x1f", "[1, 2]", "-5")
+ODD_PICK = "CASE id % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(ODD_VALUES)) + " END"
+
+
+@query(
+    "parse_odd_args",
+    on_logs(
+        "SELECT id, len(vals) + 2 AS n, vals[1] AS first_value, replace(" + ODD_PICK + ", '[1, 2]', '[1,2]') AS odd_value, 'odd' AS odd_name, '7' AS last_value FROM a",
+        a=ARGS_SQL,
+    ),
+)
+def parse_odd_args(spark, sf_dir):
+    odd = F.concat(F.lit("{'name': 'odd', 'type': 'any', 'value': "), F.expr(ODD_PICK), F.lit("}, {'name': 'last', 'type': 'int', 'value': 7}]"))
+    text = F.when(F.col("args") == "[]", F.concat(F.lit("["), odd)).otherwise(F.concat(F.regexp_replace("args", r"\]$", ", "), odd))
+    df = ft.parse_args(logs(spark, sf_dir).withColumn("args", text))
+    at = lambda k, f: F.element_at("parsed", k)[f]
+    first = F.when(F.size("parsed") > 2, at(1, "value"))
+    return df.select("id", F.size("parsed").cast("long").alias("n"), first.alias("first_value"), at(-2, "value").alias("odd_value"), at(-2, "name").alias("odd_name"), at(-1, "value").alias("last_value"))
+
+
 @query("args_to_numeric", on_logs("SELECT id, coalesce(TRY_CAST(vals[1] AS DOUBLE), 0) AS args_value_0, coalesce(TRY_CAST(vals[2] AS DOUBLE), 0) AS args_value_1 FROM a", a=ARGS_SQL))
 def args_to_numeric(spark, sf_dir):
     cols = ["args_value_0", "args_value_1"]

@@ -11,17 +11,18 @@ from oddrows.operators import joins as jn
 MEASURES = ["amount", "returnValue", "argsNum", "eventId", "processId"]
 
 
-def measure_frame(spark, sf_dir, where, cols):
-    df = logs(spark, sf_dir).filter(where)
-    one = df.agg(*[F.round(F.abs(F.corr(F.col(c).cast("double"), F.col("evil").cast("double"))), 6).alias(c) for c in cols])
+def measure_frame(spark, sf_dir, target, cols):
+    df = logs(spark, sf_dir)
+    one = df.agg(*[F.round(F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))), 6).alias(c) for c in cols])
     return one.unpivot([], cols, "feature", "importance")
 
 
-def measure_sql(where, cols):
-    return union_of(cols, "SELECT '{c}' AS feature, round(abs(corr({c}, evil)), 6) AS importance FROM logs WHERE " + where)
+def measure_sql(target, cols):
+    return union_of(cols, "SELECT '{c}' AS feature, round(abs(corr({c}, " + target + ")), 6) AS importance FROM logs")
 
 
-SIDES = [("id % 2 = 0", MEASURES), ("id % 2 = 1", MEASURES), ("id % 3 = 0", MEASURES[:4]), ("id % 3 = 1", MEASURES[1:])]
+# four importance tables: the relation of every feature to a target; the last two lack a feature each
+SIDES = [("evil", MEASURES), ("sus", MEASURES), ("timestamp", MEASURES[:4]), ("userId", MEASURES[1:])]
 SIDE_CTES = {f"m{i}": measure_sql(w, c) for i, (w, c) in enumerate(SIDES)}
 COMPARE = "SELECT feature, m0.importance AS importance_dt, m1.importance AS importance_rf, m2.importance AS permutation_dt, m3.importance AS permutation_rf FROM m0 JOIN m1 USING (feature) LEFT JOIN m2 USING (feature) LEFT JOIN m3 USING (feature)"
 
@@ -86,12 +87,12 @@ def semi_share(spark, sf_dir):
 @query(
     "union_classes",
     on_logs(
-        "SELECT class, coalesce(a.n, 0) AS n_a, coalesce(round(a.n * 100.0 / sum(a.n) OVER (), 6), 0) AS percent_a, coalesce(b.n, 0) AS n_b, coalesce(round(b.n * 100.0 / sum(b.n) OVER (), 6), 0) AS percent_b FROM (SELECT processName AS class, count(*) AS n FROM logs WHERE evil = 1 OR id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT processName AS class, count(*) AS n FROM logs WHERE evil = 0 GROUP BY 1) b USING (class)"
+        "SELECT class, coalesce(a.n, 0) AS n_a, coalesce(round(a.n * 100.0 / sum(a.n) OVER (), 6), 0) AS percent_a, coalesce(b.n, 0) AS n_b, coalesce(round(b.n * 100.0 / sum(b.n) OVER (), 6), 0) AS percent_b FROM (SELECT processName AS class, count(*) AS n FROM logs GROUP BY 1) a FULL JOIN (SELECT processName AS class, count(*) AS n FROM logs WHERE evil = 0 GROUP BY 1) b USING (class)"
     ),
 )
 def union_classes(spark, sf_dir):
     df = logs(spark, sf_dir)
-    return rounded(jn.union_classes(df.filter("evil = 1 OR id % 2 = 0"), df.filter("evil = 0"), "processName"))
+    return rounded(jn.union_classes(df, df.filter("evil = 0"), "processName"))
 
 
 METHODS = ["host-0", "host-1", "host-2", "host-3"]

@@ -67,7 +67,7 @@ def silhouette_fast(spark, sf_dir):
     return rounded(nb.silhouette(vectors(spark, sf_dir), XS, "vec_id", "label", exact=False))
 
 
-KCOLS = ["argsNum", "returnValueCat", "isSystemUser"]
+KCOLS = list(BASE_COLS)
 
 
 @query(
@@ -77,7 +77,7 @@ KCOLS = ["argsNum", "returnValueCat", "isSystemUser"]
         raw_base=RAW_BASE_SQL,
         base=BASE_SQL,
         pts=f"SELECT {', '.join(KCOLS)}, count(*) AS w FROM base GROUP BY {', '.join(KCOLS)}",
-        g=f"SELECT {', '.join('p.' + c for c in KCOLS)}, round(ln(sum(q.w * exp(-2 * ({' + '.join(f'power(p.{c} - q.{c}, 2)' for c in KCOLS)})))) - ln((SELECT count(*) FROM base)) - 3 * (ln(0.5) + 0.5 * ln(2 * pi())), 6) AS log_density FROM pts p, pts q GROUP BY {', '.join('p.' + c for c in KCOLS)}",
+        g=f"SELECT {', '.join('p.' + c for c in KCOLS)}, round(ln(sum(q.w * exp(-2 * ({' + '.join(f'power(p.{c} - q.{c}, 2)' for c in KCOLS)})))) - ln((SELECT count(*) FROM base)) - {len(KCOLS)} * (ln(0.5) + 0.5 * ln(2 * pi())), 6) AS log_density FROM pts p, pts q GROUP BY {', '.join('p.' + c for c in KCOLS)}",
     ),
 )
 def kde(spark, sf_dir):

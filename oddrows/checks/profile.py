@@ -230,12 +230,13 @@ def label_shares(spark, sf_dir):
     return rounded(pf.label_shares(table(spark, sf_dir, "embeddings"), "label"))
 
 
-AXES = ["x0", "x1", "x2"]
-EMB = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(3)) + " FROM embeddings"
+DIMS = 64  # components of the given embeddings
+AXES = [f"x{i}" for i in range(DIMS)]
+EMB = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS)) + " FROM embeddings"
 
 
-def embedded(spark, sf_dir, dims=3):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(dims)])
+def embedded(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(AXES)])
 
 
 @query(
@@ -355,7 +356,10 @@ def closest_to_center(spark, sf_dir):
     return topk.closest_to_center(scored(spark, sf_dir), "userId", "score", "id")
 
 
-CENTER_SQL = f"WITH c AS (SELECT label, avg(x0) AS x0, avg(x1) AS x1, avg(x2) AS x2 FROM ({EMB}) GROUP BY label), d AS (SELECT p.label AS a, q.label AS b, sqrt(power(p.x0 - q.x0, 2) + power(p.x1 - q.x1, 2) + power(p.x2 - q.x2, 2)) AS distance FROM c p, c q) "
+CENTER_SQL = (
+    f"WITH c AS (SELECT label, {', '.join(f'avg({x}) AS {x}' for x in AXES)} FROM ({EMB}) GROUP BY label), "
+    f"d AS (SELECT p.label AS a, q.label AS b, sqrt({' + '.join(f'power(p.{x} - q.{x}, 2)' for x in AXES)}) AS distance FROM c p, c q) "
+)
 
 
 def label_centers(spark, sf_dir):

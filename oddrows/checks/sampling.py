@@ -107,9 +107,9 @@ ADJUST = """SELECT id, evil, CAST(copy AS INT) AS copy FROM (
     SELECT *, count(*) OVER (PARTITION BY evil) AS c, CASE WHEN evil = 1 THEN 3000 ELSE 2000 END AS w FROM ranked))"""
 
 
-@query("adjust_class_ratio", on_logs(ADJUST, k="SELECT id, evil FROM logs WHERE evil = 0 OR id % 2 = 0", ranked=ranked(42, "evil", "k")))
+@query("adjust_class_ratio", on_logs(ADJUST, k="SELECT id, evil FROM logs", ranked=ranked(42, "evil", "k")))
 def adjust_class_ratio(spark, sf_dir):
-    df = logs(spark, sf_dir).filter("evil = 0 OR id % 2 = 0").select("id", "evil")
+    df = logs(spark, sf_dir).select("id", "evil")
     return sp.adjust_class_ratio(df, "id", "evil", 5000, 0.6)
 
 

@@ -178,9 +178,9 @@ def elbow(spark, sf_dir):
     return sd.elbow(curve(spark, sf_dir), "x", "y")
 
 
-@query("label_clusters", on_logs("SELECT userId AS cluster, CAST(avg(evil) > 0.2 AS INT) AS verdict FROM logs WHERE id % 2 = 0 GROUP BY 1"))
+@query("label_clusters", on_logs("SELECT userId AS cluster, CAST(avg(evil) > 0.2 AS INT) AS verdict FROM logs GROUP BY 1"))
 def label_clusters(spark, sf_dir):
-    return sd.label_clusters(logs(spark, sf_dir).filter("id % 2 = 0"), "userId")
+    return sd.label_clusters(logs(spark, sf_dir), "userId")
 
 
 SHIFT3 = union_of(
@@ -206,7 +206,7 @@ def investigate_cluster(spark, sf_dir):
 def cluster_features(spark, sf_dir):
     df = logs(spark, sf_dir)
     tagged = tag_splits({"train": df.filter("id % 10 < 6"), "validation": df.filter("id % 10 BETWEEN 6 AND 7"), "test": df.filter("id % 10 > 7")})
-    return sd.cluster_features(tagged, "id", svd=8, trees=20, depth=6)[0]
+    return sd.cluster_features(tagged, "id")[0]
 
 
 def _detect(kind, **kw):

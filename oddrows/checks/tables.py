@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddrows.checks.base import logs, on_logs, query, table
 from oddrows.operators.profile import mean_std_over_runs
@@ -29,6 +30,22 @@ def read_logs(spark, sf_dir):
     return df.select(F.round("timestamp", 6).alias("timestamp"), *RAW[1:], "threadId")
 
 
+@query(
+    "read_mixed_folder",
+    on_logs(
+        "SELECT id, processId, CASE WHEN id % 3 <> 1 THEN userId END AS userId, CASE WHEN id % 3 <> 0 THEN processName END AS processName FROM logs",
+    ),
+)
+def read_mixed_folder(spark, sf_dir):
+    """Three files of one folder: other columns, in another order."""
+    full, folder = logs(spark, sf_dir), scratch_path(spark, "mixed")
+    kept = [["id", "processId", "userId"], ["processName", "processId", "id"], ["userId", "id", "processName", "processId"]]
+    for k, cols in enumerate(kept):
+        src.write_table(full.filter(F.col("id") % 3 == k).select(*cols), f"{folder}/part{k}", "csv")
+    types = T.StructType([T.StructField("id", T.LongType()), *[f for f in src.LOG_SCHEMA if f.name in ("processId", "userId", "processName")]])
+    return src.read_csv(spark, f"{folder}/part*", types).select("id", "processId", "userId", "processName")
+
+
 @query("find_inputs")
 def find_inputs(spark, sf_dir):
     found = src.find_inputs(spark, sf_dir, "*s.parquet")

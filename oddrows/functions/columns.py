@@ -73,14 +73,6 @@ def center_distances_array(xs: Sequence[str], centers: Sequence[Sequence[float]]
     return F.array(*[distance_to(xs, c) for c in centers])
 
 
-def xlogx(c: Column) -> Column:
-    return F.when(c > 0, c * F.ln(c)).otherwise(F.lit(0.0))
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where undefined."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
-
-
-def any_is_null(cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])

@@ -30,6 +30,10 @@ class Centers:
     cost: float = float("nan")
 
 
+class TooFewPoints(ValueError):
+    """More centres are asked for than there are distinct points."""
+
+
 def nearest_center(df: DataFrame, cols: Sequence[str], centers: np.ndarray, out: str = "cluster", dist: str = "distance") -> DataFrame:
     """Index of and distance to the nearest centre. Few centres stay a native expression."""
     if centers.size <= LITERAL_CELLS:
@@ -127,7 +131,7 @@ def fuzzy_fit(
     points = training_points(df, cols, id_col)
     centers = coordinates(sample_n(points, "pid", c, seed).toPandas())
     if len(centers) < c:
-        raise ValueError(f"{c} centres asked of {len(centers)} distinct points")
+        raise TooFewPoints(f"{c} centres asked of {len(centers)} distinct points")
     d = len(cols)
     previous = None
     for _ in range(iters):

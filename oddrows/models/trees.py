@@ -187,8 +187,9 @@ def tree_rules(df: DataFrame, t: Trees) -> DataFrame:
     rules = spark.createDataFrame(rows, "leaf int, depth int, rule string")
     stats = leaf_rows(df, t).drop("tree")
     return (
-        stats.join(F.broadcast(rules), "leaf")
-        .withColumn("positive_share", F.col("positives") / F.col("n"))
+        rules.join(stats, "leaf", "left")  # a leaf that no row of ``df`` reaches has zero rows and no share
+        .fillna(0, ["n", "positives"])
+        .withColumn("positive_share", F.when(F.col("n") > 0, F.col("positives") / F.col("n")))
         .withColumn("majority", (F.col("positive_share") > 0.5).cast("int"))
     )
 

@@ -234,7 +234,7 @@ def internal_grid(
             labelled, cost = cluster_labels(rows, _pcs(d), id_col, alg, k, seed + t)
             q = cluster_quality(labelled, _pcs(d), id_col, y)
             return (alg, d, k, t, explained, cost, *[q[m] for m in QUALITY])
-        except ValueError:  # fewer points than clusters
+        except cl.TooFewPoints:
             return (alg, d, k, t, explained, None, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0)
 
     cells = [(t, d, k, a) for t in range(trials) for d in dims for k in ks for a in algs]
@@ -303,10 +303,11 @@ def elbow(curve: DataFrame, x: str, y: str, sensitivity: float = 1.0) -> DataFra
 
 def external_eval(
     df: DataFrame, cols: Sequence[str], id_col: str, y: str, method: str, k: int, dims: int, runs: int = 1, sample_size: int | None = None,
-    fracs: Sequence[float] = mt.FRACTIONS, seed: int = 0, switch_at: int | None = 5,
+    fracs: Sequence[float] = mt.FRACTIONS, seed: int = 0, switch_at: int | None = None,
 ) -> DataFrame:
     """Cutoff metrics averaged over seeds: distance to the nearest centre (k-means, Ward, DBSCAN), low
-    likelihood (gmm) or low membership (fcm). Other methods than k-means with k >= ``switch_at`` use DBSCAN."""
+    likelihood (gmm) or low membership (fcm). With ``switch_at``, other methods than k-means use DBSCAN from
+    that k on."""
     if switch_at is not None and method != "kmeans" and k >= switch_at:
         method = "dbscan"
     out = None

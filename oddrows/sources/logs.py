@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fnmatch import fnmatch
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +33,49 @@ LOG_SCHEMA = T.StructType(
 )
 
 
+def _by_header(spark: SparkSession, path: str, pattern: str | None) -> list[list[str]]:
+    """Files of a path (file, folder or glob) in groups of one header line, which is all that is read of them here."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found = []
+    for status in fs.globStatus(where) or []:
+        found += list(fs.listStatus(status.getPath())) if status.isDirectory() else [status]
+    if any(s.isDirectory() for s in found):
+        return []  # partition folders: Spark's own listing finds their columns
+    groups: dict[str | None, list[str]] = {}
+    for status in sorted(found, key=lambda s: s.getPath().toString()):
+        file = status.getPath()
+        name = file.getName()
+        if name[0] in "._" or pattern and not fnmatch(name, pattern) or not status.getLen():
+            continue
+        stream = fs.open(file)
+        codec = codecs.getCodec(file)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        groups.setdefault(lines.readLine(), []).append(file.toString())
+        lines.close()
+    return list(groups.values())
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, pattern: str | None = None) -> DataFrame:
     """One CSV input (file, folder or glob); columns are matched to the schema by header name.
 
-    The header alone decides which columns the file has, so an input may lack some of them.
+    The header alone decides which columns a file has, so an input may lack some of them, and files of one folder may have
+    different ones or another order: files with one header are one scan, and the scans are united by name.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    header = reader.csv(path).columns
-    if schema is None:
-        return reader.csv(path)
-    types = {f.name: f.dataType for f in schema}
-    present = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    return reader.schema(present).csv(path)
+    def reader():
+        plain = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+        return plain.option("pathGlobFilter", pattern) if pattern else plain
+
+    types = {f.name: f.dataType for f in schema or ()}
+    out = None
+    for files in _by_header(spark, path, pattern) or [path]:
+        header = reader().csv(files).columns
+        present = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        part = reader().schema(present).csv(files) if header else reader().csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_logs(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:

@@ -50,10 +50,12 @@ def test_quantiles_narrowed(frame, skewed, small_tasks):
     check_quantiles(frame, skewed)
 
 
-def test_many_ranks_narrowed(frame, skewed, small_tasks):
+def test_many_ranks_narrowed(spark, frame, skewed):
+    spark.conf.set("spark.oddrows.taskRows", "6000")
     probs = np.linspace(0, 1, 1001).tolist()
     got = od.exact_quantiles(frame, ["v"], probs).toPandas().sort_values("prob").value.to_numpy()
     assert np.allclose(got, np.quantile(skewed.v, probs), rtol=1e-12)
+    spark.conf.unset("spark.oddrows.taskRows")
 
 
 def test_quantiles_by_column(spark, frame, skewed):
