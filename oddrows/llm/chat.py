@@ -104,3 +104,20 @@ def chat_digests(df: DataFrame) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, 13 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*/?s>')) + len(regexp_extract_all(text, '\[\\*/?INST\]')) AS w,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM said),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY conv_id ORDER BY r) AS upto FROM written)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR r = n) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""

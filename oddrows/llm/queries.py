@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op6_jaccard_join": jaccard.SQL}
+SQL: dict[str, str] = {"op1_embedding_near_dedup": embeddings.SQL, "op4_chat_formatting": chat.SQL, "op6_jaccard_join": jaccard.SQL}
