@@ -52,15 +52,21 @@ def find_inputs(spark, sf_dir):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes")
 
 
-@query("with_source_file")
+@query("with_source_file", "SELECT 'events.parquet' AS source_file, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
 def with_source_file(spark, sf_dir):
     df = src.with_source_file(table(spark, sf_dir, "events"))
-    return df.groupBy("source_file").agg(F.count("*").alias("n"))
+    return df.groupBy(F.element_at(F.split("source_file", "/"), -1).alias("source_file")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("source_profile")
+@query(
+    "source_profile",
+    "SELECT 'events.parquet' AS file, count(*) AS n_rows, 1 AS sized FROM events UNION ALL SELECT 'orders.parquet', count(*), 1 FROM orders"
+    " UNION ALL SELECT '*', (SELECT count(*) FROM events) + (SELECT count(*) FROM orders), 1",
+)
 def source_profile(spark, sf_dir):
-    return src.source_profile(spark.read.option("pathGlobFilter", "*s.parquet").parquet(f"{sf_dir}/events.parquet", f"{sf_dir}/orders.parquet"))
+    # rows per file are what SQL can tell; that sizes are there is a flag
+    out = src.source_profile(spark.read.option("pathGlobFilter", "*s.parquet").parquet(f"{sf_dir}/events.parquet", f"{sf_dir}/orders.parquet"))
+    return out.select("file", "n_rows", (F.col("mb") > 0).cast("int").alias("sized"))
 
 
 @query(
