@@ -79,23 +79,30 @@ def stratified_quotas(counts: Mapping, n: int, positive=1) -> dict:
     return {k: min(keep_pos if k == positive else n - keep_pos, c) for k, c in counts.items()}
 
 
-def balanced_quotas(counts: Mapping, n: int) -> dict:
-    """Rounded proportional shares, the largest class absorbing the difference; classes that would differ by
-    more than a factor of ten get a common floor of max(5, 10 % of n) first."""
+def apportion(counts: Mapping, n: int, spread: bool = True) -> dict:
+    """``n`` places in proportion to the counts. With ``spread``, whole shares and then one more each from the largest
+    class down; else every class has its nearest whole share and the largest what is left."""
     total = sum(counts.values())
-    order = sorted(counts, key=lambda k: (-counts[k], k))
-    shares = {k: round(c / total * n) for k, c in counts.items()}
-    shares[order[0]] += n - sum(shares.values())
-    smallest = min(shares.values())
-    if smallest == 0 or max(shares.values()) / smallest > 10:
-        floor = max(5, int(n * 0.1))
-        spare = n - floor * len(counts)
-        if spare > 0:
-            extra = {k: int(c / total * spare) for k, c in counts.items()}
-            for k in order[: spare - sum(extra.values())]:
-                extra[k] += 1
-            shares = {k: floor + extra[k] for k in counts}
-    return {k: min(shares[k], counts[k]) for k in counts}
+    ranked = sorted(counts, key=lambda k: (-counts[k], k))
+    if spread:
+        whole = {k: n * counts[k] // total for k in ranked}
+        short = n - sum(whole.values())
+        return {k: whole[k] + (place < short) for place, k in enumerate(ranked)}
+    rest = {k: round(counts[k] / total * n) for k in ranked[1:]}
+    return {ranked[0]: n - sum(rest.values()), **rest}
+
+
+def balanced_quotas(counts: Mapping, n: int) -> dict:
+    """Proportional places, unless the fewest are less than a tenth of the most: then every class first gets a tenth of ``n``
+    (5 at least), if that leaves something to share. No class gives more rows than it has."""
+    if not counts:
+        return {}
+    places = apportion(counts, n, spread=False)
+    base = max(5, n // 10)
+    left = n - base * len(counts)
+    if 10 * min(places.values()) < max(places.values()) and left > 0:
+        places = {k: base + more for k, more in apportion(counts, left).items()}
+    return {k: min(counts[k], places[k]) for k in counts}
 
 
 def _single(fn):
