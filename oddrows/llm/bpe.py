@@ -26,9 +26,11 @@ from pyspark.sql import types as T
 from oddrows.llm.common import with_arrow
 
 # Pieces that are held at a time, of one document or of many.
-PIECES = 600_000
+PIECES = 400_000
+# Rows that a worker turns into texts at a time.
+SLICE = 1024
 # Words that a task remembers.
-MEMORY = 500_000
+MEMORY = 300_000
 # Letters and digits of the Latin blocks; a text of these and of common signs can be split by the faster standard engine.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 LATIN_DIGITS = "0-9²³¹¼-¾"
@@ -158,86 +160,114 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
     return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def _encoder(vocabulary, pattern: str):
+    """Per task: a function from texts to an Arrow array of id lists."""
+    ranks = vocabulary.value
+    tokens = {r: b for b, r in ranks.items()}
+    early = reaches_below(ranks)
+    find = splitter(pattern)
+    known: dict[str, bytes] = {}
+
+    def learn(words: set[str]) -> None:
+        new = list(words.difference(known))
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = list(words)
+        raw = [w.encode() for w in new]
+        whole = [ranks.get(b) for b in raw]
+        known.update((w, i.to_bytes(4, sys.byteorder)) for w, i in zip(new, whole) if i is not None)
+        rest = [k for k, i in enumerate(whole) if i is None]
+        known.update(zip([new[k] for k in rest], replay([raw[k] for k in rest], ranks, tokens, early)))
+
+    def encoded(texts: list[str | None]) -> pa.ListArray:
+        # documents are learnt in blocks, so that many words share one replay
+        made: list[np.ndarray | None] = [None] * len(texts)
+        block: list[tuple[int, list[str]]] = []
+        count = 0
+
+        def flush():
+            nonlocal count
+            learn(set(chain.from_iterable(p for _, p in block)))
+            for k, p in block:
+                got = np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32)
+                made[k] = got if made[k] is None else np.concatenate([made[k], got])
+            block.clear()
+            count = 0
+
+        for k, t in enumerate(texts):
+            for pieces in find(t or ""):
+                block.append((k, pieces))
+                count += len(pieces)
+                if count >= PIECES:
+                    flush()
+        if block:
+            flush()
+        made = [np.empty(0, np.int32) if m is None else m for m in made]
+        offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made) if made else np.empty(0, np.int32)))
+
+    return encoded
+
+
+def _decoder(vocabulary):
+    """Per task: a function from an Arrow array of id lists to bytes."""
+    token = {r: b for b, r in vocabulary.value.items()}.__getitem__
+
+    def decoded(lists: pa.ListArray) -> list[bytes]:
+        flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).tolist()
+        return [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:])]
+
+    return decoded
+
+
+def id_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType()))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int): the tokens of each whole text, without special tokens. A null or empty text has none.
 
     Repeated rows give equal ids, and a column called ``ids`` is replaced.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    memory = MEMORY
 
     def make():
-        ranks = vocabulary.value
-        tokens = {r: b for b, r in ranks.items()}
-        early = reaches_below(ranks)
-        find = splitter(pattern)
-        known: dict[str, bytes] = {}
-
-        def learn(words: set[str]) -> None:
-            new = list(words.difference(known))
-            if len(known) + len(new) > memory:
-                known.clear()
-                new = list(words)
-            raw = [w.encode() for w in new]
-            whole = [ranks.get(b) for b in raw]
-            known.update((w, i.to_bytes(4, sys.byteorder)) for w, i in zip(new, whole) if i is not None)
-            rest = [k for k, i in enumerate(whole) if i is None]
-            known.update(zip([new[k] for k in rest], replay([raw[k] for k in rest], ranks, tokens, early)))
-
-        def ids_of(pieces) -> np.ndarray:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        encoded = _encoder(vocabulary, pattern)
+        return lambda texts: [encoded(texts)]
 
-        def rows(texts):
-            # documents are learnt in blocks, so that many words share one replay
-            made: list[np.ndarray | None] = [None] * len(texts)
-            block: list[tuple[int, list[str]]] = []
-            count = 0
+    return with_arrow(df, [text], T.StructType([id_field(ids)]), make, rows=SLICE)
 
-            def flush():
-                nonlocal count
-                learn(set(chain.from_iterable(p for _, p in block)))
-                for k, p in block:
-                    got = ids_of(p)
-                    made[k] = got if made[k] is None else np.concatenate([made[k], got])
-                block.clear()
-                count = 0
-
-            for k, t in enumerate(texts):
-                for pieces in find(t or ""):
-                    block.append((k, pieces))
-                    count += len(pieces)
-                    if count >= PIECES:
-                        flush()
-            if block:
-                flush()
-            made = [np.empty(0, np.int32) if m is None else m for m in made]
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made) if made else np.empty(0, np.int32)))]
 
-        return rows
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``decoded`` (binary): the bytes of each list of ids; of a null or empty list, no bytes."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def make():
+        read = _decoder(vocabulary)
+        return lambda lists: [read(lists)]
 
-    return with_arrow(df, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make, rows=4096)
+    return with_arrow(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make, raw=True)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``decoded`` (binary): the bytes of each list of ids; of a null or empty list, no bytes."""
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, by one worker a task."""
     vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():
-        token = {r: b for b, r in vocabulary.value.items()}.__getitem__
+        write, read = _encoder(vocabulary, pattern), _decoder(vocabulary)
 
-        def rows(lists):
-            flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).tolist()
-            return [[b"".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds, bounds[1:])]]
+        def rows(texts):
+            lists = write(texts)
+            return [lists, read(lists)]
 
         return rows
 
-    return with_arrow(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make, raw=True)
+    return with_arrow(df, [text], T.StructType([id_field(ids), T.StructField(decoded, T.BinaryType())]), make, rows=SLICE)
 
 
 def token_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the bytes decoded from them."""
-    coded = decode(encode(df.select("doc_id", "text"), path, pattern).drop("text"), path)
+    coded = round_trip(df.select("doc_id", "text"), path, pattern).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

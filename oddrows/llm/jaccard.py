@@ -234,13 +234,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents with one row of each group; columns are unchanged. Rows without words all stay."""
-    found = jaccard_groups(docs).select(F.col("key").alias("__key"), F.col("first_id").alias("__first"), "root_key")
+    found = jaccard_groups(docs).select(F.col("key").alias("__key"), F.col("first_id").alias("__first"), F.col("root_key").alias("__root"))
     text = F.col("text")
     key = F.when(text.rlike(HAS_WORDS), F.md5(text.cast("binary")))
     joined = docs.withColumn("__key", key).join(found, "__key", "left")
-    heads = joined.where("root_key IS NULL OR (root_key = __key AND doc_id <=> __first)")
+    heads = joined.where("__root IS NULL OR (__root = __key AND doc_id <=> __first)")
     # a row repeated in full is one row
-    single = F.coalesce(F.when(F.col("root_key").isNotNull(), F.col("__key")), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    single = F.coalesce(F.when(F.col("__root").isNotNull(), F.col("__key")), F.concat(F.lit("row "), F.monotonically_increasing_id()))
     return heads.withColumn("__one", single).dropDuplicates(["__one"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

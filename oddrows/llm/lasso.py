@@ -15,7 +15,7 @@ def fit_lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) ->
     start = float(np.log(share / (1 - share)))
     if n == 0 or y.min() == y.max() or x.shape[1] == 0:
         return start, np.zeros(x.shape[1])
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     # the largest eigenvalue of the curvature, by power iteration with the constant column
     v = np.ones(x.shape[1] + 1, np.float32)
     for _ in range(30):
