@@ -3,7 +3,8 @@
 Words become a template: numbers, names (words in title case) and units are typed placeholders, all else is itself in lower
 case without marks around it. Windows of ``width`` words meet by the hash of their template; a pair counts when its slots
 are consistent: equal values on one side face equal values on the other, type by type. So a question with other numbers or
-names is caught, while a chance likeness of placeholders is not. A window needs more words than placeholders.
+names is caught, while a chance likeness of placeholders is not. A benchmark window with no more words than placeholders has
+no template: it meets by the hash of its lower-case words as they are, so that its verbatim copies are found.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ LEAST = 5
 # Benchmark windows whose hashes are sent to the tasks at once (8 bytes each); more are taken in blocks.
 BLOCK = 1_000_000
 MEMORY = 300_000
+# Base of the window hashes, its inverse modulo 2^64, and what sets hashes of words apart from those of templates.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 2**64)
+VERBATIM = 0xD1B54A32D192ED03
 # Words that count as units.
 UNITS = frozenset(
     "% $ € £ ¥ mm cm m km in ft yd mi mile miles metre metres meter meters inch inches foot feet yard yards "
@@ -66,33 +71,47 @@ def parts_of(word: str) -> list[tuple[int, int, str]]:
 
 
 class Templates:
-    """Words to templates, remembering the hashes of up to ``MEMORY`` words; the lowest bit of a hash marks a literal part."""
+    """Words to hashes of template and word, remembered for up to ``MEMORY`` words; the lowest bit of a template's marks a literal part."""
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def hashes(self, words: list[str]) -> np.ndarray:
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By part: hash in the template, hash of the lower-case part itself."""
         known = self.known
         if len(known) > MEMORY:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = b"".join(((h & ~1) | (kind < 0)).to_bytes(8, "little") for h, kind, _ in parts_of(word))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype("<u8"))
-
-    def windows(self, words: list[str], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each width that fits: width, hashes by place, and whether a window has more words than placeholders."""
-        hashes = self.hashes(words)
-        literal = np.concatenate([[0], np.cumsum(hashes & np.uint64(1), dtype=np.int64)])
-        for width in widths:
-            n = len(hashes) - width + 1
+            known[word] = b"".join(((h & ~1) | (kind < 0)).to_bytes(8, "little") + (h if kind < 0 else word_hash(low)).to_bytes(8, "little") for h, kind, low in parts_of(word))
+        pairs = np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype("<u8")).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        """Running sums of the hashes, each times the power of its place."""
+        if len(self.powers) < len(hashes):
+            size = 2 * len(hashes)
+            self.powers, self.inverses = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, f, np.uint64))]) for f in (FACTOR, INVERSE))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[: len(hashes)], dtype=np.uint64)])
+
+    def windows(self, words: list[str], kinds: list[tuple[int, bool]]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """For each (width, verbatim) that fits: both, hashes of the windows by place, and the marks of literal parts."""
+        template, plain = self.hashes(words)
+        sums: dict[bool, np.ndarray] = {}
+        for width, verbatim in kinds:
+            n = len(template) - width + 1
             if n < 1:
                 continue
-            total = np.zeros(n, np.uint64)
-            factor = 1
-            for k in range(width):
-                total += hashes[k : k + n] * np.uint64(factor)
-                factor = factor * 0x9E3779B97F4A7C15 % 2**64
-            yield width, mix64(total + np.uint64(width)), 2 * (literal[width:] - literal[:n]) > width
+            if verbatim not in sums:
+                sums[verbatim] = self.sums(plain if verbatim else template)
+            total = (sums[verbatim][width:] - sums[verbatim][:n]) * self.inverses[:n]
+            yield width, verbatim, mix64(total + np.uint64(width + VERBATIM * verbatim)), template & np.uint64(1)
+
+
+def mostly_literal(marks: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window has more words than placeholders."""
+    literal = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+    return 2 * (literal[width:] - literal[: len(marks) - width + 1]) > width
 
 
 def all_parts(words: list[str]) -> list[tuple[int, int, str]]:
@@ -105,7 +124,10 @@ def slots(parts: list, at: int, width: int) -> list[str]:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Windows of every item: hash, item_id, width, at, slots, of_windows (how many the item has). Items under ``LEAST`` words have none."""
+    """Windows of every item: hash, item_id, width, verbatim, at, slots, of_windows (how many the item has). Items under ``LEAST`` words have none.
+
+    Each window is there once: by its template with the slots, or verbatim without any where placeholders are the most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -115,19 +137,19 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
                 words = (text or "").split()
                 parts = all_parts(words)
                 size = min(width, len(parts))
-                for w, hashes, ok in templates.windows(words, [size] if size >= LEAST else []):
-                    at = ok.nonzero()[0].tolist()
-                    rows += [(hashes[k].astype(np.int64).item(), item, w, k, slots(parts, k, w), len(at)) for k in at]
-            names = ["hash", "item_id", "width", "at", "slots", "of_windows"]
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+                for w, verbatim, hashes, marks in templates.windows(words, [(size, False), (size, True)] if size >= LEAST else []):
+                    at = (mostly_literal(marks, w) != verbatim).nonzero()[0].tolist()
+                    rows += [(hashes[k].astype(np.int64).item(), item, w, verbatim, k, [] if verbatim else slots(parts, k, w), len(hashes)) for k in at]
+            names = ["hash", "item_id", "width", "verbatim", "at", "slots", "of_windows"]
+            columns = list(zip(*rows)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    schema = "hash long, item_id long, width int, at int, slots array<string>, of_windows int"
+    schema = "hash long, item_id long, width int, verbatim boolean, at int, slots array<string>, of_windows int"
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def matching_windows(docs: DataFrame, wanted: np.ndarray, widths: list[int]) -> DataFrame:
+def matching_windows(docs: DataFrame, wanted: np.ndarray, kinds: list[tuple[int, bool]]) -> DataFrame:
     """Windows of the documents whose hash is wanted: hash, key (digest of the text), doc_id, doc_at, doc_slots."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
 
@@ -144,14 +166,14 @@ def matching_windows(docs: DataFrame, wanted: np.ndarray, widths: list[int]) ->
                 rows = []
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]):
                     key, words = None, (text or "").split()
-                    for w, hashes, ok in templates.windows(words, widths):
-                        at = np.flatnonzero(first[hashes >> np.uint64(64 - bits)] & ok)
+                    for w, verbatim, hashes, _ in templates.windows(words, kinds):
+                        at = np.flatnonzero(first[hashes >> np.uint64(64 - bits)])
                         if len(at):
                             at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
                         if len(at):
                             if key is None:
                                 key, parts = hashlib.md5(text.encode()).hexdigest(), all_parts(words)
-                            rows += [(hashes[k].astype(np.int64).item(), key, doc, k, slots(parts, k, w)) for k in at.tolist()]
+                            rows += [(hashes[k].astype(np.int64).item(), key, doc, k, [] if verbatim else slots(parts, k, w)) for k in at.tolist()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["hash", "key", "doc_id", "doc_at", "doc_slots"])
 
@@ -167,14 +189,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
     """
     items = save(benchmark_windows(benchmark, width), "benchmark-windows")
     hashes = items.select("hash").distinct()
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+    kinds = sorted((r["width"], r["verbatim"]) for r in items.select("width", "verbatim").distinct().collect())
     blocks = max(1, -(-hashes.count() // BLOCK))
     found = None
     for k in range(blocks):
         part = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
         wanted = np.array([r["hash"] for r in part.collect()], np.int64).astype(np.uint64)
         if len(wanted) or found is None:
-            some = matching_windows(docs, wanted, widths) if len(wanted) else docs.sparkSession.createDataFrame([], "hash long, key string, doc_id long, doc_at int, doc_slots array<string>")
+            some = matching_windows(docs, wanted, kinds) if len(wanted) else docs.sparkSession.createDataFrame([], "hash long, key string, doc_id long, doc_at int, doc_slots array<string>")
             found = some if found is None else found.unionByName(some)
     pairs = F.zip_with("slots", "doc_slots", lambda a, b: F.concat(a, F.lit("\u0000"), b))
     distinct = lambda c: F.size(F.array_distinct(c))

@@ -97,3 +97,13 @@ def test_op10_whole_table(spark):
     got = found(queries.op10_decontamination(spark, sf))
     # windows of common words hold as templates, too; the rest differs by marks and case only
     assert exact <= got and len(got) <= len(exact) + 3
+
+
+def test_windows_of_placeholders_are_found_verbatim(spark, documents):
+    texts = ["John has 5 apples Mary has 7 pears", "Compute 12 + 15 * 3 - 7 / 2 + 9", "What Is The Capital Of France And Of Spain"]
+    bench = items(spark, list(enumerate(texts)))
+    rows = [(k, f"as in: {t}? and so on") for k, t in enumerate(texts)]
+    rows += [(3, texts[2].lower()), (4, texts[0].replace("7", "8")), (5, texts[1].replace("15", "16").replace("7", "6")), (6, "Which Is The Capital Of Italy And Of Greece")]
+    out = decontaminate.leaks(documents(rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+    assert all(r["coverage"] == 1 and not r["changed"] for r in out)
