@@ -4,7 +4,8 @@ Words become a template: numbers, names (words in title case) and units are type
 case without marks around it. Windows of ``width`` words meet by the hash of their template; a pair counts when its slots
 are consistent: equal values on one side face equal values on the other, type by type. So a question with other numbers or
 names is caught, while a chance likeness of placeholders is not. A benchmark window with no more words than placeholders has
-no template: it meets by the hash of its lower-case words as they are, so that its verbatim copies are found.
+no template: it meets by the hash of its lower-case words as they are, so that its verbatim copies are found. Units of one or two
+letters are units after a number, else words like others.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ UNITS = frozenset(
     "day days week weeks month months year years mph kmh °c °f degree degrees percent "
     "dollar dollars euro euros cent cents w kw kwh v a hz khz mhz ghz kb mb gb tb".split()
 )
-PART = re.compile(r"[$€£¥%]|[+-]?\d+(?:[.,:/]\d+)*|[^\W\d]+(?:[-'’][^\W\d]+)*")
+SIGNS = "$€£¥%"
+PART = re.compile(r"[$€£¥%]|[+-]?\d+(?:[.,:/]\d+)*|°?[^\W\d]+(?:[-'’][^\W\d]+)*")
 EDGE = "\"'.,;:?!()[]{}<>«»“”‘’*_~`|"
 TYPES = ("NUM", "NAME", "UNIT")
 
@@ -48,44 +50,56 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
-def parts_of(word: str) -> list[tuple[int, int, str]]:
-    """(hash, type, value) of each part of a word; type -1 is a literal part."""
+def parts_of(word: str) -> list[tuple[int, int, str, bool]]:
+    """(hash, type, value, short) of each part of a word; type -1 is a literal part, a short one is a unit after a number."""
     bare = word.strip(EDGE)
-    found = PART.findall(bare) if any(map(str.isdigit, bare)) or any(c in bare for c in "$€£¥%") else [bare]
+    found = PART.findall(bare) if any(map(str.isdigit, bare)) or any(c in bare for c in SIGNS) else [bare]
     made = []
     for k, part in enumerate(found):
         if not part:
             continue
         low = part.lower()
-        # a unit word counts as one only next to a number in the same word, or if it is a sign
+        # one or two letters set apart can be another word ("in", "a"), so the part before decides
+        short = low in UNITS and low not in SIGNS and len(found) == 1 and len(low) <= 2
         if part[-1].isdigit():
             kind = 0
-        elif low in UNITS and (len(found) > 1 or len(low) > 2):
+        elif low in UNITS and not short:
             kind = 2
         elif part[0].isupper() and part[1:].islower():
             kind = 1
         else:
             kind = -1
-        made.append((word_hash(low if kind < 0 else f"<{TYPES[kind]}>"), kind, low))
+        made.append((word_hash(low if kind < 0 else f"<{TYPES[kind]}>"), kind, low, short))
     return made
 
 
+NUM, UNIT = (np.uint64(word_hash(f"<{t}>")) for t in ("NUM", "UNIT"))
+
+
 class Templates:
-    """Words to hashes of template and word, remembered for up to ``MEMORY`` words; the lowest bit of a template's marks a literal part."""
+    """Words to hashes of template and word, remembered for up to ``MEMORY`` words."""
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
         self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """By part: hash in the template, hash of the lower-case part itself."""
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By part: hash in the template with the part before in view, the same without, hash of the lower-case part itself."""
         known = self.known
         if len(known) > MEMORY:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = b"".join(((h & ~1) | (kind < 0)).to_bytes(8, "little") + (h if kind < 0 else word_hash(low)).to_bytes(8, "little") for h, kind, low in parts_of(word))
+            # the lowest bit of the second hash marks a short unit
+            known[word] = b"".join(h.to_bytes(8, "little") + (word_hash(low) & ~1 | short).to_bytes(8, "little") for h, _, low, short in parts_of(word))
         pairs = np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype("<u8")).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        alone, plain = pairs[:, 0], pairs[:, 1]
+        inside, short = alone, plain & np.uint64(1)
+        if short.any():
+            at = np.flatnonzero(short[1:])
+            at = at[alone[at] == NUM] + 1
+            inside = alone.copy()
+            inside[at] = UNIT
+        return inside, alone, plain & ~np.uint64(1)
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
         """Running sums of the hashes, each times the power of its place."""
@@ -94,39 +108,54 @@ class Templates:
             self.powers, self.inverses = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, f, np.uint64))]) for f in (FACTOR, INVERSE))
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[: len(hashes)], dtype=np.uint64)])
 
-    def windows(self, words: list[str], kinds: list[tuple[int, bool]]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
-        """For each (width, verbatim) that fits: both, hashes of the windows by place, and the marks of literal parts."""
-        template, plain = self.hashes(words)
+    def windows(self, words: list[str], kinds: list[tuple[int, bool]]) -> Iterator[tuple[int, bool, bool, np.ndarray, np.ndarray]]:
+        """For each (width, verbatim) that fits: both, whether the first part is taken alone, places and hashes of the windows.
+
+        A window whose first part is a unit by the number before it has two templates, with that number in view and without, so
+        that it also meets a copy that begins there.
+        """
+        inside, alone, plain = self.hashes(words)
         sums: dict[bool, np.ndarray] = {}
         for width, verbatim in kinds:
-            n = len(template) - width + 1
+            n = len(plain) - width + 1
             if n < 1:
                 continue
             if verbatim not in sums:
-                sums[verbatim] = self.sums(plain if verbatim else template)
+                sums[verbatim] = self.sums(plain if verbatim else inside)
             total = (sums[verbatim][width:] - sums[verbatim][:n]) * self.inverses[:n]
-            yield width, verbatim, mix64(total + np.uint64(width + VERBATIM * verbatim)), template & np.uint64(1)
-
-
-def mostly_literal(marks: np.ndarray, width: int) -> np.ndarray:
-    """Whether each window has more words than placeholders."""
-    literal = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-    return 2 * (literal[width:] - literal[: len(marks) - width + 1]) > width
+            salt = np.uint64(width + VERBATIM * verbatim)
+            yield width, verbatim, False, np.arange(n), mix64(total + salt)
+            if not verbatim and inside is not alone:
+                at = np.flatnonzero(inside[:n] != alone[:n])
+                yield width, False, True, at, mix64(total[at] + alone[at] - inside[at] + salt)
 
 
 def all_parts(words: list[str]) -> list[tuple[int, int, str]]:
-    return list(chain.from_iterable(map(parts_of, words)))
+    """(type with the part before in view, type without, value) of each part."""
+    made: list[tuple[int, int, str]] = []
+    for _, kind, value, short in chain.from_iterable(map(parts_of, words)):
+        made.append((2 if short and made and made[-1][0] == 0 else kind, kind, value))
+    return made
 
 
-def slots(parts: list, at: int, width: int) -> list[str]:
+def slots(parts: list, at: int, width: int, alone: bool) -> list[str]:
     """Values in the placeholders of a window, each after its type."""
-    return [f"{kind}{value}" for _, kind, value in parts[at : at + width] if kind >= 0]
+    kinds = [parts[at][alone], *[inside for inside, _, _ in parts[at + 1 : at + width]]]
+    return [f"{kind}{part[2]}" for kind, part in zip(kinds, parts[at : at + width]) if kind >= 0]
+
+
+def mostly_literal(parts: list, width: int, alone: bool) -> np.ndarray:
+    """Whether each window has more words than placeholders."""
+    literal = np.array([[inside < 0, by_itself < 0] for inside, by_itself, _ in parts], np.int64)
+    n = len(literal) - width + 1
+    total = np.concatenate([[0], np.cumsum(literal[:, 0])])
+    return 2 * (total[width:] - total[:n] + alone * (literal[:n, 1] - literal[:n, 0])) > width
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Windows of every item: hash, item_id, width, verbatim, at, slots, of_windows (how many the item has). Items under ``LEAST`` words have none.
 
-    Each window is there once: by its template with the slots, or verbatim without any where placeholders are the most.
+    A window is there by its template with the slots, or verbatim without any where placeholders are the most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +166,10 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
                 words = (text or "").split()
                 parts = all_parts(words)
                 size = min(width, len(parts))
-                for w, verbatim, hashes, marks in templates.windows(words, [(size, False), (size, True)] if size >= LEAST else []):
-                    at = (mostly_literal(marks, w) != verbatim).nonzero()[0].tolist()
-                    rows += [(hashes[k].astype(np.int64).item(), item, w, verbatim, k, [] if verbatim else slots(parts, k, w), len(hashes)) for k in at]
+                for w, verbatim, alone, places, hashes in templates.windows(words, [(size, False), (size, True)] if size >= LEAST else []):
+                    wanted = mostly_literal(parts, w, alone)[places] != verbatim
+                    for k, h in zip(places[wanted].tolist(), hashes[wanted].astype(np.int64).tolist()):
+                        rows.append((h, item, w, verbatim, k, [] if verbatim else slots(parts, k, w, alone), len(parts) - w + 1))
             names = ["hash", "item_id", "width", "verbatim", "at", "slots", "of_windows"]
             columns = list(zip(*rows)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32()]
@@ -166,14 +196,15 @@ def matching_windows(docs: DataFrame, wanted: np.ndarray, kinds: list[tuple[int,
                 rows = []
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]):
                     key, words = None, (text or "").split()
-                    for w, verbatim, hashes, _ in templates.windows(words, kinds):
+                    for w, verbatim, alone, places, hashes in templates.windows(words, kinds):
                         at = np.flatnonzero(first[hashes >> np.uint64(64 - bits)])
                         if len(at):
                             at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
                         if len(at):
                             if key is None:
                                 key, parts = hashlib.md5(text.encode()).hexdigest(), all_parts(words)
-                            rows += [(hashes[k].astype(np.int64).item(), key, doc, k, [] if verbatim else slots(parts, k, w)) for k in at.tolist()]
+                            for k, h in zip(places[at].tolist(), hashes[at].astype(np.int64).tolist()):
+                                rows.append((h, key, doc, k, [] if verbatim else slots(parts, k, w, alone)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["hash", "key", "doc_id", "doc_at", "doc_slots"])
 

@@ -107,3 +107,31 @@ def test_windows_of_placeholders_are_found_verbatim(spark, documents):
     out = decontaminate.leaks(documents(rows), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == {(0, 0), (1, 1), (2, 2), (3, 2)}
     assert all(r["coverage"] == 1 and not r["changed"] for r in out)
+
+
+def test_short_units_after_numbers(spark, documents):
+    trip = "the train went 120 km in 2 h and then stood still for a while before noon"
+    bench = items(spark, [(1, trip), (2, "she bought 5 in nails and left for town at once with them today")])
+    rows = [
+        (1, trip.replace("120 km", "75 mi").replace("2 h", "3 h")),
+        (2, trip.replace("120 km", "75mi").replace("2 h", "90min")),
+        (3, trip.replace("120 km", "km 120")),
+        (4, trip.replace("km", "h")),
+        # a window that begins at a unit does not hang on the word before it
+        (5, "pigs in nails and left for town at once with them here"),
+        (6, "it rose 20 °C so we all went out to the lake"),
+    ]
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(documents(rows), bench).collect()}
+    of_trip = 17 - decontaminate.WIDTH + 1
+    assert {k for k, r in out.items() if r["coverage"] == 1} == {(1, 1), (2, 1)} and out[1, 1]["changed"] and out[1, 1]["n_windows"] == of_trip
+    assert (4, 1) not in out or out[4, 1]["coverage"] < 1
+    assert (5, 2) in out
+    assert found(decontaminate.leaks(documents(rows), items(spark, [(3, "it rose 9°F so we all went out to the lake")]))) == {(6, 3)}
+    words = "he is 5 in all at 5 km a day but 5% of 7 % is $5 or $ 5 °C 5 °C In 5 In".split()
+    parts, template = decontaminate.all_parts(words), decontaminate.Templates()
+    inside, alone, _ = template.hashes(words)
+    hashed = lambda kind, value: decontaminate.word_hash(value if kind < 0 else f"<{decontaminate.TYPES[kind]}>")
+    assert inside.tolist() == [hashed(i, v) for i, _, v in parts]
+    assert alone.tolist() == [hashed(a, v) for _, a, v in parts]
+    kinds = [(v, i) for i, _, v in parts]
+    assert kinds[3:8] == [("in", 2), ("all", -1), ("at", -1), ("5", 0), ("km", 2)] and kinds[-1] == ("in", 2) and kinds[-3] == ("in", 1)
