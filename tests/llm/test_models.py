@@ -126,6 +126,17 @@ def test_obfuscated_words_are_caught(spark, documents):
     assert all(not r["held_out"] for r in rows if r["doc_id"] is None)
 
 
+def test_spaced_words_beside_short_ones(spark, documents):
+    filler = "you are a person who will often go to an old house and then it is up to us".split()
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.choices(filler, k=25) + (["stupid" if k % 2 else "idiot"] if k % 5 < 2 else []))) for k in range(400)]
+    labels = spark.createDataFrame([(k, 0, int(k % 5 < 2)) for k in range(400)], "doc_id long, quality int, toxic int")
+    said = ["you are a s t u p i d person", "what a i d i o t", "y o u i d i o t", "go s  t  u  p  i  d then", "st up id person", "a s t u p i d!", "(i d i o t), then", "a s t u p ! d person"]
+    fine = ["it is up to us", "a p e r s o n", "go to an old house", "1 2 3 4 a 5", "h o u s e"]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(documents(rows + list(enumerate(said + fine, 1000))), labels).collect()}
+    assert [got[1000 + k] for k in range(len(said + fine))] == [1] * len(said) + [0] * len(fine)
+
+
 @pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
 def test_few_or_no_labels(spark, documents, scores):
     docs = documents([(1, "a b c"), (1, "a b c"), (2, None), (None, ""), (3, "x" * 200_000)])
