@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oddrows.llm import bpe, chat, counts, decontaminate, embeddings, html_text, jaccard, quality, suffix, toxicity
+from oddrows.llm import bpe, chat, counts, decontaminate, embeddings, filter_audit, html_text, jaccard, quality, secret_scan, source_divergence, suffix, toxicity
 from oddrows.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality": op2_quality,
@@ -66,5 +78,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_secret_scan": op13_secret_scan,
+}
+SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": embeddings.SQL,
+    "op4_chat_formatting": chat.SQL,
+    "op6_jaccard_join": jaccard.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_source_divergence": source_divergence.SQL,
+    "op13_secret_scan": secret_scan.SQL,
 }
-SQL: dict[str, str] = {"op1_embedding_near_dedup": embeddings.SQL, "op4_chat_formatting": chat.SQL, "op6_jaccard_join": jaccard.SQL}
