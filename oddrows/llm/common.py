@@ -37,6 +37,18 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_arrow(df: DataFrame, inputs: list[str], outputs: T.StructType, make: Callable[[], Callable], rows: int = SLICE_ROWS, raw: bool = False) -> DataFrame:
     """Add columns computed from ``inputs`` row by row, a slice of rows at a time, inside Arrow batches.
 
@@ -45,7 +57,7 @@ def with_arrow(df: DataFrame, inputs: list[str], outputs: T.StructType, make: Ca
     """
     new = [f.name for f in outputs]
     keep = [c for c in df.columns if c not in new]
-    needed = [f"__in{i}" for i in range(len(inputs))]
+    needed = unused(df, *[f"in{i}" for i in range(len(inputs))])
     wide = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(n) for c, n in zip(inputs, needed)])
     schema = T.StructType([df.schema[c] for c in keep] + list(outputs))
     types = [to_arrow_schema(T.StructType([f])).field(0).type for f in outputs]

@@ -6,12 +6,19 @@ are consistent: equal values on one side face equal values on the other, type by
 names is caught, while a chance likeness of placeholders is not. A benchmark window with no more words than placeholders has
 no template: it meets by the hash of its lower-case words as they are, so that its verbatim copies are found. Units of one or two
 letters are units after a number, else words like others.
+
+A word that stands in no benchmark item cannot be part of a match, so documents are read against a bitmap of the benchmark's words:
+only where enough possible words follow each other are windows hashed at all.
+
+An item of fewer words than a window is one window of its own; below ``LEAST`` words it is looked for verbatim only. Null and
+empty texts match nothing. Ids keep their type; they may be null.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,12 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from oddrows.llm.common import SLICE_ROWS, mix64, save
+from oddrows.llm.common import SLICE_ROWS, mix64, save, unused
 
 WIDTH = 10
-# An item of fewer words than a window is one window of its own, from this many words on.
+# Items of fewer words have no template.
 LEAST = 5
+# Bits of the bitmap of the benchmark's words, whatever their number: false hits cost time only.
+WORD_BITS = 23
 # Benchmark windows whose hashes are sent to the tasks at once (8 bytes each); more are taken in blocks.
 BLOCK = 1_000_000
 MEMORY = 300_000
@@ -76,12 +87,47 @@ def parts_of(word: str) -> list[tuple[int, int, str, bool]]:
 NUM, UNIT = (np.uint64(word_hash(f"<{t}>")) for t in ("NUM", "UNIT"))
 
 
+def literal_bit(part: str) -> int:
+    return zlib.crc32(part.encode()) >> (32 - WORD_BITS)
+
+
+def literal_known(bits: bytes, part: str) -> int:
+    at = zlib.crc32(part.encode()) >> (32 - WORD_BITS)
+    return bits[at >> 3] >> (at & 7) & 1
+
+
+# what stands for a literal that is in no benchmark item
+NOWHERE = np.uint64(0)
+
+
 class Templates:
-    """Words to hashes of template and word, remembered for up to ``MEMORY`` words."""
+    """Words to hashes of template and word, remembered for up to ``MEMORY`` words.
+
+    With a bitmap of possible literals (by ``literal_bit``), all others are hashed as ``NOWHERE``.
+    """
 
-    def __init__(self):
+    def __init__(self, possible: bytes | None = None):
         self.known: dict[str, bytes] = {}
+        self.possible = possible
         self.powers = self.inverses = np.ones(1, np.uint64)
+        self.nowhere, self.name = bytes(16), word_hash("<NAME>").to_bytes(8, "little") + bytes(8)
+
+    def packed(self, word: str) -> bytes:
+        """For each part of a word the hash in a template and of the part itself; the lowest bit of the latter marks a short unit."""
+        possible = self.possible
+        if possible is not None:
+            bare = word.strip(EDGE)
+            if bare.isalpha():
+                # most words are one literal (or name) that no benchmark item holds
+                low = bare.lower()
+                if low not in UNITS and not literal_known(possible, low):
+                    return self.name if bare[0].isupper() and bare[1:].islower() else self.nowhere
+        made = []
+        for h, kind, low, short in parts_of(word):
+            here = possible is None or literal_known(possible, low)
+            plain = word_hash(low) & ~1 if here else 0
+            made.append((h if here or kind >= 0 else 0).to_bytes(8, "little") + (plain | short).to_bytes(8, "little"))
+        return b"".join(made)
 
     def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By part: hash in the template with the part before in view, the same without, hash of the lower-case part itself."""
@@ -89,8 +135,7 @@ class Templates:
         if len(known) > MEMORY:
             known.clear()
         for word in set(words).difference(known):
-            # the lowest bit of the second hash marks a short unit
-            known[word] = b"".join(h.to_bytes(8, "little") + (word_hash(low) & ~1 | short).to_bytes(8, "little") for h, _, low, short in parts_of(word))
+            known[word] = self.packed(word)
         pairs = np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype("<u8")).reshape(-1, 2)
         alone, plain = pairs[:, 0], pairs[:, 1]
         inside, short = alone, plain & np.uint64(1)
@@ -115,19 +160,26 @@ class Templates:
         that it also meets a copy that begins there.
         """
         inside, alone, plain = self.hashes(words)
+        # a short unit counts as possible by either of its readings
+        gaps = {False: (inside == NOWHERE) & (alone == NOWHERE), True: plain == NOWHERE}
+        missing = {v: np.concatenate([[0], np.cumsum(gap)]) for v, gap in gaps.items()} if self.possible is not None else {}
         sums: dict[bool, np.ndarray] = {}
         for width, verbatim in kinds:
             n = len(plain) - width + 1
             if n < 1:
                 continue
+            places = np.flatnonzero(missing[verbatim][width:] == missing[verbatim][:n]) if missing else np.arange(n)
+            if not len(places):
+                continue
             if verbatim not in sums:
                 sums[verbatim] = self.sums(plain if verbatim else inside)
-            total = (sums[verbatim][width:] - sums[verbatim][:n]) * self.inverses[:n]
+            total = (sums[verbatim][places + width] - sums[verbatim][places]) * self.inverses[places]
             salt = np.uint64(width + VERBATIM * verbatim)
-            yield width, verbatim, False, np.arange(n), mix64(total + salt)
+            yield width, verbatim, False, places, mix64(total + salt)
             if not verbatim and inside is not alone:
-                at = np.flatnonzero(inside[:n] != alone[:n])
-                yield width, False, True, at, mix64(total[at] + alone[at] - inside[at] + salt)
+                odd = np.flatnonzero(inside[places] != alone[places])
+                at = places[odd]
+                yield width, False, True, at, mix64(total[odd] + alone[at] - inside[at] + salt)
 
 
 def all_parts(words: list[str]) -> list[tuple[int, int, str]]:
@@ -153,10 +205,12 @@ def mostly_literal(parts: list, width: int, alone: bool) -> np.ndarray:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Windows of every item: hash, item_id, width, verbatim, at, slots, of_windows (how many the item has). Items under ``LEAST`` words have none.
+    """Windows of every item: hash, item_id, width, verbatim, at, slots, of_windows (how many the item has).
 
-    A window is there by its template with the slots, or verbatim without any where placeholders are the most.
+    A window is there by its template with the slots, or verbatim without any where placeholders are the most or words are few.
     """
+    kind = items.schema["item_id"].dataType
+    item_type = to_arrow_schema(T.StructType([T.StructField("item_id", kind)])).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -166,36 +220,56 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
                 words = (text or "").split()
                 parts = all_parts(words)
                 size = min(width, len(parts))
-                for w, verbatim, alone, places, hashes in templates.windows(words, [(size, False), (size, True)] if size >= LEAST else []):
-                    wanted = mostly_literal(parts, w, alone)[places] != verbatim
+                for w, verbatim, alone, places, hashes in templates.windows(words, [(size, False), (size, True)] if size else []):
+                    wanted = ((size >= LEAST) & mostly_literal(parts, w, alone)[places]) != verbatim
                     for k, h in zip(places[wanted].tolist(), hashes[wanted].astype(np.int64).tolist()):
                         rows.append((h, item, w, verbatim, k, [] if verbatim else slots(parts, k, w, alone), len(parts) - w + 1))
             names = ["hash", "item_id", "width", "verbatim", "at", "slots", "of_windows"]
             columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            types = [pa.int64(), item_type, pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    schema = "hash long, item_id long, width int, verbatim boolean, at int, slots array<string>, of_windows int"
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = f"hash long, item_id {kind.simpleString()}, width int, verbatim boolean, at int, slots array<string>, of_windows int"
+    return items.select("item_id", "text").mapInArrow(run, schema)
 
 
-def matching_windows(docs: DataFrame, wanted: np.ndarray, kinds: list[tuple[int, bool]]) -> DataFrame:
-    """Windows of the documents whose hash is wanted: hash, key (digest of the text), doc_id, doc_at, doc_slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
+def possible_literals(items: DataFrame) -> bytes:
+    """Bitmap of the literals of all items, of ``2 ** WORD_BITS`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
-        known = shared.value
+        for batch in batches:
+            bits = {literal_bit(low) for text in batch.column(0).to_pylist() for w in set((text or "").split()) for _, _, low, _ in parts_of(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int32())], names=["bit"])
+
+    found = items.select("text").mapInArrow(run, "bit int").distinct().toArrow().column(0).to_numpy()
+    table = np.zeros(1 << WORD_BITS, bool)
+    table[found] = True
+    return np.packbits(table, bitorder="little").tobytes()
+
+
+def matching_windows(docs: DataFrame, wanted: np.ndarray, kinds: list[tuple[int, bool]], possible: bytes) -> DataFrame:
+    """Windows of the documents whose hash is wanted: hash, key (digest of the text), doc_id, doc_at, doc_slots.
+
+    Equal windows of a document and item slots are one row, so what a popular window sends is bounded by its documents.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(wanted), possible))
+    kind = docs.schema["doc_id"].dataType
+    doc_type = to_arrow_schema(T.StructType([T.StructField("doc_id", kind)])).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits_of_words = shared.value
+        templates = Templates(bits_of_words)
         # most windows are ruled out by the first bits of their hash
         bits = max(16, int(len(known)).bit_length() + 5)
         first = np.zeros(1 << bits, bool)
         first[known >> np.uint64(64 - bits)] = True
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+        types = [pa.int64(), pa.string(), doc_type, pa.int32(), pa.list_(pa.string())]
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 rows = []
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]):
                     key, words = None, (text or "").split()
+                    seen: set = set()
                     for w, verbatim, alone, places, hashes in templates.windows(words, kinds):
                         at = np.flatnonzero(first[hashes >> np.uint64(64 - bits)])
                         if len(at):
@@ -204,31 +278,33 @@ def matching_windows(docs: DataFrame, wanted: np.ndarray, kinds: list[tuple[int,
                             if key is None:
                                 key, parts = hashlib.md5(text.encode()).hexdigest(), all_parts(words)
                             for k, h in zip(places[at].tolist(), hashes[at].astype(np.int64).tolist()):
-                                rows.append((h, key, doc, k, [] if verbatim else slots(parts, k, w, alone)))
+                                values = [] if verbatim else slots(parts, k, w, alone)
+                                if (h, alone, *values) not in seen:  # places rise, so the first one stays
+                                    seen.add((h, alone, *values))
+                                    rows.append((h, key, doc, k, values))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["hash", "key", "doc_id", "doc_at", "doc_slots"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hash long, key string, doc_id long, doc_at int, doc_slots array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"hash long, key string, doc_id {kind.simpleString()}, doc_at int, doc_slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Documents that hold a window of a benchmark item, one row per document and item.
 
     Columns: key (md5 of the text), doc_id, item_id, n_windows (of the item, found with consistent slots), coverage (their
-    share), first_at (word), changed (some slot has another value). Null and empty texts, and items under five words, match
-    nothing; rows that repeat an id and a text count once.
+    share), first_at (word), changed (some slot has another value). Rows that repeat an id and a text count once.
     """
     items = save(benchmark_windows(benchmark, width), "benchmark-windows")
     hashes = items.select("hash").distinct()
     kinds = sorted((r["width"], r["verbatim"]) for r in items.select("width", "verbatim").distinct().collect())
     blocks = max(1, -(-hashes.count() // BLOCK))
+    possible = possible_literals(benchmark)
     found = None
     for k in range(blocks):
         part = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
         wanted = np.array([r["hash"] for r in part.collect()], np.int64).astype(np.uint64)
-        if len(wanted) or found is None:
-            some = matching_windows(docs, wanted, kinds) if len(wanted) else docs.sparkSession.createDataFrame([], "hash long, key string, doc_id long, doc_at int, doc_slots array<string>")
-            found = some if found is None else found.unionByName(some)
+        some = matching_windows(docs, wanted, kinds if len(wanted) else [], possible)
+        found = some if found is None else found.unionByName(some)
     pairs = F.zip_with("slots", "doc_slots", lambda a, b: F.concat(a, F.lit("\u0000"), b))
     distinct = lambda c: F.size(F.array_distinct(c))
     consistent = (distinct(pairs) == distinct("slots")) & (distinct("slots") == distinct("doc_slots"))
@@ -245,5 +321,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that hold a benchmark window; columns and rows are otherwise unchanged."""
-    bad = leaks(docs, benchmark, width).select(F.col("key").alias("__leak")).distinct()
-    return docs.join(bad, F.md5(F.col("text").cast("binary")) == F.col("__leak"), "left_anti")
+    (leak,) = unused(docs, "leak")
+    bad = leaks(docs, benchmark, width).select(F.col("key").alias(leak)).distinct()
+    return docs.join(bad, F.md5(F.col("text").cast("binary")) == F.col(leak), "left_anti")

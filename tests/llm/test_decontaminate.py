@@ -74,7 +74,7 @@ def test_blocks_of_the_benchmark(spark, documents, monkeypatch):
         for i, b in bench:
             u = b.split()
             n = min(10, len(u))
-            grams = {tuple(u[k : k + n]) for k in range(len(u) - n + 1)} if n >= 5 else set()
+            grams = {tuple(u[k : k + n]) for k in range(len(u) - n + 1)}
             if any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1)):
                 brute.add((d, i))
     assert want == brute
