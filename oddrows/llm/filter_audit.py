@@ -30,7 +30,7 @@ from oddrows.llm.common import with_arrow
 
 FILTERS = "ABCDE"
 # Bytes of text under one prefix before it is replaced by longer ones, and bytes that a task's own trie may hold.
-RANGE_BYTES, LOCAL_BYTES = 32 << 20, 16 << 20
+RANGE_BYTES, LOCAL_BYTES = 2 << 20, 16 << 20
 MOST_RANGES = 1_000_000
 # Signs of the first prefix; each level has four times as many as the one before.
 FIRST_PREFIX, GROWTH = 16, 4
