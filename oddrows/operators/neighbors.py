@@ -4,15 +4,16 @@ Equal points are collapsed to one weighted point first. A function then reduces
 against a block of reference points (numpy, bounded memory) to partial results that merge by key:
 
 * a reference set of a checked size is broadcast and each task streams its query rows past it;
-* a larger one is cut into cells around pivots and cells into blocks of a few thousand rows. With a reach
-  (a radius, or k nearest) a query only visits cells the triangle inequality cannot rule out; both sides of
-  every (cell, block, block) tile are bounded, whatever the skew of the data.
+* a larger one is cut into cells around pivots and cells into blocks of a few thousand rows. With a radius
+  a query only visits cells the triangle inequality cannot rule out; nearest neighbours are searched in two rounds, the first
+  of which finds each query its own bound. Both sides of every (cell, block, block) tile are bounded, whatever the skew.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, TASK_ROWS, TASK_
 TILE_ROWS = 4096
 CHUNK_CELLS = 4_000_000  # distance matrix entries held at once
 MAX_PIVOTS = 2048
+NEAR_ROWS = 1024  # rows of a cell in the search for nearest neighbours
 
 
 def point(xs: Sequence[str]) -> Column:
@@ -71,7 +73,6 @@ def blockwise(
     fn: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame],
     schema: str,
     radius: float | None = None,
-    nearest: int | None = None,
 ) -> DataFrame:
     """Partial results of ``fn(query rows, reference rows, squared distances)`` over all tiles that matter.
 
@@ -98,68 +99,75 @@ def blockwise(
 
         spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         return query.repartition(spread, "qid").mapInPandas(stream, schema)
-    return _tiled(query, ref, reduce_block, schema, radius, nearest)
+    return _tiled(query, ref, reduce_block, schema, radius)
 
 
-def _tiled(query, ref, reduce_block, schema, radius, nearest):
-    spark = query.sparkSession
-    n = ref.count()
-    wanted = min(MAX_PIVOTS, max(2, math.ceil(n / TILE_ROWS)))
-    pivots = coordinates(sample_n(ref, "pid", wanted).select("x").toPandas())
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ref.schema)
+@dataclass
+class Cells:
+    """A reference set cut into cells around pivots: its rows with ``_cell``, and per cell the pivot, radius, rows and range of weights."""
+
+    rows: DataFrame
+    ids: np.ndarray
+    centers: np.ndarray
+    reach: np.ndarray
+    sizes: np.ndarray
+    light: np.ndarray
+    heavy: np.ndarray
+
 
-    def pieces(batches):
-        step = max(1, CHUNK_CELLS // len(pivots))
-        for b in batches:
-            for i in range(0, len(b), step):
-                yield b.iloc[i : i + step]
+def _pieces(batches, width: int):
+    step = max(1, CHUNK_CELLS // max(1, width))
+    for b in batches:
+        for i in range(0, len(b), step):
+            yield b.iloc[i : i + step]
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def cells_of(ref: DataFrame, rows: int) -> Cells:
+    """Cells of about so many rows of ``ref`` (key ``pid``, coordinates ``x``, weight ``w``), at most ``MAX_PIVOTS``."""
+    wanted = min(MAX_PIVOTS, max(2, math.ceil(ref.count() / rows)))
+    pivots = coordinates(sample_n(ref, "pid", wanted).select("x").toPandas())
 
     def assign(batches):
-        for b in pieces(batches):
+        for b in _pieces(batches, len(pivots)):
             d = np.sqrt(sq_distances(coordinates(b), pivots))
             yield b.assign(_cell=d.argmin(axis=1).astype("int32"), _far=d.min(axis=1))
 
-    celled = cut_lineage(ref.mapInPandas(assign, f"{fields}, _cell int, _far double"))
-    stats = celled.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("r")).toPandas()
-    cells = stats["_cell"].to_numpy()
-    reach, rows = stats["r"].to_numpy(), stats["n"].to_numpy()
-    centers = pivots[cells]
-    qfields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema)
+    celled = cut_lineage(ref.mapInPandas(assign, f"{_fields(ref)}, _cell int, _far double"))
+    weight = F.col("w") if "w" in ref.columns else F.lit(1)
+    stats = celled.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("r"), F.min(weight).alias("light"), F.max(weight).alias("heavy")).toPandas()
+    of = {c: stats[c].to_numpy() for c in ("_cell", "r", "n", "light", "heavy")}
+    return Cells(celled, of["_cell"], pivots[of["_cell"]], of["r"], of["n"], of["light"].astype(float), of["heavy"].astype(float))
+
+
+def routed(query: DataFrame, cells: Cells, keep: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """A row for every query and every cell that ``keep(rows, distances to the pivots)`` marks."""
+    ids, centers = cells.ids, cells.centers
 
     def route(batches):
-        for b in pieces(batches):
-            d = np.sqrt(sq_distances(coordinates(b), centers))
-            if radius is not None:
-                keep = d - reach[None, :] <= radius * (1 + 1e-9) + 1e-12
-            elif nearest is not None:
-                upper = d + reach[None, :]
-                order = np.argsort(upper, axis=1)
-                held = np.cumsum(rows[order], axis=1)
-                at = np.argmax(held >= min(nearest, rows.sum()), axis=1)
-                bound = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], axis=1), axis=1)
-                keep = d - reach[None, :] <= bound * (1 + 1e-9) + 1e-12
-            else:
-                keep = np.ones_like(d, dtype=bool)
-            row, cell = np.nonzero(keep)
-            yield b.iloc[row].assign(_cell=cells[cell].astype("int32"))
-
-    routed = cut_lineage(query.mapInPandas(route, f"{qfields}, _cell int"))
-    visits = routed.groupBy("_cell").agg(F.count("*").alias("v")).toPandas().set_index("_cell")["v"].to_dict()
-    plan = [
-        (int(c), max(1, math.ceil(k / TILE_ROWS)), max(1, math.ceil(visits.get(c, 0) / TILE_ROWS)))
-        for c, k in zip(cells, rows)
-    ]
+        for b in _pieces(batches, len(centers)):
+            row, cell = np.nonzero(keep(b, np.sqrt(sq_distances(coordinates(b), centers))))
+            yield b.iloc[row].assign(_cell=ids[cell].astype("int32"))
+
+    return cut_lineage(query.mapInPandas(route, f"{_fields(query)}, _cell int"))
+
+
+def met(visits: DataFrame, cells: Cells, reduce_block, schema: str, query_columns: Sequence[str], once: bool = False) -> DataFrame:
+    """Partial results of the visits: both sides of a cell are cut into blocks that meet in tiles. With ``once`` a query meets one block."""
+    spark = visits.sparkSession
+    count = visits.groupBy("_cell").agg(F.count("*").alias("v")).toPandas().set_index("_cell")["v"].to_dict()
+    plan = []
+    for c, k in zip(cells.ids, cells.sizes):
+        blocks = max(1, math.ceil(k / TILE_ROWS))
+        plan.append((int(c), blocks, max(1, math.ceil(count.get(c, 0) / (blocks if once else 1) / TILE_ROWS))))
     blocks = F.broadcast(spark.createDataFrame(plan, "_cell int, _rb int, _qb int"))  # one row per cell, <= MAX_PIVOTS
-    q = (
-        routed.join(blocks, "_cell")
-        .withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_qb")))
-        .withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rb").cast("long") - 1)))
-    )
-    r = (
-        celled.join(blocks, "_cell")
-        .withColumn("_r", F.pmod(F.xxhash64("pid"), F.col("_rb")))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb").cast("long") - 1)))
-    )
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    own = F.pmod(F.xxhash64("qid", F.lit(1)), F.col("_rb"))
+    q = visits.join(blocks, "_cell").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_qb"))).withColumn("_r", own if once else every("_rb"))
+    r = cells.rows.join(blocks, "_cell").withColumn("_r", F.pmod(F.xxhash64("pid"), F.col("_rb"))).withColumn("_q", every("_qb"))
     keys = ["_cell", "_q", "_r"]
     empty_cols = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -168,12 +176,74 @@ def _tiled(query, ref, reduce_block, schema, radius, nearest):
             return pd.DataFrame({c: [] for c in empty_cols})
         return pd.concat(list(reduce_block(qp, rp)), ignore_index=True)
 
-    return (
-        q.select(*query.columns, *keys)
-        .groupBy(*keys)
-        .cogroup(r.select(*ref.columns, *keys).groupBy(*keys))
-        .applyInPandas(tile, schema)
-    )
+    kept = [c for c in cells.rows.columns if c not in ("_cell", "_far")]
+    return q.select(*query_columns, *keys).groupBy(*keys).cogroup(r.select(*kept, *keys).groupBy(*keys)).applyInPandas(tile, schema)
+
+
+def _tiled(query, ref, reduce_block, schema, radius):
+    cells = cells_of(ref, TILE_ROWS)
+    reach = cells.reach
+
+    def keep(b, d):
+        return np.ones_like(d, dtype=bool) if radius is None else d - reach[None, :] <= radius * (1 + 1e-9) + 1e-12
+
+    return met(routed(query, cells, keep), cells, reduce_block, schema, query.columns)
+
+
+def pruned(cells: Cells, k: int, ward: bool):
+    """Marks the cells that may hold one of the k nearest, given ``_bound``, a value that k rows do not exceed (or null).
+
+    The measure is the squared distance, or with ``ward`` the increase of the squares within clusters when two weighted
+    centres ``x``, ``w`` merge. The pivots give another bound: cells in order of their farthest row until k rows are held.
+    A row of a cell is no nearer than the cell's ball, nor than the plane halfway between its pivot and the query's own.
+    """
+    reach, sizes, light, heavy, centers = cells.reach, cells.sizes, cells.light, cells.heavy, cells.centers
+    between: list[np.ndarray] = []  # distances of the pivots, made once in a task
+
+    def factor(b, other):
+        w = b["w"].to_numpy(dtype=float)[:, None]
+        return w * other[None, :] / (w + other[None, :])
+
+    def keep(b, d):
+        if not between:
+            between.append(np.sqrt(sq_distances(centers, centers)))
+            np.fill_diagonal(between[0], np.inf)
+        own = d.argmin(axis=1)
+        plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * between[0][own])
+        # rounding of the plane's place must not rule out a row
+        low = np.maximum(np.maximum(0.0, d - reach[None, :]), plane * (1 - 1e-9) - 1e-12) ** 2
+        high = (d + reach[None, :]) ** 2
+        if ward:
+            low, high = low * factor(b, light), high * factor(b, heavy)
+        order = np.argsort(high, axis=1)
+        held = np.cumsum(sizes[order], axis=1)
+        at = np.argmax(held >= min(k, sizes.sum()), axis=1)
+        bound = np.take_along_axis(high, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
+        if "_bound" in b:
+            bound = np.fmin(bound, b["_bound"].to_numpy(dtype=float))
+        return low <= (bound * (1 + 1e-9) + 1e-12)[:, None]
+
+    return keep
+
+
+def two_rounds(query: DataFrame, ref: DataFrame, k: int, fn: Callable, schema: str, value: str, ward: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Search by cells: a block of the home cell gives each query a bound, then it visits the cells within it.
+
+    ``fn`` keeps the k best of a block, with their measure in the column ``value``. Returns the partial results and the visits.
+    """
+    cells = cells_of(ref, min(NEAR_ROWS, TILE_ROWS))
+
+    def reduce_block(q, r):
+        for part in _pieces([q], len(r)):
+            yield fn(part, r, sq_distances(coordinates(part), coordinates(r)))
+
+    def home(b, d):
+        return np.arange(d.shape[1])[None, :] == d.argmin(axis=1)[:, None]
+
+    first = met(routed(query, cells, home), cells, reduce_block, schema, query.columns, once=True)
+    bound = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.max(value)).alias("_bound"))
+    visits = routed(query.join(bound, "qid", "left"), cells, pruned(cells, k + 1 if ward else k, ward))
+    return met(visits, cells, reduce_block, schema, query.columns), visits
 
 
 # --- nearest neighbours --------------------------------------------------------------------------
@@ -194,7 +264,9 @@ def _nearest_points(query: DataFrame, ref: DataFrame, k: int) -> DataFrame:
         row, col = row[best], col[best]
         return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "pid": pid[col], "d2": d2[row, col]})
 
-    parts = blockwise(query, ref, fn, "qid long, pid long, d2 double", nearest=k)
+    schema = "qid long, pid long, d2 double"
+    small = at_most(ref, setting(query.sparkSession, BROADCAST_ROWS_KEY, BROADCAST_ROWS))
+    parts = blockwise(query, ref, fn, schema) if small else two_rounds(query, ref, k, fn, schema, "d2")[0]
     w = Window.partitionBy("qid").orderBy("d2", "pid")  # k rows per tile visited
     return parts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 

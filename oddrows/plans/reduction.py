@@ -26,19 +26,19 @@ from oddrows.session import cut_lineage
 def kmeans_representative_sample(
     df: DataFrame, cols: Sequence[str], y: str, id_col: str, n: int, clusters: Mapping[int, int] | None = None, seed: int = 42
 ) -> DataFrame:
-    """Per class, the row nearest to every k-means centre, topped up in seeded order to the exact quota.
+    """Per class, the row nearest to every k-means centre, as many centres as the class' quota.
 
-    ``clusters`` bounds the number of centres per class (750 positive, 1,500 negative); the quota itself is
-    always filled.
+    ``clusters`` may ask for fewer centres per class. Where centres or distinct points are fewer than the quota, rows in seeded
+    order fill it.
     """
-    clusters = clusters or {1: 750, 0: 1500}
+    clusters = clusters or {}
     counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
     quotas = stratified_quotas(counts, n)
     reps = None
     for value, quota in quotas.items():
         if quota < 1:
             continue
-        rows, _ = kmeans(df.filter(F.col(y) == value), cols, max(2, min(quota, clusters.get(value, quota))), id_col, seed)
+        rows, _ = kmeans(df.filter(F.col(y) == value), cols, min(quota, clusters.get(value, quota)), id_col, seed)
         best = closest_to_center(rows.select("cluster", "distance", id_col), "cluster", "distance", id_col)
         # never more than the quota: the nearest representatives win
         part = best.orderBy("distance", id_col).limit(quota).select(id_col, F.lit(value).alias("_y"))

@@ -82,6 +82,42 @@ def test_kmeans(frame, bulk):
     assert np.isclose(d.min(1).sum(), model.cost)
 
 
+def test_kmeans_is_the_best_of_its_starts(spark, frame):
+    points = cl.training_points(frame, XS, "id")
+    several = cl.kmeans_models(points, XS, [2, 5, 9])
+    single = [cl.kmeans_models(points, XS, [5], seed=s, starts=1)[5].cost for s in range(42, 52)]
+    assert several[5].cost <= min(single) * 1.02 and several[2].cost > several[5].cost > several[9].cost
+    assert np.isclose(several[5].cost, cl.kmeans_models(points, XS, [5])[5].cost)
+    x = frame.toPandas()[XS].to_numpy()
+    for k, model in several.items():
+        label = ((x[:, None] - model.centers[None]) ** 2).sum(-1).argmin(1)
+        means = np.array([x[label == c].mean(0) for c in range(k)])
+        assert np.abs(means - model.centers).max() < 0.05  # a fixed point, up to the tolerance
+    few = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 2.0, 1.0)], "id long, a double, b double")
+    assert len(cl.kmeans_fit(few, ["a", "b"], 5, "id").centers) == 2
+    assert len(cl.kmeans_fit(few.limit(0), ["a", "b"], 5, "id").centers) == 0
+
+
+def test_center_index():
+    rng = np.random.default_rng(3)
+    centers = np.vstack([rng.normal(c, 0.3, (300, 3)) for c in rng.uniform(-9, 9, (8, 3))])
+    x = np.vstack([rng.normal(size=(500, 3)) * 5, centers[::7]])
+    index = cl.CenterIndex(centers)
+    label, d2 = index.nearest(x)
+    full = ((x[:, None] - centers[None]) ** 2).sum(-1)
+    assert (label == full.argmin(1)).all() and np.allclose(d2, full.min(1))
+    assert index.compared < 0.3 * full.size
+
+
+def test_representatives_fill_the_quota(frame):
+    from oddrows.operators.sampling import stratified_quotas
+    from oddrows.plans import reduction
+
+    rows = reduction.kmeans_representative_sample(frame, XS, "evil", "id", 300).toPandas()
+    quotas = stratified_quotas({0: 990, 1: 10}, 300)
+    assert rows.groupby("evil").size().to_dict() == quotas and rows.id.is_unique
+
+
 def test_many_centers_use_arrow(frame):
     centers = np.random.default_rng(0).normal(size=(400, 3))
     a = cl.nearest_center(frame, XS, centers).toPandas()
@@ -125,9 +161,63 @@ def test_ward_is_exact_on_few_points(spark):
     assert sorted(map(sorted, groups)) == sorted(sorted(np.nonzero(got == c)[0].tolist()) for c in set(got))
 
 
-def test_ward_on_many_points(frame):
-    rows, model = cl.hierarchical(frame, XS, 4, "id", micro=50)
-    assert rows.count() == 1000 and rows.select("cluster").distinct().count() == 4 and model.centers.shape == (4, 3)
+def merged_one_by_one(x, w, ks):
+    """Ward labels for each k by merging the cheapest pair of all, again and again."""
+    c, w, owner, out = x.astype(float).copy(), w.astype(float).copy(), np.arange(len(x)), {}
+    live = np.ones(len(x), bool)
+    d = ((c[:, None] - c[None]) ** 2).sum(-1) * (w[:, None] * w / (w[:, None] + w))
+    np.fill_diagonal(d, np.inf)
+    for left in range(len(x), 0, -1):
+        if left in ks:
+            out[left] = owner.copy()
+        i, j = sorted(divmod(int(d.argmin()), len(c)))
+        c[i] = (c[i] * w[i] + c[j] * w[j]) / (w[i] + w[j])
+        w[i] += w[j]
+        owner[owner == j] = i
+        live[j] = False
+        row = np.where(live, ((c - c[i]) ** 2).sum(1) * (w * w[i] / (w + w[i])), np.inf)
+        row[i] = np.inf
+        d[i] = d[:, i] = row
+        d[j] = d[:, j] = np.inf
+    return out
+
+
+def test_ward_on_many_points(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 2)) * rng.choice([0.2, 1.0, 5.0], (2000, 1)) + rng.choice([0.0, 9.0], (2000, 1))
+    copies = rng.integers(1, 4, 2000)
+    at = np.repeat(np.arange(2000), copies)
+    df = spark.createDataFrame(pd.DataFrame(x[at], columns=["a", "b"]).assign(id=np.arange(len(at))))
+    first = np.searchsorted(at, np.arange(2000))
+    ks = (1, 3, 40, 400)
+    want = merged_one_by_one(x, copies, ks)
+    spark.conf.set("spark.oddrows.broadcastRows", "900")  # the first rounds search by cells
+    try:
+        trees = [cl.ward_tree(cl.training_points(df, ["a", "b"], "id"), finish) for finish in (2000, 500)]
+    finally:
+        spark.conf.unset("spark.oddrows.broadcastRows")
+    assert len(trees[0].rounds) == 0 and len(trees[1].rounds) > 2 and len(trees[1].last) < 500
+    for tree in trees:
+        several = tree.labels(ks).toPandas().sort_values("pid")
+        for k in ks:
+            roots = several[f"root_{k}"].to_numpy()
+            assert len(set(zip(roots, want[k]))) == k == len(set(roots))
+    rows, model = cl.hierarchical(df, ["a", "b"], 40, "id", tree=trees[1])
+    got = rows.toPandas().sort_values("id").cluster.to_numpy()[first]
+    assert len(set(zip(got, want[40]))) == 40
+    for c in (0, 39):
+        assert np.allclose(model.centers[c], np.average(x[got == c], axis=0, weights=copies[got == c]))
+
+
+def test_ward_of_ties_chains_and_few_points(spark):
+    grid = pd.DataFrame([(float(i), float(j)) for i in range(6) for j in range(6)], columns=["a", "b"])
+    chain = pd.DataFrame({"a": 1.5 ** np.arange(24), "b": 0.0})
+    for points in (grid, chain):
+        df = spark.createDataFrame(points.assign(id=np.arange(len(points))))
+        assert cl.hierarchical(df, ["a", "b"], 7, "id", finish=20)[0].select("cluster").distinct().count() == 7
+    few = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (3, None, 1.0), (4, 2.0, 2.0)], "id long, a double, b double")
+    rows = {r["id"]: r["cluster"] for r in cl.hierarchical(few, ["a", "b"], 5, "id")[0].collect()}
+    assert rows == {1: 0, 2: 0, 3: None, 4: 1}
 
 
 def test_isolation_forest(frame):

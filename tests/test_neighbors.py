@@ -126,3 +126,30 @@ def test_centers_listed_or_tiled(spark, monkeypatch):
         assert len(got) == 900 and np.allclose(got.distance, d[got.a, got.b])
         far = d + np.diag(np.full(30, np.inf))
         assert np.isclose(jn.min_center_separation(df, "c", ["a", "b"]).first()[0], far.min(1).mean())
+
+
+def test_two_rounds_visit_less(spark, monkeypatch):
+    """Same neighbours as a plain search, from fewer pairs than whole cells by their farthest rows would take."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 1, (2000, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(id=np.arange(len(x))))
+    points = nb.distinct_points(df, list("ab"), "id")
+    query = points.select(points.pid.alias("qid"), "x")
+    monkeypatch.setattr(nb, "NEAR_ROWS", 100)
+    k = 6
+
+    def fn(q, r, d2):
+        at = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(d2)), at.shape[1])
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "pid": r["pid"].to_numpy()[at.ravel()], "d2": d2[row, at.ravel()]})
+
+    parts, visits = nb.two_rounds(query, points, k, fn, "qid long, pid long, d2 double", "d2")
+    found = parts.toPandas().sort_values(["qid", "d2", "pid"]).groupby("qid").head(k)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for q, part in found.groupby("qid"):
+        assert np.allclose(np.sort(d2[q])[:k], part.d2)
+    cells = nb.cells_of(points, 100)
+    whole = nb.routed(query, cells, nb.pruned(cells, k, False))
+    sizes = dict(zip(cells.ids.tolist(), cells.sizes.tolist()))
+    pairs = [sum(sizes[r["_cell"]] * r["count"] for r in v.groupBy("_cell").count().collect()) for v in (visits, whole)]
+    assert pairs[0] < 0.6 * pairs[1] and pairs[0] < 0.2 * len(x) ** 2
