@@ -9,16 +9,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oddrows.llm import bpe, decontaminate, jaccard, suffix, toxicity
-from oddrows.llm.common import table
+from oddrows.llm.common import table, unused
 from oddrows.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.3 or more."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, score="__score").where("__score < 0.3").drop("__score")
+    (score,) = unused(docs, "score")
+    return toxicity.with_toxicity(docs, model, score=score).where(F.col(score) < 0.3).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard.one_per_group(docs)
 
 
+# Bytes of a passage that the suffix stage cuts: below those of 51 words in any language of the corpus.
+PASSAGE = 250
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that stand earlier in the corpus are cut out of the texts."""
-    return suffix.without_later_copies(docs)
+    """Strings of ``PASSAGE`` bytes or more that stand earlier in the corpus are cut out of the texts."""
+    return suffix.without_later_copies(docs, PASSAGE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
