@@ -257,7 +257,7 @@ def cluster_then_classify_kmeans(spark, sf_dir):
 
 @query("internal_grid")
 def internal_grid(spark, sf_dir):
-    return sd.internal_grid(base(spark, sf_dir), COLS, "id", "evil", [3], [2, 5], ["kmeans", "hierarchical", "dbscan", "gmm", "fcm"])
+    return sd.internal_grid(base(spark, sf_dir), COLS, "id", "evil", [2, 3, 5], [2, 3, 5, 8, 12], ["kmeans", "hierarchical", "dbscan", "gmm", "fcm"])
 
 
 @query("external_eval")
@@ -282,7 +282,7 @@ def external_eval_fcm(spark, sf_dir):
 
 @query("dbscan_grid")
 def dbscan_grid(spark, sf_dir):
-    return sd.dbscan_grid(base(spark, sf_dir), COLS, "id", "evil", [3, 6], [0.4], [20])
+    return sd.dbscan_grid(base(spark, sf_dir), COLS, "id", "evil", [3, 4, 5, 6], [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [5, 10, 15, 20, 50])
 
 
 @query("evil_cluster_tests")

@@ -206,7 +206,12 @@ class Mixture:
 
 
 def gmm_fit(df: DataFrame, cols: Sequence[str], k: int, id_col: str, seed: int = 42, max_iter: int = 50) -> Mixture:
-    points = training_points(df, cols, id_col).withColumn("features", array_to_vector("x")).withColumn("w", F.col("w").cast("double"))
+    return gmm_of_points(training_points(df, cols, id_col), cols, k, seed, max_iter)
+
+
+def gmm_of_points(points: DataFrame, cols: Sequence[str], k: int, seed: int = 42, max_iter: int = 50) -> Mixture:
+    """The mixture of distinct weighted points."""
+    points = points.withColumn("features", array_to_vector("x")).withColumn("w", F.col("w").cast("double"))
     model = GaussianMixture(k=k, seed=seed, weightCol="w", maxIter=max_iter, featuresCol="features").fit(points)
     g = model.gaussians
     return Mixture(

@@ -1,24 +1,25 @@
 """Principal components, one-hot SVD and multiple correspondence analysis.
 
-Spark computes the cross products; only matrices of (columns x columns) or (categories x categories) reach
-the driver. Scoring is a projection with literal matrices or a broadcast category table.
+Spark computes the cross products; only matrices of (columns x columns), of a few axes, or of at most
+``DENSE_CATEGORIES`` squared reach the driver. Scoring is a projection with literal matrices or a join with the category table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddrows.functions.columns import squared_error, total
 from oddrows.models.common import assembled
-from oddrows.session import small_join
+from oddrows.session import cut_lineage, small_join
 
-MAX_CATEGORIES = 20_000  # the category eigenproblem is solved on the driver
+DENSE_CATEGORIES = 1000  # up to here all category pairs are solved at once; more are iterated on Spark
 
 
 @dataclass
@@ -98,26 +99,18 @@ def center_contribution(spark, model: Components, center: Sequence[float]) -> Da
 @dataclass
 class Categories:
     cols: list[str]
-    items: list[tuple[str, str]]  # (column, value)
-    coords: np.ndarray  # items x k: what each category adds to a row's coordinates
+    table: DataFrame  # c, v (column and value), coords: what a category adds to a row's coordinates
     inertia: np.ndarray  # eigenvalues, largest first
 
 
-def _burt(df: DataFrame, cols: Sequence[str]):
-    """Category pair counts. Rows collapse to distinct combinations before pairs are formed."""
+def _combinations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct combinations of the columns (null as empty text) and their rows ``n``."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols]
-    combos = df.select(*text).groupBy(*cols).agg(F.count("*").alias("n"))
-    items = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
-    pairs = combos.select("n", F.explode(items).alias("a"), items.alias("all")).select("n", "a", F.explode("all").alias("b"))
-    counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found = counts.filter("a = b").select("a.c", "a.v").orderBy("c", "v").limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {list(cols)}")
-    order = {(r["c"], r["v"]): i for i, r in enumerate(found)}
-    table = np.zeros((len(order), len(order)))
-    for r in counts.collect():
-        table[order[(r["a"]["c"], r["a"]["v"])], order[(r["b"]["c"], r["b"]["v"])]] = r["n"]
-    return list(order), table
+    return df.select(*text).groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+def _items(cols: Sequence[str]):
+    return F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
 
 
 def _eigen(matrix: np.ndarray, k: int):
@@ -126,37 +119,114 @@ def _eigen(matrix: np.ndarray, k: int):
     return values[order], _signed(vectors[:, order].T).T
 
 
-def onehot_svd_fit(df: DataFrame, cols: Sequence[str], k: int = 15) -> Categories:
-    """Truncated SVD of the one-hot matrix; a row's coordinates are its categories' right singular rows."""
-    items, burt = _burt(df, cols)
-    values, vectors = _eigen(burt, min(k, len(items)))
-    return Categories(list(cols), items, vectors, values)
-
-
-def mca_fit(df: DataFrame, cols: Sequence[str], k: int) -> Categories:
-    """Correspondence analysis of the indicator matrix: principal row coordinates and principal inertias."""
-    items, burt = _burt(df, cols)
+def _dense(combos: DataFrame, sizes: DataFrame, cols: Sequence[str], k: int, scaled: bool) -> tuple[DataFrame, np.ndarray]:
+    """Axes from the table of all category pairs: (c, v, n, axes), eigenvalues."""
+    spark, m = combos.sparkSession, len(cols)
+    found = sizes.orderBy("c", "v").collect()
+    order = {(r["c"], r["v"]): i for i, r in enumerate(found)}
+    pairs = combos.select("n", F.explode(_items(cols)).alias("a"), _items(cols).alias("all")).select("n", "a", F.explode("all").alias("b"))
+    burt = np.zeros((len(order), len(order)))
+    for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        burt[order[r["a"]["c"], r["a"]["v"]], order[r["b"]["c"], r["b"]["v"]]] = r["n"]
+    if scaled:
+        n = np.diag(burt).sum() / m
+        root = np.sqrt(np.diag(burt) / (n * m))
+        burt = burt / (n * m * m) / np.outer(root, root) - np.outer(root, root)
+    values, vectors = _eigen(burt, k)
+    rows = [(r["c"], r["v"], r["n"], vectors[i].tolist()) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "c string, v string, n long, axes array<double>"), values
+
+
+def _iterated(combos: DataFrame, sizes: DataFrame, cols: Sequence[str], k: int, scaled: bool, rounds: int = 100, tol: float = 1e-10):
+    """The same axes by subspace iteration, for any number of categories.
+
+    A block of vectors over the categories is multiplied by the pair counts without forming them: every combination sums the
+    vectors of its categories, and categories sum what their combinations found. Only the products of the block with itself
+    reach the driver. Stops when the eigenvalues have settled.
+    """
+    m = len(cols)
+    total = combos.agg(F.sum("n")).first()[0]
+    width = k + 10
+    numbered = cut_lineage(combos.select(F.monotonically_increasing_id().alias("row"), "n", _items(cols).alias("items")))
+    cells = cut_lineage(numbered.select("row", "n", F.explode("items").alias("item")).select("row", "n", "item.c", "item.v").repartition("row"))
+    # scaling of a category before and after the product; ``root`` is the axis that carries no inertia
+    scale = F.sqrt(F.lit(float(total * m)) / F.col("size")) / (m * math.sqrt(total)) if scaled else F.lit(1.0)
+    root = F.sqrt(F.col("size") / (total * m)) if scaled else F.lit(0.0)
+    names = [f"w{i}" for i in range(width)]
+    start = [(F.pmod(F.xxhash64("c", "v", F.lit(i)), F.lit(2**31)) / 2**31 - 0.5).alias(f"w{i}") for i in range(width)]
+    block = cut_lineage(sizes.select("c", "v", F.col("n").alias("size")).select("c", "v", "size", scale.alias("scale"), root.alias("root"), *start))
+    previous = None
+    for _ in range(rounds):
+        # products of the block, with the idle axis taken out
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        sums = block.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col("root") * F.col(c)).alias(f"r{i}") for i, c in enumerate(names)]).first()
+        gram = np.zeros((len(names),) * 2)
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"]
+        idle = np.array([sums[f"r{i}"] for i in range(len(names))])
+        values, turn = np.linalg.eigh(gram - np.outer(idle, idle))
+        live = np.argsort(values)[::-1]
+        live = live[values[live] > 1e-22 * values.max()]
+        turn = turn[:, live] / np.sqrt(values[live])
+        found = np.sqrt(values[live])[:k]
+        names = names[: len(live)]
+        freed = [F.col(f"w{i}") - F.col("root") * float(idle[i]) for i in range(len(idle))]
+        block = block.select("c", "v", "size", "scale", "root", *[total_of(freed, turn[:, j]).alias(c) for j, c in enumerate(names)])
+        if previous is not None and len(found) == len(previous) and np.abs(found - previous).max() <= tol * found[0]:
+            break
+        previous = found
+        own = block.select("c", "v", *[(F.col(c) * F.col("scale")).alias(c) for c in names])
+        rows = Window.partitionBy("row")  # one row per column of the table
+        met = small_join(cells, own, ["c", "v"], "inner").select("n", "c", "v", *[F.sum(c).over(rows).alias(c) for c in names])
+        back = met.groupBy("c", "v").agg(*[F.sum(F.col("n") * F.col(c)).alias(f"_{c}") for c in names])
+        block = cut_lineage(block.drop(*names).join(back, ["c", "v"]).select("c", "v", "size", "scale", "root", *[(F.col(f"_{c}") * F.col("scale")).alias(c) for c in names]))
+    names = names[:k]
+    block = cut_lineage(block)
+    lead = block.agg(*[F.max_by(c, F.struct(F.abs(F.col(c)), "c", "v")).alias(c) for c in names]).first()
+    signed = F.array(*[F.col(c) * (-1.0 if lead[c] < 0 else 1.0) for c in names])
+    return block.select("c", "v", F.col("size").alias("n"), signed.alias("axes")), found
+
+
+def total_of(parts, weights):
+    return total([p * F.lit(float(w)) for p, w in zip(parts, weights)])
+
+
+def _category_axes(df: DataFrame, cols: Sequence[str], k: int, scaled: bool, dense: int):
+    combos = cut_lineage(_combinations(df, cols))
+    sizes = cut_lineage(combos.select("n", F.explode(_items(cols)).alias("i")).groupBy("i.c", "i.v").agg(F.sum("n").alias("n")))
+    count = sizes.count()
+    k = max(1, min(k, count - len(cols))) if scaled else min(k, count)  # the others carry no inertia
+    table, values = (_dense if count <= dense else _iterated)(combos, sizes, cols, k, scaled)
+    return table, values, combos
+
+
+def onehot_svd_fit(df: DataFrame, cols: Sequence[str], k: int = 15, dense: int = DENSE_CATEGORIES) -> Categories:
+    """Truncated SVD of the one-hot matrix; a row's coordinates are its categories' right singular rows.
+
+    Up to ``dense`` categories are solved from their pair counts, more by subspace iteration on Spark.
+    """
+    table, values, _ = _category_axes(df, cols, k, False, dense)
+    return Categories(list(cols), table.select("c", "v", F.col("axes").alias("coords")), values)
+
+
+def mca_fit(df: DataFrame, cols: Sequence[str], k: int, dense: int = DENSE_CATEGORIES) -> Categories:
+    """Correspondence analysis of the indicator matrix: principal row coordinates and principal inertias (``dense`` as in ``onehot_svd_fit``)."""
+    table, values, combos = _category_axes(df, cols, k, True, dense)
     m = len(cols)
-    n = np.diag(burt).sum() / m
-    mass = np.diag(burt) / (n * m)
-    root = np.sqrt(mass)
-    s = burt / (n * m * m) / np.outer(root, root) - np.outer(root, root)
-    values, vectors = _eigen(s, max(1, min(k, len(items) - m)))  # the others carry no inertia
-    return Categories(list(cols), items, vectors / root[:, None] / m, values)
+    rows = combos.agg(F.sum("n")).first()[0] or 0
+    root = F.sqrt(F.col("n") / float(rows * m))
+    return Categories(list(cols), table.select("c", "v", F.transform("axes", lambda x: x / root / m).alias("coords")), values)
 
 
 def category_coordinates(df: DataFrame, model: Categories, prefix: str) -> DataFrame:
-    """Row coordinates ``<prefix>0 ..``: sum of the broadcast coordinates of the row's categories; unseen add 0."""
-    spark = df.sparkSession
-    k = model.coords.shape[1]
+    """Row coordinates ``<prefix>0 ..``: sum of the coordinates of the row's categories; unseen add 0."""
     out = df
     for j, c in enumerate(model.cols):
-        rows = [(v, model.coords[i].tolist()) for i, (col, v) in enumerate(model.items) if col == c]
-        lookup = spark.createDataFrame(rows, f"_v{j} string, _w{j} array<double>")
+        lookup = model.table.filter(F.col("c") == c).select(F.col("v").alias(f"_v{j}"), F.col("coords").alias(f"_w{j}"))
         keyed = out.withColumn(f"_v{j}", F.coalesce(F.col(c).cast("string"), F.lit("")))
         out = small_join(keyed, lookup, f"_v{j}").drop(f"_v{j}")
     parts = {
-        f"{prefix}{i}": total([F.coalesce(F.get(F.col(f"_w{j}"), F.lit(i)), F.lit(0.0)) for j in range(len(model.cols))]) for i in range(k)
+        f"{prefix}{i}": total([F.coalesce(F.get(F.col(f"_w{j}"), F.lit(i)), F.lit(0.0)) for j in range(len(model.cols))]) for i in range(len(model.inertia))
     }
     return out.withColumns(parts).drop(*[f"_w{j}" for j in range(len(model.cols))])
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from oddrows.functions.columns import COMMON_PROCESSES, DEFAULT_MOUNT_NAMESPACE,
 from oddrows.models import clustering as cl
 from oddrows.models import linear as ln
 from oddrows.models import nets, svm
-from oddrows.models.density import dbscan
+from oddrows.models.common import summed
+from oddrows.models.density import dbscan, dbscan_points
 from oddrows.models.isolation import isolation_forest
 from oddrows.models.trees import balanced_weights, mdi_importance, tree_model
 from oddrows.operators import features as ft
@@ -165,6 +167,8 @@ def cluster_means(df: DataFrame, xs: Sequence[str], cluster: str = "cluster") ->
 
 # --- grids ---------------------------------------------------------------------------------------
 
+MOMENT_ROWS = 50_000  # clusters whose moments are sent to the tasks at once; a single clustering may have more
+
 
 def eps_for(k: int) -> float:
     return 0.1 + 0.1 * (k - 2)
@@ -186,24 +190,101 @@ def cluster_labels(df: DataFrame, xs: Sequence[str], id_col: str, alg: str, k: i
     raise ValueError(f"unknown algorithm {alg!r}")
 
 
-def cluster_quality(rows: DataFrame, xs: Sequence[str], id_col: str, y: str, thr: float = 0.2) -> dict:
-    """Clusters found, noise, silhouette, mutual information with the label, and P/R/F1 of cluster verdicts."""
-    rows = cut_lineage(rows.withColumn("cluster", F.col("cluster").cast("long")))
-    found, noise, n = rows.agg(
-        F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))), F.count_if(F.col("cluster") == -1), F.count("*")
-    ).first()
-    verdicts = label_clusters(rows.filter("cluster <> -1"), y=y, thr=thr)
-    pred = jn.broadcast_verdict(rows, verdicts, verdict="pred")
-    scores = mt.posneg_metrics(pred, y, "pred").first()
-    return {
-        "n_clusters_found": float(found), "noise": float(noise), "n": float(n),
-        "silhouette": nb.silhouette(rows, xs, id_col, "cluster").first()["silhouette"],
-        "mi": mt.mutual_information(rows, "cluster", y).first()["mi"],
-        "precision": scores["precision_pos"], "recall": scores["recall_pos"], "f1": scores["f1_pos"],
-    }
+QUALITY = ("n_clusters_found", "noise", "n", "silhouette", "mi", "precision", "recall", "f1")
+
 
+def quality_of_labels(labelled: DataFrame, names: Sequence[str], thr: float = 0.2) -> DataFrame:
+    """``QUALITY`` of several clusterings of the same weighted points, one row per clustering ``cell``.
 
-QUALITY = ("n_clusters_found", "noise", "n", "silhouette", "mi", "precision", "recall", "f1")
+    ``labelled`` has x, w (rows of the point), w1 (those of class 1) and the label columns (-1 is noise, null counts as noise). One scan sums
+    the moments of all clusters, a second one the silhouettes, in squared distances taken from the moments. Verdicts of
+    clusters and their precision, recall, F1 and mutual information follow from the sums.
+    """
+    d = labelled.select(F.max(F.size("x"))).first()[0] or 0
+    cells = F.array(*[F.struct(F.lit(n).alias("cell"), F.coalesce(F.col(n).cast("long"), F.lit(-1)).alias("c")) for n in names])
+    long = labelled.select("x", "w", "w1", F.explode(cells).alias("_l")).select("x", "w", "w1", "_l.cell", "_l.c")
+    at = [F.get("x", F.lit(j)) for j in range(d)]
+    sums = [F.sum(F.col("w") * a).alias(f"s{j}") for j, a in enumerate(at)]
+    square = F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v)
+    moments = cut_lineage(long.groupBy("cell", "c").agg(F.sum("w").alias("w"), F.sum("w1").alias("w1"), F.sum(F.col("w") * square).alias("q"), *sums))
+    widths = _silhouettes(labelled, moments, names, d)
+    whole = moments.groupBy("cell").agg(F.sum("w").alias("n"), F.sum("w1").alias("n1"))
+    tagged = moments.select("cell", "c", "w", "w1", ((F.col("c") != -1) & (F.col("w1") / F.col("w") > thr)).cast("int").alias("v")).join(whole, "cell")
+    parts = [F.struct(F.col("w1").alias("k"), F.col("n1").alias("m")), F.struct((F.col("w") - F.col("w1")).alias("k"), (F.col("n") - F.col("n1")).alias("m"))]
+    mi = F.aggregate(F.array(*parts), F.lit(0.0), lambda t, p: t + F.when(p["k"] > 0, p["k"] / F.col("n") * F.ln(p["k"] * F.col("n") / (p["m"] * F.col("w")))).otherwise(0.0))
+    out = tagged.withColumn("mi", mi).groupBy("cell").agg(
+        F.count_if(F.col("c") != -1).cast("double").alias("n_clusters_found"),
+        F.coalesce(F.sum(F.when(F.col("c") == -1, F.col("w"))), F.lit(0)).cast("double").alias("noise"),
+        F.max("n").cast("double").alias("n"),
+        F.greatest(F.sum("mi"), F.lit(0.0)).alias("mi"),
+        F.sum(F.col("v") * F.col("w1")).alias("tp"),
+        F.sum(F.col("v") * F.col("w")).alias("pp"),
+        F.max("n1").alias("n1"),
+    )
+    out = out.withColumns({"precision": mt.ratio(F.col("tp"), F.col("pp")), "recall": mt.ratio(F.col("tp"), F.col("n1")), "f1": mt.ratio(2 * F.col("tp"), F.col("pp") + F.col("n1"))})
+    return out.join(widths, "cell").select("cell", *QUALITY)
+
+
+def _silhouettes(labelled: DataFrame, moments: DataFrame, names: Sequence[str], d: int) -> DataFrame:
+    """Mean moment silhouette of every clustering; -1 with fewer than two clusters."""
+    spark = labelled.sparkSession
+    many = {r["cell"]: r["count"] for r in moments.filter("c <> -1").groupBy("cell").count().collect()}
+    value = {n: -1.0 for n in names}
+    # as many clusterings at once as the moments of their clusters stay small
+    groups: list[list[str]] = []
+    held = 0
+    for n in names:
+        if many.get(n, 0) < 2:
+            continue
+        if not groups or held + many[n] > MOMENT_ROWS:
+            groups.append([])
+            held = 0
+        groups[-1].append(n)
+        held += many[n]
+    for group in groups:
+        table = moments.filter(F.col("cell").isin(group) & (F.col("c") != -1)).orderBy("cell", "c").toPandas()
+        known = {}
+        for n in group:
+            part = table[table["cell"] == n]
+            w = part["w"].to_numpy(dtype=float)
+            mean = part[[f"s{j}" for j in range(d)]].to_numpy(dtype=float) / w[:, None]
+            known[n] = (part["c"].to_numpy(), w, mean, np.maximum(0.0, part["q"].to_numpy(dtype=float) - w * (mean**2).sum(axis=1)))
+        shared = spark.sparkContext.broadcast(known)
+
+        def sums(b, group=group, shared=shared):
+            x, weight = nb.coordinates(b), b["w"].to_numpy(dtype=float)
+            out = np.zeros(2 * len(group))
+            for k, n in enumerate(group):
+                c, w, mean, inside = shared.value[n]
+                label = b[n].fillna(-1).to_numpy(dtype=np.int64)
+                step = max(1, 2_000_000 // len(c))
+                rows = np.flatnonzero(label != -1)
+                for i in range(0, len(rows), step):
+                    at = rows[i : i + step]
+                    own = np.searchsorted(c, label[at])
+                    total = nb.sq_distances(x[at], mean) * w[None, :] + inside[None, :]
+                    mine = total[np.arange(len(at)), own] / np.maximum(1.0, w[own] - 1)
+                    other = total / w[None, :]
+                    other[np.arange(len(at)), own] = np.inf
+                    other = other.min(axis=1)
+                    top = np.maximum(mine, other)
+                    s = np.where((w[own] <= 1) | (top == 0), 0.0, (other - mine) / np.where(top == 0, 1.0, top))
+                    out[2 * k] += (weight[at] * s).sum()
+                    out[2 * k + 1] += weight[at].sum()
+            return out
+
+        found = summed(labelled.select("x", "w", *group), sums, 2 * len(group))
+        value |= {n: float(found[2 * k] / found[2 * k + 1]) for k, n in enumerate(group)}
+    return spark.createDataFrame(list(value.items()), "cell string, silhouette double")
+
+
+def cluster_quality(rows: DataFrame, xs: Sequence[str], id_col: str, y: str, thr: float = 0.2, exact: bool = False) -> dict:
+    """``QUALITY`` of one clustering of rows; ``exact`` takes the silhouette from all distances instead of cluster moments."""
+    points = rows.groupBy(nb.point(xs).alias("x"), F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("w"), F.sum(y).alias("w1"))
+    found = quality_of_labels(cut_lineage(points), ["cluster"], thr).first().asDict()
+    if exact:
+        found["silhouette"] = nb.silhouette(rows, xs, id_col, "cluster").first()["silhouette"]
+    return {m: found[m] for m in QUALITY}
 
 
 def _run_cells(spark: SparkSession, cells: Sequence, run: Callable, threads: int) -> list:
@@ -212,11 +293,60 @@ def _run_cells(spark: SparkSession, cells: Sequence, run: Callable, threads: int
         return list(pool.map(run, cells))
 
 
+def weighted_points(df: DataFrame, xs: Sequence[str], id_col: str, y: str) -> DataFrame:
+    """Distinct points: x, pid, rows ``w``, rows of class 1 ``w1``."""
+    rows = df.filter(nb.complete(xs)).select(nb.point(xs).alias("x"), F.col(id_col).cast("long").alias("id"), F.col(y).cast("long").alias("y"))
+    return cut_lineage(rows.groupBy("x").agg(F.min("id").alias("pid"), F.count("*").alias("w"), F.sum("y").alias("w1")))
+
+
+def labels_for_all(points: DataFrame, xs: Sequence[str], alg: str, ks: Sequence[int], seed: int = 42, min_samples: int = 5) -> tuple[DataFrame, list[int], dict[int, float]]:
+    """Labels of the points under one algorithm for every k (columns ``k<k>`` beside pid), the k that could be had, k-means costs.
+
+    k-means and fuzzy c-means fit all k in the same scans, Ward cuts one tree; mixtures and DBSCAN (whose reach follows k) are
+    fitted one by one.
+    """
+    spark = points.sparkSession
+    few = points.count()
+    ks = [k for k in ks if alg in ("kmeans", "dbscan") or k <= few]
+    if alg in ("kmeans", "fcm"):
+        models = cl.kmeans_models(points, xs, ks, seed) if alg == "kmeans" else cl.fuzzy_models(points, xs, ks, seed=seed) if ks else {}
+        ks = [k for k in ks if k in models]
+        shared = spark.sparkContext.broadcast([models[k].centers for k in ks])
+
+        def label(batches):
+            indexes = [cl.CenterIndex(c) for c in shared.value]
+            for b in batches:
+                x = nb.coordinates(b)
+                yield pd.DataFrame({"pid": b["pid"], **{f"k{k}": index.nearest(x)[0].astype("int64") for k, index in zip(ks, indexes)}})
+
+        out = points.mapInPandas(label, "pid long" + "".join(f", k{k} long" for k in ks))
+        return out, ks, {k: models[k].cost for k in ks} if alg == "kmeans" else {}
+    if alg == "hierarchical":
+        if not ks:
+            return points.select("pid"), ks, {}
+        roots = cl.ward_tree(points).labels(ks)
+        return roots.select("pid", *[F.col(f"root_{k}").alias(f"k{k}") for k in ks]), ks, {}
+    named = points.select("pid", "w", *[F.get("x", F.lit(i)).alias(x) for i, x in enumerate(xs)])
+    out = points.select("pid")
+    for k in ks:
+        if alg == "dbscan":
+            one = dbscan_points(points, eps_for(k), min_samples).select("pid", F.col("label").cast("long").alias(f"k{k}"))
+        elif alg == "gmm":
+            one = cl.gmm_score(named, cl.gmm_of_points(points, xs, k, seed)).select("pid", F.col("cluster").cast("long").alias(f"k{k}"))
+        else:
+            raise ValueError(f"unknown algorithm {alg!r}")
+        out = out.join(cut_lineage(one), "pid", "left")
+    return out, ks, {}
+
+
 def internal_grid(
     df: DataFrame, cols: Sequence[str], id_col: str, y: str, dims: Sequence[int], ks: Sequence[int], algs: Sequence[str], trials: int = 1,
-    sample_size: int | None = None, seed: int = 42, threads: int = 4,
+    sample_size: int | None = None, seed: int = 42, threads: int = 4, exact: bool = False,
 ) -> DataFrame:
-    """Every algorithm x components x clusters x trial, one row each; a cell that fails scores -1."""
+    """Every algorithm x components x clusters x trial, one row each; a cell that cannot be had scores -1.
+
+    All k of an algorithm share their scans. ``exact`` takes silhouettes from all distances (quadratic) instead of cluster moments.
+    """
     spark = df.sparkSession
     frames = {}
     for t in range(trials):
@@ -225,23 +355,33 @@ def internal_grid(
         part = cut_lineage(part)
         for d in dims:
             model = ln.pca_fit(part, cols, d)
-            frames[t, d] = (cut_lineage(ln.pca_transform(part, model).select(id_col, y, *_pcs(d))), float(model.ratio.sum()))
+            frames[t, d] = (weighted_points(ln.pca_transform(part, model), _pcs(d), id_col, y), float(model.ratio.sum()))
 
     def one(cell):
-        t, d, k, alg = cell
-        rows, explained = frames[t, d]
-        try:
-            labelled, cost = cluster_labels(rows, _pcs(d), id_col, alg, k, seed + t)
-            q = cluster_quality(labelled, _pcs(d), id_col, y)
-            return (alg, d, k, t, explained, cost, *[q[m] for m in QUALITY])
-        except cl.TooFewPoints:
-            return (alg, d, k, t, explained, None, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0)
-
-    cells = [(t, d, k, a) for t in range(trials) for d in dims for k in ks for a in algs]
+        t, d, alg = cell
+        points, explained = frames[t, d]
+        labels, had, costs = labels_for_all(points, _pcs(d), alg, ks, seed + t)
+        names = [f"k{k}" for k in had]
+        labelled = cut_lineage(points.join(labels, "pid", "left"))
+        found = {r["cell"]: r.asDict() for r in quality_of_labels(labelled, names).collect()} if had else {}
+        rows = []
+        for k in ks:
+            if f"k{k}" not in found:
+                rows.append((alg, d, k, t, explained, None, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0))
+                continue
+            q = found[f"k{k}"]
+            if exact:
+                each = labelled.select("pid", F.explode(F.array_repeat("x", F.col("w").cast("int"))).alias("x"), F.coalesce(f"k{k}", F.lit(-1)).alias("cluster"))
+                named = each.select(F.monotonically_increasing_id().alias("row"), "cluster", *[F.get("x", F.lit(i)).alias(x) for i, x in enumerate(_pcs(d))])
+                q["silhouette"] = nb.silhouette(cut_lineage(named), _pcs(d), "row", "cluster").first()["silhouette"]
+            rows.append((alg, d, k, t, explained, costs.get(k), *[q[m] for m in QUALITY]))
+        return rows
+
+    cells = [(t, d, a) for t in range(trials) for d in dims for a in algs]
     schema = "algorithm string, pca_dim int, n_clusters int, trial int, variance_explained double, inertia double, " + ", ".join(
         f"{m} double" for m in QUALITY
     )
-    out = spark.createDataFrame(_run_cells(spark, cells, one, threads), schema)
+    out = spark.createDataFrame([r for rows in _run_cells(spark, cells, one, threads) for r in rows], schema)
     return out.withColumn("combined_score", F.col("silhouette") + F.col("mi"))
 
 
@@ -341,16 +481,25 @@ def dbscan_grid(
     """DBSCAN over components x eps x min_samples: clusters, silhouette, MI, P/R/F1, noise share."""
     spark = df.sparkSession
     rows = cut_lineage(df.select(id_col, y, *cols))
-    frames = {d: cut_lineage(ln.pca_transform(rows, ln.pca_fit(rows, cols, d)).select(id_col, y, *_pcs(d))) for d in dims}
+    frames = {d: weighted_points(ln.pca_transform(rows, ln.pca_fit(rows, cols, d)), _pcs(d), id_col, y) for d in dims}
 
     def one(cell):
         d, eps, m = cell
-        q = cluster_quality(dbscan(frames[d], _pcs(d), id_col, eps, m), _pcs(d), id_col, y)
-        return (d, eps, m, *[q[c] for c in QUALITY])
+        return cut_lineage(dbscan_points(frames[d], eps, m).select("pid", F.col("label").cast("long").alias("c")))
 
     cells = [(d, float(e), m) for d in dims for e in epss for m in mins]
+    labels = dict(zip(cells, _run_cells(spark, cells, one, threads)))
+    data = []
+    for d in dims:
+        # all settings of the same points are judged together
+        mine = [c for c in cells if c[0] == d]
+        labelled = frames[d]
+        for i, c in enumerate(mine):
+            labelled = labelled.join(labels[c].withColumnRenamed("c", f"c{i}"), "pid", "left")
+        found = {r["cell"]: r for r in quality_of_labels(cut_lineage(labelled), [f"c{i}" for i in range(len(mine))]).collect()}
+        data += [(*c, *[found[f"c{i}"][q] for q in QUALITY]) for i, c in enumerate(mine)]
     schema = "pca_dim int, eps double, min_samples int, " + ", ".join(f"{c} double" for c in QUALITY)
-    out = spark.createDataFrame(_run_cells(spark, cells, one, threads), schema)
+    out = spark.createDataFrame(data, schema)
     return out.withColumns({"combined_score": F.col("silhouette") + F.col("mi"), "noise_percentage": F.col("noise") * 100.0 / F.col("n")})
 
 

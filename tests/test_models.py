@@ -72,6 +72,26 @@ def test_onehot_svd(spark):
     assert np.allclose(np.sqrt(np.maximum(m.inertia, 0)), np.linalg.svd(z, compute_uv=False), atol=1e-6)
 
 
+def test_category_axes_by_iteration(spark):
+    rng = np.random.default_rng(12)
+    group = rng.integers(0, 4, 600)
+    letter = lambda n, noise: [f"{g}{k}" if u > noise else f"x{k}" for g, k, u in zip(group, rng.integers(0, n, 600), rng.random(600))]
+    pdf = pd.DataFrame({"id": np.arange(600), "p": letter(6, 0.1), "q": letter(4, 0.2), "r": letter(2, 0.4)})
+    pdf.loc[::50, "q"] = None
+    df = spark.createDataFrame(pdf)
+    for fit in (linear.mca_fit, linear.onehot_svd_fit):
+        a, b = (fit(df, ["p", "q", "r"], 3, dense=n) for n in (1000, 0))
+        assert np.allclose(a.inertia, b.inertia, rtol=1e-6)
+        x, y = (linear.category_coordinates(df, m, "m_").toPandas().sort_values("id")[["m_0", "m_1", "m_2"]].to_numpy() for m in (a, b))
+        assert np.allclose(x, y, atol=2e-3 * np.abs(x).max())
+
+
+def test_a_hundred_thousand_categories(spark):
+    wide = spark.range(50_000).selectExpr("id", "concat(id % 5, '-', id) AS p", "concat(id % 5, '/', (id * 7) % 50000) AS q", "id % 5 AS g")
+    m = linear.mca_fit(wide.union(wide.selectExpr("id", "concat('g', g)", "concat('g', g)", "g")), ["p", "q"], 2)
+    assert m.table.count() == 100_010 and len(m.inertia) == 2 and (m.inertia <= 1 + 1e-9).all() and m.inertia[0] >= m.inertia[1] > 0
+
+
 def test_kmeans(frame, bulk):
     costs = [cl.kmeans_fit(frame, XS, 5, "id", max_iter=i).cost for i in (1, 20)]
     assert costs[1] <= costs[0]
@@ -335,3 +355,57 @@ def test_balanced_weights(spark):
     odd = spark.createDataFrame([(i, int(i == 0)) for i in range(24)], "id int, y int")
     got = {r["y"]: r["weight"] for r in tr.balanced_weights(odd, "y").collect()}
     assert got == {1: 12.0, 0: 24 / 46}
+
+
+# --- grids ---------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 0.5, (60, 3)) for c in ((0, 0, 0), (4, 0, 1), (0, 5, 0))]).round(1)
+    pdf = pd.DataFrame(x, columns=XS).assign(id=range(180), evil=[int(i >= 120 or i % 17 == 0) for i in range(180)])
+    return spark.createDataFrame(pdf).cache()
+
+
+def test_quality_from_moments(blobs):
+    from oddrows.models.density import dbscan
+    from oddrows.operators import neighbors as nb
+    from oddrows.operators.joins import broadcast_verdict
+    from oddrows.plans import studies as sd
+
+    rows = dbscan(blobs, XS, "id", 0.6, 5)
+    q = sd.cluster_quality(rows, XS, "id", "evil")
+    assert math.isclose(q["silhouette"], nb.silhouette(rows, XS, "id", "cluster", exact=False).first()["silhouette"])
+    assert math.isclose(q["mi"], mt.mutual_information(rows, "cluster", "evil").first()["mi"])
+    verdicts = sd.label_clusters(rows.filter("cluster <> -1"))
+    plain = mt.posneg_metrics(broadcast_verdict(rows, verdicts, verdict="pred"), "evil", "pred").first()
+    assert (q["precision"], q["recall"], q["f1"]) == (plain["precision_pos"], plain["recall_pos"], plain["f1_pos"])
+    assert q["n"] == 180 and q["noise"] == rows.filter("cluster = -1").count() and q["n_clusters_found"] == 3
+    exact = nb.silhouette(rows, XS, "id", "cluster").first()["silhouette"]
+    assert math.isclose(sd.cluster_quality(rows, XS, "id", "evil", exact=True)["silhouette"], exact)
+
+
+def test_internal_grid(blobs):
+    from oddrows.plans import studies as sd
+
+    grid = sd.internal_grid(blobs, XS, "id", "evil", [2, 3], [2, 3, 500], ["kmeans", "hierarchical", "dbscan", "gmm", "fcm"]).toPandas()
+    assert len(grid) == 30 and grid.n.isin([0, 180]).all()
+    three = grid[grid.n_clusters == 3]
+    assert (three[three.algorithm != "dbscan"].silhouette > 0.9).all() and (three[three.algorithm != "dbscan"].f1 > 0.9).all()
+    none = grid[(grid.n_clusters == 500) & grid.algorithm.isin(["hierarchical", "gmm", "fcm"])]
+    assert (none.silhouette == -1).all() and (none.n_clusters_found == 0).all()
+    assert (grid[grid.algorithm == "kmeans"].inertia.notna()).all()
+
+
+def test_dbscan_grid(blobs):
+    from oddrows.models.density import dbscan
+    from oddrows.models.linear import pca_fit, pca_transform
+    from oddrows.plans import studies as sd
+
+    grid = sd.dbscan_grid(blobs, XS, "id", "evil", [2, 3], [0.3, 0.6], [5, 10]).toPandas()
+    assert len(grid) == 8
+    projected = pca_transform(blobs, pca_fit(blobs, XS, 2))
+    want = sd.cluster_quality(dbscan(projected, ["pc_0", "pc_1"], "id", 0.3, 5), ["pc_0", "pc_1"], "id", "evil")
+    got = grid[(grid.pca_dim == 2) & (grid.eps == 0.3) & (grid.min_samples == 5)].iloc[0]
+    assert all(math.isclose(got[m], want[m]) for m in sd.QUALITY)
