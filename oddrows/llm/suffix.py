@@ -6,14 +6,17 @@ recur matter, so suffixes are brought into order up to that depth, in buckets th
 1. Each text is cut into runs of starts by the least hash of a ``GRAM``-byte string inside the window of ``length`` bytes that
    begins there. Equal windows have equal least hashes, wherever they are, so they meet in one bucket. Runs whose hash
    stands nowhere else are done.
-2. The bytes of the other runs go to their bucket. There suffixes are ordered by the 64-bit fingerprint of their first
-   ``length`` bytes, then by position. The neighbour before a suffix of the same fingerprint is the previous smaller
-   position, the neighbour after it the next one: its longest previous factor reaches ``length`` if the first is there.
-3. With ``keep_first`` a start counts if it has an earlier match, so later copies go and the first stays; otherwise if it has
-   any match.
-
-Texts that are equal as a whole are worked on once. A bucket above ``CHUNK`` starts is split by fingerprint. Two different
-windows of a bucket share a fingerprint with a probability of 2^-64.
+2. The bytes of the other runs go to their bucket. A task takes whole buckets until it holds ``CHUNK`` starts, drops runs without a
+   repeated fingerprint of a window, ranks the suffixes of the rest by doubling up to the depth, and reads the longest previous
+   factor of each start off its neighbours in suffix order: the nearest one before and the nearest one after it that stand earlier in
+   the corpus.
+3. With ``keep_first`` a start counts if its longest previous factor reaches ``length``, so later copies go and the first stays;
+   otherwise also if it is the earlier match of such a start.
+
+Texts that are equal as a whole are worked on once. A bucket above ``CHUNK`` starts, as a passage in a large share of all texts
+makes, fits no task: its windows are dealt by fingerprint, every part again over several tasks, which count fingerprints and
+their first places; the sums are joined back to the windows. There two different windows share a fingerprint of 64 bits
+with a probability of 2^-64; elsewhere matches are exact.
 """
 
 from __future__ import annotations
@@ -23,16 +26,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from oddrows.llm.common import groups, mix64, save, with_arrow
+from oddrows.llm.common import groups, mix64, save, unused, with_arrow
 
 LENGTH, GRAM = 400, 64
 # Starts of a text that are hashed at a time, and starts that one task of a bucket holds.
-BLOCK, CHUNK = 1 << 16, 400_000
+BLOCK, CHUNK = 1 << 16, 100_000
 
 _draw = np.random.default_rng(11)
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
@@ -70,10 +73,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of starts with one least hash: hash, first start, number of starts, and whether a run may repeat inside itself."""
-    width = length - GRAM + 1
+    gram = min(GRAM, length)
+    width = length - gram + 1
     for begin in range(0, len(data) - length + 1, BLOCK):
         block = data[begin : begin + BLOCK + length - 1]
-        (grams,) = rolling(block, GRAM)
+        (grams,) = rolling(block, gram)
         least = sliding_least(grams, width)
         first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         count = np.diff(np.append(first, len(least)))
@@ -96,13 +100,82 @@ def covered(marked: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[i
     return list(zip(at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + length).tolist()))
 
 
-def matched(prints: np.ndarray, places: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which suffixes have an earlier match (or any, without ``keep_first``), from fingerprints and positions."""
-    order = np.lexsort((places, prints))
-    same = prints[order[1:]] == prints[order[:-1]]
-    previous, following = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    found = np.empty(len(prints), bool)
-    found[order] = previous if keep_first else previous | following
+def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first w bytes, for w of 8, 16, 32 ... and at last ``depth``; the end is filled with zeros."""
+    n = len(data)
+    filled = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
+    width = min(8, depth)
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = key << np.uint64(8) | filled[k : n + k]
+    levels = []
+    while True:
+        _, rank = np.unique(key, return_inverse=True)
+        levels.append((width, rank.astype(np.int64)))
+        if width == depth:
+            return levels
+        step = min(width, depth - width)
+        # what begins ``step`` later; beyond the end there are zeros only, which come first
+        later = np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])[:n]
+        key = rank.astype(np.uint64) * np.uint64(n + 1) + later.astype(np.uint64)
+        width += step
+
+
+def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest place before, and after, with a smaller value; -1 and n where there is none."""
+
+    def before(v):
+        # a place whose value is not smaller points on to a place that is nearer to the answer
+        found = np.arange(-1, len(v) - 1)
+        while True:
+            bad = np.flatnonzero((found >= 0) & (v[np.maximum(found, 0)] >= v))
+            if not len(bad):
+                return found
+            found[bad] = found[found[bad]]
+
+    return before(values), len(values) - 1 - before(values[::-1])[::-1]
+
+
+def common_prefix(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common beginning of the suffixes at ``a`` and ``b``, at most ``depth``."""
+    size = np.zeros(len(a), np.int64)
+    whole = levels[-1][1][a] == levels[-1][1][b]
+    for width, rank in reversed(levels[:-1]):
+        fits = (size + width <= depth) & ~whole
+        at = np.where(fits, size, 0)
+        size += width * (fits & (rank[a + at] == rank[b + at]))
+    for _ in range(min(8, depth) - 1 if len(levels) > 1 else depth):
+        open_ = (size < depth) & ~whole
+        at = np.where(open_, size, 0)
+        size += open_ & (data[a + at] == data[b + at])
+    return np.where(whole, depth, size)
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors, up to ``depth``, of the suffixes at ``starts``, and which earlier start has it (-1: none).
+
+    ``places`` order the starts in the corpus and are distinct; ``depth`` bytes follow every start.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    levels = suffix_ranks(data, depth)
+    order = np.lexsort((places, levels[-1][1][starts]))
+    best, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    for near in nearest_smaller(places[order]):
+        has = np.flatnonzero((near >= 0) & (near < len(order)))
+        mine, earlier = order[has], order[near[has]]
+        size = common_prefix(data, levels, starts[mine], starts[earlier], depth)
+        more = size > best[mine]
+        best[mine[more]], source[mine[more]] = size[more], earlier[more]
+    return best, source
+
+
+def matched(data: np.ndarray, starts: np.ndarray, places: np.ndarray, depth: int, keep_first: bool) -> np.ndarray:
+    """Which starts have an earlier match of ``depth`` bytes (or any, without ``keep_first``)."""
+    best, source = longest_previous(data, starts, places, depth)
+    found = best >= depth
+    if not keep_first:
+        found[source[found]] = True
     return found
 
 
@@ -162,11 +235,10 @@ def repeated_spans(texts: DataFrame, keep_first: bool, length: int = LENGTH, chu
     # the copies of a text name the same runs; each is kept once
     lists = wanted.groupBy("key").agg(F.collect_set("run").alias("runs"))
     lists = lists.join(first_ids(long_texts).select("key", "first_id"), "key").withColumnRenamed("key", "key2")
-    one = texts.join(lists, F.expr("key = key2 AND doc_id <=> first_id"))
+    one = texts.join(lists, F.expr("key = key2 AND doc_id <=> first_id")).dropDuplicates(["key"])
     run = F.col("run")
     pieces = one.select("key", "first_id", "data", F.explode("runs").alias("run")).select(
         run["bucket"].alias("bucket"),
-        F.lit(0).alias("part"),
         run["parts"].alias("parts"),
         F.col("first_id").isNull().alias("last"),
         "first_id",
@@ -174,54 +246,132 @@ def repeated_spans(texts: DataFrame, keep_first: bool, length: int = LENGTH, chu
         run["start"].alias("start"),
         F.substring("data", run["start"] + 1, run["n"] + (length - 1)).alias("data"),
     )
+    big = shared.where("parts > 1").limit(1).count() > 0
+    pieces = save(pieces, "pieces") if big else pieces
+    spans = _small_buckets(pieces.where("parts = 1") if big else pieces, keep_first, length, chunk)
+    if big:
+        spans = spans.unionByName(_big_buckets(pieces.where("parts > 1"), keep_first, length))
+    return spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-    def prints_of(data: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
-        signs = np.frombuffer(data, np.uint8)
-        made = [rolling(signs[k : k + BLOCK + length - 1], length)[0] for k in range(0, len(signs) - length + 1, BLOCK)]
-        prints = np.concatenate(made)
-        return prints, start + np.arange(len(prints))
+
+_SPANS = "key string, spans array<struct<start: long, end: long>>"
+_SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _prints_of(data: bytes, length: int) -> np.ndarray:
+    """Fingerprints of all windows of a run's bytes."""
+    signs = np.frombuffer(data, np.uint8)
+    return np.concatenate([rolling(signs[k : k + BLOCK + length - 1], length)[0] for k in range(0, len(signs) - length + 1, BLOCK)])
+
+
+def _found(keys: list[str], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    values = [[{"start": a, "end": b} for a, b in s] for s in spans]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, _SPANS_TYPE)], names=["key", "spans"])
+
+
+def _small_buckets(pieces: DataFrame, keep_first: bool, length: int, chunk: int) -> DataFrame:
+    """Spans found in buckets that fit a task, by longest previous factors."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch | None:
+        prints = [_prints_of(r[6], length) for r in rows]
+        values, place, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        again = np.split(count[place] > 1, np.cumsum([len(p) for p in prints])[:-1])
+        rows = [r for r, some in zip(rows, again) if some.any()]
+        if not rows:
+            return None
+        # texts in their order: by first document, null ids last, then by key
+        texts = {t: k for k, t in enumerate(sorted({(r[2], r[3] or 0, r[4]) for r in rows}))}
+        sizes = [len(r[6]) - length + 1 for r in rows]
+        begin = np.cumsum([0, *[len(r[6]) for r in rows]])
+        bounds = np.cumsum([0, *sizes])
+        inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+        offset = inside + np.repeat([r[5] for r in rows], sizes)
+        places = (np.repeat([texts[r[2], r[3] or 0, r[4]] for r in rows], sizes) << 40) + offset
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        hits = matched(data, np.repeat(begin[:-1], sizes) + inside, places, length, keep_first)
+        spans = [covered(hits[a:b], offset[a:b], length) for a, b in zip(bounds, bounds[1:])]
+        some = [k for k, s in enumerate(spans) if s]
+        return _found([rows[k][4] for k in some], [spans[k] for k in some]) if some else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        starts = 0
+        for rows in groups(batches, 1):
+            size = sum(len(r[6]) - length + 1 for r in rows)
+            if held and starts + size > chunk:
+                made = work(held)
+                if made is not None:
+                    yield made
+                held, starts = [], 0
+            held += rows
+            starts += size
+        made = work(held) if held else None
+        if made is not None:
+            yield made
+
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SPANS)
+
+
+def _big_buckets(pieces: DataFrame, keep_first: bool, length: int) -> DataFrame:
+    """Spans found in buckets beyond a task: counts and first places of fingerprints, summed by Spark and joined back."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the runs of a bucket in parts become fingerprints and places, a row for each part that has some
+        # a row for each part of its bucket that a run has windows in: their fingerprints, then their starts
         for batch in batches:
-            split = pc.greater(batch.column("parts"), 1)
-            if pc.any(split).as_py() is not True:
-                yield batch
-                continue
-            yield batch.filter(pc.invert(split))
-            for row in batch.filter(split).to_pylist():
-                prints, starts = prints_of(row["data"], row["start"])
+            for row in batch.to_pylist():
+                prints = _prints_of(row["data"], length)
+                starts = row["start"] + np.arange(len(prints), dtype=np.uint64)
                 part = prints % np.uint64(row["parts"])
                 order = np.argsort(part, kind="stable")
                 some = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-                made = [row | {"part": int(part[s[0]]), "data": prints[s].tobytes() + starts[s].astype(np.uint64).tobytes()} for s in some]
-                yield pa.RecordBatch.from_pylist(made, schema=batch.schema)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for found in groups(batches, 2):
-            # repeated rows of one document arrive more than once
-            rows = list({(r[5], r[6]): r for r in found}.values())
-            if rows[0][2] > 1:
-                arrays = [tuple(np.frombuffer(r[7], np.uint64).reshape(2, -1)) for r in rows]
-            else:
-                arrays = [prints_of(r[7], r[6]) for r in rows]
-            sizes = [len(a) for a, _ in arrays]
-            prints, starts = np.concatenate([a for a, _ in arrays]), np.concatenate([b.astype(np.int64) for _, b in arrays])
-            # rows come in the order of their texts
-            texts_seen: dict[str, int] = {}
-            text = np.repeat([texts_seen.setdefault(r[5], len(texts_seen)) for r in rows], sizes)
-            hits = matched(prints, (text << 40) + starts, keep_first)
-            bounds = np.cumsum([0, *sizes]).tolist()
-            spans = [covered(hits[a:b], starts[a:b], length) for a, b in zip(bounds, bounds[1:])]
-            some = [k for k, s in enumerate(spans) if s]
-            if some:
-                values = [[{"start": a, "end": b} for a, b in spans[k]] for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k][5] for k in some]), pa.array(values, spans_type)], names=["key", "spans"])
-
-    dealt = pieces.mapInArrow(spread, pieces.schema).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "last", "first_id", "key", "start")
-    spans = dealt.mapInArrow(match, "key string, spans array<struct<start: long, end: long>>")
-    return spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+                made = [row | {"part": int(part[s[0]]), "data": prints[s].tobytes() + starts[s].tobytes()} for s in some]
+                yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    schema = to_arrow_schema(T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType())]))
+    windows = pieces.mapInArrow(spread, T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType())]))
+    # every part of a bucket is worked on by as many tasks as the bucket has parts
+    windows = save(windows.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("parts")).cast("int")), "windows")
+    keys = ["bucket", "part", "salt"]
+    of_prints = "bucket long, part int, parts int, print long, n long, last boolean, first_id {0}, key string, start long"
+    id_type = pieces.schema["first_id"].dataType.simpleString()
+
+    def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        arrays = [np.frombuffer(v, np.uint64).reshape(2, -1) for v in table["data"].to_pylist()]
+        return np.concatenate([a[0] for a in arrays]), np.concatenate([a[1] for a in arrays]).astype(np.int64), np.repeat(np.arange(len(arrays)), [a.shape[1] for a in arrays])
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("last", "ascending"), ("first_id", "ascending"), ("key", "ascending"), ("start", "ascending")])
+        prints, starts, row = unpacked(table)
+        order = np.lexsort((starts, row, prints))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(prints[order].view(np.int64)) != 0]))
+        n = np.diff(np.append(first, len(order)))
+        at = order[first]
+        named = table.select(["bucket", "part", "parts", "last", "first_id", "key"]).take(pa.array(row[at]))
+        columns = {c: named[c] for c in named.column_names} | {"print": pa.array(prints[at].view(np.int64)), "n": pa.array(n), "start": pa.array(starts[at])}
+        return pa.table([columns[f.split()[0]] for f in of_prints.split(", ")], names=[f.split()[0] for f in of_prints.split(", ")])
+
+    counted = windows.groupBy(*keys).applyInArrow(count, of_prints.format(id_type))
+    place = F.struct("last", "first_id", "key", "start")
+    again = counted.groupBy("bucket", "part", "print").agg(F.sum("n").alias("n"), F.min(place).alias("first"), F.max("parts").alias("parts")).where("n > 1")
+    again = again.select("bucket", "part", "print", "first.key", "first.start", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+
+    def mark(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(table) or not len(known):
+            return pa.table([pa.array([], pa.string()), pa.array([], _SPANS_TYPE)], names=["key", "spans"])
+        prints, starts, row = unpacked(table)
+        repeated = known["print"].to_numpy().view(np.uint64)
+        order = np.argsort(repeated)
+        at = np.minimum(np.searchsorted(repeated[order], prints), len(order) - 1)
+        hit = repeated[order][at] == prints
+        if keep_first:
+            names = table["key"].to_pylist()
+            first_key, first_start = known["key"].to_pylist(), known["start"].to_numpy()
+            for k in np.flatnonzero(hit & (first_start[order][at] == starts)):
+                hit[k] = first_key[order[at[k]]] != names[row[k]]
+        spans = [covered(hit[row == r], starts[row == r], length) for r in np.unique(row[hit])]
+        return pa.Table.from_batches([_found([table["key"][int(r)].as_py() for r in np.unique(row[hit])], spans)])
+
+    return windows.groupBy(*keys).cogroup(again.groupBy(*keys)).applyInArrow(mark, _SPANS)
 
 
 def with_kept(texts: DataFrame) -> DataFrame:
@@ -268,18 +418,19 @@ def without_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     texts = keyed(docs)
     info = first_ids(texts).join(repeated_spans(texts, True, length), "key", "left").where("copies > 1 OR spans IS NOT NULL")
-    info = info.select(F.col("key").alias("__key"), F.col("first_id").alias("__first"), F.col("spans").alias("__spans"))
-    joined = docs.join(info, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) == F.col("__key"), "left")
-    later = F.col("__key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("__first")) & (F.octet_length("text") >= length)
+    key, first, spans = unused(docs, "key", "first", "spans")
+    info = info.select(F.col("key").alias(key), F.col("first_id").alias(first), F.col("spans").alias(spans))
+    joined = docs.join(info, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) == F.col(key), "left")
+    later = F.col(key).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(first)) & (F.octet_length("text") >= length)
 
     def make():
-        def rows(values, spans):
-            return [[v if not s else cut_out(v.encode(), merged([(x["start"], x["end"]) for x in s])).decode("utf-8", "ignore") for v, s in zip(values, spans)]]
+        def rows(values, found):
+            return [[v if not s else cut_out(v.encode(), merged([(x["start"], x["end"]) for x in s])).decode("utf-8", "ignore") for v, s in zip(values, found)]]
 
         return rows
 
-    emptied = joined.withColumn("text", F.when(later, F.lit("")).otherwise(F.col("text"))).withColumn("__spans", F.when(~later, F.col("__spans")))
-    cut = with_arrow(emptied, ["text", "__spans"], T.StructType([T.StructField("text", T.StringType())]), make)
-    changed = F.col("__key").isNotNull()
+    emptied = joined.withColumn("text", F.when(later, F.lit("")).otherwise(F.col("text"))).withColumn(spans, F.when(~later, F.col(spans)))
+    cut = with_arrow(emptied, ["text", spans], T.StructType([T.StructField("text", T.StringType())]), make)
+    changed = F.col(key).isNotNull()
     out = cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else cut
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

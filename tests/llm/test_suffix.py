@@ -98,3 +98,54 @@ def test_op7_whole_table(spark):
     masks = brute(data, list(range(len(rows))), False)
     got = {r["doc_id"]: r["kept_sha256"] for r in queries.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~m])).hexdigest() for (i, _), d, m in zip(rows, data, masks)}
+
+
+def test_longest_previous_factors():
+    draw = np.random.default_rng(4)
+    for depth in (3, 8, 21, 64):
+        data = np.concatenate([draw.integers(97, 99, 150, dtype=np.uint8), np.full(90, 97, np.uint8), np.tile(draw.integers(97, 123, 40, dtype=np.uint8), 4)])
+        starts = np.arange(len(data) - depth + 1)
+        places = draw.permutation(len(starts))
+        best, source = suffix.longest_previous(data, starts, places, depth)
+        raw = data.tobytes()
+        for i in starts:
+            want = 0
+            for j in starts[places < places[i]]:
+                size = 0
+                while size < depth and raw[i + size] == raw[j + size]:
+                    size += 1
+                want = max(want, size)
+            assert best[i] == want
+            if want:
+                assert places[source[i]] < places[i] and raw[i : i + want] == raw[source[i] : source[i] + want]
+
+
+def test_nearest_smaller():
+    values = np.random.default_rng(5).permutation(300)
+    before, after = suffix.nearest_smaller(values)
+    for k, v in enumerate(values):
+        assert before[k] == max([j for j in range(k) if values[j] < v], default=-1)
+        assert after[k] == min([j for j in range(k + 1, 300) if values[j] < v], default=300)
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_hot_passage_over_many_tasks(documents, keep_first):
+    draw = random.Random(8)
+    prose = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = prose(620)
+    rows = [(k, prose(draw.randint(0, 300)) + passage + prose(draw.randint(0, 90))) for k in range(60)] + [(k, prose(500)) for k in range(60, 70)]
+    data = [t.encode() for _, t in rows]
+    masks = brute(data, [i for i, _ in rows], keep_first)
+    texts = suffix.keyed(documents(rows + rows[:3]))
+    spans = {r["key"]: suffix.merged([(s["start"], s["end"]) for s in r["spans"]]) for r in suffix.repeated_spans(texts, keep_first, 400, 300).collect()}
+    for d, m in zip(data, masks):
+        mask = np.zeros(len(d), bool)
+        for a, b in spans.get(hashlib.md5(d).hexdigest(), []):
+            mask[a:b] = True
+        assert (mask == m).all()
+
+
+def test_short_lengths(documents):
+    rows = [(1, "abcdefgh-12345"), (2, "xx abcdefgh yy"), (3, "zzabcdefg")]
+    got = {r["doc_id"]: r["text"] for r in suffix.without_later_copies(documents(rows), 7).collect()}
+    assert got == {1: "abcdefgh-12345", 2: "xx  yy", 3: "zz"}
