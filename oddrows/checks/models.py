@@ -174,13 +174,13 @@ def tree_model(spark, sf_dir):
 
 @query("forest_model")
 def forest_model(spark, sf_dir):
-    df, t = fitted(spark, sf_dir, "forest", trees=20, depth=6)
+    df, t = fitted(spark, sf_dir, "forest")
     return tr.predict(df, t).select("id", "score", "pred")
 
 
 @query("mdi_importance")
 def mdi_importance(spark, sf_dir):
-    _, t = fitted(spark, sf_dir, "forest", trees=20, depth=6)
+    _, t = fitted(spark, sf_dir, "forest")
     return tr.mdi_importance(spark, t)
 
 
@@ -196,12 +196,12 @@ def select_above_median(spark, sf_dir):
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     df, t = fitted(spark, sf_dir, "tree")
-    return tr.permutation_importance(df, t, "id", repeats=5)
+    return tr.permutation_importance(df, t, "id")
 
 
 @query("shap_importance")
 def shap_importance(spark, sf_dir):
-    df, t = fitted(spark, sf_dir, "forest", trees=10, depth=5)
+    df, t = fitted(spark, sf_dir, "forest")
     return tr.shap_importance(df, t)
 
 
@@ -219,19 +219,19 @@ def tree_thresholds(spark, sf_dir):
 
 @query("forest_usage")
 def forest_usage(spark, sf_dir):
-    _, t = fitted(spark, sf_dir, "forest", trees=20, depth=6)
+    _, t = fitted(spark, sf_dir, "forest")
     return tr.forest_usage(spark, t)
 
 
 @query("forest_leaf_rows")
 def forest_leaf_rows(spark, sf_dir):
-    df, t = fitted(spark, sf_dir, "forest", trees=10, depth=5)
+    df, t = fitted(spark, sf_dir, "forest")
     return tr.leaf_rows(df, t)
 
 
 @query("baseline_model")
 def baseline_model(spark, sf_dir):
-    return tr.baseline_report(raw(spark, sf_dir), [*RAW, "sus"], "evil", "id", trees=20, depth=6)
+    return tr.baseline_report(raw(spark, sf_dir), [*RAW, "sus"], "evil", "id")
 
 
 # --- detectors -----------------------------------------------------------------------------------
@@ -252,28 +252,28 @@ def one_class_svm(spark, sf_dir):
 @query("autoencoder")
 def autoencoder(spark, sf_dir):
     df = base(spark, sf_dir)
-    net = nets.autoencoder_fit(ft.train_filter_benign(df), COLS, "id", latent=3, hidden=(16,), rounds=12)
+    net = nets.autoencoder_fit(ft.train_filter_benign(df), COLS, "id", latent=3)
     return nets.autoencoder_score(df, net, codes=True).select("id", "reconstruction_error", "latent_1", "latent_2", "latent_3")
 
 
 @query("autoencoder_validation")
 def autoencoder_validation(spark, sf_dir):
     df = ft.train_filter_benign(base(spark, sf_dir))
-    _, errors = nets.fit_with_validation(df, COLS, "id", nets.autoencoder_fit, latent=3, hidden=(16,), rounds=8)
+    _, errors = nets.fit_with_validation(df, COLS, "id", nets.autoencoder_fit, latent=3)
     return errors
 
 
 @query("vae")
 def vae(spark, sf_dir):
     df = base(spark, sf_dir)
-    net = nets.vae_fit(ft.train_filter_benign(df), COLS, "id", latent=3, hidden=(16,), rounds=12)
+    net = nets.vae_fit(ft.train_filter_benign(df), COLS, "id", latent=3)
     return nets.vae_score(df, net).select("id", "reconstruction_error", "kl_divergence", "total_loss", "latent_variance_mean")
 
 
 @query("vae_generate")
 def vae_generate(spark, sf_dir):
     df = cut_lineage(ft.train_filter_benign(base(spark, sf_dir)))
-    net = nets.vae_fit(df, COLS, "id", latent=3, hidden=(16,), rounds=8)
+    net = nets.vae_fit(df, COLS, "id", latent=3)
     made = nets.generate(spark, net, df.count())
     tag = lambda d, name: d.select(*COLS).withColumn("kind", F.lit(name))
     both = tag(df, "observed").unionByName(tag(made, "generated"))
@@ -285,7 +285,7 @@ def save_tree_model(spark, sf_dir):
     """A fitted forest written by Spark's own writer and read back predicts the same classes."""
     from pyspark.ml.classification import RandomForestClassificationModel
 
-    df, t = fitted(spark, sf_dir, "forest", trees=10, depth=5)
+    df, t = fitted(spark, sf_dir, "forest")
     path = scratch_path(spark, "forest")
     t.model.write().save(path)
     again = tr.Trees(t.cols, t.label, RandomForestClassificationModel.load(path), t.kind)
@@ -297,7 +297,7 @@ def save_tree_model(spark, sf_dir):
 def save_load_model(spark, sf_dir):
     """Parameters written and read back score the same rows."""
     df = base(spark, sf_dir)
-    net = nets.autoencoder_fit(ft.train_filter_benign(df), COLS, "id", latent=2, hidden=(8,), rounds=4)
+    net = nets.autoencoder_fit(ft.train_filter_benign(df), COLS, "id", latent=2)
     path = common.save_model(spark, nets.net_params(net), scratch_path(spark, "net"))
     again = nets.net_from_params(COLS, common.load_model(spark, path))
     both = nets.autoencoder_score(nets.autoencoder_score(df, net, "before"), again, "after")

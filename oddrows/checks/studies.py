@@ -225,9 +225,9 @@ def detect(spark, sf_dir):
 
 query("detect_pca")(_detect("pca"))
 query("detect_isolation")(_detect("isolation"))
-query("detect_svm")(_detect("svm", iters=15))
-query("detect_autoencoder")(_detect("autoencoder", latent=3, hidden=(16,), rounds=8))
-query("detect_vae")(_detect("vae", latent=3, hidden=(16,), rounds=8))
+query("detect_svm")(_detect("svm"))
+query("detect_autoencoder")(_detect("autoencoder", latent=3))
+query("detect_vae")(_detect("vae", latent=3))
 
 
 def split_sizes(df):
@@ -295,7 +295,7 @@ def evil_cluster_tests(spark, sf_dir):
 @query("eda_summary")
 def eda_summary(spark, sf_dir):
     df = raw(spark, sf_dir)
-    model = tree_model(df, RAW, "evil", trees=20, depth=6)
+    model = tree_model(df, RAW, "evil", "forest")
     return pf.eda_summary(logs(spark, sf_dir), "userId", "evil", mdi_importance(spark, model), cut=0.25)
 
 
@@ -322,8 +322,8 @@ def pca_variance_diff(spark, sf_dir):
 @query("model_auc_diff")
 def model_auc_diff(spark, sf_dir):
     df = cut_lineage(base(spark, sf_dir))
-    ref = rd.forest_reference(df, COLS, "evil", "id", trees=20, depth=6)
-    gaps = rd.model_auc_diff(sp.stratified_sample(df, "id", "evil", 1500), ref, COLS, "evil", trees=20, depth=6)
+    ref = rd.forest_reference(df, COLS, "evil", "id")
+    gaps = rd.model_auc_diff(sp.stratified_sample(df, "id", "evil", 1500), ref, COLS, "evil")
     return spark.createDataFrame(list(gaps.items()), "metric string, value double")
 
 
@@ -338,12 +338,12 @@ def anomaly_auc_diff(spark, sf_dir):
 @query("information_loss")
 def information_loss(spark, sf_dir):
     df = cut_lineage(base(spark, sf_dir))
-    return rd.information_loss(df, sp.stratified_sample(df, "id", "evil", 1500), COLS, "evil", "id", trees=20, depth=6)
+    return rd.information_loss(df, sp.stratified_sample(df, "id", "evil", 1500), COLS, "evil", "id")
 
 
 @query("reduce_and_compare")
 def reduce_and_compare(spark, sf_dir):
     df = cut_lineage(base(spark, sf_dir))
-    samples = {"stratified": sp.stratified_sample(df, "id", "evil", 1500), "kmeans": rd.kmeans_representative_sample(df, COLS, "evil", "id", 1500, {1: 60, 0: 120})}
-    losses, best = rd.reduce_and_compare(df, COLS, "evil", "id", samples, trees=10, depth=5)
+    strata = logs(spark, sf_dir).select("id", "evil", "eventName")
+    losses, best = rd.reduce_and_compare(df, COLS, "evil", "id", rd.default_samples(df, COLS, "evil", "id", 1500, strata))
     return losses.select("method", "metric", "value").unionByName(best.select("method", F.lit("total").alias("metric"), F.col("total").alias("value")))

@@ -14,6 +14,9 @@ from oddrows.operators.neighbors import distinct_points
 from oddrows.session import cut_lineage
 
 
+PARTIAL_SUMS = 200_000  # numbers of all tasks that may be added up on the driver
+
+
 def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(
         df.withColumns({c: F.col(c).cast("double") for c in cols})
@@ -34,7 +37,10 @@ def training_points(df: DataFrame, xs: Sequence[str], id_col: str) -> DataFrame:
 
 
 def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """Element-wise sum of ``fn(batch)`` over all rows; only ``size`` numbers reach the driver."""
+    """Element-wise sum of ``fn(batch)`` over all rows; only ``size`` numbers reach the driver.
+
+    Where the partial sums of all tasks are few, they are added up there without a shuffle.
+    """
 
     def run(batches):
         acc = np.zeros(size)
@@ -45,24 +51,11 @@ def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: in
         yield pd.DataFrame({"k": at.astype("int32"), "v": acc[at]})
 
     out = np.zeros(size)
-    for r in points.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[r["k"]] = r["v"]
-    return out
-
-
-def folded(points: DataFrame, start: Callable, step: Callable, finish: Callable, size: int) -> np.ndarray:
-    """Sum over partitions of a state that each partition streams its batches through."""
-
-    def run(batches):
-        state, seen = start(), False
-        for b in batches:
-            if len(b):
-                state, seen = step(state, b), True
-        yield pd.DataFrame({"k": np.arange(size, dtype="int32"), "v": finish(state) if seen else np.zeros(size)})
-
-    out = np.zeros(size)
-    for r in points.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[r["k"]] = r["v"]
+    parts = points.mapInPandas(run, "k int, v double")
+    if points.rdd.getNumPartitions() * size > PARTIAL_SUMS:
+        parts = parts.groupBy("k").agg(F.sum("v").alias("v"))
+    for r in parts.collect():
+        out[r["k"]] += r["v"]
     return out
 
 

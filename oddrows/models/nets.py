@@ -1,7 +1,8 @@
 """Autoencoder and variational autoencoder trained data-parallel.
 
-Every round each partition streams its distinct weighted points through local Adam steps from the shared
-weights; the weights are then averaged by rows seen. Only weight-sized sums reach the driver.
+Distinct weighted points are dealt to mini-batches by a hash of their key. A step sums the gradients of one mini-batch over all its
+partitions and moves the shared weights by Adam on the driver, so the result does not hang on the partitions. Only
+weight-sized sums reach the driver.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.models.common import folded, training_points
+from oddrows.models.common import summed, training_points
 from oddrows.operators.neighbors import coordinates, point
 from oddrows.operators.sampling import train_test
 from oddrows.session import cut_lineage
 
-BATCH = 256
+BATCHES = 8  # mini-batches of a round
+PENALTY_ROWS = 200  # rows that share one unit of the weight penalty
 
 
 def _shapes(sizes: Sequence[int]):
@@ -112,41 +114,55 @@ def _loss(net: Net, theta, x, w, noise=None):
     return loss, np.concatenate([ge, gd])
 
 
-def _train(points: DataFrame, net: Net, rounds: int, lr: float, seed: int, tol: float, local_epochs: int) -> Net:
+def _noise(pid: np.ndarray, width: int, seed: int, r: int) -> np.ndarray:
+    """Standard normal numbers that depend on key, round and place only."""
+
+    def uniform(salt):
+        with np.errstate(over="ignore"):
+            z = pid.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(salt, salt + width, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed * 1_000_003 + r)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            z ^= z >> np.uint64(31)
+        return ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+    return np.sqrt(-2.0 * np.log(uniform(1))) * np.cos(2.0 * np.pi * uniform(1 + width))
+
+
+def _weights_only(net: Net) -> np.ndarray:
+    """1 for weights, 0 for biases."""
+    return np.concatenate([np.concatenate([np.ones(a * b), np.zeros(b)]) for a, b in [*net.encoder, *net.decoder]])
+
+
+def _train(points: DataFrame, net: Net, rounds: int, lr: float, seed: int, tol: float, alpha: float) -> Net:
     size = len(net.theta)
-    stale = 0
+    n = points.count()
+    batches = max(1, min(BATCHES, n // 32))
+    at = F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(batches))
+    parts = [cut_lineage(points.filter(at == i)) for i in range(batches)] if batches > 1 else [points]
+    penalty = alpha / PENALTY_ROWS * _weights_only(net)
+    m1, m2, t, stale = np.zeros(size), np.zeros(size), 0, 0
     for r in range(rounds):
-        theta0 = net.theta
-
-        def start(theta0=theta0):
-            return [theta0.copy(), np.zeros(size), np.zeros(size), 0, 0.0, 0.0]
-
-        def step(state, b, r=r):
-            theta, m1, m2, t, loss, rows = state
-            x, w = coordinates(b), b["w"].to_numpy(dtype=float)
-            rng = np.random.default_rng([seed, r, int(b["pid"].iloc[0]) & 0x7FFFFFFF])
-            for epoch in range(local_epochs):
-                order = rng.permutation(len(x))
-                for i in range(0, len(x), BATCH):
-                    at = order[i : i + BATCH]
-                    noise = rng.normal(size=(len(at), net.latent)) if net.kl_weight is not None else None
-                    ls, g = _loss(net, theta, x[at], w[at], noise)
-                    g = g / w[at].sum()
-                    t += 1
-                    m1 = 0.9 * m1 + 0.1 * g
-                    m2 = 0.999 * m2 + 0.001 * g * g
-                    theta = theta - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-                    if epoch == 0:
-                        loss += ls
-                        rows += w[at].sum()
-            return [theta, m1, m2, t, loss, rows]
-
-        def finish(state):
-            return np.concatenate([state[0] * state[5], [state[4], state[5]]])
-
-        out = folded(points, start, step, finish, size + 2)
-        net.theta = out[:size] / out[-1]
-        net.history.append(out[-2] / out[-1])
+        loss = rows = 0.0
+        for i in np.random.default_rng([seed, r]).permutation(batches):
+
+            def sums(b, theta=net.theta, r=r):
+                x, w = coordinates(b), b["w"].to_numpy(dtype=float)
+                noise = _noise(b["pid"].to_numpy(), net.latent, seed, r) if net.kl_weight is not None else None
+                part, g = _loss(net, theta, x, w, noise)
+                return np.concatenate([g, [part, w.sum()]])
+
+            out = summed(parts[i], sums, size + 2)
+            if not out[-1]:
+                continue
+            loss, rows = loss + out[-2], rows + out[-1]
+            g = out[:size] / out[-1] + penalty * net.theta
+            t += 1
+            m1 = 0.9 * m1 + 0.1 * g
+            m2 = 0.999 * m2 + 0.001 * g * g
+            net.theta = net.theta - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        if not rows:
+            break
+        net.history.append(loss / rows)
         if r and net.history[-2] - net.history[-1] < tol * max(1e-12, abs(net.history[-2])):
             stale += 1
             if stale >= 3:
@@ -156,28 +172,29 @@ def _train(points: DataFrame, net: Net, rounds: int, lr: float, seed: int, tol:
     return net
 
 
-def _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, local_epochs, kl_weight, points=None) -> Net:
+def _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, alpha, kl_weight, points=None) -> Net:
     cols, d = list(cols), len(cols)
     encoder = _shapes([d, *hidden, latent * (1 if kl_weight is None else 2)])
     decoder = _shapes([latent, *reversed(hidden), d])
     theta = _init([*encoder, *decoder], np.random.default_rng(seed))
     points = training_points(df, cols, id_col) if points is None else points
-    return _train(points, Net(cols, encoder, decoder, theta, latent, kl_weight), rounds, lr, seed, tol, local_epochs)
+    return _train(points, Net(cols, encoder, decoder, theta, latent, kl_weight), rounds, lr, seed, tol, alpha)
 
 
 def autoencoder_fit(
-    df: DataFrame, cols: Sequence[str], id_col: str, latent: int = 10, hidden: Sequence[int] = (32,), rounds: int = 20, lr: float = 0.005, seed: int = 42,
-    tol: float = 1e-4, local_epochs: int = 4,
+    df: DataFrame, cols: Sequence[str], id_col: str, latent: int = 10, hidden: Sequence[int] = (32,), rounds: int = 20, lr: float = 0.01, seed: int = 42,
+    tol: float = 1e-4, alpha: float = 1e-4,
 ) -> Net:
-    return _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, local_epochs, None)
+    """Dense net with squared loss and the weight penalty ``alpha``; stops after three rounds that gain less than ``tol``."""
+    return _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, alpha, None)
 
 
 def vae_fit(
     df: DataFrame, cols: Sequence[str], id_col: str, latent: int = 4, hidden: Sequence[int] = (32,), kl_weight: float = 0.05, rounds: int = 20,
-    lr: float = 0.005, seed: int = 42, tol: float = 1e-4, local_epochs: int = 4,
+    lr: float = 0.01, seed: int = 42, tol: float = 1e-4, alpha: float = 1e-4,
 ) -> Net:
-    """Reparameterized variational autoencoder: loss = reconstruction + kl_weight * KL."""
-    return _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, local_epochs, kl_weight)
+    """Reparameterized variational autoencoder: loss = reconstruction + kl_weight * KL (+ the weight penalty)."""
+    return _fit(df, cols, id_col, latent, hidden, rounds, lr, seed, tol, alpha, kl_weight)
 
 
 _OUT = T.StructType(

@@ -357,6 +357,17 @@ def test_balanced_weights(spark):
     assert got == {1: 12.0, 0: 24 / 46}
 
 
+def test_nets_do_not_hang_on_partitions(spark, frame):
+    points = nets.training_points(frame.filter("evil = 0"), XS, "id")
+    for kl in (None, 0.05):
+        found = [nets._fit(None, XS, "id", 2, (6,), 4, 0.01, 42, 1e-4, 1e-4, kl, points=points.repartition(n)) for n in (1, 4, 16)]
+        assert all(np.allclose(found[0].theta, f.theta, atol=1e-7) for f in found[1:])
+        assert found[0].history[-1] < found[0].history[0]
+    heavy = nets._fit(None, XS, "id", 2, (6,), 4, 0.01, 42, 1e-4, 2000.0, None, points=points)
+    on = nets._weights_only(heavy) > 0
+    assert np.abs(heavy.theta[on]).sum() < 0.8 * np.abs(nets._fit(None, XS, "id", 2, (6,), 4, 0.01, 42, 1e-4, 0.0, None, points=points).theta[on]).sum()
+
+
 # --- grids ---------------------------------------------------------------------------------------
 
 
