@@ -24,6 +24,19 @@ def table_overview(spark, sf_dir):
     return pf.table_overview(table(spark, sf_dir, "lineitem"))
 
 
+FIRST = " UNION ALL ".join(
+    f"SELECT row, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM t" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+)
+
+
+@query(
+    "first_rows",
+    "WITH t AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INT) AS row, * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5)) " + FIRST,
+)
+def first_rows(spark, sf_dir):
+    return pf.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+
+
 DOC = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -136,6 +149,23 @@ HIGH = " UNION ALL ".join(
 )
 
 
+HOLES = {"l_quantity": "l_linenumber = 2", "l_discount": "l_linenumber = 3", "l_tax": "l_orderkey % 5 = 0"}
+HOLED = "SELECT " + ", ".join(f"CASE WHEN {t} THEN NULL ELSE {c} END AS {c}" for c, t in HOLES.items()) + ", l_extendedprice FROM lineitem"
+
+
+@query(
+    "correlation_matrix_nulls",
+    f"WITH t AS ({HOLED}) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {i} AS i, {j} AS j, round(corr({a}, {b}), 6) + 0.0 AS r FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for i, a in enumerate([*HOLES, "l_extendedprice"]) for j, b in enumerate([*HOLES, "l_extendedprice"])
+    ),
+)
+def correlation_matrix_nulls(spark, sf_dir):
+    holed = table(spark, sf_dir, "lineitem").selectExpr(*[f"CASE WHEN {t} THEN NULL ELSE {c} END AS {c}" for c, t in HOLES.items()], "l_extendedprice")
+    return rounded(pf.correlation_matrix(holed, [*HOLES, "l_extendedprice"]))
+
+
 @query("high_correlations", on_logs(f"SELECT * FROM ({HIGH}) WHERE abs(r) > 0.8"))
 def high_correlations(spark, sf_dir):
     return rounded(pf.high_correlations(logs(spark, sf_dir), SIGNALS))

@@ -181,3 +181,23 @@ def test_features_accept_a_stream(spark):
     q = out.writeStream.format("memory").queryName("flags").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(has_error) FROM flags").first()[0] == 10
+
+
+def test_correlations_of_many_columns_with_holes(spark):
+    import numpy as np
+    import pandas as pd
+
+    from oddrows.operators.profile import correlation_matrix
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 300)) + rng.normal(size=(60, 1)) + 1e4
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.0
+    names = [f"v.{i}" for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got = correlation_matrix(df, names).toPandas()
+    table = got.pivot(index="i", columns="j", values="r").to_numpy()
+    want = pd.DataFrame(x).corr().to_numpy()
+    want[7] = want[:, 7] = np.nan
+    assert len(got) == 90_000 and np.allclose(table, want, equal_nan=True, atol=1e-9)
+    assert correlation_matrix(df.limit(0), names[:2]).filter("r is not null").count() == 0
