@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddrows.operators.features import label_codes
-from oddrows.operators.neighbors import attach_points, blockwise, distinct_points
+from oddrows.operators.neighbors import attach_points, blockwise, coordinates, distinct_points, sq_distances
 from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, at_most, cut_lineage, setting
 
+LOCAL_POINTS = 2000  # points that one task labels by itself when many settings are tried
+
 
 def dbscan(df: DataFrame, xs: Sequence[str], id_col: str, eps: float, min_samples: int, out: str = "cluster") -> DataFrame:
     """Density clusters 0, 1, ... in order of their smallest core key; noise is -1.
@@ -75,6 +77,50 @@ def dbscan_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return points.select("pid").join(named, "pid", "left").withColumn("label", F.coalesce("label", F.lit(-1)).cast("long"))
 
 
+def dbscan_settings(points: DataFrame, settings: Sequence[tuple[float, int]]) -> DataFrame:
+    """Labels of the same points (pid, w, x) under several (eps, min_samples): pid, then ``c0``, ``c1`` ...
+
+    Points that fit one task, up to ``LOCAL_POINTS``, are labelled there, a task for each setting; others by ``dbscan_points``, one setting
+    after the other. The labels are the same.
+    """
+    out = points.select("pid")
+    if not at_most(points, LOCAL_POINTS):
+        for i, (eps, m) in enumerate(settings):
+            out = out.join(cut_lineage(dbscan_points(points, eps, m)).withColumnRenamed("label", f"c{i}"), "pid", "left")
+        return out
+    values = [(float(eps), int(m)) for eps, m in settings]
+
+    def label(found: pd.DataFrame) -> pd.DataFrame:
+        eps, m = values[int(found["setting"].iloc[0])]
+        found = found.sort_values("pid", ignore_index=True)
+        return pd.DataFrame({"setting": found["setting"], "pid": found["pid"], "label": _local_labels(coordinates(found), found["w"].to_numpy(dtype=float), eps, m)})
+
+    dealt = points.select("pid", "w", "x", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))).alias("setting"))
+    labels = dealt.groupBy("setting").applyInPandas(label, "setting int, pid long, label long")
+    wide = labels.groupBy("pid").pivot("setting", list(range(len(values)))).agg(F.first("label"))
+    return wide.select("pid", *[F.col(f"`{i}`").alias(f"c{i}") for i in range(len(values))])
+
+
+def _local_labels(x: np.ndarray, w: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """DBSCAN labels of points in the order of their keys."""
+    near = sq_distances(x, x) <= eps * eps
+    core = near @ w >= min_samples
+    label = np.full(len(x), -1, np.int64)
+    count = 0
+    for first in np.flatnonzero(core):
+        if label[first] >= 0:
+            continue
+        front = np.array([first])
+        while len(front):
+            label[front] = count
+            front = np.flatnonzero(near[front].any(axis=0) & core & (label < 0))
+        count += 1
+    for k in np.flatnonzero(~core):
+        around = label[near[k] & core]
+        label[k] = around.min() if len(around) else -1
+    return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable key per node ``(pid, root)`` of undirected edges ``(u, v)``.
 

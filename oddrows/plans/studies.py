@@ -15,7 +15,7 @@ from oddrows.models import clustering as cl
 from oddrows.models import linear as ln
 from oddrows.models import nets, svm
 from oddrows.models.common import summed
-from oddrows.models.density import dbscan, dbscan_points
+from oddrows.models.density import dbscan, dbscan_settings
 from oddrows.models.isolation import isolation_forest
 from oddrows.models.trees import balanced_weights, mdi_importance, tree_model
 from oddrows.operators import features as ft
@@ -326,15 +326,15 @@ def labels_for_all(points: DataFrame, xs: Sequence[str], alg: str, ks: Sequence[
             return points.select("pid"), ks, {}
         roots = cl.ward_tree(points).labels(ks)
         return roots.select("pid", *[F.col(f"root_{k}").alias(f"k{k}") for k in ks]), ks, {}
+    if alg == "dbscan":
+        labels = dbscan_settings(points, [(eps_for(k), min_samples) for k in ks])
+        return labels.select("pid", *[F.col(f"c{i}").alias(f"k{k}") for i, k in enumerate(ks)]), ks, {}
+    if alg != "gmm":
+        raise ValueError(f"unknown algorithm {alg!r}")
     named = points.select("pid", "w", *[F.get("x", F.lit(i)).alias(x) for i, x in enumerate(xs)])
     out = points.select("pid")
     for k in ks:
-        if alg == "dbscan":
-            one = dbscan_points(points, eps_for(k), min_samples).select("pid", F.col("label").cast("long").alias(f"k{k}"))
-        elif alg == "gmm":
-            one = cl.gmm_score(named, cl.gmm_of_points(points, xs, k, seed)).select("pid", F.col("cluster").cast("long").alias(f"k{k}"))
-        else:
-            raise ValueError(f"unknown algorithm {alg!r}")
+        one = cl.gmm_score(named, cl.gmm_of_points(points, xs, k, seed)).select("pid", F.col("cluster").cast("long").alias(f"k{k}"))
         out = out.join(cut_lineage(one), "pid", "left")
     return out, ks, {}
 
@@ -483,21 +483,16 @@ def dbscan_grid(
     rows = cut_lineage(df.select(id_col, y, *cols))
     frames = {d: weighted_points(ln.pca_transform(rows, ln.pca_fit(rows, cols, d)), _pcs(d), id_col, y) for d in dims}
 
-    def one(cell):
-        d, eps, m = cell
-        return cut_lineage(dbscan_points(frames[d], eps, m).select("pid", F.col("label").cast("long").alias("c")))
-
-    cells = [(d, float(e), m) for d in dims for e in epss for m in mins]
-    labels = dict(zip(cells, _run_cells(spark, cells, one, threads)))
-    data = []
-    for d in dims:
-        # all settings of the same points are judged together
-        mine = [c for c in cells if c[0] == d]
-        labelled = frames[d]
-        for i, c in enumerate(mine):
-            labelled = labelled.join(labels[c].withColumnRenamed("c", f"c{i}"), "pid", "left")
-        found = {r["cell"]: r for r in quality_of_labels(cut_lineage(labelled), [f"c{i}" for i in range(len(mine))]).collect()}
-        data += [(*c, *[found[f"c{i}"][q] for q in QUALITY]) for i, c in enumerate(mine)]
+    settings = [(float(e), m) for e in epss for m in mins]
+
+    def one(d):
+        labels = dbscan_settings(frames[d], settings)
+        labelled = cut_lineage(frames[d].join(labels, "pid", "left"))
+        found = {r["cell"]: r for r in quality_of_labels(labelled, [f"c{i}" for i in range(len(settings))]).collect()}
+        return [(d, *s, *[found[f"c{i}"][q] for q in QUALITY]) for i, s in enumerate(settings)]
+
+    # all settings of the same points are judged together
+    data = [row for rows in _run_cells(spark, dims, one, threads) for row in rows]
     schema = "pca_dim int, eps double, min_samples int, " + ", ".join(f"{c} double" for c in QUALITY)
     out = spark.createDataFrame(data, schema)
     return out.withColumns({"combined_score": F.col("silhouette") + F.col("mi"), "noise_percentage": F.col("noise") * 100.0 / F.col("n")})

@@ -418,5 +418,16 @@ def test_dbscan_grid(blobs):
     assert len(grid) == 8
     projected = pca_transform(blobs, pca_fit(blobs, XS, 2))
     want = sd.cluster_quality(dbscan(projected, ["pc_0", "pc_1"], "id", 0.3, 5), ["pc_0", "pc_1"], "id", "evil")
+    from oddrows.models import density
+    from oddrows.operators.neighbors import distinct_points
+
+    points = distinct_points(blobs, XS, "id")
+    local, limit = density.dbscan_settings(points, [(0.3, 5), (0.6, 8)]).toPandas().sort_values("pid"), density.LOCAL_POINTS
+    try:
+        density.LOCAL_POINTS = 1
+        spread = density.dbscan_settings(points, [(0.3, 5), (0.6, 8)]).toPandas().sort_values("pid")
+    finally:
+        density.LOCAL_POINTS = limit
+    assert (local[["pid", "c0", "c1"]].to_numpy() == spread[["pid", "c0", "c1"]].to_numpy()).all() and local.c1.max() > 0
     got = grid[(grid.pca_dim == 2) & (grid.eps == 0.3) & (grid.min_samples == 5)].iloc[0]
     assert all(math.isclose(got[m], want[m]) for m in sd.QUALITY)
