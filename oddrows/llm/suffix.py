@@ -6,17 +6,18 @@ recur matter, so suffixes are brought into order up to that depth, in buckets th
 1. Each text is cut into runs of starts by the least hash of a ``GRAM``-byte string inside the window of ``length`` bytes that
    begins there. Equal windows have equal least hashes, wherever they are, so they meet in one bucket. Runs whose hash
    stands nowhere else are done.
-2. The bytes of the other runs go to their bucket. A task takes whole buckets until it holds ``CHUNK`` starts, drops runs without a
-   repeated fingerprint of a window, ranks the suffixes of the rest by doubling up to the depth, and reads the longest previous
-   factor of each start off its neighbours in suffix order: the nearest one before and the nearest one after it that stand earlier in
-   the corpus.
+2. The bytes of the other runs go to their bucket. A task takes whole buckets until it holds ``BATCH`` starts, drops what has no
+   repeated fingerprint of a window, ranks the suffixes of the rest by doubling from ``COARSE`` bytes up to the depth, and reads the
+   longest previous factor of each start off its neighbours in suffix order: the nearest one before and the nearest one after it
+   that stand earlier in the corpus. (The order of suffixes that differ within ``COARSE`` bytes is that of their fingerprints, not of
+   their bytes; it has no bearing on factors of ``length``.)
 3. With ``keep_first`` a start counts if its longest previous factor reaches ``length``, so later copies go and the first stays;
    otherwise also if it is the earlier match of such a start.
 
 Texts that are equal as a whole are worked on once. A bucket above ``CHUNK`` starts, as a passage in a large share of all texts
-makes, fits no task: its windows are dealt by fingerprint, every part again over several tasks, which count fingerprints and
-their first places; the sums are joined back to the windows. There two different windows share a fingerprint of 64 bits
-with a probability of 2^-64; elsewhere matches are exact.
+makes, fits no task: its windows are dealt by fingerprint. Tasks count the fingerprints of what they hold and keep first places, so a
+window of all texts is one entry a task; the counts of a part are merged and joined back to its windows, which are dealt over
+several tasks where they are many. Two different windows share a fingerprint of 64 bits with a probability of 2^-64.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from oddrows.llm.common import groups, mix64, save, unused, with_arrow
 
 LENGTH, GRAM = 400, 64
 # Starts of a text that are hashed at a time, and starts that one task of a bucket holds.
-BLOCK, CHUNK = 1 << 16, 100_000
+BLOCK, CHUNK = 1 << 16, 400_000
+# Starts of small buckets that are ranked together, and width of the strings from whose fingerprints the doubling sets out.
+BATCH, COARSE = 100_000, 64
 
 _draw = np.random.default_rng(11)
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
@@ -59,6 +62,11 @@ def rolling(data: np.ndarray, *widths: int) -> list[np.ndarray]:
     return [mix64((total[w:] - total[: len(data) + 1 - w]) * _DOWN[: len(data) + 1 - w]) for w in widths]
 
 
+def all_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every string of ``width`` bytes, block by block."""
+    return np.concatenate([rolling(data[k : k + BLOCK + width - 1], width)[0] for k in range(0, len(data) - width + 1, BLOCK)] or [np.zeros(0, np.uint64)])
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of each ``width`` values in a row, from running minima of blocks to either side."""
     n = len(values)
@@ -100,14 +108,21 @@ def covered(marked: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[i
     return list(zip(at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + length).tolist()))
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first w bytes, for w of 8, 16, 32 ... and at last ``depth``; the end is filled with zeros."""
+def suffix_ranks(data: np.ndarray, depth: int, coarse: int = 1) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first w bytes, for w of 8, 16, 32 ... and at last ``depth``; the end is filled with zeros.
+
+    With ``coarse`` the first w is that, and its order that of fingerprints.
+    """
     n = len(data)
-    filled = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
-    width = min(8, depth)
+    width = min(max(8, coarse), depth)
     key = np.zeros(n, np.uint64)
-    for k in range(width):
-        key = key << np.uint64(8) | filled[k : n + k]
+    if coarse > 1:
+        hashes = all_hashes(data, width)
+        key[: len(hashes)] = hashes
+    else:
+        filled = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64)
+        for k in range(width):
+            key = key << np.uint64(8) | filled[k : n + k]
     levels = []
     while True:
         _, rank = np.unique(key, return_inverse=True)
@@ -137,28 +152,29 @@ def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefix(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common beginning of the suffixes at ``a`` and ``b``, at most ``depth``."""
+    """Length of the common beginning of the suffixes at ``a`` and ``b``, at most ``depth``; a multiple of the first level if that is not 8."""
     size = np.zeros(len(a), np.int64)
     whole = levels[-1][1][a] == levels[-1][1][b]
     for width, rank in reversed(levels[:-1]):
         fits = (size + width <= depth) & ~whole
         at = np.where(fits, size, 0)
         size += width * (fits & (rank[a + at] == rank[b + at]))
-    for _ in range(min(8, depth) - 1 if len(levels) > 1 else depth):
+    for _ in range(0 if levels[0][0] > 8 and len(levels) > 1 else min(8, depth) - 1 if len(levels) > 1 else depth):
         open_ = (size < depth) & ~whole
         at = np.where(open_, size, 0)
         size += open_ & (data[a + at] == data[b + at])
     return np.where(whole, depth, size)
 
 
-def longest_previous(data: np.ndarray, starts: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_previous(data: np.ndarray, starts: np.ndarray, places: np.ndarray, depth: int, coarse: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous factors, up to ``depth``, of the suffixes at ``starts``, and which earlier start has it (-1: none).
 
-    ``places`` order the starts in the corpus and are distinct; ``depth`` bytes follow every start.
+    ``places`` order the starts in the corpus and are distinct; ``depth`` bytes follow every start. With ``coarse``, factors below
+    ``depth`` are only lower bounds, multiples of it.
     """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    levels = suffix_ranks(data, depth)
+    levels = suffix_ranks(data, depth, coarse)
     order = np.lexsort((places, levels[-1][1][starts]))
     best, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
     for near in nearest_smaller(places[order]):
@@ -172,7 +188,7 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, places: np.ndarray, d
 
 def matched(data: np.ndarray, starts: np.ndarray, places: np.ndarray, depth: int, keep_first: bool) -> np.ndarray:
     """Which starts have an earlier match of ``depth`` bytes (or any, without ``keep_first``)."""
-    best, source = longest_previous(data, starts, places, depth)
+    best, source = longest_previous(data, starts, places, depth, min(COARSE, depth))
     found = best >= depth
     if not keep_first:
         found[source[found]] = True
@@ -230,7 +246,7 @@ def repeated_spans(texts: DataFrame, keep_first: bool, length: int = LENGTH, chu
     runs = save(long_texts.select("key", "data").mapInArrow(cut, "key string, bucket long, start int, n int, inside boolean"), "runs")
     place = F.xxhash64("key", "start")
     buckets = runs.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("inside").cast("int")).alias("inside"), F.sum("n").alias("starts"))
-    shared = buckets.where("low <> high OR inside = 1").select("bucket", F.ceil(F.col("starts") / chunk).cast("int").alias("parts"))
+    shared = save(buckets.where("low <> high OR inside = 1").select("bucket", F.ceil(F.col("starts") / chunk).cast("int").alias("parts")), "buckets")
     wanted = runs.join(shared, "bucket").select("key", F.struct("start", "n", "bucket", "parts").alias("run"))
     # the copies of a text name the same runs; each is kept once
     lists = wanted.groupBy("key").agg(F.collect_set("run").alias("runs"))
@@ -248,9 +264,10 @@ def repeated_spans(texts: DataFrame, keep_first: bool, length: int = LENGTH, chu
     )
     big = shared.where("parts > 1").limit(1).count() > 0
     pieces = save(pieces, "pieces") if big else pieces
-    spans = _small_buckets(pieces.where("parts = 1") if big else pieces, keep_first, length, chunk)
+    batch = min(BATCH, chunk)
+    spans = _small_buckets(pieces.where("parts = 1") if big else pieces, keep_first, length, batch)
     if big:
-        spans = spans.unionByName(_big_buckets(pieces.where("parts > 1"), keep_first, length))
+        spans = spans.unionByName(_big_buckets(pieces.where("parts > 1"), keep_first, length, batch))
     return spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -260,8 +277,7 @@ _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _prints_of(data: bytes, length: int) -> np.ndarray:
     """Fingerprints of all windows of a run's bytes."""
-    signs = np.frombuffer(data, np.uint8)
-    return np.concatenate([rolling(signs[k : k + BLOCK + length - 1], length)[0] for k in range(0, len(signs) - length + 1, BLOCK)])
+    return all_hashes(np.frombuffer(data, np.uint8), length)
 
 
 def _found(keys: list[str], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -269,36 +285,50 @@ def _found(keys: list[str], spans: list[list[tuple[int, int]]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, _SPANS_TYPE)], names=["key", "spans"])
 
 
-def _small_buckets(pieces: DataFrame, keep_first: bool, length: int, chunk: int) -> DataFrame:
+def _repeated(prints: np.ndarray) -> np.ndarray:
+    """Which values stand there more than once."""
+    low = (prints & np.uint64((1 << 20) - 1)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(low, minlength=1 << 20)[low] > 1)
+    _, place, count = np.unique(prints[maybe], return_inverse=True, return_counts=True)
+    out = np.zeros(len(prints), bool)
+    out[maybe] = count[place] > 1
+    return out
+
+
+def _small_buckets(pieces: DataFrame, keep_first: bool, length: int, batch: int) -> DataFrame:
     """Spans found in buckets that fit a task, by longest previous factors."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch | None:
         prints = [_prints_of(r[6], length) for r in rows]
-        values, place, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
-        again = np.split(count[place] > 1, np.cumsum([len(p) for p in prints])[:-1])
-        rows = [r for r, some in zip(rows, again) if some.any()]
-        if not rows:
+        again = np.split(_repeated(np.concatenate(prints)), np.cumsum([len(p) for p in prints])[:-1])
+        # of each run, from the first repeated window to the last
+        cut = []
+        for row, some in zip(rows, again):
+            at = np.flatnonzero(some)
+            if len(at):
+                cut.append(((row[2], row[3] or 0, row[4]), row[5] + int(at[0]), row[6][at[0] : at[-1] + length]))
+        if not cut:
             return None
         # texts in their order: by first document, null ids last, then by key
-        texts = {t: k for k, t in enumerate(sorted({(r[2], r[3] or 0, r[4]) for r in rows}))}
-        sizes = [len(r[6]) - length + 1 for r in rows]
-        begin = np.cumsum([0, *[len(r[6]) for r in rows]])
+        texts = {t: k for k, t in enumerate(sorted({c[0] for c in cut}))}
+        sizes = [len(c[2]) - length + 1 for c in cut]
+        begin = np.cumsum([0, *[len(c[2]) for c in cut]])
         bounds = np.cumsum([0, *sizes])
         inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-        offset = inside + np.repeat([r[5] for r in rows], sizes)
-        places = (np.repeat([texts[r[2], r[3] or 0, r[4]] for r in rows], sizes) << 40) + offset
-        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        offset = inside + np.repeat([c[1] for c in cut], sizes)
+        places = (np.repeat([texts[c[0]] for c in cut], sizes) << 40) + offset
+        data = np.frombuffer(b"".join(c[2] for c in cut), np.uint8)
         hits = matched(data, np.repeat(begin[:-1], sizes) + inside, places, length, keep_first)
         spans = [covered(hits[a:b], offset[a:b], length) for a, b in zip(bounds, bounds[1:])]
         some = [k for k, s in enumerate(spans) if s]
-        return _found([rows[k][4] for k in some], [spans[k] for k in some]) if some else None
+        return _found([cut[k][0][2] for k in some], [spans[k] for k in some]) if some else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         starts = 0
         for rows in groups(batches, 1):
             size = sum(len(r[6]) - length + 1 for r in rows)
-            if held and starts + size > chunk:
+            if held and starts + size > batch:
                 made = work(held)
                 if made is not None:
                     yield made
@@ -312,66 +342,115 @@ def _small_buckets(pieces: DataFrame, keep_first: bool, length: int, chunk: int)
     return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SPANS)
 
 
-def _big_buckets(pieces: DataFrame, keep_first: bool, length: int) -> DataFrame:
-    """Spans found in buckets beyond a task: counts and first places of fingerprints, summed by Spark and joined back."""
+def _big_buckets(pieces: DataFrame, keep_first: bool, length: int, batch: int) -> DataFrame:
+    """Spans found in buckets beyond a task: counts and first places of fingerprints, merged and joined back.
+
+    Windows travel packed: a row holds the texts that it speaks of and, for every window, fingerprint, start, number, and place of
+    its text in that list.
+    """
+    fields = {f.name: f.dataType for f in pieces.schema}
+    text = T.StructType([T.StructField(n, fields[n]) for n in ("last", "first_id", "key")])
+    packed = T.StructType(
+        [
+            T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()),
+            T.StructField("texts", T.ArrayType(text)), T.StructField("data", T.BinaryType()),
+        ]
+    )
+    arrow = to_arrow_schema(packed)
+
+    def order_of(t: dict) -> tuple:
+        return t["last"], t["first_id"] or 0, t["key"]
+
+    def pack(bucket: int, part: int, texts: list[dict], columns: list[np.ndarray], n: int) -> dict:
+        used, place = np.unique(columns[3], return_inverse=True)
+        data = b"".join(np.ascontiguousarray(c).astype(np.int64).tobytes() for c in (*columns[:3], place))
+        return {"bucket": bucket, "part": part, "n": n, "texts": [texts[k] for k in used], "data": data}
+
+    def unpack(rows: list[dict]) -> tuple[list[dict], list[np.ndarray]]:
+        """All texts in their order, and the windows of all rows."""
+        texts = sorted({order_of(t): t for r in rows for t in r["texts"]}.values(), key=order_of)
+        index = {order_of(t): k for k, t in enumerate(texts)}
+        parts = [np.frombuffer(r["data"], np.int64).reshape(4, -1) for r in rows]
+        of = [np.array([index[order_of(t)] for t in r["texts"]], np.int64)[p[3]] for r, p in zip(rows, parts)]
+        return texts, [*[np.concatenate([p[k] for p in parts]) for k in range(3)], np.concatenate(of)]
+
+    def counted(columns: list[np.ndarray]) -> list[np.ndarray]:
+        """One window of each fingerprint, the first, with the sum of the numbers."""
+        prints, starts, n, of = columns
+        order = np.lexsort((starts, of, prints))
+        first = np.flatnonzero(np.concatenate([[True], prints[order][1:] != prints[order][:-1]]))
+        return [prints[order[first]], starts[order[first]], np.add.reduceat(n[order], first), of[order[first]]]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a row for each part of its bucket that a run has windows in: their fingerprints, then their starts
-        for batch in batches:
-            for row in batch.to_pylist():
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        size = 0
+
+        def sent():
+            made = []
+            for (bucket, part), (texts, columns) in held.items():
+                whole = [np.concatenate([c[k] for c in columns]) for k in range(4)]
+                made.append(pack(bucket, part, texts, whole, len(whole[0])))
+            return pa.RecordBatch.from_pylist(made, schema=arrow)
+
+        for rows in batches:
+            for row in rows.to_pylist():
                 prints = _prints_of(row["data"], length)
-                starts = row["start"] + np.arange(len(prints), dtype=np.uint64)
                 part = prints % np.uint64(row["parts"])
                 order = np.argsort(part, kind="stable")
-                some = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-                made = [row | {"part": int(part[s[0]]), "data": prints[s].tobytes() + starts[s].tobytes()} for s in some]
-                yield pa.RecordBatch.from_pylist(made, schema=schema)
-
-    schema = to_arrow_schema(T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType())]))
-    windows = pieces.mapInArrow(spread, T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType())]))
-    # every part of a bucket is worked on by as many tasks as the bucket has parts
-    windows = save(windows.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("parts")).cast("int")), "windows")
-    keys = ["bucket", "part", "salt"]
-    of_prints = "bucket long, part int, parts int, print long, n long, last boolean, first_id {0}, key string, start long"
-    id_type = pieces.schema["first_id"].dataType.simpleString()
-
-    def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        arrays = [np.frombuffer(v, np.uint64).reshape(2, -1) for v in table["data"].to_pylist()]
-        return np.concatenate([a[0] for a in arrays]), np.concatenate([a[1] for a in arrays]).astype(np.int64), np.repeat(np.arange(len(arrays)), [a.shape[1] for a in arrays])
-
-    def count(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("last", "ascending"), ("first_id", "ascending"), ("key", "ascending"), ("start", "ascending")])
-        prints, starts, row = unpacked(table)
-        order = np.lexsort((starts, row, prints))
-        first = np.flatnonzero(np.concatenate([[True], np.diff(prints[order].view(np.int64)) != 0]))
-        n = np.diff(np.append(first, len(order)))
-        at = order[first]
-        named = table.select(["bucket", "part", "parts", "last", "first_id", "key"]).take(pa.array(row[at]))
-        columns = {c: named[c] for c in named.column_names} | {"print": pa.array(prints[at].view(np.int64)), "n": pa.array(n), "start": pa.array(starts[at])}
-        return pa.table([columns[f.split()[0]] for f in of_prints.split(", ")], names=[f.split()[0] for f in of_prints.split(", ")])
-
-    counted = windows.groupBy(*keys).applyInArrow(count, of_prints.format(id_type))
-    place = F.struct("last", "first_id", "key", "start")
-    again = counted.groupBy("bucket", "part", "print").agg(F.sum("n").alias("n"), F.min(place).alias("first"), F.max("parts").alias("parts")).where("n > 1")
-    again = again.select("bucket", "part", "print", "first.key", "first.start", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-
-    def mark(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(table) or not len(known):
+                for s in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    texts, columns = held.setdefault((row["bucket"], int(part[s[0]])), ([], []))
+                    columns.append([prints[s].view(np.int64), row["start"] + s, np.ones(len(s), np.int64), np.full(len(s), len(texts))])
+                    texts.append({n: row[n] for n in ("last", "first_id", "key")})
+                size += len(prints)
+                if size > batch:
+                    yield sent()
+                    held, size = {}, 0
+        if held:
+            yield sent()
+
+    windows = save(pieces.mapInArrow(spread, packed), "windows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            made = []
+            for row in rows.to_pylist():
+                texts, columns = unpack([row])
+                made.append(pack(row["bucket"], row["part"], texts, counted(columns), row["n"]))
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        texts, columns = unpack(rows)
+        whole = counted(columns)
+        again = whole[2] > 1
+        made = pack(rows[0]["bucket"], rows[0]["part"], texts, [c[again] for c in whole], sum(r["n"] for r in rows))
+        return pa.Table.from_pylist([made], schema=arrow)
+
+    known = save(windows.mapInArrow(count, packed).groupBy("bucket", "part").applyInArrow(merge, packed), "repeated")
+    tasks = F.ceil(F.col("n") / (4 * batch)).cast("int")
+    known = known.select("bucket", "part", "texts", "data", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
+    many = known.groupBy("bucket", "part").agg(F.count("*").alias("tasks"))
+    dealt = windows.join(many, ["bucket", "part"]).withColumn("salt", F.pmod(F.xxhash64("data"), F.col("tasks")).cast("int")).select("bucket", "part", "texts", "data", "salt")
+
+    def mark(table: pa.Table, other: pa.Table) -> pa.Table:
+        if not len(table) or not len(other):
             return pa.table([pa.array([], pa.string()), pa.array([], _SPANS_TYPE)], names=["key", "spans"])
-        prints, starts, row = unpacked(table)
-        repeated = known["print"].to_numpy().view(np.uint64)
+        texts, (prints, starts, _, of) = unpack(table.to_pylist())
+        first_texts, (repeated, first_starts, _, first_of) = unpack(other.to_pylist())
+        if not len(repeated):
+            return mark(table.slice(0, 0), other)
         order = np.argsort(repeated)
-        at = np.minimum(np.searchsorted(repeated[order], prints), len(order) - 1)
-        hit = repeated[order][at] == prints
+        at = order[np.minimum(np.searchsorted(repeated[order], prints), len(order) - 1)]
+        hit = repeated[at] == prints
         if keep_first:
-            names = table["key"].to_pylist()
-            first_key, first_start = known["key"].to_pylist(), known["start"].to_numpy()
-            for k in np.flatnonzero(hit & (first_start[order][at] == starts)):
-                hit[k] = first_key[order[at[k]]] != names[row[k]]
-        spans = [covered(hit[row == r], starts[row == r], length) for r in np.unique(row[hit])]
-        return pa.Table.from_batches([_found([table["key"][int(r)].as_py() for r in np.unique(row[hit])], spans)])
-
-    return windows.groupBy(*keys).cogroup(again.groupBy(*keys)).applyInArrow(mark, _SPANS)
+            names = {t["key"]: k for k, t in enumerate(texts)}
+            same = np.array([names.get(t["key"], -1) for t in first_texts])
+            hit &= (same[first_of[at]] != of) | (first_starts[at] != starts)
+        marked = np.unique(of[hit])
+        return pa.Table.from_batches([_found([texts[k]["key"] for k in marked], [covered(hit[of == k], starts[of == k], length) for k in marked])])
+
+    keys = ["bucket", "part", "salt"]
+    return dealt.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(mark, _SPANS)
 
 
 def with_kept(texts: DataFrame) -> DataFrame:
