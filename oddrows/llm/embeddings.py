@@ -225,9 +225,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     heads = rich.groupBy("part").agg(F.min("first_id").alias("component_id"))
     named = rich.join(heads, "part").select("key", "n_links", "component_id", F.lit(True).alias("usable"))
     v = F.col(f"`{embedding}`")
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), vector_key(v).alias("key")).join(named, "key", "left")
+    rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), vector_key(v).alias("key")).join(named, "key", "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.cast("long").alias("component_id")).withColumn(
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
     )
 

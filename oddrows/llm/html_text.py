@@ -1,8 +1,8 @@
 """Visible text of web pages, laid out: a tree builder with implied tags, visibility rules, and block rendering.
 
 Paragraphs, headings, lists and tables are set apart by an empty line, other blocks by a line end. List items get their marker
-and hang from it; table cells stand in aligned columns. Nothing visible is left out. Elements nested deeper than ``DEPTH``
-are kept at that depth, as browsers do.
+and hang from it; table cells stand in aligned columns. Nothing visible is left out. What elements nested deeper than ``DEPTH``
+hold is kept at that depth, as browsers do, unless they are hidden. A drop-down shows its choice, a list box all options.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PAD = 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title meta link datalist iframe noembed noframes audio video canvas object param map".split())
+UNSEEN = frozenset("head script style template title meta link datalist iframe noembed noframes audio video canvas object param".split())
 # Blocks with an empty line around them, and without.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre xmp blockquote figure hr fieldset".split())
 BLOCKS = SPACED | frozenset(
@@ -50,6 +50,8 @@ ENDS = {
     "a": ({"a"}, frozenset(("td", "th", "table"))),
     "button": ({"button"}, frozenset(("td", "th", "table"))),
 }
+# Elements that are no blocks but end across open ones.
+SCOPED = frozenset("object applet marquee button".split())
 P_SHIELD = frozenset("table td th button caption template object".split())
 HEAD_ONLY = frozenset("head title meta link base style script noscript template".split())
 
@@ -78,13 +80,24 @@ class Node:
 def build(html: str) -> Node:
     """The tree of a page; texts are children as strings, with character references resolved."""
     root = Node("html")
-    stack = [root]
+    # open elements, and the nodes that their children go to: below DEPTH that of the element above, or one that is not shown
+    stack, into = [root], [root]
+    count: dict[str, int] = {}
+
+    def cut(k: int) -> None:
+        for n, target in zip(stack[k:], into[k:]):
+            count[n.tag] -= 1
+            if target is not n and n.tag in BLOCKS:
+                target.children.append(Node("div"))  # the end of the block is an edge
+        del stack[k:], into[k:]
 
     def close(tags, shield) -> bool:
+        if not any(count.get(t) for t in tags):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             tag = stack[k].tag
             if tag in tags:
-                del stack[k:]
+                cut(k)
                 return True
             if tag in shield:
                 return False
@@ -93,13 +106,15 @@ def build(html: str) -> Node:
     def add_text(text: str) -> None:
         if text:
             if stack[-1].tag == "head" and not text.isspace():
-                stack.pop()
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+                cut(len(stack) - 1)
+            into[-1].children.append(unescape(text) if "&" in text else text)
 
     def push(node: Node) -> None:
-        stack[-1].children.append(node)
-        if len(stack) < DEPTH:
-            stack.append(node)
+        into[-1].children.append(node)
+        shallow = len(stack) < DEPTH or not visible(node, node.attributes() if node.given else {})
+        stack.append(node)
+        into.append(node if shallow else into[-1])
+        count[node.tag] = count.get(node.tag, 0) + 1
 
     at, size = 0, len(html)
     while at < size:
@@ -119,11 +134,13 @@ def build(html: str) -> Node:
         given = m["given"] or m["loose"] or ""
         if m["end"]:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                into[-1].children.append(Node("br"))
+            elif tag == "p" and not count.get("p"):
+                into[-1].children.append(Node("p"))
             elif tag in HEADINGS:
                 close(HEADINGS, P_SHIELD)
+            elif tag in SCOPED:
+                close({tag}, frozenset(("td", "th", "table", "caption")))
             elif tag not in BLOCKS:
                 # an inline element does not end across the edge of a block
                 close({tag}, BLOCKS)
@@ -135,15 +152,15 @@ def build(html: str) -> Node:
             if tag == "body":
                 close({"head"}, frozenset())
                 body = Node("body", given)
-                if not any(n.tag == "body" for n in stack):
+                if not count.get("body"):
                     push(body)
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close({"p"}, P_SHIELD)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in ENDS:
             while close(*ENDS[tag]) and tag in SECTIONS:
                 pass
@@ -153,13 +170,13 @@ def build(html: str) -> Node:
             push(Node("tr"))
         node = Node(tag, given)
         if tag in RAW:
-            stack[-1].children.append(node)
+            into[-1].children.append(node)
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             inside = html[at : end.start()] if end else html[at:]
             at = end.end() if end else size
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
         elif tag in VOID:
-            stack[-1].children.append(node)
+            into[-1].children.append(node)
         else:
             push(node)
     return root
@@ -220,9 +237,12 @@ def walk(node: Node, flow: Flow, pre: bool = False) -> None:
             if given.get("type", "text").lower() not in ("checkbox", "radio", "file", "image", "color", "range", "password"):
                 flow.inline.append(f" {given.get('value', '')} ")
         elif kind == "select":
-            options = [n for n in descend(child) if n.tag == "option"]
-            chosen = [n for n in options if "selected" in n.attributes()] or options[:1]
-            flow.inline.append(" " + " ".join(texts_of(n) for n in chosen) + " ")
+            options = [n for n in descend(child) if n.tag == "option" and visible(n, n.attributes())]
+            if "multiple" in given or number(given.get("size"), 0, 1000) > 1:
+                flow.inline.append(("\x00" if flow.inline else "") + "\x00".join([*map(texts_of, options), ""]))
+            else:
+                chosen = [n for n in options if "selected" in n.attributes()] or options[:1]
+                flow.inline.append(" " + " ".join(texts_of(n) for n in chosen) + " ")
         elif kind in BLOCKS:
             flow.flush()
             flow.put(block(child, given, tag), kind in SPACED and not (kind in LISTS and tag == "li"))
@@ -361,7 +381,7 @@ def table_lines(node: Node) -> list[str]:
                 continue
             while below.get(column, 0):
                 column += 1
-            span = max(1, number(given.get("colspan"), 1, 100))
+            span = max(1, number(given.get("colspan"), 1, 1000))
             deep = max(1, number(given.get("rowspan"), 1, 10_000))
             inner = Flow()
             walk(cell, inner)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.llm.common import components, groups, mix64, save, with_arrow
+from oddrows.llm.common import components, groups, mix64, save, unused, with_arrow
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, VALUES = 24, 4
@@ -233,15 +233,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group; columns are unchanged. Rows without words all stay."""
-    found = jaccard_groups(docs).select(F.col("key").alias("__key"), F.col("first_id").alias("__first"), F.col("root_key").alias("__root"))
+    """The documents with one row of each group; columns are unchanged. Rows without words, or without copy or link, all stay."""
+    key, first, root, own = unused(docs, "key", "first", "root", "own")
+    found = jaccard_groups(docs).select(F.col("key").alias(key), F.col("first_id").alias(first), F.col("root_key").alias(root))
     text = F.col("text")
-    key = F.when(text.rlike(HAS_WORDS), F.md5(text.cast("binary")))
-    joined = docs.withColumn("__key", key).join(found, "__key", "left")
-    heads = joined.where("__root IS NULL OR (__root = __key AND doc_id <=> __first)")
+    joined = docs.withColumn(own, F.when(text.rlike(HAS_WORDS), F.md5(text.cast("binary")))).join(found, F.col(own) == F.col(key), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     # a row repeated in full is one row
-    single = F.coalesce(F.when(F.col("__root").isNotNull(), F.col("__key")), F.concat(F.lit("row "), F.monotonically_increasing_id()))
-    return heads.withColumn("__one", single).dropDuplicates(["__one"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = joined.where((F.col(root) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(first))).dropDuplicates([key]).select(*columns)
+    return joined.where(F.col(key).isNull()).select(*columns).unionByName(heads)
 
 
 SQL = r"""

@@ -147,16 +147,23 @@ def fold(modulus: int, remainder: int) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000) -> RuleModel:
-    """Fit on at most ``sample_rows`` labelled documents (the bounded sample goes to the driver as statistics only)."""
+    """Fit on at most ``sample_rows`` labelled documents (the bounded sample goes to the driver as statistics only).
+
+    Of a repeated id the least statistics in order count.
+    """
     sample = labelled(labels, label, fold(5, 0), sample_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(chosen).drop("text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    each = with_statistics(chosen).groupBy("doc_id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    rows = each.select("doc_id", "label", "s.*").orderBy("doc_id").collect()
     x = np.array([[r[s] for s in STATISTICS] for r in rows], dtype=float).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, np.array([float(r["label"]) for r in rows]), STATISTICS)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """Score every whole text. Without labels every score is 1/2; repeated rows are scored alike."""
+    """Score every whole text, however long. A null text is scored as an empty one, whose statistics are all 0.
+
+    Without labels every score is 1/2; repeated rows are scored alike.
+    """
     model = fit_quality(docs, labels)
     scored = with_statistics(docs.select("doc_id", "text")).withColumn("score", model.score())
     return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

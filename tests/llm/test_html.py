@@ -1,5 +1,6 @@
 """Rendering of pages: implied tags, visibility, spacing, lists, tables."""
 
+import re
 import time
 
 import pytest
@@ -40,6 +41,12 @@ def text(html):
         ("<b>a<p>b</b>c", "a\n\nbc"),
         ("<a href=1>x<a href=2>y</a></p>z", "xy\nz"),
         ("<blockquote>a<blockquote>b</blockquote></blockquote>", "    a\n\n        b"),
+        ("<map><p>links</map> rest of page", "links rest of page"),
+        ("a<object><p>alt</object>rest", "arest"),
+        ("<button><p>go</button>rest", "go\n\nrest"),
+        ("<select multiple><option>a<option>b<option hidden>c</select>d", "a\nb\nd"),
+        ("<select size=3><option>a<option selected>b</select>", "a\nb"),
+        ("<select size=1><option>a<option selected>b</select>", "b"),
         ("", ""),
         (None, ""),
     ],
@@ -50,6 +57,45 @@ def test_render(html, want):
     assert text(html) == want
 
 
+def test_deep_elements_end_themselves_and_hide():
+    deep = "<div>" * 300
+    assert text(deep + "<div hidden>no<div>no</div></div>yes") == "yes"
+    assert text("<section>a" + deep + "<section>b</section>c" + "</div>" * 300 + "</section>d").split() == ["a", "b", "c", "d"]
+
+
+def test_words_of_whole_pages(spark):
+    """The words of every page, in order, as a plain parser without layout finds them."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found, self.unseen = [], []
+
+        def handle_starttag(self, tag, attrs):
+            given = dict(attrs)
+            gone = tag in html_text.UNSEEN or "hidden" in given or html_text.HIDING.search(given.get("style") or "")
+            if tag not in html_text.VOID and (gone or self.unseen):
+                self.unseen.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.unseen and tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.unseen:
+                self.found += re.findall(r"\w+", data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(pages) > 100
+    for r in pages:
+        plain = Words()
+        plain.feed(r["html"] or "")
+        shown = re.sub(r"(?m)^ *\d+\. ", " ", render(r["html"])[1])
+        assert re.findall(r"\w+", shown) == plain.found, r["page_id"]
+
+
 def test_hostile_pages_take_linear_time():
     start = time.time()
     assert text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
