@@ -364,6 +364,20 @@ def chi2_wide(spark, sf_dir):
     return rounded(st.chi2_independence(logs(spark, sf_dir), "sus", "processName").select("chi2", "dof"))
 
 
+EFFECTS = (
+    " UNION ALL ".join(f"SELECT feature, 'numeric' AS type, effect_size FROM ({WELCH.format(c=c)})" for c in ("amount", "returnValue"))
+    + f" UNION ALL SELECT 'argsNum', 'categorical', chi2 FROM ({CHI.format(y=0, a='evil', b='argsNum', s='logs')})"
+    + f" UNION ALL SELECT 'sus', 'categorical', chi2 FROM ({CHI.format(y=0.5, a='evil', b='sus', s='logs')})"
+)
+
+
+@query("cluster_feature_effects", on_logs(f"SELECT 1 AS cluster, feature, type, round(effect_size, 5) AS effect_size FROM ({EFFECTS})"))
+def cluster_feature_effects(spark, sf_dir):
+    """The tests' effects; the cluster is that of the malicious rows."""
+    tests = cluster_feature_tests(spark, sf_dir)
+    return tests.select("cluster", "feature", "type", F.round("effect_size", 5).alias("effect_size"))
+
+
 @query("cluster_feature_tests")
 def cluster_feature_tests(spark, sf_dir):
     df = logs(spark, sf_dir).withColumn("cluster", F.when(F.col("eventId") == 1010, 1).otherwise(0))

@@ -38,6 +38,43 @@ def pca_two_columns(spark, sf_dir):
     return rounded(spark.createDataFrame([tuple(float(r) for r in model.ratio)], "ratio_0 double, ratio_1 double"))
 
 
+AXIS = """SELECT *, v1 / sqrt(v1 * v1 + v2 * v2) * s AS x, v2 / sqrt(v1 * v1 + v2 * v2) * s AS y FROM (
+  SELECT *, CASE WHEN CASE WHEN abs(v1) >= abs(v2) THEN v1 ELSE v2 END < 0 THEN -1 ELSE 1 END AS s FROM (
+    SELECT *, CASE WHEN a > b THEN l - b ELSE c END AS v1, CASE WHEN a > b THEN c ELSE l - a END AS v2 FROM eig))"""
+# the second axis is the first one turned, its largest loading positive
+AXES = """SELECT 0 AS component, l / (a + b) AS r, x AS amount, y AS returnValue FROM axis UNION ALL
+  SELECT 1, 1 - l / (a + b), -y * t, x * t FROM (SELECT *, CASE WHEN CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END < 0 THEN -1 ELSE 1 END AS t FROM axis)"""
+LOADINGS = """SELECT component, CAST(row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC) AS INT) AS rank, feature,
+  round(loading, 6) AS loading, round(r, 6) AS variance_ratio
+  FROM (SELECT component, r, 'amount' AS feature, amount AS loading FROM axes UNION ALL SELECT component, r, 'returnValue', returnValue FROM axes)"""
+
+
+def two_axes(spark, sf_dir):
+    return linear.pca_fit(logs(spark, sf_dir), ["amount", "returnValue"], 2)
+
+
+@query("pca_loadings_two_columns", on_logs(LOADINGS, cov=COV, eig=EIG, axis=AXIS, axes=AXES))
+def pca_loadings_two_columns(spark, sf_dir):
+    return rounded(linear.pca_loadings(spark, two_axes(spark, sf_dir), 2))
+
+
+@query("pca_importance_two_columns", on_logs("SELECT 'amount' AS feature, round(sum(abs(amount)), 6) AS importance FROM axes UNION ALL SELECT 'returnValue', round(sum(abs(returnValue)), 6) FROM axes", cov=COV, eig=EIG, axis=AXIS, axes=AXES))
+def pca_importance_two_columns(spark, sf_dir):
+    return rounded(linear.pca_importance(spark, two_axes(spark, sf_dir)))
+
+
+PROJECTED = """SELECT id, evil, round((logs.amount - ma) * p.amount + (logs.returnValue - mb) * p.returnValue, 4) + 0.0 AS pc_0,
+  round((logs.amount - ma) * q.amount + (logs.returnValue - mb) * q.returnValue, 4) + 0.0 AS pc_1
+  FROM logs, cov, axes p, axes q WHERE p.component = 0 AND q.component = 1"""
+
+
+@query("project_2d_two_columns", on_logs(PROJECTED, cov=COV, eig=EIG, axis=AXIS, axes=AXES))
+def project_2d_two_columns(spark, sf_dir):
+    from oddrows.plans.studies import project_2d
+
+    return rounded(project_2d(logs(spark, sf_dir).select("id", "evil", F.col("amount").cast("double"), F.col("returnValue").cast("double")), ["amount", "returnValue"], 2, ["id", "evil"]), 4)
+
+
 # one axis kept: the error is the squared distance to the axis
 @query(
     "pca_score",
@@ -280,7 +317,7 @@ def vae_generate(spark, sf_dir):
     return both.groupBy("kind").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in COLS], *[F.stddev_pop(c).alias(f"{c}_std") for c in COLS])
 
 
-@query("save_model")
+@query("save_model", on_logs("SELECT count(*) AS n, 0 AS changed FROM logs"))
 def save_tree_model(spark, sf_dir):
     """A fitted forest written by Spark's own writer and read back predicts the same classes."""
     from pyspark.ml.classification import RandomForestClassificationModel
@@ -293,7 +330,7 @@ def save_tree_model(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("pred_a") != F.col("pred_b")).alias("changed"))
 
 
-@query("save_load_model")
+@query("save_load_model", on_logs("SELECT count(*) AS n, CAST(0 AS DOUBLE) AS largest_gap FROM logs"))
 def save_load_model(spark, sf_dir):
     """Parameters written and read back score the same rows."""
     df = base(spark, sf_dir)

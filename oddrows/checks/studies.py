@@ -307,6 +307,38 @@ def kmeans_representative_sample(spark, sf_dir):
     return rd.kmeans_representative_sample(base(spark, sf_dir), COLS, "evil", "id", 500)
 
 
+QUOTAS = "SELECT 1 AS evil, CAST(floor({n} * (sum(evil) / count(*))) AS BIGINT) AS n FROM logs UNION ALL SELECT 0, CAST({n} - floor({n} * (sum(evil) / count(*))) AS BIGINT) FROM logs"
+
+
+@query("kmeans_sample_classes", on_logs(QUOTAS.format(n=500)))
+def kmeans_sample_classes(spark, sf_dir):
+    """The representative sample holds the quota of each class, no row twice."""
+    rows = kmeans_representative_sample(spark, sf_dir)
+    return rows.groupBy("evil").agg(F.count_distinct("id").alias("n"))
+
+
+@query("density_sample_classes", on_logs(QUOTAS.format(n=2000)))
+def density_sample_classes(spark, sf_dir):
+    """The density sample has the class ratio of the table; a copy of a row counts as a row."""
+    return density_sample(spark, sf_dir).groupBy("evil").agg(F.count_distinct("id", "copy").alias("n"))
+
+
+SAMPLED = """SELECT logs.* FROM logs JOIN (
+  SELECT id FROM ranked, (SELECT count(*) AS n, sum(evil) AS p FROM logs)
+  WHERE r <= CASE WHEN evil = 1 THEN floor(1500 * (p / n)) ELSE 1500 - floor(1500 * (p / n)) END) USING (id)"""
+SHARE = "SELECT (a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2 / (a + b) AS r FROM (SELECT var_samp(amount) AS a, var_samp(returnValue) AS b, covar_samp(amount, returnValue) AS c FROM {t})"
+
+
+@query(
+    "pca_variance_diff_two_columns",
+    on_logs(f"SELECT round(2 * abs(a.r - b.r), 6) AS pca_variance_diff FROM ({SHARE.format(t='logs')}) a, ({SHARE.format(t='sampled')}) b", ranked=ranked(42, "evil"), sampled=SAMPLED),
+)
+def pca_variance_diff_two_columns(spark, sf_dir):
+    df = logs(spark, sf_dir).select("id", "evil", F.col("amount").cast("double"), F.col("returnValue").cast("double"))
+    gap = rd.pca_variance_diff(df, sp.stratified_sample(df, "id", "evil", 1500), ["amount", "returnValue"])
+    return rounded(spark.createDataFrame([(gap,)], "pca_variance_diff double"))
+
+
 @query("density_sample")
 def density_sample(spark, sf_dir):
     return rd.density_sample(base(spark, sf_dir), COLS, "evil", "id", 2000).select("id", "copy", "evil")
