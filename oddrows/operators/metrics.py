@@ -31,9 +31,9 @@ def _class_totals(df: DataFrame, score: str, label: str, by: Sequence[str]) -> D
 
 
 def _with_totals(curve: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row of totals per detector, always tiny."""
+    """Curves with the totals of their group; the size met at run time decides on a broadcast."""
     if by:
-        return curve.join(F.broadcast(totals), list(by))
+        return curve.join(totals, list(by))
     p, n = totals.first() or (0, 0)
     return curve.withColumns({"_P": F.lit(p), "_N": F.lit(n)})
 

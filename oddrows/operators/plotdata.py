@@ -40,7 +40,7 @@ def kde_curve(df: DataFrame, col: str, group: str, points: int = 100, bandwidth:
     step = (hi - lo) / (points - 1)
     grid = [lo + i * step for i in range(points)]
     h = F.lit(bandwidth) if bandwidth else F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    values = rows.groupBy("class", "v").agg(F.count("*").alias("w")).join(F.broadcast(stats.withColumn("h", h)), "class")
+    values = rows.groupBy("class", "v").agg(F.count("*").alias("w")).join(stats.withColumn("h", h), "class")
 
     def kernel(x):
         u = (F.lit(x) - F.col("v")) / F.col("h")
@@ -61,7 +61,7 @@ def box_violin_summary(df: DataFrame, group: str, value: str, log1p: bool = Fals
     rows = df.select(F.col(group).alias("class"), v.alias("value"))
     q = quantile_table(rows, ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["class"]).drop("feature")
     iqr = F.col("q3") - F.col("q1")
-    joined = rows.join(F.broadcast(q), "class")  # one row per class
+    joined = rows.join(q, "class")
     v = F.col("value")
     return joined.groupBy("class", "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("q1") - 1.5 * iqr, v)).alias("low_whisker"),

@@ -253,6 +253,38 @@ def test_one_class_svm(frame):
     assert outside <= 0.05 * 990
 
 
+def test_one_class_svm_ranks_like_the_exact_problem(spark, frame, bulk):
+    x, n = bulk[XS].to_numpy(), 1000
+    for nu in (0.05, 0.2):
+        spark.sparkContext.setJobGroup(f"svm{nu}", "")
+        model = svm.svm_fit(frame, XS, "id", nu=nu)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"svm{nu}")
+        spark.sparkContext.setJobGroup("", "")
+        assert model.error <= 1e-3
+        kernel = np.exp(-model.gamma * ((x[:, None] - x[None]) ** 2).sum(-1))
+        lifted = svm._lift(x, model.landmarks, svm._map_of(model.landmarks, model.gamma), model.gamma)
+        assert np.isclose(model.error, (1 - (lifted**2).sum(1)).mean(), atol=1e-9) and np.abs(kernel - lifted @ lifted.T).max() < 0.05
+        # the dual by accelerated projected gradients
+        most = 1 / (nu * n)
+
+        def onto(v, most=most):
+            low, high = v.min() - most - 1, v.max() + 1
+            for _ in range(45):
+                middle = (low + high) / 2
+                low, high = (middle, high) if np.clip(v - middle, 0, most).sum() > 1 else (low, middle)
+            return np.clip(v - high, 0, most)
+
+        a = y = onto(np.full(n, 1 / n))
+        t, slope = 1.0, np.linalg.norm(kernel, 2)
+        for _ in range(1500):
+            b = onto(y - kernel @ y / slope)
+            t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+            y, a = b + (old - 1) / t * (b - a), b
+        ranks = [pd.Series(v).rank() for v in (model.project(x), kernel @ a)]
+        assert ranks[0].corr(ranks[1]) > 0.99
+        assert len(jobs) < 40, (len(jobs), model.passes)
+
+
 def test_autoencoder(spark, frame):
     net = nets.autoencoder_fit(frame.filter("evil = 0"), XS, "id", latent=2, hidden=(8,), rounds=10)
     out = nets.autoencoder_score(frame, net).withColumnRenamed("reconstruction_error", "score").cache()
