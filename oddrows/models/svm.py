@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from oddrows.models.common import summed, training_points
 from oddrows.operators.neighbors import coordinates, point, sq_distances
 from oddrows.operators.order import order_statistics
-from oddrows.operators.sampling import sample_n
 
 FIRST_LANDMARKS, CANDIDATES = 128, 512
 STEP_ROWS = 4096  # rows lifted at a time
@@ -55,7 +54,7 @@ def _lift(x: np.ndarray, landmarks: np.ndarray, mix: np.ndarray, gamma: float) -
 
 def _landmarks(points: DataFrame, gamma: float, n: float, most: int, error: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Landmarks, their map, and the missed share; the number doubles until that is at most ``error`` or ``most`` are there."""
-    chosen = coordinates(sample_n(points, "pid", min(FIRST_LANDMARKS, most), seed).orderBy("pid").toPandas())
+    chosen = coordinates(points.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(min(FIRST_LANDMARKS, most)).toPandas())
     while True:
         mix = _map_of(chosen, gamma)
 
