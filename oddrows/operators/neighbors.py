@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.operators.order import is_whole, key_numbers
+from oddrows.operators.order import is_whole, key_numbers, running_totals
 from oddrows.operators.sampling import sample_n
-from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, TASK_ROWS, TASK_ROWS_KEY, at_most, cut_lineage, setting, small_join
+from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, at_most, cut_lineage, setting, small_join
 
 TILE_ROWS = 4096
 CHUNK_CELLS = 4_000_000  # distance matrix entries held at once
@@ -374,72 +374,64 @@ def pairwise_distance_stats(df: DataFrame, xs: Sequence[str], id_col: str, label
         def add(scope, m):
             live = m & (w > 0)
             if live.any():
-                out.append((scope, float(w[live].sum()), float(d[live].min()), float(d[live].max()), float((w[live] * d[live]).sum())))
+                out.append((scope, -1, float(w[live].sum()), float(d[live].min()), float(d[live].max()), float((w[live] * d[live]).sum())))
 
         add("all", np.ones_like(w, dtype=bool))
         if label:
             a, b = qp[label].to_numpy(), rp[label].to_numpy()
             for v in np.intersect1d(a, b):
                 add(str(v), (a[:, None] == v) & (b[None, :] == v))
-        return pd.DataFrame(out, columns=["scope", "n", "lo", "hi", "s"])
-
-    part = blockwise(q, pts, stats, "scope string, n double, lo double, hi double, s double")
-    summary = part.groupBy("scope").agg(
+        # all distances once more, by cells of equal relative width
+        live = w > 0
+        cells, place = np.unique(_cell_of(d[live]), return_inverse=True)
+        sketch = pd.DataFrame({"scope": "all", "cell": cells, "n": np.bincount(place, w[live], minlength=len(cells)), "lo": 0.0, "hi": 0.0, "s": 0.0})
+        return pd.concat([pd.DataFrame(out, columns=["scope", "cell", "n", "lo", "hi", "s"]), sketch], ignore_index=True)
+
+    part = blockwise(q, pts, stats, "scope string, cell long, n double, lo double, hi double, s double")
+    summary = part.groupBy("scope", "cell").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("s") / F.sum("n")).alias("mean")
     )
-    rows = summary.collect()
+    found = summary.orderBy("scope", "cell").collect()  # cells of doubles, some thousands
+    rows = [r for r in found if r["cell"] < 0]
     whole = next((r for r in rows if r["scope"] == "all"), None)
-    median = _pair_median(q, pts, weights, whole) if whole else None
+    median = _pair_median(q, pts, weights, [(r["cell"], r["n"]) for r in found if r["cell"] >= 0]) if whole else None
     data = [(r["scope"], int(r["n"] / 2), r["lo"], r["hi"], r["mean"], median if r["scope"] == "all" else None) for r in rows]
     return spark.createDataFrame(data, "scope string, pairs long, min double, max double, mean double, median double")
 
 
-def _pair_median(q, pts, weights, whole) -> float:
-    """Median of the ordered pairs (equal to that of the unordered ones) by narrowing a histogram."""
-    bins = 4096
-    limit = setting(q.sparkSession, TASK_ROWS_KEY, TASK_ROWS)
-    n = whole["n"]
+CELL_BITS = 41  # low bits of a double that a cell of distances leaves open: 2048 cells an octave
+
+
+def _cell_of(d: np.ndarray) -> np.ndarray:
+    """Cell of non-negative doubles; their bits are in their order."""
+    return np.ascontiguousarray(d, dtype=float).view(np.int64) >> CELL_BITS
+
+
+def _pair_median(q, pts, weights, sketch: list[tuple[int, float]]) -> float:
+    """Median of the ordered pairs (equal to that of the unordered ones): the counts by cells name the cells that hold it, a second
+    pass over the tiles counts the distances inside, whatever the number of pairs."""
+    n = sum(c for _, c in sketch)
     targets = [int(n // 2), int(n // 2) + 1]
-    lo, hi, below, inside = whole["lo"], whole["hi"], 0.0, n
-    while inside > limit and hi > lo:
-        edges = np.linspace(lo, hi, bins + 1)
-
-        def hist(qp, rp, d2, edges=edges):
-            d, w = np.sqrt(d2), weights(qp, rp)
-            live = (w > 0) & (d >= edges[0]) & (d <= edges[-1])
-            spot = np.clip(np.searchsorted(edges, d[live], side="right") - 1, 0, bins - 1)
-            sums = np.bincount(spot, w[live], minlength=bins)
-            at = np.nonzero(sums)[0]
-            return pd.DataFrame({"b": at.astype("int32"), "n": sums[at]})
-
-        counts = blockwise(q, pts, hist, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").collect()
-        run, first, last, before = below, None, None, below
-        for r in counts:
-            if first is None and run + r["n"] >= targets[0]:
-                first, before = r["b"], run
-            if last is None and run + r["n"] >= targets[1]:
-                last = r["b"]
-            run += r["n"]
-        # a bin holds [edge, next edge); the last one is closed
-        new_lo, new_hi = edges[first], edges[last + 1]
-        if last + 1 < bins:
-            new_hi = np.nextafter(new_hi, -math.inf)
-        kept = sum(r["n"] for r in counts if first <= r["b"] <= last)
-        if (new_lo, new_hi) == (lo, hi) or kept == inside and new_hi - new_lo <= 1e-15 * max(1.0, abs(hi)):
-            break
-        lo, hi, below, inside = float(new_lo), float(new_hi), before, kept
-
-    def values(qp, rp, d2, lo=lo, hi=hi):
+    run, first, last, below = 0.0, None, None, 0.0
+    for cell, count in sketch:
+        if first is None and run + count >= targets[0]:
+            first, below = cell, run
+        if last is None and run + count >= targets[1]:
+            last = cell
+        run += count
+    last = first if last is None else last
+
+    def values(qp, rp, d2):
         d, w = np.sqrt(d2), weights(qp, rp)
-        live = (w > 0) & (d >= lo) & (d <= hi)
+        cell = _cell_of(d)
+        live = (w > 0) & (cell >= first) & (cell <= last)
         found = pd.DataFrame({"d": d[live], "n": w[live]})
         return found.groupby("d", as_index=False)["n"].sum()
 
-    inside_rows = blockwise(q, pts, values, "d double, n double").groupBy("d").agg(F.sum("n").alias("n"))
-    run = below
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # narrowed to few values
-    placed = inside_rows.withColumn("upto", F.sum("n").over(w) + F.lit(run))
-    got = [placed.filter(F.col("upto") >= t).agg(F.min("d")).first()[0] for t in targets]
+    inside = cut_lineage(blockwise(q, pts, values, "d double, n double").groupBy("d").agg(F.sum("n").alias("n")))
+    placed = running_totals(inside, "d", ["n"])
+    upto = F.col("cum_n") + F.lit(below)
+    got = placed.agg(*[F.min(F.when(upto >= t, F.col("d"))).alias(f"m{i}") for i, t in enumerate(targets)]).first()
     return sum(got) / 2
 
 
