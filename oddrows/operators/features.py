@@ -261,12 +261,16 @@ def parse_args(df: DataFrame, col: str = "args", out: str = "parsed") -> DataFra
     it does not touch its neighbours. Text without items gives an empty array.
     """
 
-    def read(item: Column) -> Column:
-        parsed = F.from_json(item, "struct<name: string, type: string, value: string>", {"allowSingleQuotes": "true"})
-        return F.struct(*[F.coalesce(parsed[f], _loose_field(item, f)).alias(f) for f in ("name", "type", "value")])
+    def parsed(item: Column) -> Column:
+        # once for all fields: inside of a lambda common expressions are not shared
+        json = F.from_json(item, "struct<name: string, type: string, value: string>", {"allowSingleQuotes": "true"})
+        return F.struct(item.alias("item"), json.alias("json"))
+
+    def read(both: Column) -> Column:
+        return F.struct(*[F.coalesce(both["json"][f], _loose_field(both["item"], f)).alias(f) for f in ("name", "type", "value")])
 
     items = F.regexp_extract_all(F.col(col), F.lit(ARG_ITEM), F.lit(0))
-    return df.withColumn(out, F.coalesce(F.transform(items, read), F.array().cast(ARGS_TYPE)))
+    return df.withColumn(out, F.coalesce(F.transform(F.transform(items, parsed), read), F.array().cast(ARGS_TYPE)))
 
 
 def flatten_args(df: DataFrame, max_args: int | None = None, parsed: str = "parsed") -> DataFrame:
