@@ -32,7 +32,7 @@ from oddrows.llm.common import save
 
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 # Groups of a block, entries of a tile (about), and counters that a task holds before it sends them.
-BLOCK, TILE_ENTRIES, COUNTERS = 200, 50_000, 400_000
+BLOCK, TILE_ENTRIES, COUNTERS = 200, 50_000, 150_000
 
 # signs that are no letters part words; A-Z become small; bytes beyond ASCII stay
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
