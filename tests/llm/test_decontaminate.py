@@ -80,23 +80,72 @@ def test_blocks_of_the_benchmark(spark, documents, monkeypatch):
     assert want == brute
 
 
+def window_forms(parts, width):
+    """Plain templates of all windows: (place, first part taken alone, template, values in its slots, words, whether words are the most)."""
+    for at in range(len(parts) - width + 1):
+        window = parts[at : at + width]
+        words = tuple(value for _, _, value in window)
+        for alone in (False, True):
+            kinds = [window[0][alone], *[inside for inside, _, _ in window[1:]]]
+            template = tuple(value if kind < 0 else f"<{kind}>" for kind, value in zip(kinds, words))
+            values = [(kind, value) for kind, value in zip(kinds, words) if kind >= 0]
+            yield at, alone, template, values, words, 2 * (width - len(values)) > width
+
+
+def leaks_brute(docs, bench):
+    """(document, item) pairs by comparing templates as they are, without hashes."""
+    templates, verbatim, widths = {}, {}, set()
+    for item, text in bench:
+        parts = decontaminate.all_parts((text or "").split())
+        width = min(decontaminate.WIDTH, len(parts))
+        if not width:
+            continue
+        widths.add(width)
+        for _, alone, template, values, words, literal in window_forms(parts, width):
+            if literal and width >= decontaminate.LEAST:
+                templates.setdefault(template, []).append((item, values))
+            elif not alone:
+                verbatim.setdefault(words, set()).add(item)
+    found = set()
+    for doc, text in docs:
+        parts = decontaminate.all_parts((text or "").split())
+        for width in widths:
+            for _, _, template, values, words, _ in window_forms(parts, width):
+                found |= {(doc, item) for item in verbatim.get(words, ())}
+                for item, wanted in templates.get(template, ()):
+                    if len(set(zip(values, wanted))) == len(set(values)) == len(set(wanted)):
+                        found.add((doc, item))
+    return found
+
+
 def test_op10_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    grams = {}
-    for i, t in bench:
-        w = t.split()
-        for k in range(len(w) - 9):
-            grams.setdefault(tuple(w[k : k + 10]), set()).add(i)
-    exact = set()
-    for d, t in docs:
-        w = t.split()
-        for k in range(len(w) - 9):
-            exact |= {(d, i) for i in grams.get(tuple(w[k : k + 10]), ())}
     got = found(queries.op10_decontamination(spark, sf))
-    # windows of common words hold as templates, too; the rest differs by marks and case only
-    assert exact <= got and len(got) <= len(exact) + 3
+    assert len(got) > 5 and got == leaks_brute(docs, bench)
+
+
+def test_slots_against_plain_templates(documents, spark):
+    draw = random.Random(9)
+    words = ["the", "In", "km", "5", "12", "Anna", "Bernd", "kg", "has", "of", "left", "7%", "h", "x"]
+    line = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    bench = [(k, line(draw.randint(1, 14))) for k in range(60)]
+    change = {"5": "8", "12": "30", "Anna": "Eva", "Bernd": "Otto", "km": "mi", "kg": "lb"}
+    rows = []
+    for k in range(150):
+        held = bench[k % 60][1].split()
+        if k % 2:
+            held = [change.get(w, w) for w in held]
+        rows.append((k, " ".join([line(draw.randint(0, 6)), *held, line(draw.randint(0, 6))])))
+    got = found(decontaminate.leaks(documents(rows), items(spark, bench)))
+    assert len(got) > 100 and got == leaks_brute(rows, bench)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", QUESTION), ("b", "clean")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-1", QUESTION)], "item_id string, text string")
+    assert found(decontaminate.leaks(docs, bench)) == {("a", "q-1")}
 
 
 def test_windows_of_placeholders_are_found_verbatim(spark, documents):
