@@ -14,7 +14,7 @@ from oddrows.operators.neighbors import distinct_points
 from oddrows.session import cut_lineage
 
 
-PARTIAL_SUMS = 200_000  # numbers of all tasks that may be added up on the driver
+PARTIAL_SUMS = 1_000_000  # numbers of all tasks that may be added up on the driver
 
 
 def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -54,8 +54,8 @@ def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: in
     parts = points.mapInPandas(run, "k int, v double")
     if points.rdd.getNumPartitions() * size > PARTIAL_SUMS:
         parts = parts.groupBy("k").agg(F.sum("v").alias("v"))
-    for r in parts.collect():
-        out[r["k"]] += r["v"]
+    found = parts.toArrow()
+    np.add.at(out, found["k"].to_numpy(), found["v"].to_numpy())
     return out
 
 
