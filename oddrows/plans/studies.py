@@ -180,7 +180,7 @@ def cluster_labels(df: DataFrame, xs: Sequence[str], id_col: str, alg: str, k: i
         rows, model = cl.kmeans(df, xs, k, id_col, seed)
         return rows, model.cost
     if alg == "hierarchical":
-        return cl.hierarchical(df, xs, k, id_col, seed=seed)[0], None
+        return cl.hierarchical(df, xs, k, id_col)[0], None
     if alg == "dbscan":
         return dbscan(df, xs, id_col, eps if eps is not None else eps_for(k), min_samples), None
     if alg == "gmm":

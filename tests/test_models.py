@@ -463,3 +463,11 @@ def test_dbscan_grid(blobs):
     assert (local[["pid", "c0", "c1"]].to_numpy() == spread[["pid", "c0", "c1"]].to_numpy()).all() and local.c1.max() > 0
     got = grid[(grid.pca_dim == 2) & (grid.eps == 0.3) & (grid.min_samples == 5)].iloc[0]
     assert all(math.isclose(got[m], want[m]) for m in sd.QUALITY)
+
+
+def test_external_eval_of_ward_and_others(blobs):
+    from oddrows.plans import studies as sd
+
+    for method in ("hierarchical", "kmeans", "dbscan"):
+        out = sd.external_eval(blobs, XS, "id", "evil", method, 3, 2, fracs=(0.2, 0.5)).toPandas()
+        assert len(out) == 2 and out.f1_pos_mean.between(0, 1).all()
