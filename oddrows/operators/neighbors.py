@@ -6,7 +6,8 @@ against a block of reference points (numpy, bounded memory) to partial results t
 * a reference set of a checked size is broadcast and each task streams its query rows past it;
 * a larger one is cut into cells around pivots and cells into blocks of a few thousand rows. With a radius
   a query only visits cells the triangle inequality cannot rule out; nearest neighbours are searched in two rounds, the first
-  of which finds each query its own bound. Both sides of every (cell, block, block) tile are bounded, whatever the skew.
+  of which finds each query its own bound. Both sides of every (cell, block, block) tile are bounded, whatever the skew;
+* where all pairs are wanted, or cells rule out little (wide points), every block of one side meets every block of the other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ TILE_ROWS = 4096
 CHUNK_CELLS = 4_000_000  # distance matrix entries held at once
 MAX_PIVOTS = 2048
 NEAR_ROWS = 1024  # rows of a cell in the search for nearest neighbours
+ROUTED_ROWS = 10_000  # rows with their coordinates that a routing task hands on at once
+BLOCK_ROWS = 8  # most rows of a block of all pairs, in TILE_ROWS
+BLOCKS = 16  # blocks of a side that all pairs are cut into at least, where that leaves TILE_ROWS each
+CHUNK_Q, CHUNK_R = 256, 2048  # a piece of the distance matrix that stays near the core
+WIDE = 16  # coordinates from which distances come from matrix products
+MOST_VISITED = 0.25  # share of the cells that queries visit beyond which all pairs are cheaper
+PROBES = 1000  # queries that this share is estimated from; the result does not depend on it
 
 
 def point(xs: Sequence[str]) -> Column:
@@ -67,21 +75,71 @@ def sq_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_pairs(qx: np.ndarray, rx: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distances of listed pairs, summed in the order of ``sq_distances``."""
+    out = np.zeros(len(row))
+    for j in range(qx.shape[1]):
+        diff = qx[row, j] - rx[col, j]
+        out += diff * diff
+    return out
+
+
+def distance_chunks(qx: np.ndarray, rx: np.ndarray, near_exact: bool = True):
+    """Pieces ``(i, j, squared distances, slack)`` of the matrix from row ``i`` and column ``j`` on; ``slack`` bounds their error.
+
+    Distances of wide points come from one matrix product of centred points. With ``near_exact`` those which its rounding could
+    touch (the square below 1e8 slacks) are taken from the coordinates, so a distance is off by less than 1e-10 of the norms.
+    """
+    d = qx.shape[1]
+    if d >= WIDE and len(qx) and len(rx):
+        mid = rx.mean(axis=0)
+        q, r = qx - mid, rx - mid
+        qn, rn = (q * q).sum(axis=1), (r * r).sum(axis=1)
+        left = np.column_stack([-2 * q, qn, np.ones(len(q))])
+        right = np.column_stack([r, np.ones(len(r)), rn])
+    for i in range(0, len(qx), CHUNK_Q):
+        for j in range(0, len(rx), CHUNK_R):
+            a, b = slice(i, i + CHUNK_Q), slice(j, j + CHUNK_R)
+            scale = qn[a].max() + rn[b].max() if d >= WIDE else math.inf
+            if not math.isfinite(scale):
+                yield i, j, sq_distances(qx[a], rx[b]), 0.0
+                continue
+            d2 = left[a] @ right[b].T
+            slack = 8 * (d + 8) * np.finfo(float).eps * scale
+            if near_exact and d2.min() < 1e8 * slack:
+                row, col = np.nonzero(d2 < 1e8 * slack)
+                if len(row) * 4 > d2.size:
+                    d2 = sq_distances(qx[a], rx[b])
+                else:
+                    d2[row, col] = exact_pairs(qx[a], rx[b], row, col)
+            yield i, j, d2, slack
+
+
 def blockwise(
     query: DataFrame,
     ref: DataFrame,
     fn: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame],
     schema: str,
     radius: float | None = None,
+    chunked: bool = False,
+    mirrored: bool = False,
 ) -> DataFrame:
     """Partial results of ``fn(query rows, reference rows, squared distances)`` over all tiles that matter.
 
-    ``query`` has a key ``qid``; ``ref`` has ``pid`` and weight ``w``; both have the coordinates ``x``.
+    ``query`` has a key ``qid``; ``ref`` has ``pid`` and weight ``w``; both have the coordinates ``x``. With ``chunked``,
+    ``fn(query rows, reference rows)`` runs over whole tiles and takes the distances piece by piece. With ``mirrored`` both sides
+    are the same points and ``fn`` has a third argument: whether the tile also stands for the one with its sides exchanged.
     """
     spark = query.sparkSession
     limit = setting(spark, BROADCAST_ROWS_KEY, BROADCAST_ROWS)
 
     def reduce_block(q: pd.DataFrame, r: pd.DataFrame):
+        if mirrored:
+            yield fn(q, r, "_q" in q and q["_q"].iat[0] != q["_r"].iat[0])
+            return
+        if chunked:
+            yield fn(q, r)
+            return
         rx = coordinates(r)
         step = max(1, CHUNK_CELLS // max(1, len(r)))
         for i in range(0, len(q), step):
@@ -99,9 +157,42 @@ def blockwise(
 
         spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         return query.repartition(spread, "qid").mapInPandas(stream, schema)
+    if radius is None:
+        return all_pairs(query, ref, reduce_block, schema, mirrored)
     return _tiled(query, ref, reduce_block, schema, radius)
 
 
+def all_pairs(query: DataFrame, ref: DataFrame, reduce_block, schema: str, mirrored: bool = False) -> DataFrame:
+    """Partial results of every block of ``query`` against every block of ``ref``; of two mirrored tiles one is enough.
+
+    A side is sent once for each block of the other; blocks grow with it up to ``BLOCK_ROWS``, so a task's memory is bounded.
+    """
+    most = BLOCK_ROWS * TILE_ROWS
+
+    def blocks(rows: int) -> int:
+        return max(math.ceil(rows / most), min(BLOCKS, math.ceil(rows / TILE_ROWS)), 1)
+
+    qb, rb = blocks(query.count()), blocks(ref.count())
+    first, last = F.lit(0).cast("long"), lambda n: F.lit(n - 1).cast("long")
+    q = query.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+    r = ref.withColumn("_r", F.pmod(F.xxhash64("pid"), F.lit(rb)))
+    q = q.withColumn("_r", F.explode(F.sequence(F.col("_q") if mirrored else first, last(rb))))
+    r = r.withColumn("_q", F.explode(F.sequence(first, F.col("_r") if mirrored else last(qb))))
+    tile = _tile(reduce_block, schema)
+    return q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(tile, schema)
+
+
+def _tile(reduce_block, schema: str):
+    empty_cols = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def tile(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if not len(qp) or not len(rp):
+            return pd.DataFrame({c: [] for c in empty_cols})
+        return pd.concat(list(reduce_block(qp, rp)), ignore_index=True)
+
+    return tile
+
+
 @dataclass
 class Cells:
     """A reference set cut into cells around pivots: its rows with ``_cell``, and per cell the pivot, radius, rows and range of weights."""
@@ -150,7 +241,9 @@ def routed(query: DataFrame, cells: Cells, keep: Callable[[pd.DataFrame, np.ndar
     def route(batches):
         for b in _pieces(batches, len(centers)):
             row, cell = np.nonzero(keep(b, np.sqrt(sq_distances(coordinates(b), centers))))
-            yield b.iloc[row].assign(_cell=ids[cell].astype("int32"))
+            # a wide row that visits all cells would otherwise stand there thousands of times at once
+            for i in range(0, len(row), ROUTED_ROWS):
+                yield b.iloc[row[i : i + ROUTED_ROWS]].assign(_cell=ids[cell[i : i + ROUTED_ROWS]].astype("int32"))
 
     return cut_lineage(query.mapInPandas(route, f"{_fields(query)}, _cell int"))
 
@@ -169,13 +262,7 @@ def met(visits: DataFrame, cells: Cells, reduce_block, schema: str, query_column
     q = visits.join(blocks, "_cell").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_qb"))).withColumn("_r", own if once else every("_rb"))
     r = cells.rows.join(blocks, "_cell").withColumn("_r", F.pmod(F.xxhash64("pid"), F.col("_rb"))).withColumn("_q", every("_qb"))
     keys = ["_cell", "_q", "_r"]
-    empty_cols = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def tile(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(qp) or not len(rp):
-            return pd.DataFrame({c: [] for c in empty_cols})
-        return pd.concat(list(reduce_block(qp, rp)), ignore_index=True)
-
+    tile = _tile(reduce_block, schema)
     kept = [c for c in cells.rows.columns if c not in ("_cell", "_far")]
     return q.select(*query_columns, *keys).groupBy(*keys).cogroup(r.select(*kept, *keys).groupBy(*keys)).applyInPandas(tile, schema)
 
@@ -185,7 +272,7 @@ def _tiled(query, ref, reduce_block, schema, radius):
     reach = cells.reach
 
     def keep(b, d):
-        return np.ones_like(d, dtype=bool) if radius is None else d - reach[None, :] <= radius * (1 + 1e-9) + 1e-12
+        return d - reach[None, :] <= radius * (1 + 1e-9) + 1e-12
 
     return met(routed(query, cells, keep), cells, reduce_block, schema, query.columns)
 
@@ -226,10 +313,11 @@ def pruned(cells: Cells, k: int, ward: bool):
     return keep
 
 
-def two_rounds(query: DataFrame, ref: DataFrame, k: int, fn: Callable, schema: str, value: str, ward: bool = False) -> tuple[DataFrame, DataFrame]:
+def two_rounds(query: DataFrame, ref: DataFrame, k: int, fn: Callable, schema: str, value: str, ward: bool = False, whole: Callable | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Search by cells: a block of the home cell gives each query a bound, then it visits the cells within it.
 
     ``fn`` keeps the k best of a block, with their measure in the column ``value``. Returns the partial results and the visits.
+    With ``whole``, which reduces blocks of all pairs, these are taken (no visits) where the bounds leave too many cells.
     """
     cells = cells_of(ref, min(NEAR_ROWS, TILE_ROWS))
 
@@ -242,13 +330,60 @@ def two_rounds(query: DataFrame, ref: DataFrame, k: int, fn: Callable, schema: s
 
     first = met(routed(query, cells, home), cells, reduce_block, schema, query.columns, once=True)
     bound = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.max(value)).alias("_bound"))
-    visits = routed(query.join(bound, "qid", "left"), cells, pruned(cells, k + 1 if ward else k, ward))
+    bounded = query.join(bound, "qid", "left")
+    keep = pruned(cells, k + 1 if ward else k, ward)
+    if whole is not None:
+        bounded = cut_lineage(bounded)
+        probes = sample_n(bounded, "qid", PROBES).toPandas()
+        if len(probes) and keep(probes, np.sqrt(sq_distances(coordinates(probes), cells.centers))).mean() > MOST_VISITED:
+            return all_pairs(query, ref, whole, schema), None
+    visits = routed(bounded, cells, keep)
     return met(visits, cells, reduce_block, schema, query.columns), visits
 
 
 # --- nearest neighbours --------------------------------------------------------------------------
 
 
+def _nearest_in(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
+    """k nearest rows of ``r`` per row of ``q``. Matrix products only rule pairs out; what is kept is measured by its coordinates."""
+    qx, rx, pid = coordinates(q), coordinates(r), r["pid"].to_numpy()
+    rows, cols, found = [], [], []
+    best: tuple[np.ndarray, ...] = ()
+
+    def close():
+        if best:
+            rows.append(best[0])
+            cols.append(best[1])
+            found.append(best[2])
+
+    at = -1
+    for i, j, d2, slack in distance_chunks(qx, rx, near_exact=False):
+        if i != at:
+            close()
+            at, m = i, len(d2)
+            best = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            bound = np.full(m, np.inf)
+        limit = bound
+        if d2.shape[1] > k and not np.isfinite(bound).all():
+            limit = np.minimum(bound, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
+        row, col = np.nonzero(d2 <= (limit + slack)[:, None])
+        if not len(row):
+            continue
+        exact = exact_pairs(qx, rx, row + i, col + j)
+        row, col, exact = np.concatenate([best[0], row + i]), np.concatenate([best[1], col + j]), np.concatenate([best[2], exact])
+        order = np.lexsort((pid[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        start = np.searchsorted(row, np.arange(i, i + m))
+        place = np.arange(len(row)) - start[row - i]
+        kept = place < k
+        last = place == k - 1
+        bound[row[last] - i] = exact[last]
+        best = (row[kept], col[kept], exact[kept])
+    close()
+    row, col = (np.concatenate(c) if c else np.zeros(0, int) for c in (rows, cols))
+    return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "pid": pid[col], "d2": np.concatenate(found) if found else np.zeros(0)})
+
+
 def _nearest_points(query: DataFrame, ref: DataFrame, k: int) -> DataFrame:
     """k nearest reference points per query point ``(qid, pid, d2)``, ties by ``pid``."""
 
@@ -264,9 +399,15 @@ def _nearest_points(query: DataFrame, ref: DataFrame, k: int) -> DataFrame:
         row, col = row[best], col[best]
         return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "pid": pid[col], "d2": d2[row, col]})
 
+    def whole(q, r):
+        yield _nearest_in(q, r, k)
+
     schema = "qid long, pid long, d2 double"
     small = at_most(ref, setting(query.sparkSession, BROADCAST_ROWS_KEY, BROADCAST_ROWS))
-    parts = blockwise(query, ref, fn, schema) if small else two_rounds(query, ref, k, fn, schema, "d2")[0]
+    if small:
+        parts = blockwise(query, ref, lambda q, r: _nearest_in(q, r, k), schema, chunked=True)
+    else:
+        parts = two_rounds(query, ref, k, fn, schema, "d2", whole=whole)[0]
     w = Window.partitionBy("qid").orderBy("d2", "pid")  # k rows per tile visited
     return parts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 

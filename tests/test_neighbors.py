@@ -153,3 +153,74 @@ def test_two_rounds_visit_less(spark, monkeypatch):
     sizes = dict(zip(cells.ids.tolist(), cells.sizes.tolist()))
     pairs = [sum(sizes[r["_cell"]] * r["count"] for r in v.groupBy("_cell").count().collect()) for v in (visits, whole)]
     assert pairs[0] < 0.6 * pairs[1] and pairs[0] < 0.2 * len(x) ** 2
+
+
+def test_distances_from_products_keep_near_pairs_exact():
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 1, (700, 32))
+    x[1], x[2] = x[0], x[0] + 1e-9
+    got = np.zeros((700, 700))
+    for i, j, d2, _ in nb.distance_chunks(x, x):
+        got[i : i + d2.shape[0], j : j + d2.shape[1]] = d2
+    want = nb.sq_distances(x, x)
+    assert (got[:3, :3] == want[:3, :3]).all() and np.abs(np.sqrt(got) - np.sqrt(want)).max() < 1e-9
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Wide points, where no cell can be ruled out; some rows are equal, some equidistant."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (500, 20)), np.eye(20), -np.eye(20)])
+    x = np.vstack([x, x[:30]])
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(20)]).assign(id=rng.permutation(len(x)), c=rng.integers(0, 3, len(x)))
+    return spark.createDataFrame(pdf).cache(), pdf.sort_values("id")
+
+
+def test_wide_points_meet_in_blocks(wide, small_tasks, monkeypatch):
+    df, pdf = wide
+    xs = [f"x{i}" for i in range(20)]
+    monkeypatch.setattr(nb, "MEDIAN_VALUES", 50)
+    points = nb.distinct_points(df, xs, "id")
+    query = points.select(points.pid.alias("qid"), "x")
+    seen = []
+    keep = nb.all_pairs
+    monkeypatch.setattr(nb, "all_pairs", lambda *a, **k: seen.append(1) or keep(*a, **k))
+    nb._nearest_points(query, points, 3)
+    assert seen  # the second round would send every row with its coordinates to every cell
+    x = pdf[xs].to_numpy()
+    d2 = nb.sq_distances(x, x)
+    k = nb.knn_join(df, xs, "id", 5).toPandas().sort_values(["id", "rank"])
+    ids = pdf["id"].to_numpy()
+    for i, part in k.groupby("id"):
+        at = list(ids).index(i)
+        assert [ids[j] for j in np.lexsort((ids, d2[at])) if j != at][:5] == list(part.neighbor)
+    stats = {r["scope"]: r for r in nb.pairwise_distance_stats(df, xs, "id", "c").collect()}
+    pairs = np.sqrt(d2[np.triu_indices(len(x), 1)])
+    s = stats["all"]
+    assert s["pairs"] == len(pairs) and np.allclose([s["min"], s["max"], s["mean"], s["median"]], [pairs.min(), pairs.max(), pairs.mean(), np.median(pairs)])
+    for v in range(3):
+        own = pdf["c"].to_numpy() == v
+        part = np.sqrt(d2[own][:, own][np.triu_indices(own.sum(), 1)])
+        assert stats[str(v)]["pairs"] == len(part) and np.allclose([stats[str(v)]["min"], stats[str(v)]["max"], stats[str(v)]["mean"]], [part.min(), part.max(), part.mean()])
+    d, lab = np.sqrt(d2), pdf["c"].to_numpy()
+    a = np.array([d[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1) for i in range(len(d))])
+    b = np.array([min(d[i, lab == c].mean() for c in set(lab) - {lab[i]}) for i in range(len(d))])
+    assert np.isclose(nb.silhouette(df, xs, "id", "c").first()["silhouette"], ((b - a) / np.maximum(a, b)).mean())
+
+
+def test_routing_hands_on_bounded_pieces(wide, monkeypatch):
+    df, _ = wide
+    monkeypatch.setattr(nb, "ROUTED_ROWS", 50, raising=False)
+    sizes = []
+
+    class Query:
+        sparkSession, schema = df.sparkSession, nb.distinct_points(df, [f"x{i}" for i in range(20)], "id").schema
+
+        def mapInPandas(self, fn, schema):
+            rows = nb.distinct_points(df, [f"x{i}" for i in range(20)], "id").toPandas()
+            sizes.extend(len(p) for p in fn([rows]))
+
+    cells = nb.Cells(None, np.arange(4), np.zeros((4, 20)), np.ones(4), np.ones(4), np.ones(4), np.ones(4))
+    monkeypatch.setattr(nb, "cut_lineage", lambda d: d)
+    nb.routed(Query(), cells, lambda b, d: np.ones_like(d, dtype=bool))
+    assert sum(sizes) == 4 * 540 and max(sizes) <= 50
