@@ -500,47 +500,72 @@ def pairwise_distance_stats(df: DataFrame, xs: Sequence[str], id_col: str, label
     pts = cut_lineage(distinct_points(df, xs, id_col, tag))
     q = pts.withColumnRenamed("pid", "qid")
 
-    def weights(qp, rp):
-        w = np.outer(qp["w"].to_numpy(dtype=float), rp["w"].to_numpy(dtype=float))
-        same = qp["qid"].to_numpy()[:, None] == rp["pid"].to_numpy()[None, :]
-        if same.any():
-            i, j = np.nonzero(same)
-            w[i, j] = qp["w"].to_numpy(dtype=float)[i] * (qp["w"].to_numpy(dtype=float)[i] - 1)
-        return w
-
-    def stats(qp, rp, d2):
-        d, w = np.sqrt(d2), weights(qp, rp)
-        out = []
-
-        def add(scope, m):
-            live = m & (w > 0)
-            if live.any():
-                out.append((scope, -1, float(w[live].sum()), float(d[live].min()), float(d[live].max()), float((w[live] * d[live]).sum())))
-
-        add("all", np.ones_like(w, dtype=bool))
+    def stats(qp, rp, twice):
+        names = []
         if label:
-            a, b = qp[label].to_numpy(), rp[label].to_numpy()
-            for v in np.intersect1d(a, b):
-                add(str(v), (a[:, None] == v) & (b[None, :] == v))
-        # all distances once more, by cells of equal relative width
-        live = w > 0
-        cells, place = np.unique(_cell_of(d[live]), return_inverse=True)
-        sketch = pd.DataFrame({"scope": "all", "cell": cells, "n": np.bincount(place, w[live], minlength=len(cells)), "lo": 0.0, "hi": 0.0, "s": 0.0})
-        return pd.concat([pd.DataFrame(out, columns=["scope", "cell", "n", "lo", "hi", "s"]), sketch], ignore_index=True)
-
-    part = blockwise(q, pts, stats, "scope string, cell long, n double, lo double, hi double, s double")
+            # rows of a label stand together on both sides
+            qp, rp = (p.sort_values(label, kind="stable") for p in (qp, rp))
+            ql, rl = qp[label].to_numpy(), rp[label].to_numpy()
+            names = [v for v in np.intersect1d(ql, rl)]
+            qs, rs = ([(np.searchsorted(c, v, "left"), np.searchsorted(c, v, "right")) for v in names] for c in (ql, rl))
+        qw, rw = qp["w"].to_numpy(dtype=float), rp["w"].to_numpy(dtype=float)
+        single = bool((qw == 1).all() and (rw == 1).all())
+        own = _own_places(qp, rp)
+        # per scope: weight, smallest, largest and sum of the distances
+        total = {v: [0.0, math.inf, -math.inf, 0.0] for v in ["", *names]}
+        sketch = Sketch()
+
+        def add(scope, d, w, low, high):
+            t = total[scope]
+            t[0] += d.size if w is None else w.sum()
+            t[1], t[2] = min(t[1], low), max(t[2], high)
+            t[3] += d.sum() if w is None else (d * w).sum()
+
+        for i, j, d2, _ in distance_chunks(coordinates(qp), coordinates(rp)):
+            m, n = d2.shape
+            d = np.sqrt(np.maximum(d2, 0, out=d2), out=d2)
+            w = None
+            same = own(i, j, m, n)
+            if not single or same is not None:
+                w = np.outer(qw[i : i + m], rw[j : j + n])
+                if same is not None:
+                    w[same] = qw[i + same[0]] * (qw[i + same[0]] - 1)
+            scopes = [("", slice(0, m), slice(0, n))]
+            for v, (a, b), (c, e) in zip(names, qs, rs) if label else ():
+                a, b, c, e = max(a - i, 0), min(b - i, m), max(c - j, 0), min(e - j, n)
+                if a < b and c < e:
+                    scopes.append((v, slice(a, b), slice(c, e)))
+            for v, a, c in scopes:
+                part = d[a, c]
+                if w is None:
+                    add(v, part, None, part.min(), part.max())
+                    continue
+                live = w[a, c] > 0
+                if live.any():
+                    add(v, part, w[a, c], part[live].min(), part[live].max())
+            # all distances once more, by cells of equal relative width
+            sketch.add(_cell_of(d).ravel(), None if w is None else w.ravel())
+        out = pd.DataFrame(
+            [("all" if v == "" else str(v), -1, *t) for v, t in total.items() if t[0] > 0], columns=["scope", "cell", "n", "lo", "hi", "s"]
+        )
+        cells, counts = sketch.counts()
+        out = pd.concat([out, pd.DataFrame({"scope": "all", "cell": cells, "n": counts, "lo": 0.0, "hi": 0.0, "s": 0.0})], ignore_index=True)
+        return out.assign(n=out["n"] * 2, s=out["s"] * 2) if twice else out
+
+    part = blockwise(q, pts, stats, "scope string, cell long, n double, lo double, hi double, s double", mirrored=True)
     summary = part.groupBy("scope", "cell").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("s") / F.sum("n")).alias("mean")
     )
-    found = summary.orderBy("scope", "cell").collect()  # cells of doubles, some thousands
+    found = summary.orderBy("scope", "cell").collect()  # cells of doubles, some ten thousand
     rows = [r for r in found if r["cell"] < 0]
     whole = next((r for r in rows if r["scope"] == "all"), None)
-    median = _pair_median(q, pts, weights, [(r["cell"], r["n"]) for r in found if r["cell"] >= 0]) if whole else None
+    median = _pair_median(q, pts, [(r["cell"], r["n"]) for r in found if r["cell"] >= 0]) if whole else None
     data = [(r["scope"], int(r["n"] / 2), r["lo"], r["hi"], r["mean"], median if r["scope"] == "all" else None) for r in rows]
     return spark.createDataFrame(data, "scope string, pairs long, min double, max double, mean double, median double")
 
 
-CELL_BITS = 41  # low bits of a double that a cell of distances leaves open: 2048 cells an octave
+CELL_BITS = 38  # low bits of a double that a cell of distances leaves open: 16384 cells an octave
+DENSE_CELLS = 1 << 20  # cells that are counted in one array
 
 
 def _cell_of(d: np.ndarray) -> np.ndarray:
@@ -548,32 +573,118 @@ def _cell_of(d: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(d, dtype=float).view(np.int64) >> CELL_BITS
 
 
-def _pair_median(q, pts, weights, sketch: list[tuple[int, float]]) -> float:
-    """Median of the ordered pairs (equal to that of the unordered ones): the counts by cells name the cells that hold it, a second
-    pass over the tiles counts the distances inside, whatever the number of pairs."""
+class Sketch:
+    """Counts by cell: an array around the first cells seen, a table for cells far from them (such as that of the distance 0)."""
+
+    def __init__(self):
+        self.base, self.dense = None, np.zeros(0)
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, cell: np.ndarray, w: np.ndarray | None) -> None:
+        low, high = int(cell.min()), int(cell.max())
+        if high - low < DENSE_CELLS // 4 and self.base is None:
+            self.base, self.dense = max(0, low - DENSE_CELLS // 2), np.zeros(DENSE_CELLS)
+        if self.base is not None and self.base <= low and high < self.base + DENSE_CELLS:
+            counts = np.bincount(cell - low, w)
+            self.dense[low - self.base : low - self.base + len(counts)] += counts
+            return
+        found, place = np.unique(cell, return_inverse=True)
+        self.rest.append((found, np.bincount(place, w, minlength=len(found)).astype(float)))
+        if len(self.rest) > 64:
+            self.rest = [self._merged()]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        found, place = np.unique(np.concatenate([c for c, _ in self.rest]), return_inverse=True)
+        return found, np.bincount(place, np.concatenate([n for _, n in self.rest]), minlength=len(found))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.nonzero(self.dense)[0]
+        if self.base is not None:
+            self.rest.append((at + self.base, self.dense[at]))
+        cells, n = self._merged() if self.rest else (np.zeros(0, np.int64), np.zeros(0))
+        return cells[n > 0], n[n > 0]
+
+
+def _own_places(qp: pd.DataFrame, rp: pd.DataFrame):
+    """Where a piece of the distance matrix holds a point against itself: ``(rows, columns)`` or None."""
+    place = pd.Series(np.arange(len(rp)), index=rp["pid"].to_numpy())
+    both = pd.DataFrame({"pid": qp["qid"].to_numpy(), "row": np.arange(len(qp))}).join(place.rename("col"), on="pid", how="inner")
+    row, col = both["row"].to_numpy(), both["col"].to_numpy()
+
+    def own(i, j, m, n):
+        here = (row >= i) & (row < i + m) & (col >= j) & (col < j + n)
+        return (row[here] - i, col[here] - j) if here.any() else None
+
+    return own
+
+
+MEDIAN_VALUES = 50_000_000  # pairs whose distances may be listed one by one
+FINER_BITS = 14  # a pass that cuts cells finer makes 2^14 of each
+
+
+def _inside(q, pts, first: int, last: int, bits: int, finer: int) -> DataFrame:
+    """Ordered pairs by the finer cells of the cells ``first`` to ``last``: ``(cell, d, n)`` with the least distance of the cell."""
+    low, high = (np.array([c], np.int64) << bits for c in (first, last + 1))
+    low, high = float(low.view(float)[0]), float(high.view(float)[0])
+
+    def count(qp, rp, twice):
+        qw, rw = qp["w"].to_numpy(dtype=float), rp["w"].to_numpy(dtype=float)
+        own = _own_places(qp, rp)
+        cells, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, j, d2, _ in distance_chunks(coordinates(qp), coordinates(rp)):
+            m, n = d2.shape
+            # a little more than the cells, as the square root decides
+            row, col = np.nonzero((d2 >= low * low * (1 - 1e-14)) & (d2 <= high * high * (1 + 1e-14)))
+            d = np.sqrt(d2[row, col])
+            inside = (d >= low) & (d < high)
+            row, col, d = row[inside], col[inside], d[inside]
+            w = qw[i + row] * rw[j + col]
+            same = own(i, j, m, n)
+            if same is not None:
+                at = np.isin(row * n + col, same[0] * n + same[1])
+                w[at] -= qw[i + row[at]]
+            found, place = np.unique(d.view(np.int64) >> finer, return_inverse=True)
+            cells.append(found)
+            weights.append(np.bincount(place, w, minlength=len(found)))
+        found, place = np.unique(np.concatenate(cells), return_inverse=True)
+        n = np.bincount(place, np.concatenate(weights), minlength=len(found))
+        keep = n > 0
+        return pd.DataFrame({"cell": found[keep], "d": (found << finer).view(float)[keep], "n": n[keep] * (2 if twice else 1)})
+
+    return blockwise(q, pts, count, "cell long, d double, n double", mirrored=True).groupBy("cell", "d").agg(F.sum("n").alias("n"))
+
+
+def _pair_median(q, pts, sketch: list[tuple[int, float]]) -> float:
+    """Median of the ordered pairs (equal to that of the unordered ones): the counts by cells name the cells that hold it. Passes over
+    the tiles cut these finer until few enough distances are inside to be counted one by one, whatever the number of pairs."""
     n = sum(c for _, c in sketch)
     targets = [int(n // 2), int(n // 2) + 1]
-    run, first, last, below = 0.0, None, None, 0.0
-    for cell, count in sketch:
-        if first is None and run + count >= targets[0]:
-            first, below = cell, run
-        if last is None and run + count >= targets[1]:
-            last = cell
-        run += count
-    last = first if last is None else last
-
-    def values(qp, rp, d2):
-        d, w = np.sqrt(d2), weights(qp, rp)
-        cell = _cell_of(d)
-        live = (w > 0) & (cell >= first) & (cell <= last)
-        found = pd.DataFrame({"d": d[live], "n": w[live]})
-        return found.groupby("d", as_index=False)["n"].sum()
-
-    inside = cut_lineage(blockwise(q, pts, values, "d double, n double").groupBy("d").agg(F.sum("n").alias("n")))
-    placed = running_totals(inside, "d", ["n"])
+    bits, below = CELL_BITS, 0.0
+    while True:
+        run, start, first, last, inside = 0.0, below, None, None, 0.0
+        for cell, count in sketch:
+            upto = start + run + count
+            if first is None and upto >= targets[0]:
+                first, below = cell, start + run
+            if first is not None and last is None:
+                inside += count
+            if last is None and upto >= targets[1]:
+                last = cell
+            run += count
+        # the rounding of a later pass may move the last distance over the edge of its cell
+        last = sketch[-1][0] if last is None else last
+        first = last if first is None else first
+        if inside <= MEDIAN_VALUES:
+            break
+        finer = max(0, bits - FINER_BITS)
+        if finer == 0:
+            break
+        counted = _inside(q, pts, first, last, bits, finer)
+        sketch, bits = [(r["cell"], r["n"]) for r in counted.orderBy("cell").collect()], finer  # a few 2^FINER_BITS cells
+    placed = running_totals(cut_lineage(_inside(q, pts, first, last, bits, 0).drop("cell")), "d", ["n"])
     upto = F.col("cum_n") + F.lit(below)
-    got = placed.agg(*[F.min(F.when(upto >= t, F.col("d"))).alias(f"m{i}") for i, t in enumerate(targets)]).first()
-    return sum(got) / 2
+    got = placed.agg(*[F.min(F.when(upto >= t, F.col("d"))).alias(f"m{i}") for i, t in enumerate(targets)], F.max("d").alias("most")).first()
+    return sum(got["most"] if v is None else v for v in got[:2]) / 2
 
 
 def silhouette(df: DataFrame, xs: Sequence[str], id_col: str, cluster: str, exact: bool = True) -> DataFrame:
