@@ -687,6 +687,18 @@ def _pair_median(q, pts, sketch: list[tuple[int, float]]) -> float:
     return sum(got["most"] if v is None else v for v in got[:2]) / 2
 
 
+def _spans(rows: pd.DataFrame, by: str):
+    """Values of rows sorted by a column, the runs ``(number, from, to)`` of them within a range of rows, and the rows' weights."""
+    names, starts = np.unique(rows[by].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(rows))
+
+    def within(first: int, stop: int):
+        a, e = np.searchsorted(starts, [first, stop - 1], "right") - 1
+        return [(c, max(starts[c], first), min(ends[c], stop)) for c in range(a, e + 1)]
+
+    return names, within, rows["w"].to_numpy(dtype=float)
+
+
 def silhouette(df: DataFrame, xs: Sequence[str], id_col: str, cluster: str, exact: bool = True) -> DataFrame:
     """Mean silhouette, noise (-1) ignored, -1 with fewer than two clusters; and its verdict band.
 
@@ -707,18 +719,27 @@ def silhouette(df: DataFrame, xs: Sequence[str], id_col: str, cluster: str, exac
         value = spark.range(1).select(F.lit(float(score)).alias("silhouette"))
     else:
         pts = cut_lineage(distinct_points(live, xs, id_col, [cluster]))
-        q = pts.select(F.col("pid").alias("qid"), "x")
-
-        def sums(qp, rp, d2):
-            d = np.sqrt(d2) * rp["w"].to_numpy(dtype=float)[None, :]
-            c = rp[cluster].to_numpy()
-            parts = [
-                pd.DataFrame({"qid": qp["qid"].to_numpy(), "c": np.full(len(qp), v), "s": d[:, c == v].sum(axis=1)}) for v in np.unique(c)
-            ]
-            return pd.concat(parts, ignore_index=True)
+        q = pts.withColumnRenamed("pid", "qid")
+
+        def sums(qp, rp, twice):
+            qp, rp = (p.sort_values(cluster, kind="stable") for p in (qp, rp))
+            sides = [_spans(p, cluster) for p in ((qp, rp) if twice else (rp,))]
+            names, spans, w = sides[-1]
+            total = np.zeros((len(qp), len(names)))
+            back = np.zeros((len(rp), len(sides[0][0])))
+            for i, j, d2, _ in distance_chunks(coordinates(qp), coordinates(rp)):
+                d = np.sqrt(np.maximum(d2, 0, out=d2), out=d2)
+                for c, a, e in spans(j, j + d.shape[1]):
+                    total[i : i + len(d), c] += d[:, a - j : e - j] @ w[a:e]
+                for c, a, e in sides[0][1](i, i + len(d)) if twice else ():
+                    back[j : j + d.shape[1], c] += sides[0][2][a:e] @ d[a - i : e - i]
+            out = [(qp["qid"], names, total)] + ([(rp["pid"], sides[0][0], back)] if twice else [])
+            return pd.concat(
+                [pd.DataFrame({"qid": np.repeat(key.to_numpy(), len(v)), "c": np.tile(v, len(key)), "s": t.ravel()}) for key, v, t in out], ignore_index=True
+            )
 
         kind = df.schema[cluster].dataType.simpleString()
-        per = blockwise(q, pts, sums, f"qid long, c {kind}, s double").groupBy("qid", "c").agg(F.sum("s").alias("s"))
+        per = blockwise(q, pts, sums, f"qid long, c {kind}, s double", mirrored=True).groupBy("qid", "c").agg(F.sum("s").alias("s"))
         table = spark.createDataFrame(list(sizes.items()), T.StructType([T.StructField("c", df.schema[cluster].dataType), T.StructField("n_c", T.LongType())]))
         own = pts.select(F.col("pid").alias("qid"), "w", F.col(cluster).alias("own"))
         both = small_join(per, table, "c").join(own, "qid")
