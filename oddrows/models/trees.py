@@ -102,7 +102,8 @@ def permutation_importance(df: DataFrame, t: Trees, id_col: str, repeats: int =
         moves.append(F.struct(F.lit(r).alias("r"), F.lit(a).cast("long").alias("a"), F.lit(rng.randrange(n)).cast("long").alias("b")))
     asked = placed.select("_i", "_y", "_x", F.inline(F.array(*moves)))
     donors = placed.select(F.col("_i").alias("_d"), F.col("_x").alias("_z"))
-    paired = asked.withColumn("_d", F.pmod(F.col("a") * F.col("_i") + F.col("b"), F.lit(n))).join(donors, "_d")
+    # all rows stand on both sides; the size that Spark assumes of them, that of compressed files, would let it broadcast them
+    paired = asked.withColumn("_d", F.pmod(F.col("a") * F.col("_i") + F.col("b"), F.lit(n))).join(donors.hint("merge"), "_d")
     swaps = [
         F.struct(F.lit(j).alias("j"), F.array(*[F.get("_z" if i == j else "_x", F.lit(i)) for i in range(len(t.cols))]).alias("v"))
         for j in range(len(t.cols))

@@ -471,3 +471,27 @@ def test_external_eval_of_ward_and_others(blobs):
     for method in ("hierarchical", "kmeans", "dbscan"):
         out = sd.external_eval(blobs, XS, "id", "evil", method, 3, 2, fracs=(0.2, 0.5)).toPandas()
         assert len(out) == 2 and out.f1_pos_mean.between(0, 1).all()
+
+
+def test_permutation_importance_broadcasts_no_rows(spark):
+    """Few distinct values make small files; the rows joined to rows are as many as ever."""
+    df = spark.range(3000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 7 > 3 AS INT) AS y")
+    model = tr.tree_model(df, ["a", "b"], "y", "tree")
+    out = tr.permutation_importance(df, model, "id", repeats=2)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["feature"]: r["importance"] for r in out.collect()}
+    assert got["a"] > 0.3 and got["b"] == 0
+
+
+def test_small_join_broadcasts_only_checked_sizes(spark):
+    from oddrows.session import small_join
+
+    big, small = spark.range(100), spark.range(50).withColumn("v", F.lit(1))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small_join(big, small, "id"))
+    spark.conf.set("spark.oddrows.broadcastRows", "20")
+    try:
+        joined = small_join(big, small, "id")
+        assert "BroadcastHashJoin" not in plan(joined) and joined.filter("v = 1").count() == 50
+    finally:
+        spark.conf.unset("spark.oddrows.broadcastRows")
