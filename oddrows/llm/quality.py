@@ -134,11 +134,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, d
     return RuleModel(intercept, [(rule, float(w)) for rule, w in zip(rules, weights) if w])
 
 
-def labelled(labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold, by the order of a hash: (doc_id, label)."""
+def labelled(labels: DataFrame, label: str, held_out: Column, rows: int | None = None) -> DataFrame:
+    """Labelled documents outside the held-out fold, or at most ``rows`` of them by the order of a hash: (doc_id, label)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     each = known.groupBy("doc_id").agg(F.max(label).alias("label"))
-    return each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return each if rows is None else each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def fold(modulus: int, remainder: int) -> Column:

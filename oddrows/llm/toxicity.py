@@ -3,7 +3,7 @@
 A word with digits, signs or long runs of one sign among its letters is a lattice: each sign may stand for itself, for a letter
 it resembles, or for nothing (a separator, a repetition). Viterbi decoding picks the letters that a trigram model of
 characters, counted over all documents, and the channel's costs make likeliest. Single signs set apart by spaces are joined.
-In a run of words of one or two signs each blank is dropped or stays the edge of a word, as the words of the labelled sample
+In a run of words of one or two signs each blank is dropped or stays the edge of a word, as the words of the labelled texts
 make likeliest. The score is a logistic model over the restored words and their beginnings.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddrows.llm.common import SLICE_ROWS, with_arrow
-from oddrows.llm.lasso import fit_lasso
+from oddrows.llm.lasso import fit_sparse_lasso
 from oddrows.llm.quality import fold, labelled
+from oddrows.session import at_most, cut_lineage
 
 # What a sign may stand for (fixed values: common look-alikes).
 LOOKS = {
@@ -37,14 +38,16 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [0xDF, *range(0xE0, 0x
 SIZE = len(LETTERS) + 2
 CODE = {c: k for k, c in enumerate(LETTERS, 1)}
 # Words that a task remembers: with their weights, and with all of their features while fitting; documents counted at a time.
-MEMORY, FEATURE_MEMORY, COUNT_ROWS = 200_000, 30_000, 256
+MEMORY, FEATURE_MEMORY, COUNT_ROWS, FEATURE_ROWS = 200_000, 30_000, 256, 1024
+# Labels that are broadcast, and different rows of the fit in a task.
+LABEL_ROWS, FIT_ROWS = 1_000_000, 50_000
 # Readings and runs of spaced pieces that a task remembers.
 PIECE_MEMORY = 50_000
 
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 EDGE = "\"'.,;:?!()[]{}<>*_-~#%&=/\\"
 FRONT = "\"'.,;:?()[]{}<>"
-# Words of the labelled sample that are known when a spaced run is parted, the cost in nats of a word that is not among them on
+# Words of the labelled texts that are known when a spaced run is parted, the cost in nats of a word that is not among them on
 # top of its letters, and the most pieces of a word.
 LEXICON, UNKNOWN, PIECES = 100_000, 3.0, 24
 PLAIN = re.compile(r"[^\W\d_]*")
@@ -220,8 +223,8 @@ def spaced_runs(words: list[str]) -> Iterator[list[tuple[str, bool]]]:
             run, edge = [], False
 
 
-def word_costs(sample: DataFrame) -> dict[str, float]:
-    """Costs in nats of the most frequent ``LEXICON`` words of the sampled texts."""
+def word_costs(texts: DataFrame) -> dict[str, float]:
+    """Costs in nats of the most frequent ``LEXICON`` words of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +233,7 @@ def word_costs(sample: DataFrame) -> dict[str, float]:
                 names = [w for w in found if w and PLAIN.fullmatch(w)]
                 yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "n": pa.array([found[w] for w in names], pa.int64())})
 
-    counted = sample.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     rows = counted.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
     total = sum(r["n"] for r in rows)
     return {r["word"]: math.log(total / r["n"]) for r in rows}
@@ -259,16 +262,16 @@ def word_features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in range(3, 9) if len(word) > n]]
 
 
-def document_features(letters: LetterModel, known: dict[str, list[str]], text: str | None) -> set[str]:
+def restored_words(letters: LetterModel, read: dict[str, str], text: str | None) -> set[str]:
+    """The different restored words of a text; ``read`` remembers them."""
     found: set[str] = set()
     for word in set(letters.joined_words(text)):
-        features = known.get(word)
-        if features is None:
-            if len(known) >= FEATURE_MEMORY:
-                known.clear()
-            features = word_features(letters.restore_word(word))
-            known[word] = features
-        found.update(features)
+        now = read.get(word)
+        if now is None:
+            if len(read) >= MEMORY:
+                read.clear()
+            now = read[word] = letters.restore_word(word)
+        found.add(now)
     found.discard("")
     return found
 
@@ -278,56 +281,79 @@ class ToxicityModel:
         self.letters, self.intercept, self.weights = letters, intercept, weights
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 20_000, features: int = 1000, penalty: float = 0.004) -> ToxicityModel:
-    """Letter model over all documents; weights from at most ``sample_rows`` labelled ones outside the held-out fold.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", features: int = 1000, penalty: float = 0.004) -> ToxicityModel:
+    """Letter model over all documents; words, features and weights from all labelled ones outside the held-out fold.
 
-    The ``features`` restored words and beginnings that mark label 1 best are counted on Spark; the driver sees which of them
-    each sampled document has. The weight of the absolute penalty is ``penalty * sqrt(log(features) / rows)``, as the noise of
-    a weight falls with the rows.
+    The restored words of the labelled documents are written once. The ``features`` restored words and beginnings that mark label 1
+    best are counted on Spark, and so are the sums that the weights are fitted by. The weight of the absolute penalty is
+    ``penalty * sqrt(log(features) / rows)``, as the noise of a weight falls with the rows.
     """
     letters = LetterModel(letter_counts(docs))
-    sample = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, label, fold(4, 2), sample_rows)), "doc_id").select("label", "text")
-    letters.words = word_costs(sample)
+    known = labelled(labels, label, fold(4, 2))
+    known = F.broadcast(known) if at_most(known, LABEL_ROWS) else known.hint("merge")
+    marked = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~fold(4, 2)).join(known, "doc_id").select("label", "text")
+    letters.words = word_costs(marked)
     shared = docs.sparkSession.sparkContext.broadcast((letters.cost, letters.words))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(*shared.value)
-        known: dict[str, list[str]] = {}
+        read: dict[str, str] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, COUNT_ROWS):
                 part = batch.slice(start, COUNT_ROWS)
+                words = [" ".join(sorted(restored_words(model, read, t))) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.string())], names=["label", "words"])
+
+    rows = cut_lineage(marked.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(restore, "label int, words string"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, FEATURE_ROWS):
+                part = batch.slice(start, FEATURE_ROWS)
                 ones, zeros = Counter(), Counter()
-                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    (ones if y else zeros).update(document_features(model, known, text))
+                for y, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found: set[str] = set()
+                    for word in words.split():
+                        features = known.get(word)
+                        if features is None:
+                            if len(known) >= FEATURE_MEMORY:
+                                known.clear()
+                            features = known[word] = word_features(word)
+                        found.update(features)
+                    (ones if y > 0 else zeros).update(found)
                 names = list(ones.keys() | zeros.keys())
                 yield pa.RecordBatch.from_pydict({"feature": names, "ones": [ones[f] for f in names], "zeros": [zeros[f] for f in names]})
 
-    totals = sample.agg(F.sum((F.col("label") > 0).cast("long")), F.count("*")).first()
+    totals = rows.agg(F.sum((F.col("label") > 0).cast("long")), F.count("*")).first()
     n1, n = totals[0] or 0, totals[1]
     share = F.log(((F.col("ones") + 0.5) / (n1 + 1)) / ((F.col("zeros") + 0.5) / (n - n1 + 1)))
-    counted = sample.mapInArrow(count, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counted = rows.mapInArrow(count, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     best = counted.where("ones >= 3").withColumn("gain", F.col("ones") * share).where("gain > 0").orderBy(F.desc("gain"), "feature").limit(features)
     names = [r["feature"] for r in best.select("feature").collect()]
+    if not names:
+        share_of_ones = (n1 + 0.5) / (n + 1)
+        return ToxicityModel(letters, math.log(share_of_ones / (1 - share_of_ones)), {})
     place = {f: k for k, f in enumerate(names)}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(*shared.value)
-        known: dict[str, list[str]] = {}
+        found: dict[str, list[int]] = {}
+
+        def places(word: str) -> list[int]:
+            held = found.get(word)
+            if held is None:
+                if len(found) >= MEMORY:
+                    found.clear()
+                held = found[word] = [place[f] for f in word_features(word) if f in place]
+            return held
+
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                has = [sorted(place[f] for f in document_features(model, known, t) if f in place) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(has, pa.list_(pa.int32()))], names=["label", "has"])
-
-    rows = sorted((r["label"], r["has"]) for r in sample.mapInArrow(look_up, "label int, has array<int>").collect()) if names else []
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for k, (_, has) in enumerate(rows):
-        x[k, has] = 1
-    y = np.array([float(label > 0) for label, _ in rows])
-    if not names and n:
-        share_of_ones = (n1 + 0.5) / (n + 1)
-        return ToxicityModel(letters, math.log(share_of_ones / (1 - share_of_ones)), {})
-    intercept, weights = fit_lasso(x, y, penalty * math.sqrt(math.log(len(names) + 1) / max(1, len(y))))
+            has = [sorted({k for w in words.split() for k in places(w)}) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(has, pa.list_(pa.int32()))], names=["label", "has"])
+
+    sets = rows.mapInArrow(look_up, "label int, has array<int>").groupBy("label", "has").agg(F.count("*").alias("w"))
+    sets = cut_lineage(sets.coalesce(max(1, n // FIT_ROWS)))
+    intercept, weights = fit_sparse_lasso(sets, len(names), penalty * math.sqrt(math.log(len(names) + 1) / max(1, n)))
     return ToxicityModel(letters, intercept, {f: float(w) for f, w in zip(names, weights) if w})
 
 

@@ -152,3 +152,27 @@ def test_statistics_of_odd_texts():
     assert set(quality.statistics_of(None)) == set(quality.statistics_of(" \n ")) == {0.0}
     made = dict(zip(quality.STATISTICS, quality.statistics_of("AB ab ab\n\nab 1! 漢字 |x|")))
     assert made["digits"] == 1 / 15 and made["capital_words"] == 1 / 7 and made["repeated_next"] == 2 / 6
+
+
+def test_sparse_lasso_finds_the_same_weights(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.random((600, 12)) < 0.25).astype(float)
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1] + x[:, 2] - 0.5)))).astype(float)
+    rows = [(int(label), [int(k) for k in np.nonzero(r)[0]], 1) for r, label in zip(x, y)]
+    df = spark.createDataFrame(rows, "label int, has array<int>, w long")
+    want = lasso.fit_lasso(x, y, 0.01, steps=4000)
+    got = lasso.fit_sparse_lasso(df, 12, 0.01)
+    assert np.allclose(got[0], want[0], atol=2e-3) and np.allclose(got[1], want[1], atol=2e-3)
+    assert (got[1][3:] == 0).any() and lasso.fit_sparse_lasso(df.limit(0), 12, 0.01)[0] == 0
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(28_000).selectExpr("id AS doc_id", "concat('plain words ', IF(id % 5 = 0, 'vile', 'kind')) AS text", "CAST(id % 5 = 0 AS INT) AS toxic")
+    seen = []
+    fit = lasso.fit_sparse_lasso
+    monkeypatch.setattr(toxicity, "fit_sparse_lasso", lambda rows, *a: seen.append(rows.agg(F.sum("w")).first()[0]) or fit(rows, *a))
+    model = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"))
+    known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).count()
+    assert seen == [known] and known > 20_000 and model.weights.get("vile", 0) > 0
