@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from itertools import permutations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ RANGE_BYTES, LOCAL_BYTES = 2 << 20, 16 << 20
 MOST_RANGES = 1_000_000
 # Signs of the first prefix; each level has four times as many as the one before.
 FIRST_PREFIX, GROWTH = 16, 4
+# Prefixes of a text beside the first; the last holds 2^28 signs.
+MOST_LEVELS = 12
 
 _NOT_CAPITALS = bytes(b for b in range(256) if not 65 <= b <= 90)
 _MARKS = re.compile(rb"[#$%&*|]")
@@ -104,28 +107,39 @@ def shared(label: bytes, text: bytes, at: int) -> int:
     return low
 
 
+def prefix_hashes(first: int = FIRST_PREFIX) -> Column:
+    """Hashes of the prefixes of ``text``, each ``GROWTH`` times as long as the one before, up to the first that holds all of it."""
+
+    def depth(level: Column) -> Column:
+        return F.pow(F.lit(GROWTH), level).cast("int") * first
+
+    needed = F.filter(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), lambda k: (k == 0) | (F.length("text") > depth(k - 1)))
+    return F.transform(needed, lambda k: F.xxhash64(k, F.substring(F.col("text"), F.lit(1), depth(k))))
+
+
 def with_range(texts: DataFrame, range_bytes: int = RANGE_BYTES, first: int = FIRST_PREFIX) -> DataFrame:
     """Add ``range``, the hash of the leaf prefix of ``text``, to rows with ``text`` and ``mark`` (a hash of the whole text).
 
-    A prefix that holds only copies of one text, or only texts that end there, is a leaf whatever its size.
+    A prefix that holds only copies of one text, or only texts that end there, is a leaf whatever its size. All levels are counted
+    at once, as what a longer prefix holds the shorter one holds too; a text's range is the first prefix that is not replaced.
     """
-    size = F.octet_length("text")
+    size = F.octet_length("text").cast("long")
     total = texts.agg(F.sum(size)).first()[0] or 0
     limit = max(range_bytes, total // MOST_RANGES)
-    depth = first
-    now = texts.withColumn("range", F.xxhash64(F.substring("text", 1, depth)))
-    while True:
-        inside = now.where(F.length("text") > depth)
-        heavy = inside.groupBy("range").agg(F.sum(size).alias("bytes"), F.min("mark").alias("low"), F.max("mark").alias("high"))
-        heavy = heavy.where((F.col("bytes") > limit) & (F.col("low") != F.col("high"))).select("range")
-        found = [r["range"] for r in heavy.collect()]  # at most total / limit hashes
-        if not found:
-            return now
-        split = texts.sparkSession.createDataFrame([(h, True) for h in found], "range long, split boolean")
-        further = F.col("split") & (F.length("text") > depth)
-        depth *= GROWTH
-        deeper = F.when(further, F.xxhash64(F.lit(depth), F.substring("text", 1, depth))).otherwise(F.col("range"))
-        now = now.join(F.broadcast(split), "range", "left").withColumn("range", deeper).drop("split")
+    levels = prefix_hashes(first)
+    # a text does not go on behind its last prefix
+    inside = texts.select(levels.alias("levels"), size.alias("size"), "mark")
+    inside = inside.select(F.explode(F.slice("levels", F.lit(1), F.size("levels") - 1)).alias("range"), "size", "mark")
+    heavy = inside.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    heavy = heavy.where((F.col("bytes") > limit) & (F.col("low") != F.col("high"))).select("range")
+    replaced = texts.sparkSession.sparkContext.broadcast({r["range"] for r in heavy.collect()})  # at most total / limit hashes a level
+
+    @F.pandas_udf("long")
+    def leaf(found: pd.Series) -> pd.Series:
+        gone = replaced.value
+        return pd.Series([next((h for h in hashes.tolist() if h not in gone), hashes[-1]) for hashes in found], dtype="int64")
+
+    return texts.withColumn("range", leaf(levels))
 
 
 def first_documents(texts: DataFrame, range_bytes: int = RANGE_BYTES, local_bytes: int = LOCAL_BYTES) -> DataFrame:

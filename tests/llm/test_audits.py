@@ -200,3 +200,14 @@ def test_secrets_of_nothing_and_text_ids(spark):
     assert secret_scan.secret_spans(table(spark, [])).collect() == []
     docs = spark.createDataFrame([("a", SECRETS[0])], "doc_id string, text string")
     assert secret_scan.secret_spans(docs).first()["spans"] == "identifier:0:9,assign:10:32"
+
+
+def test_ranges_need_no_join_per_level(spark):
+    rows = [(k, "p" * (20 + 300 * (k % 3)) + str(k) * 40, k) for k in range(400)] + [(500, "", 500), (501, "p", 501)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, mark long")
+    placed = filter_audit.with_range(texts, 2000)
+    assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert placed.count() == 402 and placed.select("range").distinct().count() > 20
+    sizes = placed.groupBy("range").agg({"text": "count"}).collect()
+    assert max(r[1] for r in sizes) < 30
+    assert {r["least"] for r in filter_audit.first_documents(texts, 2000).collect()} == {k for k, _, _ in rows}
