@@ -76,3 +76,19 @@ def center_distances_array(xs: Sequence[str], centers: Sequence[Sequence[float]]
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where undefined."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
+
+
+def leading(tests: Sequence[Column], values: Sequence[Column] | None = None) -> Column:
+    """How many of the first tests hold (or the value at that place), where each test that holds implies those before it.
+
+    A binary search in generated code; a test that is null does not hold.
+    """
+    values = values or [F.lit(i) for i in range(len(tests) + 1)]
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return values[lo]
+        mid = (lo + hi) // 2
+        return F.when(tests[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(tests))

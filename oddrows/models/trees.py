@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddrows.functions.columns import seeded_key
+from oddrows.functions.columns import leading, seeded_key
 from oddrows.models.common import assembled
 from oddrows.operators import metrics as mt
 from oddrows.operators.features import standardize
@@ -26,6 +26,10 @@ from oddrows.operators.order import row_index
 from oddrows.operators.sampling import capped_stratified, train_test
 from oddrows.session import cut_lineage, scratch_path
 
+TABLE_FEATURES = 8  # features on a path up to which a leaf's Shapley values are looked up
+TABLE_CELLS = 1 << 18  # numbers of a table, and places looked up at once
+TASK_WORK = 200_000_000  # points x leaves of a task
+
 
 @dataclass
 class Trees:
@@ -269,36 +273,90 @@ def _leaf_games(spark: SparkSession, t: Trees):
     return games, base
 
 
-def _shapley(x: np.ndarray, games) -> np.ndarray:
-    """Path-dependent Shapley values of class 1. A leaf is a product game over its path's features: inside
-    its interval a feature contributes 1 when known and its cover ratio when not."""
-    phi = np.zeros(x.shape)
-    for value, path in games:
-        m = len(path)
-        if not m or value == 0.0:
-            continue
-        inside = [((x[:, i] > lo) & (x[:, i] <= hi)).astype(float) for i, lo, hi, _ in path]
-        weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-        for j, (i, _, _, cover) in enumerate(path):
-            poly = [np.ones(len(x))]  # coefficient k: subsets of k known features among the others
-            for o, (_, _, _, c) in enumerate(path):
+def _path_tables(value: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with the same m features on their paths, by (feature, leaf, which of them a row is inside of)."""
+    n, m = cover.shape
+    weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+    out = np.empty((m, n, 1 << m))
+    for mask in range(1 << m):
+        inside = [float(mask >> j & 1) for j in range(m)]
+        for j in range(m):
+            poly = [np.ones(n)]  # coefficient k: subsets of k known features among the others
+            for o in range(m):
                 if o == j:
                     continue
-                grown = [p * c for p in poly] + [np.zeros(len(x))]
+                grown = [p * cover[:, o] for p in poly] + [np.zeros(n)]
                 for k, p in enumerate(poly):
                     grown[k + 1] = grown[k + 1] + p * inside[o]
                 poly = grown
-            phi[:, i] += value * (inside[j] - cover) * sum(w * p for w, p in zip(weights, poly))
+            out[j, :, mask] = value * (inside[j] - cover[:, j]) * sum(w * p for w, p in zip(weights, poly))
+    return out
+
+
+def _leaf_phi(x: np.ndarray, value: float, path) -> dict[int, np.ndarray]:
+    """One leaf of a long path: the same sums over the rows instead of a table."""
+    m = len(path)
+    inside = [((x[:, i] > lo) & (x[:, i] <= hi)).astype(float) for i, lo, hi, _ in path]
+    weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+    out = {}
+    for j, (i, _, _, cover) in enumerate(path):
+        poly = [np.ones(len(x))]
+        for o, (_, _, _, c) in enumerate(path):
+            if o == j:
+                continue
+            grown = [p * c for p in poly] + [np.zeros(len(x))]
+            for k, p in enumerate(poly):
+                grown[k + 1] = grown[k + 1] + p * inside[o]
+            poly = grown
+        out[i] = value * (inside[j] - cover) * sum(w * p for w, p in zip(weights, poly))
+    return out
+
+
+def _shapley(x: np.ndarray, games) -> np.ndarray:
+    """Path-dependent Shapley values of class 1. A leaf is a product game over its path's features: inside
+    its interval a feature contributes 1 when known and its cover ratio when not.
+
+    So a row's share of a leaf depends only on the set of features whose intervals hold it; leaves of short paths look it up.
+    """
+    phi = np.zeros(x.shape)
+    alike: dict[tuple, list] = {}
+    for value, path in games:
+        if not path or value == 0.0:
+            continue
+        if len(path) > TABLE_FEATURES:
+            for i, v in _leaf_phi(x, value, path).items():
+                phi[:, i] += v
+        else:
+            alike.setdefault(tuple(i for i, *_ in path), []).append((value, path))
+    for features, leaves in alike.items():
+        m = len(features)
+        step = max(1, TABLE_CELLS // (m << m))
+        places = [np.unique(x[:, i], return_inverse=True) for i in features]
+        for a in range(0, len(leaves), step):
+            some = leaves[a : a + step]
+            spans = np.array([[s[1:] for s in path] for _, path in some])
+            table = _path_tables(np.array([v for v, _ in some]), spans[:, :, 2])
+            sides = [(u[:, None] > spans[:, j, 0]) & (u[:, None] <= spans[:, j, 1]) for j, (u, _) in enumerate(places)]
+            sides = [s.astype(np.uint8) << j for j, s in enumerate(sides)]
+            start = np.arange(len(some)) << m
+            rows = max(1, TABLE_CELLS // len(some))
+            for r in range(0, len(x), rows):
+                mask = np.zeros((len(x[r : r + rows]), len(some)), dtype=np.uint8)
+                for (_, at), side in zip(places, sides):
+                    mask += side[at[r : r + rows]]
+                spot = mask + start
+                for i, values in zip(features, table):
+                    phi[r : r + rows, i] += values.ravel().take(spot).sum(axis=1)
     return phi
 
 
-def shap_values(df: DataFrame, t: Trees) -> DataFrame:
-    """``(row point, weight, base, phi)`` per distinct feature combination."""
-    spark = df.sparkSession
-    games, base = _leaf_games(spark, t)
+def _with_phi(points: DataFrame, games, base: float) -> DataFrame:
+    """Points ``(x, w)`` with their Shapley values, dealt over tasks by the work they are: a few rows meet every leaf."""
+    spark = points.sparkSession
     shared = spark.sparkContext.broadcast(games)  # at most trees x 2^depth leaves
-    x = F.array(*[F.col(c).cast("double") for c in t.cols])
-    points = df.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("w"))
+    points = cut_lineage(points)
+    work = points.count() * max(1, len(games))
+    parts = max(1, -(-work // TASK_WORK))
 
     def run(batches):
         for b in batches:
@@ -306,13 +364,36 @@ def shap_values(df: DataFrame, t: Trees) -> DataFrame:
                 phi = _shapley(np.stack(b["x"].to_numpy()), shared.value)
                 yield b.assign(base=base, phi=list(phi))
 
-    return points.mapInPandas(run, "x array<double>, w long, base double, phi array<double>")
+    return points.repartition(parts).mapInPandas(run, "x array<double>, w long, base double, phi array<double>")
+
+
+def shap_values(df: DataFrame, t: Trees) -> DataFrame:
+    """``(row point, weight, base, phi)`` per distinct feature combination."""
+    x = F.array(*[F.col(c).cast("double") for c in t.cols])
+    points = df.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("w"))
+    return _with_phi(points, *_leaf_games(df.sparkSession, t))
+
+
+def threshold_cells(df: DataFrame, cols: Sequence[str], games) -> DataFrame:
+    """``(x, w)``: rows that no threshold of the leaves parts are one point, at the upper ends of its intervals."""
+    cuts: list[set] = [set() for _ in cols]
+    for _, path in games:
+        for i, lo, hi, _ in path:
+            cuts[i].update(v for v in (lo, hi) if math.isfinite(v))
+    ends = []
+    for c, some in zip(cols, cuts):
+        v, ascending = F.col(c).cast("double"), sorted(some)
+        upper = leading([F.lit(e) < v for e in ascending], [F.lit(e) for e in [*ascending, math.inf]])
+        ends.append(F.when(v.isNull() | F.isnan(v), v).otherwise(upper))
+    return df.select(F.array(*ends).alias("x")).groupBy("x").agg(F.count("*").alias("w"))
 
 
 def shap_importance(df: DataFrame, t: Trees) -> DataFrame:
-    """Mean absolute Shapley value per feature over all rows."""
+    """Mean absolute Shapley value per feature over all rows. Work grows with the cells between thresholds (fewer than
+    ``maxBins`` a feature) that rows lie in, not with the rows."""
+    games, base = _leaf_games(df.sparkSession, t)
     names = F.array(*[F.lit(c) for c in t.cols])
-    long = shap_values(df, t).select("w", F.posexplode("phi").alias("j", "v"))
+    long = _with_phi(threshold_cells(df, t.cols, games), games, base).select("w", F.posexplode("phi").alias("j", "v"))
     return long.groupBy(F.get(names, F.col("j")).alias("feature")).agg((F.sum(F.abs("v") * F.col("w")) / F.sum("w")).alias("importance"))
 
 

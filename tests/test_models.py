@@ -357,6 +357,38 @@ def test_shapley_of_two_features_by_hand(labelled):
     assert math.isclose(known(set()), base)
 
 
+def test_shapley_tables(monkeypatch):
+    """Leaves looked up in tables give what the sums over the rows give, also in pieces."""
+    rng = np.random.default_rng(4)
+    games = []
+    for m in (1, 2, 3, 4, 4, 4):
+        path = sorted((int(i), float(lo), float(lo + 1.0), float(rng.random())) for i, lo in zip(rng.permutation(4)[:m], rng.normal(size=m)))
+        games.append((float(rng.random()), path))
+    x = np.vstack([rng.normal(size=(50, 4)), np.full((1, 4), np.nan)])
+    want = np.zeros(x.shape)
+    for value, path in games:
+        for i, v in tr._leaf_phi(x, value, path).items():
+            want[:, i] += v
+    assert np.allclose(tr._shapley(x, games), want)
+    monkeypatch.setattr(tr, "TABLE_CELLS", 100)
+    assert np.allclose(tr._shapley(x, games), want)
+    monkeypatch.setattr(tr, "TABLE_FEATURES", 2)
+    assert np.allclose(tr._shapley(x, games), want)
+
+
+def test_shap_importance_meets_cells(spark, labelled):
+    """Rows between the same thresholds are one point; the importance is that of all rows."""
+    cols = list("pqrs")
+    t = tr.tree_model(labelled, cols, "evil", "forest", depth=2, trees=2)
+    games, _ = tr._leaf_games(spark, t)
+    cells = tr.threshold_cells(labelled, cols, games).toPandas()
+    assert cells.w.sum() == 600 and len(cells) < 300
+    every = tr.shap_values(labelled, t).toPandas()
+    want = np.average(np.abs(np.stack(every.phi)), axis=0, weights=every.w)
+    got = {r["feature"]: r["importance"] for r in tr.shap_importance(labelled, t).collect()}
+    assert np.allclose([got[c] for c in cols], want)
+
+
 def test_tree_reports(spark, labelled):
     cols = list("pqrs")
     t = tr.tree_model(labelled, cols, "evil", "tree", depth=3)
