@@ -36,6 +36,15 @@ def training_points(df: DataFrame, xs: Sequence[str], id_col: str) -> DataFrame:
     return points.coalesce(parts) if parts < have else points.repartition(parts, "pid") if parts > have else points
 
 
+def training_rows(rows: DataFrame) -> DataFrame:
+    """Rows written once, for a fit that reads them many times, in tasks of 20,000 rows up to one for every core and
+    of a million rows beyond; a table in one file would else be fitted by a task or two."""
+    rows = cut_lineage(rows)
+    n = rows.count()
+    parts = max(min(-(-n // 20_000), rows.sparkSession.sparkContext.defaultParallelism), -(-n // 1_000_000))
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def summed(points: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
     """Element-wise sum of ``fn(batch)`` over all rows; only ``size`` numbers reach the driver.
 

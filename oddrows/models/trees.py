@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddrows.functions.columns import leading, seeded_key
-from oddrows.models.common import assembled
+from oddrows.models.common import assembled, training_rows
 from oddrows.operators import metrics as mt
 from oddrows.operators.features import standardize
 from oddrows.operators.order import row_index
@@ -63,7 +63,8 @@ def tree_model(
         est = DecisionTreeClassifier(maxDepth=depth or 5, **common)
     else:
         est = RandomForestClassifier(maxDepth=depth or 10, numTrees=trees, **common)
-    return Trees(list(cols), y, est.fit(vec), kind)
+    kept = ["features", "_y", *([weight] if weight else [])]
+    return Trees(list(cols), y, est.fit(training_rows(vec.select(*kept))), kind)
 
 
 def predict(df: DataFrame, t: Trees, score: str = "score", pred: str = "pred") -> DataFrame:

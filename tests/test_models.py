@@ -357,6 +357,25 @@ def test_shapley_of_two_features_by_hand(labelled):
     assert math.isclose(known(set()), base)
 
 
+@pytest.mark.parametrize("kind", ["tree", "forest"])
+def test_tree_rows_are_read_once_by_many_tasks(spark, kind, monkeypatch):
+    """A fit makes its rows once, whatever its passes, and a table in one piece is dealt over the cores."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    fitted = []
+    for cls in (tr.DecisionTreeClassifier, tr.RandomForestClassifier):
+        fit = cls.fit
+        monkeypatch.setattr(cls, "fit", lambda self, rows, fit=fit: fitted.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    df = spark.range(0, 50_000, 1, 1).select(counted(F.rand(3)).alias("p"), F.rand(4).alias("q"))
+    tr.tree_model(df.withColumn("evil", (F.col("q") > 0.5).cast("int")), ["p", "q"], "evil", kind, depth=3, trees=2)
+    assert seen.value == 50_000 and fitted == [3]
+
+
 def test_shapley_tables(monkeypatch):
     """Leaves looked up in tables give what the sums over the rows give, also in pieces."""
     rng = np.random.default_rng(4)
