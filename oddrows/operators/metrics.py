@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddrows.functions.columns import class3, ratio
+from oddrows.functions.columns import class3, leading, ratio
 from oddrows.operators.order import exact_quantiles, quantile_values, range_bounds, running_totals, unpivot
 
 # --- curves --------------------------------------------------------------------------------------
@@ -272,8 +272,7 @@ def percentile_detection_rates(df: DataFrame, score: str, percentiles: Sequence[
 
 def _above_count(s: Column, cuts: Sequence[float], strict: bool = True) -> Column:
     """How many of the ascending cuts the value exceeds."""
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(arr, (lambda c: c < s) if strict else (lambda c: c <= s)))
+    return leading([F.lit(float(c)) < s if strict else F.lit(float(c)) <= s for c in cuts])
 
 
 def _rates_above(classed: DataFrame, cuts) -> DataFrame:
@@ -336,9 +335,9 @@ def cutoff_sweep(df: DataFrame, score: str, label: str, id_col: str, fracs: Sequ
     keys = {(r[score], r["rank"]): r["value"] for r in order_statistics(ties, id_col, lambda s: {g: tie_ranks[g] for g in s}, [score]).collect()}
     ordered = sorted(fracs, key=lambda f: takes[f], reverse=True)
     # flagged sets are nested: the k widest sets that contain the row come first
-    bounds = F.array(*[F.struct(F.lit(float(cut_of[f][0])).alias("s"), F.lit(keys[cut_of[f]]).alias("id")) for f in ordered])
     s, i = F.col(score), F.col(id_col)
-    cell = F.size(F.filter(bounds, lambda b: (s > b["s"]) | ((s == b["s"]) & (i <= b["id"]))))
+    bounds = [(F.lit(float(cut_of[f][0])), F.lit(keys[cut_of[f]])) for f in ordered]
+    cell = leading([(s > at) | ((s == at) & (i <= last)) for at, last in bounds])
     return _sweep(df, cell, label, ordered)
 
 
@@ -346,17 +345,15 @@ def quantile_sweep(df: DataFrame, loglik: str, label: str, fracs: Sequence[float
     """Metrics when rows below the frac-quantile of a log-likelihood are flagged."""
     cuts = quantile_values(df.select(F.col(loglik).alias("s")), ["s"], list(fracs))["s"]
     ordered = sorted(zip(cuts, fracs), reverse=True)
-    arr = F.array(*[F.lit(float(c)) for c, _ in ordered])
     s = F.col(loglik).cast("double")
-    return _sweep(df, F.size(F.filter(arr, lambda c: s < c)), label, [f for _, f in ordered])
+    return _sweep(df, leading([s < F.lit(float(c)) for c, _ in ordered]), label, [f for _, f in ordered])
 
 
 def membership_sweep(df: DataFrame, membership: str, label: str, fracs: Sequence[float] = FRACTIONS) -> DataFrame:
     """Metrics when rows whose largest membership is below frac are flagged."""
     ordered = sorted(fracs, reverse=True)
-    arr = F.array(*[F.lit(float(c)) for c in ordered])
     s = F.col(membership).cast("double")
-    return _sweep(df, F.size(F.filter(arr, lambda c: s < c)), label, ordered)
+    return _sweep(df, leading([s < F.lit(float(c)) for c in ordered]), label, ordered)
 
 
 def best_cutoff(runs: DataFrame, cutoff: str = "cutoff", f1: str = "f1_pos", metrics: Sequence[str] = ()) -> DataFrame:

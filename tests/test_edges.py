@@ -201,3 +201,20 @@ def test_correlations_of_many_columns_with_holes(spark):
     want[7] = want[:, 7] = np.nan
     assert len(got) == 90_000 and np.allclose(table, want, equal_nan=True, atol=1e-9)
     assert correlation_matrix(df.limit(0), names[:2]).filter("r is not null").count() == 0
+
+
+def test_leading_is_a_search_without_lambdas(spark):
+    """Cells of a sweep are found by a search in generated code; null and ties count as they did in an array."""
+    from oddrows.functions.columns import leading
+
+    rows = [(None,), (float("nan"),), *[(v / 4,) for v in range(-4, 30)]]
+    df = spark.createDataFrame(rows, "s double")
+    for cuts in ([], [1.0], [0.0, 1.0, 1.0, 2.5, 6.0]):
+        arr = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+        up = leading([F.lit(c) < F.col("s") for c in cuts])
+        down = leading([F.col("s") < F.lit(c) for c in reversed(cuts)])
+        got = df.select(up.alias("u"), down.alias("d"), F.size(F.filter(arr, lambda c: c < F.col("s"))).alias("wu"), F.size(F.filter(arr, lambda c: F.col("s") < c)).alias("wd"))
+        assert got.filter("u <> wu OR d <> wd").count() == 0
+    scored = spark.range(300).select("id", (F.col("id") % 37).cast("double").alias("s"), (F.col("id") % 2).cast("int").alias("evil"))
+    for sweep in (mt.quantile_sweep(scored, "s", "evil"), mt.membership_sweep(scored, "s", "evil"), mt.cutoff_sweep(scored, "s", "evil", "id")):
+        assert "lambda" not in sweep._jdf.queryExecution().analyzed().toString()
