@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from oddrows.functions.columns import center_distances_array
 from oddrows.models.common import summed, training_points
-from oddrows.operators.neighbors import attach_points, blockwise, coordinates, point, sq_distances, two_rounds
+from oddrows.operators.neighbors import attach_points, blockwise, coordinates, on_points, point, sq_distances, two_rounds
 from oddrows.operators.sampling import sample_n
 from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, at_most, cut_lineage, setting
 
@@ -238,7 +238,8 @@ def gmm_score(df: DataFrame, model: Mixture) -> DataFrame:
         top = parts.max(axis=1, initial=-np.inf)
         return pd.DataFrame({"c": parts.argmax(axis=1).astype("int32"), "l": top + np.log(np.exp(parts - top[:, None]).sum(axis=1))})
 
-    return df.withColumn("_s", score(point(model.cols))).withColumns({"cluster": F.col("_s.c"), "log_likelihood": F.col("_s.l")}).drop("_s")
+    named = {"cluster": F.col("_s.c"), "log_likelihood": F.col("_s.l")}
+    return on_points(df, model.cols, lambda d: d.withColumn("_s", score("_x")).withColumns(named).drop("_s"))
 
 
 def gmm(df: DataFrame, cols: Sequence[str], k: int, id_col: str, seed: int = 42) -> DataFrame:

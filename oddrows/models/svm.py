@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddrows.models.common import summed, training_points
-from oddrows.operators.neighbors import coordinates, point, sq_distances
+from oddrows.operators.neighbors import coordinates, on_points, sq_distances
 from oddrows.operators.order import order_statistics
 
 FIRST_LANDMARKS, CANDIDATES = 128, 512
@@ -182,7 +182,7 @@ def svm_score(df: DataFrame, model: Boundary, out: str = "score") -> DataFrame:
         block = np.stack(x.to_numpy())
         return pd.Series(np.concatenate([model.rho - model.project(block[i : i + STEP_ROWS]) for i in range(0, len(block), STEP_ROWS)]))
 
-    return df.withColumn(out, score(point(model.cols)))
+    return on_points(df, model.cols, lambda d: d.withColumn(out, score("_x")))
 
 
 def one_class_svm(df: DataFrame, cols: Sequence[str], id_col: str, fit_on: DataFrame | None = None, **kw) -> DataFrame:

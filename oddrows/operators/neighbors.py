@@ -63,6 +63,18 @@ def attach_points(df: DataFrame, points: DataFrame, xs: Sequence[str]) -> DataFr
     return small_join(df.withColumn("x", point(xs)), points, "x", "left").drop("x")
 
 
+def on_points(df: DataFrame, xs: Sequence[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Columns that ``add`` makes of the point ``_x`` alone: once for every distinct point where those are few enough to
+    broadcast, else row by row."""
+    limit = setting(df.sparkSession, BROADCAST_ROWS_KEY, BROADCAST_ROWS)
+    placed = df.withColumn("_x", point(xs))
+    few = cut_lineage(placed.select("_x").distinct().limit(limit + 1))
+    if few.count() > limit:
+        return add(placed).drop("_x")
+    made = add(few)
+    return placed.drop(*[c for c in made.columns if c != "_x"]).join(F.broadcast(made), "_x", "left").drop("_x")
+
+
 def coordinates(block: pd.DataFrame) -> np.ndarray:
     return np.stack(block["x"].to_numpy()) if len(block) else np.zeros((0, 1))
 

@@ -357,6 +357,30 @@ def test_shapley_of_two_features_by_hand(labelled):
     assert math.isclose(known(set()), base)
 
 
+def test_few_points_are_scored_once(spark):
+    """Equal rows share one score; many different points are scored row by row. Null, NaN and -0.0 are points as well."""
+    seen = spark.sparkContext.accumulator(0)
+
+    class Line:
+        cols, rho = ["p"], 1.0
+
+        def project(self, x):
+            seen.add(len(x))
+            return np.array([-1.0 if v is None or v != v else v for v in x[:, 0]])
+
+    p = F.when(F.col("id") % 7 == 5, F.lit(math.nan)).when(F.col("id") % 14 == 0, F.lit(-0.0)).otherwise((F.col("id") % 7).cast("double"))
+    df = spark.range(1000).select("id", p.alias("p"))
+    few = {r["id"]: r["score"] for r in svm.svm_score(df, Line()).collect()}
+    assert seen.value == 7 and len(few) == 1000
+    assert all(v == (2.0 if i % 7 == 5 else 1.0 - i % 7) for i, v in few.items())
+    spark.conf.set("spark.oddrows.broadcastRows", "3")
+    try:
+        assert {r["id"]: r["score"] for r in svm.svm_score(df, Line()).collect()} == few
+    finally:
+        spark.conf.unset("spark.oddrows.broadcastRows")
+    assert seen.value == 1007
+
+
 @pytest.mark.parametrize("kind", ["tree", "forest"])
 def test_tree_rows_are_read_once_by_many_tasks(spark, kind, monkeypatch):
     """A fit makes its rows once, whatever its passes, and a table in one piece is dealt over the cores."""
