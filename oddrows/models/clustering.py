@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from oddrows.functions.columns import center_distances_array
 from oddrows.models.common import summed, training_points
-from oddrows.operators.neighbors import attach_points, blockwise, coordinates, on_points, point, sq_distances, two_rounds
+from oddrows.operators.neighbors import WIDE, attach_points, blockwise, coordinates, on_points, point, sq_distances, two_rounds
 from oddrows.operators.sampling import sample_n
 from oddrows.session import BROADCAST_ROWS, BROADCAST_ROWS_KEY, at_most, cut_lineage, setting
 
@@ -76,6 +76,8 @@ class CenterIndex:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the nearest centre (the first on ties) and squared distance, for a bounded block of rows."""
+        if self.pivots is None and x.shape[1] >= WIDE:
+            return self._nearest_wide(x)
         if self.pivots is None:
             d = sq_distances(x, self.centers)
             best = d.argmin(axis=1)
@@ -102,6 +104,20 @@ class CenterIndex:
             look(np.flatnonzero((own != j) & (np.maximum(gap, 0.0) ** 2 <= best)), j)
         return label, best
 
+    def _nearest_wide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by a matrix product; centres that its rounding cannot tell apart are compared by their differences."""
+        own, theirs = (x * x).sum(axis=1), (self.centers * self.centers).sum(axis=1)
+        d = theirs - 2.0 * (x @ self.centers.T) + own[:, None]
+        best = d.argmin(axis=1)
+        bound = d[np.arange(len(x)), best] + 1e-12 * x.shape[1] * (own + theirs.max(initial=0.0))
+        close = np.flatnonzero((~(d > bound[:, None])).sum(axis=1) > 1)
+        if len(close):
+            best[close] = sq_distances(x[close], self.centers).argmin(axis=1)
+        d2 = np.zeros(len(x))
+        for diff in np.ascontiguousarray((x - self.centers[best]).T):  # summed in the order of ``sq_distances``
+            d2 += diff * diff
+        return best, d2
+
 
 def _blocks(b: pd.DataFrame, width: int):
     x, w = coordinates(b), b["w"].to_numpy(dtype=float)
@@ -159,6 +175,11 @@ def kmeans_models(points: DataFrame, cols: Sequence[str], ks: Sequence[int], see
                     label, d2 = index.nearest(bx)
                     part = out[start : start + k * (d + 1) + 1]
                     part[:k] += np.bincount(label, bw, minlength=k)
+                    if d >= WIDE and k <= FLAT_CENTERS:
+                        held = (label[:, None] == np.arange(k)) * bw[:, None]
+                        part[k:-1] += (bx.T @ held).ravel()
+                        part[-1] += (bw * d2).sum()
+                        continue
                     for j in range(d):
                         part[k * (j + 1) : k * (j + 2)] += np.bincount(label, bw * bx[:, j], minlength=k)
                     part[-1] += (bw * d2).sum()

@@ -357,6 +357,24 @@ def test_shapley_of_two_features_by_hand(labelled):
     assert math.isclose(known(set()), base)
 
 
+def test_nearest_of_wide_centers(monkeypatch):
+    """Products find the centres and distances of the differences to the last bit, ties and far offsets included, and form few differences."""
+    rng = np.random.default_rng(6)
+    x, centers = rng.normal(size=(400, 32)), rng.normal(size=(10, 32))
+    centers[7] = centers[2]
+    x[:10], x[10:20] = centers, (centers[3] + centers[4]) / 2
+    formed = []
+    plain = cl.sq_distances
+    monkeypatch.setattr(cl, "sq_distances", lambda q, r: formed.append(len(q)) or plain(q, r))
+    for shift in (0.0, 1e6):
+        formed.clear()
+        label, d2 = cl.CenterIndex(centers + shift).nearest(x + shift)
+        want = plain(x + shift, centers + shift)
+        assert (label == want.argmin(axis=1)).all() and (d2 == want.min(axis=1)).all()
+        assert shift or sum(formed) < 200
+    assert len(cl.CenterIndex(centers).nearest(x[:0])[0]) == 0
+
+
 def test_few_points_are_scored_once(spark):
     """Equal rows share one score; many different points are scored row by row. Null, NaN and -0.0 are points as well."""
     seen = spark.sparkContext.accumulator(0)
