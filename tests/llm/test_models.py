@@ -176,3 +176,72 @@ def test_toxicity_learns_from_every_label(spark, monkeypatch):
     model = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"))
     known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).count()
     assert seen == [known] and known > 20_000 and model.weights.get("vile", 0) > 0
+
+
+def odd_texts(count=400):
+    draw = random.Random(11)
+    signs = "aabbcdeé1$!-.'(,_  \t\n ΣσİA漢　\x00\U0001d4b3"
+    made = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(count)]
+    return [None, "", " \n", "s t u p i d", "(a) b' ,c, !! ...", "-- a \x1cb c", "ΑΣ Σ α, Σ", "İ a İ b", "aaa (bbb) it is -ccc-", "ab\0c ab\0d ab", "$tup1d (1diot) l.o.s.e.r", "x" * 700_000, *made]
+
+
+def test_words_found_at_once_are_those_read_one_by_one():
+    model = letters_of(["idiot stupid loser aab bad it is"] * 20)
+    texts = odd_texts()
+    read = toxicity.Remembered(model.restore_word)
+    got = list(toxicity.restored_words(model, read, texts))
+    assert len(got) == len(texts)
+    for text, found in zip(texts, got):
+        words = (text or "").split()
+        made = ["".join(m[0].split()) for m in toxicity.SPACED.finditer(text or "")]
+        for run in toxicity.spaced_runs(words):
+            made += model.cheapest(tuple(run))
+        assert found == {model.restore_word(w) for w in words + made} - {""}
+
+
+def test_plain_words_are_not_looked_up():
+    model = letters_of(["idiot stupid loser"] * 20)
+    read = toxicity.Remembered(model.restore_word)
+    assert list(toxicity.restored_words(model, read, ["some plain words, one 1d10t and"])) == [{"some", "plain", "words", "one", "idiot", "and"}]
+    assert set(read) == {"words,", "1d10t"}
+
+
+def test_first_letters_select_the_words_with_weights(spark, documents):
+    model = letters_of(["idiot stupid loser aab bad it is"] * 20)
+    weights = {"aab*": 1.0, "bad": 2.0, "b": 0.5, "ab\0*": 4.0, "漢": 3.0, "é1": 1.0, "idiot": -2.0, "aé": 0.25}
+    texts = odd_texts() + ["Bad, aabc", "b", "b.", "1d10t", "AABCD (aab)", "aa bad"]
+    rows = toxicity.with_toxicity(documents(list(enumerate(texts))), toxicity.ToxicityModel(model, -1.0, weights)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        read = set(map(model.restore_word, model.joined_words(texts[r["doc_id"]])))
+        total = -1.0 + sum(weights[f] for f in sorted({f for w in read for f in toxicity.word_features(w)} & weights.keys()))
+        assert r["score"] == 1 / (1 + math.exp(-total))
+
+
+def test_feature_counts_are_those_of_every_row():
+    draw = random.Random(12)
+    rows = [sorted({"".join(draw.choices("aab\0é𝒳", k=draw.randrange(1, 12))) for _ in range(draw.randrange(30))}) for _ in range(60)]
+    marks = [draw.random() < 0.3 for _ in rows]
+    words = list({w for r in rows for w in r})
+    draw.shuffle(words)
+    place = {w: k for k, w in enumerate(words)}
+    found, ones, zeros = toxicity.feature_counts(words, [np.array([place[w] for w in r], np.int64) for r in rows], marks)
+    want = {}
+    for r, mark in zip(rows, marks):
+        for f in {f for w in r for f in toxicity.word_features(w)}:
+            counted = want.setdefault(f, [0, 0])
+            counted[not mark] += 1
+    assert len(found) == len(set(found)) and {f: [a, b] for f, a, b in zip(found, ones.tolist(), zeros.tolist())} == want
+    assert toxicity.feature_counts([], [], [])[0] == []
+
+
+def test_counts_do_not_depend_on_the_blocks(spark, documents, monkeypatch):
+    texts = [" ".join(random.Random(k).choices("idiot Idiots stupid, kind (kinder) vile ab a b c".split(), k=30)) for k in range(120)] + [None, ""]
+    docs = documents(list(enumerate(texts)))
+    labels = spark.createDataFrame([(k, 0, int("vile" in (t or ""))) for k, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    first = toxicity.fit_toxicity(docs, labels)
+    for name, value in (("COUNT_WORDS", 3), ("FEATURE_WORDS", 5), ("BLOCK_SIGNS", 40)):
+        monkeypatch.setattr(toxicity, name, value)
+    again = toxicity.fit_toxicity(docs, labels)
+    assert first.letters.words == again.letters.words and first.weights.keys() == again.weights.keys() and first.weights
+    assert all(first.weights[f] == pytest.approx(again.weights[f], abs=1e-9) for f in first.weights)
